@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.session import read_table as _table
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import repetitions
+
+    return repetitions(_table(spark, sf_dir, "documents"), weights=[1, 2, 3], max_epochs=3.0).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
     "op4_id_store": op4_id_store,
     "op6_sharding": op6_sharding,
