@@ -30,6 +30,13 @@ def op4_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_verify(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import digest, scan
+
+    found = digest(scan(_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -43,6 +50,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,8 +68,10 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
     "op4_id_store": op4_id_store,
+    "op5_license_scan": op5_license_scan,
     "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ann": op8_ann,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
