@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from quillon.session import read_table as _table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dart_minhash import near_duplicate_classes
+
+    return near_duplicate_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "set_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import repetitions
 
@@ -65,6 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
     "op4_id_store": op4_id_store,
