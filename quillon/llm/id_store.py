@@ -90,6 +90,7 @@ def merkle_root(addresses: list[bytes]) -> bytes:
 
 
 def pack(ids: np.ndarray) -> tuple[bool, bytes]:
+    """(wide, payload)."""
     wide = bool(ids.size and ids.max() > 0xFFFF)
     return wide, ids.astype("<u4" if wide else "<u2").tobytes()
 
@@ -130,7 +131,7 @@ def _encoder(tokenizer_file: str, pattern: str, end_id: int, id_type: pa.DataTyp
                     n, own = len(blob) // 4, []
                     ids, last = stream[start : start + n], 0
                     for e in cut_chunks(ids, hashes[start : start + n]):
-                        a = address(ids[last:e])
+                        a = hashlib.blake2b(blob[4 * last : 4 * e], digest_size=16).digest()
                         own.append(a)
                         if a not in seen:
                             if len(seen) >= held:
@@ -216,7 +217,7 @@ def crc32_of_parts(parts: list[tuple[int, int]]) -> int:
     """The CRC-32 of the concatenation of parts, each given as (CRC-32, number of bytes)."""
     crc = 0
     for part, size in parts:
-        crc = _times(_power(8 * size), crc) ^ part
+        crc = (_times(_power(8 * size), crc) if crc else 0) ^ part
     return crc
 
 
@@ -235,14 +236,16 @@ def _verify_chunks(batches):
 
 def _verify_documents(batches):
     for batch in batches:
-        at, n_tokens, root, parts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        crcs = []
-        for n, r, p in zip(n_tokens, root, parts, strict=True):
-            p = sorted(p, key=lambda x: x["i"])
-            if [x["i"] for x in p] != list(range(len(p))) or sum(x["n"] for x in p) != n or merkle_root([x["address"] for x in p]) != r:
+        lists = batch.column(3)
+        ends = lists.offsets.to_numpy().tolist()
+        places, sizes, crcs = (lists.values.field(k).to_numpy(zero_copy_only=False).tolist() for k in range(3))
+        addresses, out = lists.values.field(3).to_pylist(), []
+        for row, (n, root) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            order = sorted(range(ends[row], ends[row + 1]), key=places.__getitem__)
+            if [places[x] for x in order] != list(range(len(order))) or sum(sizes[x] for x in order) != n or merkle_root([addresses[x] for x in order]) != root:
                 raise ValueError("a document's chunks do not match its recipe and root")
-            crcs.append(crc32_of_parts([(x["crc"], 4 * x["n"]) for x in p]))
-        yield pa.RecordBatch.from_arrays([at, pa.array(n_tokens, pa.int64()), pa.array(crcs, pa.int64())], ["start", "n_tokens", "ids_crc32"])
+            out.append(crc32_of_parts([(crcs[x], 4 * sizes[x]) for x in order]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.int64())], ["start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(spark: SparkSession, path: str, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:

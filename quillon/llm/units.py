@@ -62,24 +62,53 @@ class Generations(dict):
         return value
 
 
+class _Units(dict):
+    """Ids by unit, in two generations. The usual units, a word with or without one mark after it, are cut here without a further call."""
+
+    def __init__(self, encoder: UnitEncoder, limit: int):
+        self.encoder, self.tokens, self.limit, self.older = encoder, encoder.tokens, limit, {}
+        self.words_only = not any(s.isalpha() or s[:-1].isalpha() for s in encoder.specials)
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            if self.words_only and len(key) < _LONG and (key.isascii() or _PLAIN.fullmatch(key)):
+                if key.isalpha():
+                    value = self.tokens[" " + key]
+                elif key[:-1].isalpha() and key[-1] != " ":
+                    value = self.tokens[" " + key[:-1]] + self.tokens[key[-1]]
+            if value is None:
+                value = self.encoder.encode_key(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class UnitEncoder:
     """encode(text): its ids as little-endian unsigned 32-bit integers, as the library gives them without added special tokens."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 250_000):
+    def __init__(self, path: str, pattern: str, limit: int = 350_000):
         import regex
 
         self.library, self.pattern = load_tokenizer(path), regex.compile(pattern)
+        self.model = self.library.model
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
+        self.letters, self.space = _byte_letters(), _byte_letters()[32]
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.tokens = Generations(self._token, limit)
-        self.units = Generations(self._unit, limit)
+        self.units = _Units(self, limit)
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _token(self, token: str) -> bytes:
-        mapped = token.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.library.model.tokenize(mapped)]).tobytes()
+        if token[0] == " " and token[1:].isalnum() and token.isascii():
+            mapped = self.space + token[1:]
+        else:
+            mapped = token.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(mapped)])
 
     def encode_unit(self, unit: str) -> bytes:
         """The ids of a stretch between two cuts."""
@@ -94,7 +123,7 @@ class UnitEncoder:
             return self._ids(unit)
         return b"".join(map(self.tokens.__getitem__, self.pattern.findall(unit)))
 
-    def _unit(self, key: str) -> bytes:
+    def encode_key(self, key: str) -> bytes:
         """The key of a unit is what follows its space. A text's first unit has none, and has a space before its key instead."""
         if key[:1] == " ":
             return self.encode_unit(key[1:])
