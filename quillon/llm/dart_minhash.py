@@ -16,9 +16,10 @@ documents link when the Jaccard similarity of their shingle sets is THRESHOLD or
  3. In each bucket the hub, the member that shares most bucket places over all bands, is paired with every other.
     Of a group of copies with own changes that is the original, which all are nearest to.
  4. Pairs are verified on the whole shingle sets; links give components.
- 5. Buckets that still hold several components among members that are no hubs are compared in blocks of at most
-    BLOCK members by signature; pairs across components whose estimate is within three standard errors of the
-    threshold are verified like the others. Nothing is capped, and no list of pairs of a whole group is made.
+ 5. Members that share a hub are a superset of those that share a bucket. Where such a group still holds several
+    components, its members meet in cells of two blocks of about BLOCK members, each with its whole shingle set. A
+    cell counts what its sets share through an inverted index and gives a link only where it joins components that
+    the cell has not joined yet: fewer links than members, however similar all are. Nothing is capped.
 A pair at the threshold meets in a band with probability 1 - (1 - 0.8**6)**32 > 0.9999.
 
 Defined results: a document without words has no shingle; such documents share a class when their texts are equal
@@ -45,9 +46,7 @@ from .units import Generations
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
-BLOCK = 1024
-#: Three standard errors of an estimate below the threshold.
-ESTIMATE = THRESHOLD - 3 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
+BLOCK = 512
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -130,7 +129,7 @@ def shingles_of(text: str) -> np.ndarray:
 
 
 def _sketch(batches):
-    """(id, text) to (id, key of the shingle set, band hashes, signature bytes)."""
+    """(id, text) to (id, key of the shingle set, band hashes)."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         at = 0
@@ -143,16 +142,14 @@ def _sketch(batches):
             keys = [hashlib.blake2b(s.tobytes() if len(s) else b"text " + (t or "").encode("utf-8", "surrogatepass"), digest_size=16, person=b"set" if len(s) else b"bare").digest() for s, t in zip(sets, texts[first:at], strict=True)]
             filled = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
-            short: list = [None] * len(sets)
             if filled:
                 darts = signatures(np.array([len(sets[i]) for i in filled]), np.concatenate([sets[i] for i in filled]))
                 hashes = np.zeros((len(filled), BANDS), np.uint64)
                 for r in range(ROWS):
                     hashes = mix(hashes ^ darts[:, r::ROWS], r)
-                low = (darts & _U(0xFF)).astype(np.uint8)
                 for row, i in enumerate(filled):
-                    bands[i], short[i] = hashes[row].astype(np.int64), low[row].tobytes()
-            yield pa.RecordBatch.from_arrays([ids.slice(first, at - first), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["id", "key", "bands", "sig"])
+                    bands[i] = hashes[row].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([ids.slice(first, at - first), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "bands"])
 
 
 def _shingle_rows(batches):
@@ -176,39 +173,58 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(mask)
 
 
+def joining_links(reps: list[int], labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Of members with component labels, links of THRESHOLD or more that join components, none between what is joined already.
+
+    Pairs within a component need no look, so the members of the most frequent one are only looked at from outside.
+    """
+    parent = {x: x for x in labels}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    values, counts = np.unique(labels, return_counts=True)
+    largest = values[counts.argmax()]
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(codes))]).tolist()
+    holders = owner[np.argsort(codes, kind="stable")]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    links = []
+    for i in range(len(sets)):
+        if labels[i] == largest:
+            continue
+        shared = np.bincount(np.concatenate([holders[starts[c] : starts[c + 1]] for c in codes[ends[i] : ends[i + 1]].tolist()]), minlength=len(sets))
+        for j in np.flatnonzero(shared >= THRESHOLD * (sizes[i] + sizes - shared)).tolist():
+            a, b = root(labels[i]), root(labels[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+    return links
+
+
 def _compare(batches):
-    """Rows sorted by cell (band, hash, i, j) to pairs of its members, across components, whose estimate passes."""
+    """Rows sorted by cell (hub, i, j), then rep, label, shingles, to the links that join components."""
     held: list = []
     cell = None
 
-    def pairs():
-        if len(held) < 2:
-            return None
-        rep, label, side = (np.array([r[i] for r in held]) for i in (0, 1, 2))
-        sig = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1)
-        a, b = [], []
-        across = cell[2] != cell[3]
-        for i in range(len(held) - 1):
-            other = np.arange(i + 1, len(held))
-            other = other[(label[other] != label[i]) & ((side[other] != side[i]) if across else True)]
-            if len(other):
-                near = other[(sig[other] == sig[i]).mean(axis=1) >= ESTIMATE]
-                a.append(np.minimum(rep[i], rep[near])), b.append(np.maximum(rep[i], rep[near]))
-        if not a:
-            return None
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if len(a) else None
+    def links():
+        found = joining_links([r[0] for r in held], [r[1] for r in held], [np.frombuffer(r[2], np.uint64) for r in held]) if len(held) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for band, h, i, j, rep, label, side, sig in zip(*columns, strict=True):
-            if (band, h, i, j) != cell:
-                if (out := pairs()) is not None:
+        for hub, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (hub, i, j) != cell:
+                if (out := links()).num_rows:
                     yield out
                 held.clear()
-                cell = (band, h, i, j)
-            held.append((rep, label, side, sig))
-    if (out := pairs()) is not None:
+                cell = (hub, i, j)
+            held.append(row)
+    if (out := links()).num_rows:
         yield out
 
 
@@ -222,8 +238,8 @@ def _links(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, class_id (smallest id of its class), set_id (smallest id with the same shingle set)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = materialise(rows.mapInArrow(_sketch, "id long, key binary, bands array<long>, sig binary"), "sketches")
-    reps = materialise(sketched.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "sets")
+    sketched = materialise(rows.mapInArrow(_sketch, "id long, key binary, bands array<long>"), "sketches")
+    reps = materialise(sketched.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "sets")
     placed = reps.filter("bands IS NOT NULL AND rep IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "hash"))
     shared = placed.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(placed.join(shared, ["band", "hash"]), "members")
@@ -237,15 +253,14 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     shingles = materialise(texts.mapInArrow(_shingle_rows, "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
     links = materialise(_links(tried, shingles), "links")
     labels = connected_components(links)
-    open_ = with_hub.filter("rep <> hub AND n > 2").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("band", "hash", "n", "rep", F.coalesce("label", "rep").alias("label"))
-    several = open_.groupBy("band", "hash").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "hash")
-    rest = open_.join(several, ["band", "hash"], "left_semi").join(reps.select("rep", "sig"), "rep")
-    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), chunks).cast("int")
-    cells = rest.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    cells = cells.select("band", "hash", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rep", "label", "side", "sig")
-    near = cells.repartition("band", "hash", "i", "j").sortWithinPartitions("band", "hash", "i", "j").mapInArrow(_compare, "a long, b long")
-    more = materialise(_links(near.distinct().join(tried, ["a", "b"], "left_anti"), shingles), "links")
+    open_ = with_hub.filter("rep <> hub").select("hub", "rep").distinct().join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("hub", "rep", F.coalesce("label", "rep").alias("label"))
+    several = open_.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("hub", "n")
+    rest = open_.join(several, "hub").join(shingles, "rep")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    cells = rest.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = cells.select("hub", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rep", "label", "shingles")
+    more = materialise(cells.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_compare, "a long, b long"), "links")
     if more.limit(1).count():
         labels = connected_components(links.union(more))
     classes = reps.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", F.col("rep").alias("set_id"), F.coalesce("label", "rep").alias("class_id"))
