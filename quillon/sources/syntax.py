@@ -1,0 +1,316 @@
+"""Object syntax of page-description files, read with the standard library alone: tokens, instructions, maps, widths.
+
+Plain functions over bytes; quillon.sources.files turns them into tables.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+from typing import Any, NamedTuple
+
+_ATOM = re.compile(
+    rb"""(?P<space>[\0\t\n\f\r\ ]+|%[^\r\n]*) | (?P<dict><<|>>) | <(?P<hex>[^>]*)>? | /(?P<name>[^\0\t\n\f\r\ ()<>\[\]{}/%]*)
+       | (?P<open>[\[{]) | (?P<close>[\]}]) | (?P<string>\() | (?P<number>[+-]?(?:\d+\.?\d*|\.\d+)(?![^\0\t\n\f\r\ ()<>\[\]{}/%]))
+       | (?P<word>[^\0\t\n\f\r\ ()<>\[\]{}/%]+) | (?P<stray>.)""",
+    re.X | re.S,
+)
+_PAREN = re.compile(rb"\\.|[()]", re.S)
+_ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
+_IMAGE_END = re.compile(rb"[\0\t\n\f\r ]EI(?=[\0\t\n\f\r /(<\[]|$)")
+#: A range of codes longer than this is damage.
+LONGEST_RANGE = 0x10000
+
+
+class Token(NamedTuple):
+    kind: str
+    value: Any
+    start: int
+    end: int
+
+
+def _literal(raw: bytes) -> bytes:
+    def one(m: re.Match) -> bytes:
+        x = m[1]
+        return bytes([int(x, 8) & 255]) if x[:1].isdigit() and x[:1] < b"8" else _ESCAPES.get(x, x)
+
+    return _ESCAPE.sub(one, raw)
+
+
+def tokens(data: bytes) -> Iterator[Token]:
+    """Kinds: hex and string (bytes), name (text), number (int or float), word, open, close, dict."""
+    at = 0
+    while at < len(data):
+        m = _ATOM.match(data, at)
+        kind, start, at = m.lastgroup, at, m.end()
+        if kind == "space" or kind == "stray":
+            continue
+        if kind == "string":
+            depth = 1
+            while depth:
+                p = _PAREN.search(data, at)
+                if p is None:
+                    at = len(data) + 1
+                    break
+                depth += {b"(": 1, b")": -1}.get(p[0], 0)
+                at = p.end()
+            yield Token("string", _literal(data[start + 1 : at - 1]), start, min(at, len(data)))
+        elif kind == "hex":
+            digits = re.sub(rb"[^0-9A-Fa-f]", b"", m["hex"])
+            yield Token("hex", bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()), start, at)
+        elif kind == "name":
+            yield Token("name", re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes([int(h[1], 16)]), m["name"]).decode("utf-8", "replace"), start, at)
+        elif kind == "number":
+            yield Token("number", float(m[0]) if b"." in m[0] else int(m[0]), start, at)
+        else:
+            yield Token(kind, m[0].decode("latin-1"), start, at)
+
+
+class Instruction(NamedTuple):
+    operator: str
+    operands: list
+    start: int
+    end: int
+
+
+def instructions(data: bytes) -> Iterator[Instruction]:
+    """Operands with the word that ends them. An inline image is one instruction; arrays nest as lists, dictionaries as lists too."""
+    stack: list[list] = [[]]
+    start, skip = None, 0
+    for t in tokens(data):
+        if t.start < skip:
+            continue
+        start = t.start if start is None else start
+        if t.kind == "open" or t.value == "<<" and t.kind == "dict":
+            stack.append([])
+        elif t.kind == "close" or t.kind == "dict":
+            inner = stack.pop() if len(stack) > 1 else []
+            stack[-1].append(inner)
+        elif t.kind == "word" and len(stack) == 1 and t.value not in ("true", "false", "null"):
+            end = t.end
+            if t.value == "BI":
+                found = _IMAGE_END.search(data, t.end)
+                end = skip = found.end() if found else len(data)
+            yield Instruction(t.value, stack[0], start, end)
+            stack, start = [[]], None
+        else:
+            stack[-1].append(f"/{t.value}" if t.kind == "name" else t.value)
+
+
+def number(x: Any) -> float:
+    """Bad values count as 0."""
+    return float(x) if isinstance(x, int | float) else 0.0
+
+
+# Streams
+
+
+class Stream(NamedTuple):
+    num: int
+    gen: int
+    start: int
+    length: int
+    head: bytes
+
+
+_OBJECT = re.compile(rb"(?<!\d)(\d{1,10})\s+(\d{1,5})\s+obj\b(.*?)(?:endobj|\Z)", re.S)
+_BODY = re.compile(rb"stream(?:\r\n|\n|\r)(.*?)(?:\r\n|\n|\r)*endstream", re.S)
+
+
+def objects(data: bytes) -> dict[tuple[int, int], re.Match]:
+    """Each object's last place in the file."""
+    return {(int(m[1]), int(m[2])): m for m in _OBJECT.finditer(data)}
+
+
+def streams(data: bytes) -> list[Stream]:
+    found = []
+    for (num, gen), m in objects(data).items():
+        body = _BODY.search(data, m.start(3), m.end(3) if m[0].endswith(b"endobj") else len(data))
+        if body:
+            found.append(Stream(num, gen, body.start(1), len(body[1]), data[m.start(3) : body.start()]))
+    return found
+
+
+def references(data: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(num, gen) of an object and of one that its dictionary refers to."""
+    for (num, gen), m in objects(data).items():
+        head = m[3].split(b"stream", 1)[0]
+        for r in re.finditer(rb"(?<!\d)(\d{1,10})\s+(\d{1,5})\s+R\b", head):
+            yield num, gen, int(r[1]), int(r[2])
+
+
+def filters(head: bytes) -> list[str]:
+    m = re.search(rb"/Filter\s*(\[[^\]]*\]|/[A-Za-z0-9]+)", head)
+    return [x.decode() for x in re.findall(rb"/[A-Za-z0-9]+", m[1])] if m else []
+
+
+def inflated(payload: bytes) -> tuple[bytes | None, int]:
+    """(decoded, unused bytes at the end); (None, 0) for what isn't such a stream."""
+    try:
+        z = zlib.decompressobj()
+        return z.decompress(payload) + z.flush(), len(z.unused_data)
+    except zlib.error:
+        return None, 0
+
+
+# Code maps
+
+
+def _code(x: bytes) -> int:
+    return int.from_bytes(x, "big")
+
+
+def _unicode(x: bytes) -> str:
+    return (x + b"\0" * (len(x) % 2)).decode("utf-16-be", "replace")
+
+
+def _sections(data: bytes) -> Iterator[tuple[str, list[Token]]]:
+    """What stands between begin... and end... words."""
+    inside, held = None, []
+    for t in tokens(data):
+        if t.kind == "word" and t.value.startswith("begin"):
+            inside, held = t.value[5:], []
+        elif t.kind == "word" and t.value.startswith("end") and inside:
+            yield inside, held
+            inside = None
+        elif inside:
+            held.append(t)
+
+
+def _triples(held: list[Token]) -> Iterator[tuple[Token, Token, Token | list[Token]]]:
+    row: list = []
+    array = None
+    for t in held:
+        if t.kind == "open":
+            array = []
+            continue
+        if t.kind == "close":
+            t, array = array or [], None
+        elif array is not None:
+            array.append(t)
+            continue
+        row.append(t)
+        if len(row) == 3:
+            yield tuple(row)
+            row = []
+
+
+def unicode_map(data: bytes, glyph_names: dict[str, str] | None = None) -> dict[int, str]:
+    """Codes to texts; later entries win, damaged ranges are left out. Names of glyphs other than uniXXXX need glyph_names."""
+    out: dict[int, str] = {}
+    for section, held in _sections(data):
+        if section == "bfchar":
+            for a, b in zip(held[::2], held[1::2], strict=False):
+                if a.kind == "hex" and b.kind in ("hex", "name"):
+                    out[_code(a.value)] = _unicode(b.value) if b.kind == "hex" else glyph_text(b.value, glyph_names)
+        elif section == "bfrange":
+            for low, high, to in _triples(held):
+                if low.kind != "hex" or high.kind != "hex" or not 0 <= _code(high.value) - _code(low.value) <= LONGEST_RANGE:
+                    continue
+                first = _code(low.value)
+                if isinstance(to, list):
+                    out |= {first + i: _unicode(t.value) for i, t in enumerate(to) if t.kind == "hex"}
+                elif to.kind == "hex" and to.value:
+                    text = _unicode(to.value)
+                    room = range(min(_code(high.value) - first + 1, 0x110000 - ord(text[-1])))
+                    out |= {first + i: text[:-1] + chr(ord(text[-1]) + i) for i in room}
+    return out
+
+
+def glyph_text(name: str, known: dict[str, str] | None = None) -> str:
+    """uniXXXX and uXXXXXX by their number, others from known, else nothing."""
+    m = re.fullmatch(r"uni([0-9A-F]{4})|u([0-9A-F]{4,6})", name)
+    return (known or {}).get(name, chr(int(m[1] or m[2], 16)) if m else "")
+
+
+def glyph_name(char: str) -> str:
+    return f"uni{ord(char):04X}" if ord(char) <= 0xFFFF else f"u{ord(char):06X}"
+
+
+def cid_map(data: bytes) -> tuple[list[tuple[bytes, bytes]], dict[int, int]]:
+    """(code spaces, codes to character ids); two-byte codes if none is given."""
+    spaces: list[tuple[bytes, bytes]] = []
+    out: dict[int, int] = {}
+    for section, held in _sections(data):
+        if section == "codespacerange":
+            spaces += [(a.value, b.value) for a, b in zip(held[::2], held[1::2], strict=False) if a.kind == b.kind == "hex"]
+        elif section == "cidchar":
+            out |= {_code(a.value): int(b.value) for a, b in zip(held[::2], held[1::2], strict=False) if a.kind == "hex" and b.kind == "number"}
+        elif section == "cidrange":
+            for low, high, to in _triples(held):
+                if not isinstance(to, list) and low.kind == high.kind == "hex" and to.kind == "number" and 0 <= _code(high.value) - _code(low.value) <= LONGEST_RANGE:
+                    out |= {_code(low.value) + i: int(to.value) + i for i in range(_code(high.value) - _code(low.value) + 1)}
+    return spaces or [(b"\0\0", b"\xff\xff")], out
+
+
+def split_codes(data: bytes, spaces: list[tuple[bytes, bytes]]) -> list[bytes]:
+    """Codes by the shortest space that holds them, byte by byte; else as long as the shortest space. A tail too short for a code falls off."""
+    spaces = sorted(spaces, key=lambda s: len(s[0]))
+    out, at = [], 0
+    while at < len(data):
+        fit = next((len(lo) for lo, hi in spaces if len(data) - at >= len(lo) and all(a <= x <= b for a, x, b in zip(lo, data[at:], hi, strict=False))), len(spaces[0][0]))
+        if at + fit > len(data):
+            break
+        out.append(data[at : at + fit])
+        at += fit
+    return out
+
+
+def code_map_text(mapping: dict[int, str], width: int = 2) -> bytes:
+    """A map as text: runs in which code and character both step by one are ranges; blocks of at most 100 entries."""
+    runs: list[list] = []
+    for code, text in sorted(mapping.items()):
+        last = runs[-1] if runs else None
+        if last and len(text) == 1 == len(last[2]) and code == last[1] + 1 and ord(text) == ord(last[2]) + code - last[0] and code >> 8 == last[0] >> 8:
+            last[1] = code
+        else:
+            runs.append([code, code, text])
+    wide = lambda n: f"<{n:0{2 * width}X}>"
+    shown = lambda s: f"<{s.encode('utf-16-be').hex().upper()}>"
+    lines = [f"1 begincodespacerange\n{wide(0)} {wide(256**width - 1)}\nendcodespacerange"]
+    for kind, rows in (("bfchar", [f"{wide(a)} {shown(t)}" for a, b, t in runs if a == b]), ("bfrange", [f"{wide(a)} {wide(b)} {shown(t)}" for a, b, t in runs if a != b])):
+        for i in range(0, len(rows), 100):
+            part = rows[i : i + 100]
+            lines.append(f"{len(part)} begin{kind}\n" + "\n".join(part) + f"\nend{kind}")
+    return "\n".join(lines).encode()
+
+
+def widths(items: list) -> dict[int, float]:
+    """`first [w ...]` and `first last w`, mixed; an item that can't be a first code is passed over."""
+    out: dict[int, float] = {}
+    at = 0
+    while at + 1 < len(items):
+        if not isinstance(items[at], int | float):
+            at += 1
+        elif isinstance(items[at + 1], list):
+            out |= {int(items[at]) + i: number(w) for i, w in enumerate(items[at + 1])}
+            at += 2
+        elif at + 2 < len(items):
+            first, last = int(items[at]), int(number(items[at + 1]))
+            if last - first <= LONGEST_RANGE:
+                out |= dict.fromkeys(range(first, last + 1), number(items[at + 2]))
+            at += 3
+        else:
+            break
+    return out
+
+
+def differences(items: list) -> dict[int, str]:
+    """A number sets the code, each name takes it and counts on."""
+    out: dict[int, str] = {}
+    code = 0
+    for x in items:
+        if isinstance(x, int):
+            code = x
+        elif isinstance(x, str):
+            out[code] = x.removeprefix("/")
+            code += 1
+    return out
+
+
+def base_encoding(name: str) -> dict[int, str]:
+    """Codes 32 to 255 of WinAnsi and MacRoman; any other name gives the ASCII part that all share."""
+    codec, extra = {"WinAnsiEncoding": ("cp1252", {0xA0: " ", 0xAD: "-", 0x7F: chr(0x2022)}), "MacRomanEncoding": ("mac_roman", {0xCA: " "})}.get(name.removeprefix("/"), ("ascii", {}))
+    return {c: t for c in range(32, 256) if (t := bytes([c]).decode(codec, "ignore"))} | extra
