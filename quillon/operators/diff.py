@@ -41,8 +41,8 @@ def unpivot(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return rows.select(*keys, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(keys, columns, "key", "value")
 
 
-def structure_diff(left: DataFrame, right: DataFrame, keys: list[str], listed: int = 0) -> DataFrame:
-    """Flattened nodes (keys, path, type, value): vanished, added, another type or another value. All are counted; `listed` caps nothing here."""
+def structure_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Flattened nodes (keys, path, type, value): vanished, added, another type or another value."""
     a = left.select(*keys, "path", F.struct("type", "value").alias("l"))
     b = right.select(*keys, "path", F.struct("type", "value").alias("r"))
     status = F.when(F.col("r").isNull(), "vanished").when(F.col("l").isNull(), "added").when(~F.col("l.type").eqNullSafe(F.col("r.type")), "type").when(~F.col("l.value").eqNullSafe(F.col("r.value")), "value")
@@ -51,6 +51,7 @@ def structure_diff(left: DataFrame, right: DataFrame, keys: list[str], listed: i
 
 def map_nodes(rows: DataFrame, keys: list[str], document: str) -> DataFrame:
     """A JSON text column to its nodes, one row per path ($ is the root), objects and arrays with their size as value. Depth follows the data."""
+
     def run(batches):
         import json
 

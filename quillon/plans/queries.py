@@ -295,12 +295,11 @@ def charset_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each large order the price band of its customer's others that is nearest to it."""
+    """For each order the price band around its customer's even-numbered orders that is nearest to it."""
     orders = table(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
     points = orders.select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("point"), F.col("cents").alias("at"))
     bands = orders.select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("band"), (F.col("cents") - 2_000_000).alias("low"), (F.col("cents") + 2_000_000).alias("high"), F.col("cents").alias("middle"))
-    others = bands.withColumnRenamed("cust", "cust")
-    near = match.band_nearest(points, others.filter(F.col("band") % 2 == 0), "point", ["cust"], "at", "low", "high", 4_000_000.0, F.abs(F.col("at") - F.col("middle")), F.col("band"))
+    near = match.band_nearest(points, bands.filter(F.col("band") % 2 == 0), "point", ["cust"], "at", "low", "high", 4_000_000.0, F.abs(F.col("at") - F.col("middle")), F.col("band"))
     return near.select("point", "band")
 
 
