@@ -74,9 +74,9 @@ class _Units(dict):
         if value is None:
             if self.words_only and len(key) < _LONG and (key.isascii() or _PLAIN.fullmatch(key)):
                 if key.isalpha():
-                    value = self.tokens[" " + key]
+                    value = self.encoder.encode_token(" " + key)
                 elif key[:-1].isalpha() and key[-1] != " ":
-                    value = self.tokens[" " + key[:-1]] + self.tokens[key[-1]]
+                    value = self[key[:-1]] + self.tokens[key[-1]]
             if value is None:
                 value = self.encoder.encode_key(key)
         if len(self) >= self.limit:
@@ -89,7 +89,7 @@ class _Units(dict):
 class UnitEncoder:
     """encode(text): its ids as little-endian unsigned 32-bit integers, as the library gives them without added special tokens."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 350_000):
+    def __init__(self, path: str, pattern: str, limit: int = 500_000):
         import regex
 
         self.library, self.pattern = load_tokenizer(path), regex.compile(pattern)
@@ -97,13 +97,14 @@ class UnitEncoder:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters, self.space = _byte_letters(), _byte_letters()[32]
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
-        self.tokens = Generations(self._token, limit)
+        self.tokens = Generations(self.encode_token, limit // 4)
         self.units = _Units(self, limit)
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _token(self, token: str) -> bytes:
+    def encode_token(self, token: str) -> bytes:
+        """The ids of one pre-token."""
         if token[0] == " " and token[1:].isalnum() and token.isascii():
             mapped = self.space + token[1:]
         else:
