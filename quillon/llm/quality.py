@@ -97,13 +97,13 @@ def meta_features(lang, source, stored) -> tuple[list[int], list[float]]:
 
 
 class Sparse:
-    """Rows of (places, values), for products with weights."""
+    """Rows of (places, values), for products with weights. Made from Arrow list columns without Python lists."""
 
-    def __init__(self, rows: list[tuple[list[int], list[float]]], width: int):
-        self.width, self.n = width, len(rows)
-        self.row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-        self.place = np.fromiter((p for r in rows for p in r[0]), np.int64, len(self.row))
-        self.value = np.fromiter((v for r in rows for v in r[1]), np.float64, len(self.row))
+    def __init__(self, places: pa.ListArray, values: pa.ListArray, width: int):
+        self.width, self.n = width, len(places)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(places.offsets.to_numpy()))
+        self.place = places.flatten().to_numpy()
+        self.value = values.flatten().to_numpy().astype(np.float64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.place], minlength=self.n)
@@ -227,12 +227,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     others = have.join(named, "id", "left_anti").orderBy(draw, "id").limit(pool).withColumn("label", F.lit(None).cast("double"))
     wanted = some.union(others)  # at most labelled + pool rows of two numbers
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *_inputs(docs)).join(F.broadcast(wanted), "id").select("id", "label", "text", "lang", "source", "n_chars").dropDuplicates(["id"])
-    told = rows.mapInArrow(_featurise, "id long, label double, tp array<int>, tv array<float>, mp array<int>, mv array<float>").toArrow().sort_by("id").to_pydict()
-    y = np.array([math.nan if v is None else float(v > 0) for v in told["label"]])
+    told = rows.mapInArrow(_featurise, "id long, label double, tp array<int>, tv array<float>, mp array<int>, mv array<float>").toArrow().sort_by("id").combine_chunks()
+    y = np.array([math.nan if v is None else float(v > 0) for v in told["label"].to_pylist()])
     if len({*y[~np.isnan(y)]}) < 2:
         return _flat(float(y[~np.isnan(y)].mean()) if (~np.isnan(y)).any() else 1.0)
-    text = Sparse(list(zip(told["tp"], told["tv"], strict=True)), (1 << TEXT_BITS) + MEASURES)
-    meta = Sparse(list(zip(told["mp"], told["mv"], strict=True)), (1 << META_BITS) + 1)
+    column = lambda name: told[name].combine_chunks() if told[name].num_chunks != 1 else told[name].chunk(0)
+    text = Sparse(column("tp"), column("tv"), (1 << TEXT_BITS) + MEASURES)
+    meta = Sparse(column("mp"), column("mv"), (1 << META_BITS) + 1)
     return co_train(text, meta, y, seed)
 
 
