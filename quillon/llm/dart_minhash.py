@@ -47,6 +47,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 BLOCK = 512
+#: Documents whose darts are held at once: each needs about k ln k + 2k of them, however short it is.
+SKETCHED = 150
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -120,7 +122,7 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return np.unique(mix(h, width))
 
 
-_word_hashes = Generations(lambda w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"), 250_000)
+_word_hashes = Generations(lambda w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"), 100_000)
 
 
 def shingles_of(text: str) -> np.ndarray:
@@ -128,14 +130,21 @@ def shingles_of(text: str) -> np.ndarray:
     return shingle_hashes(np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words)))
 
 
+def _slices(batches, rows: int):
+    """Batches in parts of a few rows, so that only those become Python values at once."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def _sketch(batches):
     """(id, text) to (id, key of the shingle set, band hashes)."""
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+    for part in _slices(batches, SKETCHED):
+        ids, texts = part.column(0), part.column(1).to_pylist()
         at = 0
         while at < len(texts):
             first, sets, total = at, [], 0
-            while at < len(texts) and total < 200_000 and at - first < 1000:
+            while at < len(texts) and total < 100_000:
                 sets.append(shingles_of(texts[at] or ""))
                 total += len(sets[-1])
                 at += 1
@@ -153,10 +162,8 @@ def _sketch(batches):
 
 
 def _shingle_rows(batches):
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 200):
-            part = batch.slice(lo, 200)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles_of(t or "").tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["rep", "shingles"])
+    for part in _slices(batches, 200):
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles_of(t or "").tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["rep", "shingles"])
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -165,7 +172,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verify(batches):
-    for batch in batches:
+    for batch in _slices(batches, 200):
         keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             keep.append(jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= THRESHOLD)
@@ -216,7 +223,7 @@ def _compare(batches):
         found = joining_links([r[0] for r in held], [r[1] for r in held], [np.frombuffer(r[2], np.uint64) for r in held]) if len(held) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    for batch in batches:
+    for batch in _slices(batches, 200):
         for hub, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (hub, i, j) != cell:
                 if (out := links()).num_rows:
@@ -268,8 +275,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, that with the smallest id, with the columns of docs."""
-    stays = near_duplicate_classes(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.struct(F.col(id_col).alias("id")).alias("k")).distinct()
+    """One document of each class, that with the smallest id, with the columns of docs.
+
+    Rows that repeat an id stay or go together, equal texts among them once; rows with a null id stay.
+    """
+    named = docs.filter(F.col(id_col).isNotNull())
+    stays = near_duplicate_classes(named, id_col, text_col).filter(F.col(id_col) == F.col("class_id")).select(F.struct(F.col(id_col).alias("id")).alias("k")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.struct(F.col(id_col).cast("long").alias("id")).alias("k"))
-    return rows.join(stays, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
+    rows = named.select(row, F.struct(F.col(id_col).cast("long").alias("id")).alias("k"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
+    return rows.join(stays, "k", "left_semi").dropDuplicates(["k", "h"]).select("row.*").union(docs.filter(F.col(id_col).isNull()))
