@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from .staging import materialise
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """links (a, b) to (node, label). Labels sink to the smallest of their neighbours', then each label takes its own node's label.
+def connected_components(links: DataFrame) -> DataFrame:
+    """links (a, b) to (node, label). Rounds hook nodes and their labels' nodes (FastSV), until none changes, however long a chain is.
 
-    Each round at least doubles how far a small label has come along labels' labels; rounds end when none changes.
+    Each round a node takes the least of its label, its label's label and its neighbours' labels' labels; the last goes to the
+    node that its label names too, so whole trees of labels move at once and a shuffled chain takes about log2 of its length.
     Links and labels stay distributed, and each round's labels are written, so no lineage grows.
     """
     both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+    while True:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        following = materialise(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        grand = labels.join(jump, "label").select("node", "label", "further")
+        near = both.join(grand.select(F.col("node").alias("b"), "further"), "b").groupBy(F.col("a").alias("node")).agg(F.min("further").alias("near"))
+        own = F.struct(F.col("node"), F.col("label").alias("old"), F.least("label", "further", "near").alias("label"))
+        hook = F.struct(F.col("label").alias("node"), F.lit(None).cast("long").alias("old"), F.col("near").alias("label"))
+        offers = grand.join(near, "node").select(F.explode(F.array(own, hook)).alias("o")).select("o.*")
+        following = materialise(offers.groupBy("node").agg(F.max("old").alias("old"), F.min("label").alias("label")), "labels")
         labels = following.select("node", "label")
         if not following.filter("old <> label").limit(1).count():
             return labels
-    raise RuntimeError("labels still change; raise max_rounds")

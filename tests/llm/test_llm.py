@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from quillon.llm import ann, byte_bpe, dart_minhash, exact_dedup, id_store, license_scan, mixing, quality, sharding, token_counts, units  # noqa: E402
+from quillon.llm import ann, byte_bpe, components, dart_minhash, exact_dedup, id_store, license_scan, mixing, quality, sharding, token_counts, units  # noqa: E402
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, id int, size int"
@@ -137,6 +137,15 @@ def brute_targets(sizes, weights, epochs):
     return {s: epochs * sizes[s] if s in clamped else weights[s] * level for s in sizes}
 
 
+def test_components_of_long_chains(spark):
+    """A chain whose small ids lie far apart, one in random order, a cycle and a pair, each one component."""
+    far = sorted(range(300), key=lambda i: int(f"{i:09b}"[::-1], 2))
+    shuffled = random.Random(3).sample(range(1000, 1400), 400)
+    links = [*zip(far, far[1:]), *zip(shuffled, shuffled[1:]), (2002, 2001), (2001, 2003), (2003, 2002), (3001, 3000)]
+    found = dict(components.connected_components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert found == {**dict.fromkeys(far, 0), **dict.fromkeys(shuffled, 1000), 2001: 2001, 2002: 2001, 2003: 2001, 3000: 3000, 3001: 3000}
+
+
 def test_mixing(spark, odd, none):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), s) for i, s in enumerate(rng.choices(["a", "b", "c", "tiny", None], [60, 30, 8, 1, 20], k=3000))]
