@@ -178,11 +178,20 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     width = F.length("text").cast("double")
     x0 = (F.pmod("turn", F.lit(4)) * 40).cast("double")
-    return turns.select("conv_id", F.col("turn").alias("run_id"), F.lit(10.0).alias("size"), x0.alias("x0"), (x0 + F.pmod(width, F.lit(41.0))).alias("x1"), (F.floor(F.col("turn") / 4) * 20).cast("double").alias("y0"), (F.floor(F.col("turn") / 4) * 20 + 10).cast("double").alias("y1"), F.substring("text", 1, 12).alias("text"))
+    return turns.select("conv_id", F.col("turn").alias("run_id"), F.lit(10.0).alias("size"), x0.alias("x0"), (x0 + F.pmod(width, F.lit(41.0))).alias("x1"), (F.floor(F.col("turn") / 4) * 20).cast("double").alias("y0"), (F.floor(F.col("turn") / 4) * 20 + 10).cast("double").alias("y1"), "text")
 
 
 def line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = layout.line_texts(layout.visual_lines(_runs(spark, sf_dir), ["conv_id"]), ["conv_id"])
+    """The first 12 characters of each turn, as the SQL has them; line_texts_whole joins whole turns."""
+    return _line_texts(_runs(spark, sf_dir).withColumn("text", F.substring("text", 1, 12)))
+
+
+def line_texts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_texts(_runs(spark, sf_dir))
+
+
+def _line_texts(runs: DataFrame) -> DataFrame:
+    lines = layout.line_texts(layout.visual_lines(runs, ["conv_id"]), ["conv_id"])
     return lines.select("conv_id", "baseline", F.col("line_no").cast("long").alias("line_no"), "text", F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"), F.col("y0").cast("long").alias("y0"), F.col("y1").cast("long").alias("y1"))
 
 
@@ -409,7 +418,7 @@ def hidden_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = """norm_text norm_positions find_count find_ignore_case find_whole_word find_page_filter find_top_docs find_offsets replace_swap
 replace_first_n replace_pairs splice_edits minimal_edit greedy_encode glyph_spans name_styles field_names page_lists assignment_maps
-dates_round_trip number_scalars visual_lines line_texts consecutive_ranges carry_forward page_text block_alignment line_alignment
+dates_round_trip number_scalars visual_lines line_texts line_texts_whole consecutive_ranges carry_forward page_text block_alignment line_alignment
 object_hash_diff changed_objects set_changes meta_diff expected_partition inherited_introduced structure_diff sequence_diff
 ranked_candidates charset_covers nearest_line majority_style reverse_map free_codes minority_rows top_findings rule_outcomes
 atomic_groups edit_reasons edit_pieces latest_revision merge_metadata in_place_routes reachability dangling_edges stale_copies
