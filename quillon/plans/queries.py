@@ -45,7 +45,15 @@ def find_ignore_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+    """English documents only, as the SQL has them; find_whole_word_all searches every document."""
+    return _whole_words(table(spark, sf_dir, "documents").filter(F.col("lang") == "en"))
+
+
+def find_whole_word_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_words(table(spark, sf_dir, "documents"))
+
+
+def _whole_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", search.match_count(F.col("text"), search.Pattern("the", whole_word=True)).cast("long").alias("n"))
 
 
@@ -416,7 +424,7 @@ def hidden_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(other, ["conv_id", "turn"]).filter(rules.hidden_copy_mismatch(F.col("copy"), F.col("text"))).select("conv_id", "turn")
 
 
-NAMES = """norm_text norm_positions find_count find_ignore_case find_whole_word find_page_filter find_top_docs find_offsets replace_swap
+NAMES = """norm_text norm_positions find_count find_ignore_case find_whole_word find_whole_word_all find_page_filter find_top_docs find_offsets replace_swap
 replace_first_n replace_pairs splice_edits minimal_edit greedy_encode glyph_spans name_styles field_names page_lists assignment_maps
 dates_round_trip number_scalars visual_lines line_texts line_texts_whole consecutive_ranges carry_forward page_text block_alignment line_alignment
 object_hash_diff changed_objects set_changes meta_diff expected_partition inherited_introduced structure_diff sequence_diff

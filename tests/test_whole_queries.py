@@ -18,3 +18,12 @@ def test_line_texts_hold_whole_turns(spark, tmp_path):
     sf = stored(spark, tmp_path, "conversations", [(1, 0, "user", first), (1, 1, "bot", second)], TURNS)
     rows = queries.line_texts_whole(spark, sf).orderBy("line_no").collect()
     assert [t for r in rows for t in re.findall(f"{first}|{second}", r["text"])] == [first, second]
+
+
+def test_whole_words_of_every_document(spark, tmp_path):
+    texts = ["the end", "éthe theé the", "naïvethe, the_ the2 «the»", "жthe theж the–the", None, "THE the"]
+    langs = ["en", "fr", None, "de", "es", "fr"]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(zip(texts, langs))]
+    sf = stored(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
+    expected = {i: len(re.findall(r"(?<!\w)the(?!\w)", plain_normalise(t or ""))) for i, t, _ in rows}
+    assert dict(queries.find_whole_word_all(spark, sf).collect()) == expected == {0: 1, 1: 1, 2: 1, 3: 2, 4: 0, 5: 1}
