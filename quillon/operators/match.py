@@ -27,14 +27,16 @@ def covers(charset: Column, text: Column) -> Column:
     return F.size(F.array_except(F.split(text, ""), F.array_union(charset, F.array(F.lit(""))))) == 0
 
 
-def band_nearest(points: DataFrame, bands: DataFrame, point_id: str, on: list[str], at: str, low: str, high: str, width: float, distance: Column, tie: Column) -> DataFrame:
-    """For each point the band [low, high] around it that is nearest by distance, ties by tie.
+def band_nearest(points: DataFrame, bands: DataFrame, point_id: str, on: list[str], at: str, low: str, high: str, width: float, distance: Column, tie: Column, extra: Column | None = None) -> DataFrame:
+    """For each point the band [low, high] around it that is nearest by distance, ties by tie, of those that `extra` holds for.
 
     Bands are dealt to the cells of `width` that they reach into and points to their own, so the join is an equi join.
     """
     cells = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
     dealt = bands.withColumn("__cell", F.explode(cells))
     near = points.withColumn("__cell", F.floor(F.col(at) / width)).join(dealt, [*on, "__cell"]).filter(F.col(at).between(F.col(low), F.col(high))).drop("__cell")
+    if extra is not None:
+        near = near.filter(extra)
     return near.withColumn("__at", F.row_number().over(Window.partitionBy(point_id).orderBy(distance, tie))).filter(F.col("__at") == 1).drop("__at")
 
 

@@ -312,11 +312,26 @@ def charset_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each order the price band around its customer's even-numbered orders that is nearest to it."""
+    """For each order the price band around its customer's even-numbered orders that is nearest to it, as the SQL has it."""
+    points, bands = _bands(spark, sf_dir)
+    return _nearest(points, bands.filter(F.col("band") % 2 == 0))
+
+
+def nearest_other_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order the price band around its customer's other orders that is nearest to it."""
+    points, bands = _bands(spark, sf_dir)
+    return _nearest(points, bands, F.col("band") != F.col("point"))
+
+
+def _bands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
     points = orders.select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("point"), F.col("cents").alias("at"))
     bands = orders.select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("band"), (F.col("cents") - 2_000_000).alias("low"), (F.col("cents") + 2_000_000).alias("high"), F.col("cents").alias("middle"))
-    near = match.band_nearest(points, bands.filter(F.col("band") % 2 == 0), "point", ["cust"], "at", "low", "high", 4_000_000.0, F.abs(F.col("at") - F.col("middle")), F.col("band"))
+    return points, bands
+
+
+def _nearest(points: DataFrame, bands: DataFrame, extra: Column | None = None) -> DataFrame:
+    near = match.band_nearest(points, bands, "point", ["cust"], "at", "low", "high", 4_000_000.0, F.abs(F.col("at") - F.col("middle")), F.col("band"), extra)
     return near.select("point", "band")
 
 
@@ -428,7 +443,7 @@ NAMES = """norm_text norm_positions find_count find_ignore_case find_whole_word
 replace_first_n replace_pairs splice_edits minimal_edit greedy_encode glyph_spans name_styles field_names page_lists assignment_maps
 dates_round_trip number_scalars visual_lines line_texts line_texts_whole consecutive_ranges carry_forward page_text block_alignment line_alignment
 object_hash_diff changed_objects set_changes meta_diff expected_partition inherited_introduced structure_diff sequence_diff
-ranked_candidates charset_covers nearest_line majority_style reverse_map free_codes minority_rows top_findings rule_outcomes
+ranked_candidates charset_covers nearest_line nearest_other_line majority_style reverse_map free_codes minority_rows top_findings rule_outcomes
 atomic_groups edit_reasons edit_pieces latest_revision merge_metadata in_place_routes reachability dangling_edges stale_copies
 hidden_copies""".split()
 QUERIES = {name: globals()[name] for name in NAMES}

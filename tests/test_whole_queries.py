@@ -27,3 +27,14 @@ def test_whole_words_of_every_document(spark, tmp_path):
     sf = stored(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
     expected = {i: len(re.findall(r"(?<!\w)the(?!\w)", plain_normalise(t or ""))) for i, t, _ in rows}
     assert dict(queries.find_whole_word_all(spark, sf).collect()) == expected == {0: 1, 1: 1, 2: 1, 3: 2, 4: 0, 5: 1}
+
+
+def test_nearest_band_of_any_other_order(spark, tmp_path):
+    orders = [(1, 7, 50_000.0), (2, 7, 51_000.0), (3, 7, 50_100.0), (4, 7, 65_000.0), (5, 7, 200_000.0), (6, 8, 50_000.0), (7, 8, 50_000.0)]
+    sf = stored(spark, tmp_path, "orders", orders, "o_orderkey long, o_custkey long, o_totalprice double")
+    expected = {}
+    for key, cust, price in orders:
+        near = [(abs(price - p), k) for k, c, p in orders if c == cust and k != key and abs(price - p) <= 20_000]
+        if near:
+            expected[key] = min(near)[1]
+    assert dict(queries.nearest_other_line(spark, sf).collect()) == expected == {1: 3, 2: 3, 3: 1, 4: 2, 6: 7, 7: 6}
