@@ -434,8 +434,17 @@ def stale_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hidden_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two characters of the later turn, as the SQL has them; hidden_copies_whole compares whole turns."""
+    return _hidden_copies(spark, sf_dir, F.substring("text", 1, 2))
+
+
+def hidden_copies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hidden_copies(spark, sf_dir, F.col("text"))
+
+
+def _hidden_copies(spark: SparkSession, sf_dir: str, copy: Column) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    other = turns.select("conv_id", (F.col("turn") - 2).alias("turn"), F.substring("text", 1, 2).alias("copy"))
+    other = turns.select("conv_id", (F.col("turn") - 2).alias("turn"), copy.alias("copy"))
     return turns.join(other, ["conv_id", "turn"]).filter(rules.hidden_copy_mismatch(F.col("copy"), F.col("text"))).select("conv_id", "turn")
 
 
@@ -445,5 +454,5 @@ dates_round_trip number_scalars visual_lines line_texts line_texts_whole consecu
 object_hash_diff changed_objects set_changes meta_diff expected_partition inherited_introduced structure_diff sequence_diff
 ranked_candidates charset_covers nearest_line nearest_other_line majority_style reverse_map free_codes minority_rows top_findings rule_outcomes
 atomic_groups edit_reasons edit_pieces latest_revision merge_metadata in_place_routes reachability dangling_edges stale_copies
-hidden_copies""".split()
+hidden_copies hidden_copies_whole""".split()
 QUERIES = {name: globals()[name] for name in NAMES}

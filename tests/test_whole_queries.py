@@ -38,3 +38,12 @@ def test_nearest_band_of_any_other_order(spark, tmp_path):
         if near:
             expected[key] = min(near)[1]
     assert dict(queries.nearest_other_line(spark, sf).collect()) == expected == {1: 3, 2: 3, 3: 1, 4: 2, 6: 7, 7: 6}
+
+
+def test_hidden_copies_differ_after_their_first_characters(spark, tmp_path):
+    shown = "The price is 100 euros."
+    copies = ["The price is 900 euros.", " price is 100 ", shown, "Th", "", "Another text"]
+    rows = [(i, t, "user", text) for i, c in enumerate(copies) for t, text in ((0, shown), (2, c))]
+    sf = stored(spark, tmp_path, "conversations", rows, TURNS)
+    expected = {i for i, c in enumerate(copies) if c.strip(" ") and c.strip(" ") not in shown}
+    assert {r["conv_id"] for r in queries.hidden_copies_whole(spark, sf).collect()} == expected == {0, 5}
