@@ -11,21 +11,29 @@ elements plus darts, not elements times coordinates.
 Classes. Words are lower-cased runs of letters, digits and underscores, shingles are SHINGLE words, and two
 documents link when the Jaccard similarity of their shingle sets is THRESHOLD or more (so weights are 1 here;
 `signatures` takes any). A document of fewer words is one shingle. Steps, all over distributed tables:
- 1. Documents with the same shingle set become one row, counted map-side, however many they are.
+ 1. Documents with the same shingle set become one row, counted map-side, however many they are. The set's 128-bit
+    key stands for it; a number given once, when the table of sets is written, stands for the key.
  2. BANDS hashes of ROWS coordinates put each into buckets; buckets of one are dropped.
  3. In each bucket the hub, the member that shares most bucket places over all bands, is paired with every other.
     Of a group of copies with own changes that is the original, which all are nearest to.
  4. Pairs are verified on the whole shingle sets; links give components.
  5. Members that share a hub are a superset of those that share a bucket. Where such a group still holds several
-    components, its members meet in cells of two blocks of about BLOCK members, each with its whole shingle set. A
-    cell counts what its sets share through an inverted index and gives a link only where it joins components that
-    the cell has not joined yet: fewer links than members, however similar all are. Nothing is capped.
+    components, its members meet in cells of two blocks of about BLOCK members, each with a byte of each of its
+    coordinates and no shingles: who agrees with no member of another component in MAYBE coordinates has no link
+    there (a pair at the threshold agrees in fewer once in 10**9). The others meet in cells of two blocks of about
+    CELL_BYTES of whole shingle sets. Such a cell counts what its sets share through an inverted index and gives a
+    link only where it joins components that the cell has not joined yet: fewer links than members, however similar
+    all are. Nothing is capped; time in a group that stays apart grows with the square of its members, in signature
+    bytes first and in shingles only for what may be linked.
 A pair at the threshold meets in a band with probability 1 - (1 - 0.8**6)**32 > 0.9999.
 
 Defined results: a document without words has no shingle; such documents share a class when their texts are equal
-(a null text is empty). Rows that repeat an id are in one class each by their texts. A class is named by its
-smallest id; rows with a null id are in the class of their text, named by null if it has no other id. An empty table
-gives an empty result; other columns play no part. Texts of any length are taken whole.
+(a null text is empty). Rows that repeat an id are in one class each by their texts; the id belongs to that of its
+sets with the least key. A class is named by the smallest id that belongs to one of its sets; one without such an id
+(all its ids have other texts to which they belong) by a negative number made from its least key. Rows with a null id
+are in the class of their text; null alone belongs to no set, so a class of such rows only has a name of the second
+kind. Of a class the row with the smallest (id, MD5 of the text) is kept. An empty table gives an empty result; other
+columns play no part. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -36,17 +44,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import materialise
+from .staging import materialise, release
 from .units import Generations
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
-BLOCK = 512
+BLOCK, CELL_BYTES = 512, 4_000_000
+#: Coordinates that agree of a pair that may be at the threshold: 6 standard deviations below what such a pair expects.
+MAYBE = math.floor(COORDINATES * THRESHOLD - 6 * math.sqrt(COORDINATES * THRESHOLD * (1 - THRESHOLD)))
 #: Documents whose darts are held at once: each needs about k ln k + 2k of them, however short it is.
 SKETCHED = 150
 _WORD = re.compile(r"\w+")
@@ -137,33 +147,47 @@ def _slices(batches, rows: int):
             yield batch.slice(low, rows)
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def _key(shingles: np.ndarray, text: str) -> bytes:
+    """Of a shingle set; of the text where that has no word."""
+    return hashlib.blake2b(shingles.tobytes() if len(shingles) else text.encode("utf-8", "surrogatepass"), digest_size=16, person=b"set" if len(shingles) else b"bare").digest()
+
+
 def _sketch(batches):
-    """(id, text) to (id, key of the shingle set, band hashes)."""
+    """(id, text) to (id, digest of the text, key of the shingle set, band hashes, a byte of each coordinate)."""
     for part in _slices(batches, SKETCHED):
-        ids, texts = part.column(0), part.column(1).to_pylist()
+        ids, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
         at = 0
         while at < len(texts):
             first, sets, total = at, [], 0
             while at < len(texts) and total < 100_000:
-                sets.append(shingles_of(texts[at] or ""))
+                sets.append(shingles_of(texts[at]))
                 total += len(sets[-1])
                 at += 1
-            keys = [hashlib.blake2b(s.tobytes() if len(s) else b"text " + (t or "").encode("utf-8", "surrogatepass"), digest_size=16, person=b"set" if len(s) else b"bare").digest() for s, t in zip(sets, texts[first:at], strict=True)]
+            keys = [_key(s, t) for s, t in zip(sets, texts[first:at], strict=True)]
             filled = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
+            marks: list = [None] * len(sets)
             if filled:
                 darts = signatures(np.array([len(sets[i]) for i in filled]), np.concatenate([sets[i] for i in filled]))
                 hashes = np.zeros((len(filled), BANDS), np.uint64)
                 for r in range(ROWS):
                     hashes = mix(hashes ^ darts[:, r::ROWS], r)
+                small = mix(darts, 7).astype(np.uint8)
                 for row, i in enumerate(filled):
-                    bands[i] = hashes[row].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([ids.slice(first, at - first), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "bands"])
+                    bands[i], marks[i] = hashes[row].astype(np.int64), small[row].tobytes()
+            columns = [pa.array([_digest(t) for t in texts[first:at]], pa.binary()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays([ids.slice(first, at - first), *columns], ["id", "digest", "key", "bands", "marks"])
 
 
 def _shingle_rows(batches):
-    for part in _slices(batches, 200):
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles_of(t or "").tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["rep", "shingles"])
+    for part in _slices(batches, SKETCHED):
+        texts = [t or "" for t in part.column(0).to_pylist()]
+        sets = [shingles_of(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array([_key(s, t) for s, t in zip(sets, texts, strict=True)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -214,73 +238,143 @@ def joining_links(reps: list[int], labels: list[int], sets: list[np.ndarray]) ->
     return links
 
 
-def _compare(batches):
-    """Rows sorted by cell (hub, i, j), then rep, label, shingles, to the links that join components."""
+def _cells(batches, result, names: list[str], kinds: list):
+    """Rows sorted by cell (hub, i, j), then the columns that result takes as lists, to the rows that it gives of each cell."""
     held: list = []
     cell = None
 
-    def links():
-        found = joining_links([r[0] for r in held], [r[1] for r in held], [np.frombuffer(r[2], np.uint64) for r in held]) if len(held) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+    def made():
+        found = result(cell, list(zip(*held, strict=True))) if len(held) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names)
 
     for batch in _slices(batches, 200):
         for hub, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (hub, i, j) != cell:
-                if (out := links()).num_rows:
+                if held and (out := made()).num_rows:
                     yield out
                 held.clear()
                 cell = (hub, i, j)
             held.append(row)
-    if (out := links()).num_rows:
+    if held and (out := made()).num_rows:
         yield out
 
 
+def may_link(sides: list[int], labels: list[int], marks: list[bytes]) -> np.ndarray:
+    """Which members agree in MAYBE coordinates or more with a member of another component; of two sides, only across."""
+    every, label, side = np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), -1), np.array(labels), np.array(sides)
+    found = np.zeros(len(marks), bool)
+    across = len(set(sides)) > 1
+    for a in range(len(marks)):
+        if across and sides[a] != side.min():
+            continue
+        other = np.flatnonzero((label != label[a]) & ((side != side[a]) if across else True))
+        near = other[(every[other] == every[a]).sum(axis=1) >= MAYBE]
+        found[near] = True
+        found[a] |= len(near) > 0
+    return found
+
+
+def _sift(batches):
+    def of(cell, columns):
+        sides, members, labels, marks = columns
+        return [(cell[0], members[x]) for x in np.flatnonzero(may_link(list(sides), list(labels), list(marks))).tolist()]
+
+    yield from _cells(batches, of, ["hub", "sid"], [pa.int64(), pa.int64()])
+
+
+def _compare(batches):
+    def of(_, columns):
+        return joining_links(list(columns[0]), list(columns[1]), [np.frombuffer(x, np.uint64) for x in columns[2]])
+
+    yield from _cells(batches, of, ["a", "b"], [pa.int64(), pa.int64()])
+
+
 def _links(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
-    left = shingles.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    right = shingles.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
+    left = shingles.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
+    right = shingles.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id_col, class_id (smallest id of its class), set_id (smallest id with the same shingle set)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = materialise(rows.mapInArrow(_sketch, "id long, key binary, bands array<long>"), "sketches")
-    reps = materialise(sketched.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "sets")
-    placed = reps.filter("bands IS NOT NULL AND rep IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "hash"))
-    shared = placed.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialise(placed.join(shared, ["band", "hash"]), "members")
-    standing = members.groupBy("rep").agg(F.sum("n").alias("places"))
-    hubs = members.join(standing, "rep").groupBy("band", "hash").agg(F.max(F.struct("places", (-F.col("rep")).alias("minus"))).alias("top")).select("band", "hash", (-F.col("top.minus")).alias("hub"))
-    with_hub = materialise(members.join(hubs, ["band", "hash"]), "hubs")
-    pair = [F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")]
-    tried = materialise(with_hub.filter("rep <> hub").select(*pair).distinct(), "pairs")
-    wanted = standing.select(F.col("rep").alias("id"))
-    texts = rows.join(wanted, "id", "left_semi")
-    shingles = materialise(texts.mapInArrow(_shingle_rows, "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
-    links = materialise(_links(tried, shingles), "links")
+def _dealt(members: DataFrame, blocks: Column) -> DataFrame:
+    """Each member with every cell (hub, i, j) that its block is part of; a cell's rows stand together."""
+    dealt = members.withColumn("blocks", blocks.cast("int")).withColumn("side", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cells.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+
+
+def _sets(sketched: DataFrame) -> DataFrame:
+    """One row per shingle set: its number sid, key, bands, marks, the first of its rows by (id, digest), and own_id, the smallest id that belongs to it."""
+    owned = sketched.filter("id IS NOT NULL").groupBy("id").agg(F.min("key").alias("key")).groupBy("key").agg(F.min("id").alias("own_id"))
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "digest"))).alias("first")
+    sets = sketched.groupBy("key").agg(first, F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    return sets.join(owned, "key", "left").withColumn("sid", F.monotonically_increasing_id())
+
+
+def _joined(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label): the components of two sets or more."""
+    named = sets.filter("bands IS NOT NULL AND first IS NOT NULL")
+    members = named.select("sid", F.posexplode("bands").alias("band", "hash"))
+    shared = members.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    placed = materialise(members.join(shared, ["band", "hash"]), "members")
+    standing = materialise(placed.groupBy("sid").agg(F.sum("n").alias("places")), "standing")
+    top = placed.join(standing, "sid").groupBy("band", "hash").agg(F.max(F.struct("places", (-F.col("sid")).alias("minus"))).alias("top"))
+    hubs = materialise(top.select("band", "hash", (-F.col("top.minus")).alias("hub")), "hubs")
+    tried = materialise(placed.join(hubs, ["band", "hash"]).filter("sid <> hub").select("hub", "sid").distinct(), "tried")
+    release(placed, hubs)
+    #: Texts are shuffled at any size: a plan that sends the list of members to every task holds for small tables only.
+    wanted = materialise(named.join(standing, "sid", "left_semi").select("sid", "key", F.col("first.id").alias("id")), "wanted")
+    texts = rows.join(wanted.select("id").hint("merge"), "id", "left_semi").select("text")
+    made = texts.mapInArrow(_shingle_rows, "key binary, shingles binary")
+    shingles = materialise(made.join(wanted.select("sid", "key"), "key").dropDuplicates(["sid"]).select("sid", "shingles"), "shingles")
+    release(wanted, standing)
+    links = materialise(_links(tried.select(F.col("hub").alias("a"), F.col("sid").alias("b")), shingles), "links")
     labels = connected_components(links)
-    open_ = with_hub.filter("rep <> hub").select("hub", "rep").distinct().join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("hub", "rep", F.coalesce("label", "rep").alias("label"))
-    several = open_.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("hub", "n")
-    rest = open_.join(several, "hub").join(shingles, "rep")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    cells = rest.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.select("hub", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rep", "label", "shingles")
-    more = materialise(cells.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_compare, "a long, b long"), "links")
+    open_ = tried.union(tried.select("hub", F.col("hub").alias("sid")).distinct()).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    open_ = materialise(open_.select("hub", "sid", F.coalesce("label", "sid").alias("label")), "open")
+    several = materialise(open_.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("hub", "n"), "several")
+    apart = open_.join(several, "hub").join(sets.select("sid", "marks"), "sid")
+    sifted = _dealt(apart, F.ceil(F.col("n") / BLOCK)).select("hub", "i", "j", "side", "sid", "label", "marks").mapInArrow(_sift, "hub long, sid long")
+    sifted = materialise(sifted.distinct(), "sifted")
+    left = materialise(sifted.join(open_, ["hub", "sid"]).join(shingles, "sid"), "left")
+    sized = materialise(left.groupBy("hub").agg(F.sum(F.octet_length("shingles")).alias("bytes")), "sized")
+    more = _dealt(left.join(sized, "hub"), F.ceil((F.col("bytes") + 1) / CELL_BYTES)).select("hub", "i", "j", "sid", "label", "shingles")
+    more = materialise(more.mapInArrow(_compare, "a long, b long"), "links")
+    release(tried, shingles, open_, several, sifted, left, sized)
     if more.limit(1).count():
         labels = connected_components(links.union(more))
-    classes = reps.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", F.col("rep").alias("set_id"), F.coalesce("label", "rep").alias("class_id"))
-    return sketched.select("id", "key").join(classes, "key").select(F.col("id").alias(id_col), "class_id", "set_id")
+    release(links, more)
+    return labels
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, that with the smallest id, with the columns of docs.
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: id, digest, class_id, set_id, and stays (the row, or one of those equal to it, is kept of its class)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sketched = materialise(rows.mapInArrow(_sketch, "id long, digest binary, key binary, bands array<long>, marks binary"), "sketches")
+    sets = materialise(_sets(sketched), "sets")
+    labelled = sets.select("sid", "key", "own_id", "first").join(_joined(rows, sets).withColumnRenamed("node", "sid"), "sid")
+    labelled = materialise(labelled, "labelled")
+    heads = materialise(labelled.groupBy("label").agg(F.min("own_id").alias("own_id"), F.min("key").alias("least"), F.min("first").alias("stays")), "heads")
+    of_many = labelled.select("sid", "label").join(heads, "label").select("sid", F.col("own_id").alias("class_own"), "least", "stays")
+    of_sets = sets.select("sid", "key", "own_id", "first").join(of_many, "sid", "left")
+    unowned = F.xxhash64(F.coalesce("least", "key")).bitwiseOR(F.lit(-(2**63)).cast("long"))
+    #: least is null for a set that is its class alone.
+    class_id = F.coalesce(F.when(F.col("least").isNotNull(), F.col("class_own")).otherwise(F.col("own_id")), unowned)
+    named = of_sets.select("key", class_id.alias("class_id"), F.col("first.id").alias("set_id"), F.coalesce("stays", "first").alias("stays"))
+    found = sketched.select("id", "digest", "key").join(named, "key")
+    return found.select("id", "digest", "class_id", "set_id", F.struct("id", "digest").eqNullSafe(F.col("stays")).alias("stays"))
 
-    Rows that repeat an id stay or go together, equal texts among them once; rows with a null id stay.
-    """
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id_col, class_id, set_id (smallest id with the same shingle set), kept (the one row that stays of its class, or its equals)."""
+    return _classes(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "set_id", F.col("stays").alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class, that with the smallest (id, MD5 of the text), with the columns of docs; equal rows once. Rows with a null id stay."""
     named = docs.filter(F.col(id_col).isNotNull())
-    stays = near_duplicate_classes(named, id_col, text_col).filter(F.col(id_col) == F.col("class_id")).select(F.struct(F.col(id_col).alias("id")).alias("k")).distinct()
+    stays = _classes(named, id_col, text_col).filter("stays").select(F.struct("id", "digest").alias("k")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = named.select(row, F.struct(F.col(id_col).cast("long").alias("id")).alias("k"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
-    return rows.join(stays, "k", "left_semi").dropDuplicates(["k", "h"]).select("row.*").union(docs.filter(F.col(id_col).isNull()))
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    rows = named.select(row, F.struct(F.col(id_col).cast("long").alias("id"), digest.alias("digest")).alias("k"))
+    return rows.join(stays, "k", "left_semi").dropDuplicates(["k"]).select("row.*").union(docs.filter(F.col(id_col).isNull()))

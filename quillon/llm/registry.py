@@ -11,7 +11,7 @@ from quillon.session import read_table as _table
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dart_minhash import near_duplicate_classes
 
-    return near_duplicate_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "set_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

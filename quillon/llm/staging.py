@@ -26,4 +26,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialise wrote. Only for those that nothing still to be computed reads."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(table._staged_at)
+        path.getFileSystem(conf).delete(path, True)

@@ -59,7 +59,12 @@ def test_signatures_estimate_weighted_jaccard():
 
 
 def brute_classes(docs):
+    """(id, name of its class) for each row with an id: the smallest id of the class that belongs to one of its sets, else a negative number."""
     sets = [(i, set(dart_minhash.shingles_of(t or "").tolist()), t or "") for i, t in docs if i is not None]
+    keys = [dart_minhash._key(dart_minhash.shingles_of(t), t) for _, _, t in sets]
+    owner = {}
+    for (i, _, _), k in zip(sets, keys):
+        owner[i] = min(owner.get(i, k), k)
     parent = list(range(len(sets)))
 
     def root(x):
@@ -75,8 +80,9 @@ def brute_classes(docs):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     least = {}
     for a in range(len(sets)):
-        least[root(a)] = min(least.get(root(a), sets[a][0]), sets[a][0])
-    return sorted((sets[a][0], least[root(a)]) for a in range(len(sets)))
+        if owner[sets[a][0]] == keys[a]:
+            least[root(a)] = min(least.get(root(a), sets[a][0]), sets[a][0])
+    return sorted((sets[a][0], least.get(root(a), -root(a) - 1)) for a in range(len(sets)))
 
 
 def edited(rng, words, share):
@@ -95,8 +101,57 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     stay = dart_minhash.drop_near_duplicates(docs)
     assert sorted(r["doc_id"] for r in stay.collect()) == sorted({c for _, c in got})
     assert dart_minhash.near_duplicate_classes(none).count() == 0
-    assert dart_minhash.near_duplicate_classes(odd).count() == odd.count()
+    assert sorted(r["doc_id"] for r in dart_minhash.near_duplicate_classes(docs).filter("kept").collect()) == sorted({c for _, c in got})
+    found = dart_minhash.near_duplicate_classes(odd).collect()
+    assert len(found) == odd.count()
+    assert members(r for r in found if r["doc_id"] is not None) == members(brute_classes(local(odd)))
     assert dart_minhash.drop_near_duplicates(odd).columns == odd.columns
+    rows, kept = local(odd), local(dart_minhash.drop_near_duplicates(odd))
+    assert set(kept) <= set(rows) and len(kept) == len({c for _, c in brute_classes(rows)}) + sum(i is None for i, _ in rows)
+
+
+def members(found):
+    """Classes as groups of ids, whatever their names."""
+    groups = collections.defaultdict(list)
+    for i, c, *_ in found:
+        groups[c].append(i)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_repeated_ids_are_classed_by_their_texts(spark):
+    """Whatever the partitions, and no text comes into a class by an id that it shares with another."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(200)]
+    a, b = ([rng.choice(words) for _ in range(120)] for _ in range(2))
+    near = lambda w: " ".join(edited(rng, w, 0.01))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (10, near(a)), (30, near(a)), (20, near(b)), (40, near(b)), (2, "lone words of this text only"), (2, " ".join(b)), (3, "lone words of this text only")]
+    want = brute_classes(rows)
+    assert members(want) == sorted([[1, 2, 20, 40], [1, 10, 30], [2, 3]])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for n in range(1, 6):
+        got = dart_minhash.near_duplicate_classes(docs.repartition(n)).collect()
+        assert members(got) == members(want)
+        assert {(r["doc_id"], r["class_id"]) for r in got if r["class_id"] >= 0} == {x for x in want if x[1] >= 0}
+        results.append(sorted(got))
+        assert collections.Counter(r["class_id"] for r in got if r["kept"]) == dict.fromkeys({r["class_id"] for r in got}, 1)
+        assert len(local(dart_minhash.drop_near_duplicates(docs.repartition(n)))) == 3
+    assert all(r == results[0] for r in results)
+
+
+def test_members_far_from_their_hub_are_linked(spark, monkeypatch):
+    """A chain of revisions, whose ends share no shingle, in small blocks and cells."""
+    monkeypatch.setattr(dart_minhash, "BLOCK", 8)
+    monkeypatch.setattr(dart_minhash, "CELL_BYTES", 4000)
+    rng = random.Random(4)
+    page, texts = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(120)], []
+    for _ in range(60):
+        page = [*page]
+        page[rng.randrange(120)] = "".join(rng.choices(string.ascii_lowercase, k=5))
+        texts.append(" ".join(page))
+    rows = list(enumerate(rng.sample(texts, 60)))
+    got = dart_minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["class_id"]) for r in got.collect()) == brute_classes(rows)
 
 
 def test_cells_join_what_brute_force_joins():
@@ -143,6 +198,8 @@ def test_components_of_long_chains(spark):
     shuffled = random.Random(3).sample(range(1000, 1400), 400)
     links = [*zip(far, far[1:]), *zip(shuffled, shuffled[1:]), (2002, 2001), (2001, 2003), (2003, 2002), (3001, 3000)]
     found = dict(components.connected_components(spark.createDataFrame(links, "a long, b long")).collect())
+    empty = spark.createDataFrame([(None, 1), (7, 7)], "a long, b long")
+    assert dict(components.connected_components(empty).collect()) == {7: 7} and components.connected_components(empty.limit(0)).count() == 0
     assert found == {**dict.fromkeys(far, 0), **dict.fromkeys(shuffled, 1000), 2001: 2001, 2002: 2001, 2003: 2001, 3000: 3000, 3001: 3000}
 
 
