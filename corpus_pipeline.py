@@ -20,7 +20,8 @@ from quillon.session import read_table, workers_find_package
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     workers_find_package(spark)
-    return quality.keep_good(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+    features = quality.Features(docs, rows=True)
+    return quality.keep_good(features, quality.train(features, read_table(spark, sf_dir, "labels")))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

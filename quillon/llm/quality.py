@@ -1,32 +1,40 @@
-"""Quality classifier by co-training: a text view and a metadata view teach each other, calibrated views score all.
-
-Views. The text view hashes lower-cased words and word shapes into TEXT_BITS buckets and adds a few measures of the
-whole text (share of punctuation, digits, capitals and other marks, mean word length, share of repeated words and
-lines). The metadata view knows language, source and the stored length only. Each view's model is a
-logistic regression, fitted here by full-batch gradient steps.
-
-Training takes at most LABELLED labelled rows and POOL unlabelled ones, both chosen by a seeded hash of the id; those
-bounds are parameters. A fifth of the labelled rows is held out. In each of ROUNDS rounds both views are fitted and
-calibrated (Platt scaling on the held-out rows); where one view is confident about an unlabelled row (calibrated
-probability beyond CONFIDENT on either side, in no more than EACH rows a side and round, the surest first) the row
-goes, with that label, to the other view's training rows. The two calibrated log-odds are combined by a third
-logistic regression on the held-out rows, so a view that knows nothing weighs nothing.
-
-Every document is scored over its whole text in one map-side pass; the models are a few hundred kilobytes. A document
-is kept when its score reaches the threshold: the lowest that no more than KEEP_LOSS of the held-out good rows miss
-and that rejects most bad ones.
-
-Defined results: a null or empty text has text features of zero; null metadata is a value of its own; of several
-labels of a document the lowest counts; null labels do not. Where the labelled rows show one class only, or none,
-all documents get that share as their score and are kept. Rows that repeat an id get scores of their own; an empty
-table gives an empty result; other columns play no part.
+"""Quality classifier by co-training: a text view and a page view teach each other, calibrated views score all.
+
+Views. The text view holds the words alone: lower-cased words and word shapes, hashed into 2**TEXT_BITS buckets, as
+counts over the whole text. The page view holds what is known of the page without its words: language, source, the
+stored length, and facts of layout and character classes (shares of punctuation, digits, capitals, repeated words and
+lines, distinct words, words and characters to a line), each in LEVELS steps. Each view's model is a logistic
+regression.
+
+Both views are computed once, map-side, and written with a document's id (and its row, where the caller wants rows
+back); every later pass reads those few hundred bytes, not the text.
+
+Training takes at most LABELLED labelled rows, chosen by a seeded hash of the id: that bound is a parameter. Three
+fifths of them are fitted on, one fifth calibrates (each view, their combination and the threshold), one fifth is only
+reported on. In each of ROUNDS rounds both views score every document that has no label; of those where a view is
+confident (calibrated probability beyond CONFIDENT on either side), the EACH surest of the whole table on either side
+go, with that label, to the other view's training rows. A fit runs in one task of an executor, over the labelled rows
+and at most 4 * EACH * ROUNDS more; the driver gets the weights. The two calibrated log-odds are combined by a third
+logistic regression.
+
+A document is kept when its score reaches the threshold: the lowest that no more than KEEP_LOSS of the calibrating good
+rows miss and that rejects most bad ones.
+
+Defined results: a null or empty text has no words, and page facts of zero; null metadata is a value of its own; of
+several labels of a document the lowest counts; null labels and ids do not. Where the rows fitted on show one class
+only, or none, all documents get that share as their score and are kept. Rows that repeat an id get scores of their
+own (one of them, by its features, is trained on); an empty table gives an empty result; columns missing from `docs`
+count as null, others pass through `keep_good` unchanged, whatever they are called.
 """
 
 from __future__ import annotations
 
 import math
+import operator
+import pickle
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -34,76 +42,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import materialise, release
 from .units import Generations
 
-LABELLED, POOL = 6_000, 4_000
-TEXT_BITS, META_BITS = 14, 10
+LABELLED = 6_000
+TEXT_BITS, META_BITS, LEVELS = 14, 10, 20
 ROUNDS, CONFIDENT, EACH = 3, 0.97, 400
 KEEP_LOSS = 0.005
-MEASURES = 8
+MEASURES = 9
+META_WIDTH = (1 << META_BITS) + MEASURES * LEVELS + 1
+#: Rows whose features are made at once.
+SLICE = 250
 _SHAPE = str.maketrans({**{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "9" for c in "0123456789"}})
 _RUN = re.compile(r"(.)\1+")
+_MARKS, _DIGITS, _CAPITALS, _SPACES = b"!\"#$%&()*+/:;<=>?@[\\]^_`{|}~", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" \n\t\r"
 
 
 def _bucket(text: str, bits: int) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) >> (32 - bits)
 
 
-def _word_buckets(word: str) -> tuple[int, int]:
-    """Of the word itself and of its shape, runs of one kind of letter written once."""
+def _word_buckets(word: str) -> int:
+    """Of the word and of its shape, runs of one kind of letter written once: two buckets in one number."""
     shape = _RUN.sub(r"\1", "".join("x" if c.islower() else "X" if c.isupper() else c for c in word.translate(_SHAPE)))
-    return _bucket("w " + word.lower(), TEXT_BITS), _bucket("s " + shape[:24], TEXT_BITS)
+    return _bucket("w " + word.lower(), TEXT_BITS) << TEXT_BITS | _bucket("s " + shape[:24], TEXT_BITS)
 
 
-_words = Generations(_word_buckets, 200_000)
+_words = Generations(_word_buckets, 50_000)
 
 
 def _measures(text: str, words: list[str], kinds: int) -> list[float]:
+    """MEASURES shares, 0 to 1 mostly."""
     n, lines = max(1, len(text)), text.split("\n")
-    ascii_ = text.encode("ascii", "ignore")
-    letters = len(ascii_.translate(None, b"0123456789 \n\t!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
-    caps = len(ascii_) - len(ascii_.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    digits = len(ascii_) - len(ascii_.translate(None, b"0123456789"))
-    marks = len(ascii_) - len(ascii_.translate(None, b"!\"#$%&()*+/:;<=>?@[\\]^_`{|}~"))
-    repeated = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    return [1.0, 5 * marks / n, 5 * digits / n, 3 * caps / max(1, letters), min(2.0, n / max(1, len(words)) / 8), kinds / max(1, len(words)), 3 * repeated / max(1, len(words)), 1 - len(set(lines)) / len(lines)]
-
-
-def text_features(text: str) -> tuple[list[int], list[float]]:
-    """Bucket numbers and values; measures take the MEASURES places after the buckets."""
-    words = text.split()
-    if not words:
-        return [], []
-    counts: dict[int, int] = {}
-    distinct: dict[str, int] = {}
-    for w in words:
-        distinct[w] = distinct.get(w, 0) + 1
-    for w, c in distinct.items():
-        for b in _words[w]:
-            counts[b] = counts.get(b, 0) + c
-    norm = math.sqrt(sum(v * v for v in counts.values()))
-    own = _measures(text, words, len(distinct))
-    return [*counts, *range(1 << TEXT_BITS, (1 << TEXT_BITS) + MEASURES)], [*(4 * v / norm for v in counts.values()), *own]
-
-
-@lru_cache(100_000)
+    plain = text.encode("ascii", "ignore")
+    caps = len(plain) - len(plain.translate(None, _CAPITALS))
+    digits = len(plain) - len(plain.translate(None, _DIGITS))
+    marks = len(plain) - len(plain.translate(None, _MARKS))
+    spaces = len(plain) - len(plain.translate(None, _SPACES))
+    count = max(1, len(words))
+    repeated = sum(map(operator.eq, words, words[1:]))
+    return [4 * marks / n, 4 * digits / n, caps / max(1, n - digits - marks - spaces), spaces / n * 2, kinds / count, repeated / count, 1 - len(set(lines)) / len(lines), math.log2(1 + count / len(lines)) / 10, math.log2(1 + n / len(lines)) / 14]
+
+
+@lru_cache(20_000)
 def _meta_bucket(text: str) -> int:
     return _bucket(text, META_BITS)
 
 
-def meta_features(lang, source, stored) -> tuple[list[int], list[float]]:
+def page_places(text: str, words: list[str], kinds: int, lang, source, stored) -> list[int]:
     size = -1 if stored is None or stored < 0 else int(2 * math.log2(1 + stored))
-    return [_meta_bucket(f"l {lang}"), _meta_bucket(f"s {source}"), _meta_bucket(f"n {size}"), 1 << META_BITS], [1.0, 1.0, 1.0, 1.0]
+    named = [_meta_bucket(f"l {lang}"), _meta_bucket(f"s {source}"), _meta_bucket(f"n {size}"), META_WIDTH - 1]
+    return named + [(1 << META_BITS) + k * LEVELS + min(LEVELS - 1, max(0, int(LEVELS * x))) for k, x in enumerate(_measures(text, words, kinds))]
+
+
+def text_places(texts_words: list[dict[str, int]]) -> tuple[list[bytes], list[bytes]]:
+    """For each text's word counts: its buckets in order (16-bit), and how often each is met (32-bit)."""
+    n = len(texts_words)
+    packed = np.fromiter((b for counts in texts_words for b in map(_words.__getitem__, counts)), np.int64)
+    times = np.fromiter((c for counts in texts_words for c in counts.values()), np.float64, len(packed))
+    row = np.repeat(np.arange(n, dtype=np.int64), [len(c) for c in texts_words]) << TEXT_BITS
+    keys, where = np.unique(np.concatenate([row | packed >> TEXT_BITS, row | packed & ((1 << TEXT_BITS) - 1)]), return_inverse=True)
+    counts = np.bincount(where, np.concatenate([times, times])).astype("<u4") if len(keys) else np.empty(0, "<u4")
+    ends = np.searchsorted(keys, np.arange(n + 1, dtype=np.int64) << TEXT_BITS)
+    places = (keys & ((1 << TEXT_BITS) - 1)).astype("<u2")
+    return [places[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], [counts[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+
+_FEATURES = "places binary, counts binary, page binary"
+
+
+def _inputs(docs: DataFrame) -> list:
+    """text, lang, source, n_chars; null where docs lacks one."""
+    kinds = {"text": "string", "lang": "string", "source": "string", "n_chars": "double"}
+    return [(F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(f"__view_{c}") for c, kind in kinds.items()]
+
+
+def _featurise(batches):
+    """Rows whose last four columns are a view's inputs, to the columns before them and the features."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, SLICE):
+            part = batch.slice(low, SLICE)
+            n = part.num_columns - 4
+            texts = [t or "" for t in part.column(n).to_pylist()]
+            split = [t.split() for t in texts]
+            counts = [Counter(w) for w in split]
+            places, times = text_places(counts)
+            facts = zip(texts, split, map(len, counts), *(part.column(n + k).to_pylist() for k in (1, 2, 3)), strict=True)
+            page = [np.array(page_places(*x), "<u2").tobytes() for x in facts]
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(x, pa.binary()) for x in (places, times, page))], [*part.schema.names[:n], "places", "counts", "page"])
+
+
+class Features:
+    """The written features of docs: `table` has id and the features, and the row as c0, c1, ... if it was asked for."""
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", rows: bool = False):
+        self.docs, self.id_col, self.rows = docs, id_col, rows
+        kept = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)] if rows else []
+        own = docs.select(F.col(id_col).alias("id"), *kept, *_inputs(docs))
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[:-4])
+        self.table = materialise(own.mapInArrow(_featurise, f"{kinds}, {_FEATURES}"), "features")
 
 
 class Sparse:
-    """Rows of (places, values), for products with weights. Made from Arrow list columns without Python lists."""
+    """Rows of (places, values), for products with weights; made from binary columns without Python lists."""
 
-    def __init__(self, places: pa.ListArray, values: pa.ListArray, width: int):
+    def __init__(self, places: pa.Array, counts: pa.Array | None, width: int):
         self.width, self.n = width, len(places)
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(places.offsets.to_numpy()))
-        self.place = places.flatten().to_numpy()
-        self.value = values.flatten().to_numpy().astype(np.float64)
+        self.place, ends = _flat_values(places, "<u2")
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ends))
+        if counts is None:
+            self.value = np.ones(len(self.place))
+        else:
+            self.value = _flat_values(counts, "<u4")[0].astype(np.float64)
+            norm = np.sqrt(np.bincount(self.row, self.value**2, minlength=self.n))
+            self.value *= 4 / np.maximum(norm, 1e-9)[self.row]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.place], minlength=self.n)
@@ -112,14 +164,28 @@ class Sparse:
         return np.bincount(self.place, self.value * g[self.row], minlength=self.width)
 
 
+def _flat_values(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column without nulls, one row after another, and where rows begin and end."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    width = np.dtype(kind).itemsize
+    if not len(column):
+        return np.empty(0, kind), np.zeros(1, np.int64)
+    ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if data is not None and ends[-1] > ends[0] else np.empty(0, kind)
+    return flat, (ends - ends[0]) // width
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(x: Sparse, y: np.ndarray, rows: np.ndarray, steps: int = 150, penalty: float = 1e-4) -> np.ndarray:
-    """Logistic regression over the rows given by how often each counts; both classes weigh the same. Adam steps from zero."""
+def fit(x: Sparse, y: np.ndarray, rows: np.ndarray, steps: int = 150, penalty: float = 1e-4, start: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression over the rows given by how often each counts; both classes weigh the same. Adam steps from zero or from earlier weights."""
     share = rows * np.where(y > 0.5, 0.5 / max(1e-9, (rows * (y > 0.5)).sum()), 0.5 / max(1e-9, (rows * (y <= 0.5)).sum()))
-    w = np.zeros(x.width)
+    w = np.zeros(x.width) if start is None else start.copy()
     m, v = np.zeros(x.width), np.zeros(x.width)
     for t in range(1, steps + 1):
         g = x.back(share * (_sigmoid(x.dot(w)) - y)) + penalty * w
@@ -144,20 +210,21 @@ def platt(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What scoring needs: two weight vectors, their calibrations, the combination, the threshold, and the held-out accuracy."""
+    """What scoring needs: two weight vectors, their calibrations, the combination and the threshold; `report` has the accuracy on rows that nothing was fitted to."""
 
-    def __init__(self, text, meta, text_scale, meta_scale, combine, threshold, report):
-        self.text, self.meta, self.text_scale, self.meta_scale, self.combine, self.threshold, self.report = text, meta, text_scale, meta_scale, combine, threshold, report
+    def __init__(self, text, page, text_scale, page_scale, combine, threshold, report):
+        self.text, self.page, self.text_scale, self.page_scale, self.combine, self.threshold, self.report = text, page, text_scale, page_scale, combine, threshold, report
 
-    def views(self, text: str, lang, source, stored) -> tuple[float, float]:
-        places, values = text_features(text)
-        t = float(np.dot(self.text[places], values)) if places else 0.0
-        t = t * self.text_scale[0] + self.text_scale[1]
-        places, values = meta_features(lang, source, stored)
-        return t, float(np.dot(self.meta[places], values)) * self.meta_scale[0] + self.meta_scale[1]
+    def odds(self, text: Sparse, page: Sparse) -> tuple[np.ndarray, np.ndarray]:
+        return text.dot(self.text) * self.text_scale[0] + self.text_scale[1], page.dot(self.page) * self.page_scale[0] + self.page_scale[1]
 
-    def score(self, t: float, m: float) -> float:
-        return float(_sigmoid(t * self.combine[0] + m * self.combine[1] + self.combine[2]))
+    def score(self, t: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return _sigmoid(t * self.combine[0] + p * self.combine[1] + self.combine[2])
+
+    def of(self, places: pa.Array, counts: pa.Array, page: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text log-odds, page log-odds, score) of rows of features."""
+        t, p = self.odds(Sparse(places, counts, 1 << TEXT_BITS), Sparse(page, None, META_WIDTH))
+        return t, p, self.score(t, p)
 
 
 def threshold_of(scores: np.ndarray, y: np.ndarray, loss: float = KEEP_LOSS) -> float:
@@ -168,107 +235,127 @@ def threshold_of(scores: np.ndarray, y: np.ndarray, loss: float = KEEP_LOSS) ->
     return float((allowed + below.max()) / 2) if len(below) else float(allowed)
 
 
-def co_train(text: Sparse, meta: Sparse, labels: np.ndarray, seed: int = 5, rounds: int = ROUNDS) -> Model:
-    """labels: 1, 0, or nan for unlabelled rows. Rows come in a fixed order."""
-    rng = np.random.default_rng(seed)
-    known = np.flatnonzero(~np.isnan(labels))
-    pool = np.flatnonzero(np.isnan(labels))
-    held = np.zeros(len(labels), bool)
-    for value in (0, 1):
-        own = known[labels[known] == value]
-        held[rng.permutation(own)[: max(1, len(own) // 5)]] = True
-    y = np.where(np.isnan(labels), 0.0, labels)
-    rows = [np.where(np.isnan(labels) | held, 0.0, 1.0) for _ in range(2)]
-    target = [y.copy(), y.copy()]
-    xs, told = (text, meta), [0, 0]
-    for turn in range(rounds + 1):
-        weights = [fit(x, t, r) for x, t, r in zip(xs, target, rows, strict=True)]
-        raw = [x.dot(w) for x, w in zip(xs, weights, strict=True)]
-        scales = [platt(s[held], y[held]) for s in raw]
-        odds = [s * c[0] + c[1] for s, c in zip(raw, scales, strict=True)]
-        if turn == rounds:
-            break
-        for teacher, pupil in ((0, 1), (1, 0)):
-            p = _sigmoid(odds[teacher][pool])
-            free = rows[pupil][pool] == 0
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                chosen = np.flatnonzero(free & (sure >= CONFIDENT))
-                chosen = pool[chosen[np.argsort(-sure[chosen], kind="stable")[:EACH]]]
-                rows[pupil][chosen], target[pupil][chosen] = 1.0, label
-                told[teacher] += len(chosen)
-    combine = platt(np.array([o[held] for o in odds]), y[held])
-    scores = _sigmoid(odds[0] * combine[0] + odds[1] * combine[1] + combine[2])
-    threshold = threshold_of(scores[held], y[held])
-    kept = scores[held] >= threshold
-    report = {"held_out": int(held.sum()), "good_kept": float(kept[y[held] > 0.5].mean()), "bad_rejected": float((~kept)[y[held] <= 0.5].mean()), "taught_by_text": told[0], "taught_by_metadata": told[1]}
-    return Model(weights[0].astype(np.float32), weights[1].astype(np.float32), scales[0], scales[1], combine, threshold, report)
-
-
-def _flat(scores: float) -> Model:
-    return Model(np.zeros((1 << TEXT_BITS) + MEASURES, np.float32), np.zeros((1 << META_BITS) + 1, np.float32), [0.0, 0.0], [0.0, 0.0], [0.0, 0.0, math.log((scores + 1e-9) / (1 - scores + 1e-9))], -1.0, {})
+def _flat(share: float) -> Model:
+    return Model(np.zeros(1 << TEXT_BITS), np.zeros(META_WIDTH), [0.0, 0.0], [0.0, 0.0], [0.0, 0.0, math.log((share + 1e-9) / (1 - share + 1e-9))], -1.0, {})
+
+
+def fit_views(table: pa.Table, before: Model | None = None) -> Model:
+    """table: id, label, part (0 fitted on, 1 calibrating, 2 reported on), to_text and to_page (labels that the other view gave), features."""
+    table = table.sort_by([("id", "ascending"), ("places", "ascending"), ("page", "ascending")])
+    column = lambda name: table[name].to_numpy().astype(float)
+    label, part, told = column("label"), column("part"), (column("to_text"), column("to_page"))
+    fitted = ~np.isnan(label) & (part == 0)
+    if len({*label[fitted]}) < 2:
+        known = label[~np.isnan(label)]
+        return _flat(float(known.mean()) if len(known) else 1.0)
+    xs = Sparse(table["places"], table["counts"], 1 << TEXT_BITS), Sparse(table["page"], None, META_WIDTH)
+    split = [~np.isnan(label) & (part == k) for k in (1, 2)]
+    calibrating = split[0] if len({*label[split[0]]}) == 2 else fitted
+    weights, scales, odds = [], [], []
+    for x, other, old in zip(xs, told, (before.text, before.page) if before else (None, None), strict=True):
+        y = np.where(fitted, label, other)
+        rows = ~np.isnan(y)
+        weights.append(fit(x, np.where(rows, y, 0.0), rows.astype(float), 60 if before else 150, start=old))
+        raw = x.dot(weights[-1])
+        scales.append(platt(raw[calibrating], label[calibrating]))
+        odds.append(raw * scales[-1][0] + scales[-1][1])
+    combine = platt(np.array([o[calibrating] for o in odds]), label[calibrating])
+    model = Model(weights[0], weights[1], scales[0], scales[1], combine, 0.0, {})
+    scores = model.score(*odds)
+    model.threshold = threshold_of(scores[calibrating], label[calibrating])
+    kept, y = scores[split[1]] >= model.threshold, label[split[1]]
+    share = lambda x: float(x.mean()) if len(x) else math.nan
+    right = [share((o[split[1]] > 0) == (y > 0.5)) for o in odds]
+    model.report = {
+        "fitted": int(fitted.sum()), "calibrating": int(calibrating.sum()), "reported": int(split[1].sum()), "good_kept": share(kept[y > 0.5]), "bad_rejected": share(~kept[y <= 0.5]),
+        "text_right": right[0], "page_right": right[1], "weights": [float(c) for c in combine[:2]], "taught_by_text": int((~np.isnan(told[1])).sum()), "taught_by_page": int((~np.isnan(told[0])).sum()),
+    }
+    return model
+
+
+def _fit_in_task(rows: DataFrame, before: Model | None) -> Model:
+    """fit_views in one task: rows are the labelled ones and those that views have taught, whose numbers are bounded."""
 
+    def run(batches):
+        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        model = fit_views(table, before) if table is not None else _flat(1.0)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-def _featurise(batches):
-    for batch in batches:
-        ids, labels, texts, langs, sources, stored = (c.to_pylist() for c in batch.columns)
-        out: tuple[list, ...] = ([], [], [], [])
-        for t, lang, source, n in zip(texts, langs, sources, stored, strict=True):
-            for k, (places, values) in ((0, text_features(t or "")), (2, meta_features(lang, source, n))):
-                out[k].append(places), out[k + 1].append(values)
-        ints, floats = pa.list_(pa.int32()), pa.list_(pa.float32())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.float64()), pa.array(out[0], ints), pa.array(out[1], floats), pa.array(out[2], ints), pa.array(out[3], floats)], ["id", "label", "tp", "tv", "mp", "mv"])
+    found = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(found[0])) if found is not None else _flat(1.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", seed: int = 5, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    draw = F.xxhash64("id", F.lit(seed))
-    named = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.min("label").alias("label"))
-    have = docs.select(F.col(id_col).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
-    some = named.join(have, "id", "left_semi").orderBy(draw, "id").limit(labelled)
-    others = have.join(named, "id", "left_anti").orderBy(draw, "id").limit(pool).withColumn("label", F.lit(None).cast("double"))
-    wanted = some.union(others)  # at most labelled + pool rows of two numbers
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), *_inputs(docs)).join(F.broadcast(wanted), "id").select("id", "label", "text", "lang", "source", "n_chars").dropDuplicates(["id"])
-    told = rows.mapInArrow(_featurise, "id long, label double, tp array<int>, tv array<float>, mp array<int>, mv array<float>").toArrow().sort_by("id").combine_chunks()
-    y = np.array([math.nan if v is None else float(v > 0) for v in told["label"].to_pylist()])
-    if len({*y[~np.isnan(y)]}) < 2:
-        return _flat(float(y[~np.isnan(y)].mean()) if (~np.isnan(y)).any() else 1.0)
-    column = lambda name: told[name].combine_chunks() if told[name].num_chunks != 1 else told[name].chunk(0)
-    text = Sparse(column("tp"), column("tv"), (1 << TEXT_BITS) + MEASURES)
-    meta = Sparse(column("mp"), column("mv"), (1 << META_BITS) + 1)
-    return co_train(text, meta, y, seed)
+def _odds(table: DataFrame, model: Model) -> DataFrame:
+    """(id, t, p): both views' log-odds of every row."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches):
+        for batch in batches:
+            t, p, _ = shared.value.of(batch.column(1), batch.column(2), batch.column(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t), pa.array(p)], ["id", "t", "p"])
 
-def _inputs(docs: DataFrame) -> list:
-    """text, lang, source, n_chars; null where docs lacks one."""
-    kinds = {"text": "string", "lang": "string", "source": "string", "n_chars": "double"}
-    return [(F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
+    return table.select("id", "places", "counts", "page").mapInArrow(run, "id long, t double, p double")
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """One row per input row: id_col, text_score, metadata_score (calibrated probabilities of each view), score, kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def train(features: Features, labels: DataFrame, label_col: str = "quality", seed: int = 5, labelled: int = LABELLED, rounds: int = ROUNDS, each: int = EACH) -> Model:
+    own = features.table.select(F.col("id").cast("long").alias("id"), "places", "counts", "page").filter("id IS NOT NULL")
+    named = labels.select(F.col(features.id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL")
+    named = materialise(named.groupBy("id").agg((F.min("label") > 0).cast("double").alias("label")), "labels")
+    draw = F.xxhash64("id", F.lit(seed))
+    some = named.join(own.select("id").distinct(), "id", "left_semi").orderBy(draw, "id").limit(labelled)
+    fifth = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(5))
+    part = F.when(fifth < 3, 0.0).when(fifth == 3, 1.0).otherwise(2.0)
+    some = materialise(some.withColumn("part", part), "some")
+    once = lambda rows: rows.groupBy("id").agg(F.min(F.struct(*[c for c in rows.columns if c != "id"])).alias("x")).select("id", "x.*")
+    none = F.lit(None).cast("double")
+    columns = ["id", "label", "part", "to_text", "to_page", "places", "counts", "page"]
+    rows = own.join(F.broadcast(some), "id").withColumns({"to_text": none, "to_page": none}).select(*columns)
+    rows = materialise(once(rows).select(*columns), "training")
+    model = _fit_in_task(rows, None)
+    tables = [rows]
+    for _ in range(rounds if model.report else 0):
+        taught = rows.filter("label IS NULL").select("id", "to_text", "to_page")
+        free = materialise(_odds(own, model).join(named.select("id"), "id", "left_anti").groupBy("id").agg(F.max("t").alias("t"), F.max("p").alias("p")), "free")
+        sure = math.log(CONFIDENT / (1 - CONFIDENT))
+        chosen = None
+        for teacher, pupil in (("t", "to_page"), ("p", "to_text")):
+            new = free.join(F.broadcast(taught.filter(F.col(pupil).isNotNull()).select("id")), "id", "left_anti")
+            for value, odds in ((1.0, F.col(teacher)), (0.0, -F.col(teacher))):
+                top = new.filter(odds >= sure).orderBy(odds.desc(), draw, "id").limit(each)
+                top = top.select("id", *[(F.lit(value) if c == pupil else none).alias(c) for c in ("to_text", "to_page")])
+                chosen = top if chosen is None else chosen.union(top)
+        said = materialise(chosen.union(taught).groupBy("id").agg(F.max("to_text").alias("to_text"), F.max("to_page").alias("to_page")), "taught")
+        more = own.join(F.broadcast(said), "id").withColumns({"label": none, "part": F.lit(0.0)}).select(*columns)
+        tables += [free, said]
+        rows = materialise(rows.filter("label IS NOT NULL").union(once(more).select(*columns)), "training")
+        tables.append(rows)
+        model = _fit_in_task(rows, model)
+    release(named, some, *tables)
+    return model
+
+
+def score(features: Features, model: Model) -> DataFrame:
+    """One row per input row: its id, text_score and page_score (calibrated probabilities of each view), score, kept."""
+    shared = features.table.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
         for batch in batches:
-            views = [m.views(t or "", *x) for t, *x in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
-            total = [m.score(*v) for v in views]
-            parts = [pa.array([float(_sigmoid(v[i])) for v in views], pa.float64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *parts, pa.array(total, pa.float64()), pa.array([s >= m.threshold for s in total], pa.bool_())], ["id", "text_score", "metadata_score", "score", "kept"])
+            t, p, total = shared.value.of(batch.column(1), batch.column(2), batch.column(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(t)), pa.array(_sigmoid(p)), pa.array(total), pa.array(total >= shared.value.threshold)], ["id", "text_score", "page_score", "score", "kept"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), *_inputs(docs)).mapInArrow(run, f"id {kind}, text_score double, metadata_score double, score double, kept boolean").withColumnRenamed("id", id_col)
+    kind = features.docs.schema[features.id_col].dataType.simpleString()
+    own = features.table.select("id", "places", "counts", "page")
+    return own.mapInArrow(run, f"id {kind}, text_score double, page_score double, score double, kept boolean").withColumnRenamed("id", features.id_col)
 
 
-def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows that the model keeps, with the columns of docs, in one map-side pass: scores don't leave the task."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def keep_good(features: Features, model: Model) -> DataFrame:
+    """The rows that the model keeps, with the columns of docs. features must hold rows."""
+    shared, names = features.table.sparkSession.sparkContext.broadcast(model), features.docs.columns
 
     def run(batches):
-        m = shared.value
         for batch in batches:
-            n = batch.num_columns - 4
-            kept = [m.score(*m.views(t or "", *x)) >= m.threshold for t, *x in zip(*(c.to_pylist() for c in batch.columns[n:]), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:n], batch.schema.names[:n]).filter(pa.array(kept, pa.bool_()))
+            total = shared.value.of(*batch.columns[len(names) :])[2]
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(total >= shared.value.threshold))
 
-    extra = [c.alias(f"__view_{i}") for i, c in enumerate(_inputs(docs))]
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *extra).mapInArrow(run, docs.schema)
+    own = features.table.select(*[f"c{k}" for k in range(len(names))], "places", "counts", "page")
+    return own.mapInArrow(run, features.docs.schema)

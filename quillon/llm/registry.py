@@ -63,10 +63,10 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import score, train
+    from .quality import Features, score, train
 
-    docs = _table(spark, sf_dir, "documents")
-    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+    features = Features(_table(spark, sf_dir, "documents"))
+    return score(features, train(features, _table(spark, sf_dir, "labels")))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -436,19 +436,55 @@ def test_quality_learns_and_keeps_the_good(spark, odd, none):
     truth = {i: int(rng.random() < 0.8) for i in range(600)}
     docs = spark.createDataFrame([(i, text(g), "en", f"s{i % 4}" if g else "bad-source", 100) for i, g in truth.items()], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, g) for i, g in truth.items() if i % 3 == 0] + [(None, 1), (1, None)], "doc_id long, quality int")
-    model = quality.train(docs, labels)
-    assert model.report["taught_by_text"] > 0 and model.report["taught_by_metadata"] > 0
-    unseen = [r for r in quality.score(docs, model).collect() if r["doc_id"] % 3]
+    features = quality.Features(docs)
+    model = quality.train(features, labels)
+    assert model.report["taught_by_text"] > 0 and model.report["taught_by_page"] > 0
+    unseen = [r for r in quality.score(features, model).collect() if r["doc_id"] % 3]
     good = [r["kept"] for r in unseen if truth[r["doc_id"]]]
     bad = [r["kept"] for r in unseen if not truth[r["doc_id"]]]
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.1
-    assert quality.train(docs.repartition(5), labels).threshold == pytest.approx(model.threshold, abs=1e-6)
-    assert quality.score(odd, model).count() == odd.count()
-    assert quality.keep_good(odd, model).columns == odd.columns
-    assert quality.score(none, model).count() == 0
-    alone = quality.train(docs, labels.filter("quality = 1"))
-    assert quality.keep_good(docs, alone).count() == 600
-    assert quality.keep_good(docs, quality.train(docs, labels.limit(0))).count() == 600
+    again = quality.train(quality.Features(docs.repartition(5)), labels)
+    assert again.threshold == pytest.approx(model.threshold, abs=1e-6) and again.report == model.report
+    scored = quality.score(quality.Features(odd), model).collect()
+    assert collections.Counter(str(r["doc_id"]) for r in scored) == collections.Counter(str(i) for i, _ in local(odd))
+    rows = {(r["doc_id"], r["text"], r["source"]) for r in odd.collect()}
+    kept = quality.keep_good(quality.Features(odd, rows=True), model)
+    assert kept.columns == odd.columns and {(r["doc_id"], r["text"], r["source"]) for r in kept.collect()} <= rows
+    assert kept.count() == sum(r["kept"] for r in scored)
+    assert quality.score(quality.Features(none), model).count() == 0
+    assert quality.train(quality.Features(none), labels).threshold == -1
+    whole = quality.Features(docs, rows=True)
+    alone = quality.train(whole, labels.filter("quality = 1"))
+    assert quality.keep_good(whole, alone).count() == 600
+    assert quality.keep_good(whole, quality.train(whole, labels.limit(0))).count() == 600
+
+
+def test_features_are_those_of_one_text_at_a_time():
+    texts = ["Two words, two  lines\nTwo", "", "AAA!!! 12", "\n\n", "word " * 70_000]
+    counts = [collections.Counter(t.split()) for t in texts]
+    places, times = quality.text_places(counts)
+    for own, p, t in zip(counts, places, times, strict=True):
+        want = collections.Counter()
+        for w, n in own.items():
+            for b in divmod(quality._word_buckets(w), 1 << quality.TEXT_BITS):
+                want[b] += n
+        assert dict(zip(np.frombuffer(p, "<u2").tolist(), np.frombuffer(t, "<u4").tolist(), strict=True)) == want
+    for t in texts:
+        page = quality.page_places(t, t.split(), len(set(t.split())), None, "s", -1)
+        assert len(page) == quality.MEASURES + 4 and all(0 <= x < quality.META_WIDTH for x in page)
+
+
+def test_quality_is_right_on_rows_that_nothing_was_fitted_to(spark):
+    """Labels of every third document of the driver's table are hidden; the rest must find them."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    features = quality.Features(spark.read.parquet(f"{sf}/documents.parquet"))
+    model = quality.train(features, labels.filter("doc_id % 3 <> 0"))
+    print(model.report)
+    assert model.report["taught_by_text"] > 0 and model.report["taught_by_page"] > 0
+    hidden = quality.score(features, model).join(labels.filter("doc_id % 3 = 0"), "doc_id").select("kept", "quality").collect()
+    good, bad = [k for k, q in hidden if q == 1], [k for k, q in hidden if q == 0]
+    assert len(good) > 500 and sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.05
 
 
 # 10
