@@ -5,16 +5,18 @@ its top MASK_BITS bits zero, at least MIN_IDS and at most MAX_IDS ids apart, so
 wherever they stand. A chunk's address is the 128-bit BLAKE2b hash of its bytes; the Merkle root of a document is
 the hash over its chunk addresses, pairwise up to one.
 
-On disk, one store folder holds three Parquet tables:
+On disk, one store folder holds four Parquet tables:
   objects/kind=chunk    address, payload: ids as unsigned 16-bit (wide = false) or 32-bit little-endian integers
   objects/kind=recipe   what each task found, before it gets its place
   index                 in ascending id order: the id, segment, local_start, n_tokens, addresses, root
+  manifest              one row per segment: its documents, their ids, and a checksum over all that the index says of them
 `start` of a document is local_start plus the tokens of all earlier segments; segments follow the id order.
 
 Encoding happens once: every task gives its documents' recipes and, once per task, each chunk; one shuffle deals
 both out (a chunk by its address, a recipe by an own key), keeps one row per chunk and writes. A passage in a
-third of all documents thus reaches a reducer once per map task. Reading verifies every chunk against its address
-and every document against its root; only addresses, lengths and checksums are shuffled there, and the checksum
+third of all documents thus reaches a reducer once per map task; payloads that come under one address must agree in
+length and in a second hash, or the write fails. Reading verifies the index against the manifest, every chunk against
+its address and every document against its root, and fails where an index row or a chunk that a recipe names is gone; only addresses, lengths and checksums are shuffled there, and the checksum
 of a document is combined from those of its chunks.
 
 Defined results: a null text is empty and has the end id alone; rows that repeat an id are documents of their own,
@@ -49,13 +51,18 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+@lru_cache(1)
+def _mixed_small() -> np.ndarray:
+    return _mixed(np.arange(1 << 17))
+
+
 def rolling_hash(ids: np.ndarray) -> np.ndarray:
     """At each place the sum of mixed(id) * FACTOR**age over the last WINDOW ids, modulo 2**64, by doubling the window."""
-    h, span, factor = _mixed(ids), 1, _FACTOR
+    h, span = (_mixed_small()[ids] if not ids.size or ids.max() < 1 << 17 else _mixed(ids)), 1
     while span < WINDOW:
-        longer = h.copy()
-        longer[span:] += h[:-span] * np.uint64(pow(factor, span, 2**64))
-        h, span = longer, 2 * span
+        older = h[:-span] * np.uint64(pow(_FACTOR, span, 2**64))
+        h[span:] += older
+        span *= 2
     return h
 
 
@@ -120,7 +127,7 @@ def _encoder(tokenizer_file: str, pattern: str, end_id: int, id_type: pa.DataTyp
             at, size = 0, len(texts)
             while at < size:
                 blobs, total, first = [], 0, at
-                while at < size and total < 8_000_000:
+                while at < size and total < 4_000_000:
                     blobs.append(encode(texts[at] or "") + end)
                     total += len(blobs[-1])
                     at += 1
@@ -171,14 +178,36 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, pattern: str, e
     kind, arrow = id_type.simpleString(), to_arrow_type(id_type)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     made = rows.mapInArrow(_encoder(tokenizer_file, pattern, end_id, arrow), _objects_schema(kind))
-    once = made.groupBy("kind", "route").agg(*[F.first(c).alias(c) for c in _NAMES[2:]])
+    mark = F.xxhash64("n_tokens", "wide", "payload")
+    once = made.groupBy("kind", "route").agg(*[F.first(c).alias(c) for c in _NAMES[2:]], F.min(mark).alias("low"), F.max(mark).alias("high"))
+    clash = F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two payloads have one address")).cast("long")).otherwise(F.col("n_tokens"))
+    once = once.withColumn("n_tokens", clash).drop("low", "high")
     once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     recipes = _objects(spark, path, kind).filter("kind = 'recipe'").select("id", "n_tokens", "addresses", "root", "route")
     ordered = recipes.repartitionByRange("id").sortWithinPartitions("id", "root", "route").drop("route")
     ordered.mapInArrow(_running(arrow), f"id {kind}, segment int, local_start long, n_tokens long, addresses array<binary>, root binary").write.option("compression", "zstd").parquet(f"{path}/index")
+    _manifest(_index_rows(spark, path, kind)).coalesce(1).write.parquet(f"{path}/manifest")
     return path
 
 
+def _index_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(f"id {kind}, segment int, local_start long, n_tokens long, addresses array<binary>, root binary").parquet(f"{path}/index")
+
+
+def _manifest(index: DataFrame) -> DataFrame:
+    """One row per segment. The checksum doesn't depend on the order of rows, which local_start states."""
+    return index.groupBy("segment").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"), F.bit_xor(F.xxhash64("id", "local_start", "n_tokens", "addresses", "root")).alias("mark"))
+
+
+def verify_index(spark: SparkSession, path: str, id_type: str = "bigint") -> None:
+    """Fail unless the index has exactly the segments and rows that the manifest names."""
+    stated = spark.read.schema("segment int, documents long, ids long, mark long").parquet(f"{path}/manifest")
+    found = _manifest(_index_rows(spark, path, id_type))
+    wrong = stated.withColumn("side", F.lit(1)).unionByName(found.withColumn("side", F.lit(-1))).groupBy("segment", "documents", "ids", "mark").agg(F.sum("side").alias("n")).filter("n <> 0")
+    if wrong.limit(1).count():
+        raise ValueError("the index does not match its manifest")
+
+
 def _objects(spark: SparkSession, path: str, kind: str) -> DataFrame:
     names = [x for x in _objects_schema(kind).split(", ") if not x.startswith("kind ")]
     return spark.read.schema(", ".join([*names, "kind string"])).parquet(f"{path}/objects")
@@ -186,7 +215,7 @@ def _objects(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def _index(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """The index with `start`, the ids of all documents before. One row per segment is summed in order."""
-    index = spark.read.schema(f"id {kind}, segment int, local_start long, n_tokens long, addresses array<binary>, root binary").parquet(f"{path}/index")
+    index = _index_rows(spark, path, kind)
     before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     sums = index.groupBy("segment").agg(F.sum("n_tokens").alias("n")).select("segment", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return index.join(F.broadcast(sums), "segment").withColumn("start", F.col("base") + F.col("local_start"))
@@ -238,6 +267,8 @@ def _verify_documents(batches):
     for batch in batches:
         lists = batch.column(3)
         ends = lists.offsets.to_numpy().tolist()
+        if lists.values.field(1).null_count:
+            raise ValueError("a chunk that a recipe names is not in the store")
         places, sizes, crcs = (lists.values.field(k).to_numpy(zero_copy_only=False).tolist() for k in range(3))
         addresses, out = lists.values.field(3).to_pylist(), []
         for row, (n, root) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
@@ -250,10 +281,11 @@ def _verify_documents(batches):
 
 def read_digests(spark: SparkSession, path: str, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:
     """Read the store back, verified: id_col, start, n_tokens, ids_crc32. `start` tells documents apart, since each has an id at least."""
+    verify_index(spark, path, id_type)
     chunks = _objects(spark, path, id_type).filter("kind = 'chunk'").select("route", "wide", "payload").mapInArrow(_verify_chunks, "address binary, n int, crc long")
     index = _index(spark, path, id_type)
     links = index.select("id", "start", "n_tokens", "root", F.posexplode("addresses").alias("i", "address"))
-    found = links.join(chunks, "address")
+    found = links.join(chunks, "address", "left")
     parts = found.groupBy("start").agg(F.first("id").alias("id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.collect_list(F.struct("i", "n", "crc", "address")).alias("parts"))
     checked = parts.select("id", "start", "n_tokens", "root", "parts").mapInArrow(_with_id(_verify_documents), f"id {id_type}, start long, n_tokens long, ids_crc32 long")
     return checked.withColumnRenamed("id", id_col)
@@ -275,12 +307,16 @@ def read_documents(spark: SparkSession, path: str, id_type: str = "bigint", id_c
 
     def ids(batches):
         for batch in batches:
-            lists = [np.concatenate([unpack(x["wide"], x["payload"]) for x in sorted(p, key=lambda x: x["i"])]) for p in batch.column(2).to_pylist()]
+            parts = [sorted(p, key=lambda x: x["i"]) for p in batch.column(2).to_pylist()]
+            if any(x["payload"] is None for p in parts for x in p):
+                raise ValueError("a chunk that a recipe names is not in the store")
+            lists = [np.concatenate([unpack(x["wide"], x["payload"]) for x in p]) for p in parts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], ["id", "start", "ids"])
 
+    verify_index(spark, path, id_type)
     chunks = _objects(spark, path, id_type).filter("kind = 'chunk'").select(F.col("route").alias("address"), "wide", "payload")
     links = _index(spark, path, id_type).select("id", "start", F.posexplode("addresses").alias("i", "address"))
-    parts = links.join(chunks, "address").groupBy("start").agg(F.first("id").alias("id"), F.collect_list(F.struct("i", "wide", "payload")).alias("parts"))
+    parts = links.join(chunks, "address", "left").groupBy("start").agg(F.first("id").alias("id"), F.collect_list(F.struct("i", "wide", "payload")).alias("parts"))
     return parts.select("id", "start", "parts").mapInArrow(ids, f"id {id_type}, start long, ids array<long>").withColumnRenamed("id", id_col)
 
 

@@ -1,9 +1,9 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a compact table from frequent pre-token units (see units.py) to their number of ids. It comes from
-the whole table: each task counts its units in a summary of bounded size and gives its most frequent ones, at most
-SUMMARY rows; the summed counts decide which HOT units the table holds. No text's pre-tokens are shuffled, only
-these summaries. The table is bounded (HOT units of at most HOT_CHARS characters, so under 6 MB) and broadcast.
+Tier one is a compact table from frequent pre-token units (see units.py) to their number of ids. Which HOT units it holds
+comes from a sample of about SAMPLE rows (a documented bound), taken by a hash of the id and counted in one task: no
+pre-token of the table is shuffled. The table is bounded (HOT units of at most HOT_CHARS characters, so under 6 MB) and
+broadcast.
 Tier two encodes misses with the library and keeps them in a bounded cache of the worker. Counts never depend on
 what either tier holds, so they are those of the library for every whole text.
 
@@ -13,9 +13,11 @@ empty one; a text of any length is handled whole; columns other than the id and
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from functools import lru_cache
+from heapq import nsmallest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,26 +26,30 @@ from pyspark.sql import functions as F
 from .units import _CUT, _LONG, Generations, UnitEncoder, _Unsafe, unit_encoder
 
 HOT, HOT_CHARS = 65_536, 48
-#: Rows that one task's summary gives, and distinct units that it holds at most while it counts.
-SUMMARY, SUMMARY_HELD = 16_384, 200_000
+#: Rows that the hot units are counted in, and distinct units that are held at most meanwhile.
+SAMPLE, SAMPLE_HELD = 20_000, 400_000
 
 
-def _summaries(batches):
-    counts: Counter[str] = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update((text or "").split(" ")[1:])
-            if len(counts) > SUMMARY_HELD:
-                counts = Counter(dict(counts.most_common(SUMMARY_HELD // 2)))
-    top = [(u, n) for u, n in counts.most_common(2 * SUMMARY) if u and not u[0].isspace() and len(u) <= HOT_CHARS][:SUMMARY]
-    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["unit", "n"])
+def _most_frequent(hot: int):
+    def run(batches):
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update((text or "").split(" ")[1:])
+                if len(counts) > SAMPLE_HELD:
+                    counts = Counter(dict(counts.most_common(SAMPLE_HELD // 2)))
+        usable = [(-n, u) for u, n in counts.items() if u and not u[0].isspace() and len(u) <= HOT_CHARS]
+        yield pa.RecordBatch.from_arrays([pa.array([u for _, u in nsmallest(hot, usable)], pa.string())], ["unit"])
+
+    return run
 
 
-def hot_units(docs: DataFrame, text_col: str = "text", hot: int = HOT) -> list[str]:
-    """The most frequent units, at most hot of them."""
-    told = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_summaries, "unit string, n long")
-    top = told.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(hot)
-    return [r["unit"] for r in top.select("unit").collect()]
+def hot_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, sample: int = SAMPLE) -> list[str]:
+    """Frequent units, at most hot of them, by a sample of about `sample` rows."""
+    share = min(1.0, sample / max(1, docs.count()))
+    some = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
+    top = some.select(F.col(text_col).cast("string").alias("text")).repartition(1).mapInArrow(_most_frequent(hot), "unit string")
+    return [r["unit"] for r in top.collect()]
 
 
 def compact_table(units: list[str], encoder: UnitEncoder) -> tuple[bytes, bytes]:
@@ -72,10 +78,11 @@ class _Counts(dict):
         return self.cold[key]
 
     def of(self, text: str) -> int:
-        keys = text.split(" ")
-        keys[0] = " " + keys[0]
+        split = self.encoder.keys_of(text) if not any(s in text for s in self.encoder.lined) else None
         try:
-            return sum(map(self.__getitem__, keys))
+            if split is None:
+                raise _Unsafe
+            return sum([sum(map(self.__getitem__, keys)) for keys in split]) + (len(split) - 1) * len(self.encoder.line_end) // 4
         except _Unsafe:
             first, *rest = _CUT.split(text)
             return (len(self.encoder.encode_unit(first)) + sum(len(self.encoder.encode_unit(" " + k)) for k in rest if len(k) >= _LONG)) // 4 + sum(self[k] for k in rest if len(k) < _LONG)
@@ -88,12 +95,12 @@ def _worker_counts(packed: tuple[bytes, bytes], path: str, pattern: str) -> _Cou
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, hot: int = HOT) -> DataFrame:
     """One row per input row: id_col, n_bytes, n_tokens, over_limit (more than limit tokens)."""
-    packed = docs.sparkSession.sparkContext.broadcast(compact_table(hot_units(docs, text_col, hot), unit_encoder(tokenizer_file, pattern)))
+    packed = docs.sparkSession.sparkContext.broadcast(compact_table(hot_units(docs, id_col, text_col, hot), unit_encoder(tokenizer_file, pattern)))
 
     def run(batches):
         counts = _worker_counts(packed.value, tokenizer_file, pattern)
         for batch in batches:
-            n = [counts.of(t or "") for t in batch.column(1).to_pylist()]
+            n = [counts.of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -2,8 +2,9 @@
 
 A text is cut at every space that a character other than white space follows. There the library's own pattern
 always starts a match (a space joins what follows it; white space before it ends its own match), so the ids of a
-text are those of its units, one after another. Units repeat, so each worker keeps what it has encoded, in two
-generations of bounded size: what is used again moves to the younger one, the older is dropped when that is full.
+text are those of its units, one after another. A line end between two characters other than white space is a match
+of its own, so lines are cut apart too. Units repeat, so each worker keeps what it has encoded, in two generations of
+bounded size: what is used again moves to the younger one, the older is dropped when that is full.
 
 A unit that is not cached is cut into pre-tokens. Units of plain letters and marks (Latin, whose character classes
 no Unicode version disputes) are cut here and each pre-token goes through the library's BPE model, cached too;
@@ -55,30 +56,45 @@ class Generations(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
-class _Units(dict):
-    """Ids by unit, in two generations. The usual units, a word with or without one mark after it, are cut here without a further call."""
+class _Units(Generations):
+    """Ids by key of a unit. The usual units, a word with or without one mark after it, are cut here without a further call."""
 
     def __init__(self, encoder: UnitEncoder, limit: int):
-        self.encoder, self.tokens, self.limit, self.older = encoder, encoder.tokens, limit, {}
+        super().__init__(encoder.encode_key, limit)
+        self.tokens, self.model, self.space, self.id_bytes = encoder.tokens, encoder.model, encoder.space, encoder.id_bytes
         self.words_only = not any(s.isalpha() or s[:-1].isalpha() for s in encoder.specials)
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
-            if self.words_only and len(key) < _LONG and (key.isascii() or _PLAIN.fullmatch(key)):
+            if not self.words_only or len(key) >= _LONG:
+                value = self.make(key)
+            elif key.isascii():
                 if key.isalpha():
-                    value = self.encoder.encode_token(" " + key)
+                    id_bytes = self.id_bytes
+                    value = b"".join([id_bytes[t.id] for t in self.model.tokenize(self.space + key)])
                 elif key[:-1].isalpha() and key[-1] != " ":
                     value = self[key[:-1]] + self.tokens[key[-1]]
-            if value is None:
-                value = self.encoder.encode_key(key)
+                else:
+                    value = self.make(key)
+            elif not _PLAIN.fullmatch(key):
+                value = self.make(key)
+            elif key.isalpha():
+                value = self.tokens.make(" " + key)
+            elif key[:-1].isalpha() and key[-1] != " ":
+                value = self[key[:-1]] + self.tokens[key[-1]]
+            else:
+                value = self.make(key)
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -89,7 +105,7 @@ class _Units(dict):
 class UnitEncoder:
     """encode(text): its ids as little-endian unsigned 32-bit integers, as the library gives them without added special tokens."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 500_000):
+    def __init__(self, path: str, pattern: str, limit: int = 300_000):
         import regex
 
         self.library, self.pattern = load_tokenizer(path), regex.compile(pattern)
@@ -97,6 +113,8 @@ class UnitEncoder:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters, self.space = _byte_letters(), _byte_letters()[32]
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
+        #: Special tokens' strings with a line end in them, and the ids of a line end.
+        self.lined, self.line_end = [x for x in self.specials if "\n" in x], self._ids("\n")
         self.tokens = Generations(self.encode_token, limit // 4)
         self.units = _Units(self, limit)
 
@@ -132,11 +150,23 @@ class UnitEncoder:
             raise _Unsafe
         return self.encode_unit(" " + key)
 
+    def keys_of(self, text: str) -> list[list[str]] | None:
+        """The keys of each line's units; none for a text whose lines white space begins or ends."""
+        lines = text.split("\n")
+        if len(lines) > 1 and not (all(lines[1:-1]) and lines[0] and lines[-1] and all([not x[0].isspace() for x in lines[1:]]) and all([not x[-1].isspace() for x in lines[:-1]])):
+            return None
+        split = [x.split(" ") for x in lines]
+        for keys in split:
+            keys[0] = " " + keys[0]
+        return split
+
     def encode(self, text: str) -> bytes:
-        keys = text.split(" ")
-        keys[0] = " " + keys[0]
+        split = self.keys_of(text) if not any(s in text for s in self.lined) else None
         try:
-            return b"".join(map(self.units.__getitem__, keys))
+            if split is None:
+                raise _Unsafe
+            get = self.units.__getitem__
+            return self.line_end.join([b"".join(map(get, keys)) for keys in split])
         except _Unsafe:
             first, *rest = _CUT.split(text)
             return b"".join([self.encode_unit(first), *(self.units[k] if len(k) < _LONG else self.encode_unit(" " + k) for k in rest)])

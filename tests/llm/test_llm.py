@@ -237,6 +237,7 @@ def library_ids(texts):
 def test_units_encode_as_the_library():
     encoder = units.UnitEncoder(JSON, P.PATTERN, limit=50)
     texts = [*random_texts(4000), " " * 3000 + "a", "a" * 3000, "\n" * 999 + " b", "", " ", "é" * 700]
+    texts += [" ".join(random.Random(i).choices(["Word", "word,", "w.", "été", "ß", "x1", "“q”", "no  gap", "", "l'eau", "naïve!", "ªº", "it's", "end.\nNew", "a\nb\nc", "\n", "x\t\ny", "\n\n"], k=rng_size)) for i in range(300) for rng_size in (4, 60)]
     for text, ids in zip(texts, library_ids(texts), strict=True):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids, text[:40]
 
@@ -244,6 +245,7 @@ def test_units_encode_as_the_library():
 def test_token_counts(odd, none):
     docs = local(odd)
     want = sorted((-1 if i is None else i, len((t or "").encode()), len(x), len(x) > 512) for (i, t), x in zip(docs, library_ids([t for _, t in docs]), strict=True))
+    assert len(token_counts.hot_units(odd, hot=5)) == 5 and token_counts.hot_units(none) == []
     for hot in (token_counts.HOT, 3):
         got = token_counts.count_tokens(odd, JSON, P.PATTERN, hot=hot).collect()
         assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == want
@@ -295,6 +297,20 @@ def test_a_changed_chunk_is_noticed(spark, tmp_path):
         list(id_store._verify_chunks([batch]))
 
 
+def test_what_is_gone_from_a_store_is_noticed(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i} of ten") for i in range(10)], "doc_id long, text string").repartition(3)
+    for gone in ("objects", "index"):
+        path = id_store.write_store(docs, str(tmp_path / gone), JSON, P.PATTERN)
+        table = spark.read.parquet(f"{path}/{gone}")
+        row = table.filter("kind = 'chunk'").orderBy("route").first() if gone == "objects" else table.filter("id = 4").first()
+        less = table.filter(~F.col("route").eqNullSafe(F.lit(bytes(row["route"])))) if gone == "objects" else table.filter("id <> 4")
+        rows = spark.createDataFrame(less.collect(), table.schema)
+        (rows.write.partitionBy("kind") if gone == "objects" else rows.write).mode("overwrite").parquet(f"{path}/{gone}")
+        for read in (id_store.read_digests, id_store.read_documents):
+            with pytest.raises(Exception, match="not in the store|does not match its manifest"):
+                read(spark, path).collect()
+
+
 # 5
 
 
