@@ -120,25 +120,25 @@ def _encoder(tokenizer_file: str, pattern: str, end_id: int, id_type: pa.DataTyp
     def run(batches):
         from pyspark import TaskContext
 
-        encode, end, seen, row = unit_encoder(tokenizer_file, pattern).encode, np.array([end_id], "<u4").tobytes(), set(), 0
+        encoder, end, seen, row = unit_encoder(tokenizer_file, pattern), np.array([end_id], "<u4"), set(), 0
         task = TaskContext.get().partitionId()
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            at, size = 0, len(texts)
+            keys, size, at = batch.column(0), batch.num_rows, 0
+            encoded = encoder.encode_many(batch.column(1))
             while at < size:
-                blobs, total, first = [], 0, at
-                while at < size and total < 4_000_000:
-                    blobs.append(encode(texts[at] or "") + end)
-                    total += len(blobs[-1])
+                parts, total, first = [], 0, at
+                while at < size and total < 1_000_000:
+                    parts += [next(encoded), end]
+                    total += len(parts[-2])
                     at += 1
                 kind, route, ids_of, n_tokens, lists, roots, wides, payloads = ([] for _ in range(8))
-                stream = np.frombuffer(b"".join(blobs), "<u4")
-                hashes, start = rolling_hash(stream), 0
-                for i, blob in enumerate(blobs):
-                    n, own = len(blob) // 4, []
+                stream = np.concatenate(parts)
+                hashes, start, blob = rolling_hash(stream), 0, stream.data
+                for i, n in enumerate(len(p) + 1 for p in parts[::2]):
+                    own = []
                     ids, last = stream[start : start + n], 0
                     for e in cut_chunks(ids, hashes[start : start + n]):
-                        a = hashlib.blake2b(blob[4 * last : 4 * e], digest_size=16).digest()
+                        a = hashlib.blake2b(blob[start + last : start + e], digest_size=16).digest()
                         own.append(a)
                         if a not in seen:
                             if len(seen) >= held:

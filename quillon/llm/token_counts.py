@@ -16,14 +16,16 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import nsmallest
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import _CUT, _LONG, Generations, UnitEncoder, _Unsafe, unit_encoder
+from .units import _LONG, Generations, UnitEncoder, unit_encoder
 
 HOT, HOT_CHARS = 65_536, 48
 #: Rows that the hot units are counted in, and distinct units that are held at most meanwhile.
@@ -68,24 +70,19 @@ class _Counts(dict):
         self.encoder, self.cold = encoder, Generations(self._count, 250_000)
 
     def _count(self, key: str) -> int:
-        if key[:1] == " ":
-            return len(self.encoder.encode_unit(key[1:])) // 4
-        if not key or key[0].isspace():
-            raise _Unsafe
-        return len(self.encoder.encode_unit(" " + key)) // 4
+        return len(self.encoder.encode_key(key)) // 4
 
     def __missing__(self, key: str) -> int:
-        return self.cold[key]
+        return self.cold[key] if len(key) < _LONG else self._count(key)
 
-    def of(self, text: str) -> int:
-        split = self.encoder.keys_of(text) if not any(s in text for s in self.encoder.lined) else None
-        try:
-            if split is None:
-                raise _Unsafe
-            return sum([sum(map(self.__getitem__, keys)) for keys in split]) + (len(split) - 1) * len(self.encoder.line_end) // 4
-        except _Unsafe:
-            first, *rest = _CUT.split(text)
-            return (len(self.encoder.encode_unit(first)) + sum(len(self.encoder.encode_unit(" " + k)) for k in rest if len(k) >= _LONG)) // 4 + sum(self[k] for k in rest if len(k) < _LONG)
+    def of_many(self, texts: pa.Array) -> Iterator[int]:
+        """The number of ids of each text; each distinct unit is looked up once for many texts."""
+        for _, keys, unit, ends, rest in self.encoder.split(texts):
+            if keys is None:
+                yield from (len(self.encoder.encode(t)) // 4 for t in rest)
+                continue
+            upto = np.cumsum(np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))[unit])[ends - 1]
+            yield from np.diff(upto, prepend=0).tolist()
 
 
 @lru_cache(2)
@@ -100,7 +97,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, pattern: str, id_col: str
     def run(batches):
         counts = _worker_counts(packed.value, tokenizer_file, pattern)
         for batch in batches:
-            n = [counts.of(t) for t in batch.column(1).to_pylist()]
+            n = list(counts.of_many(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -2,9 +2,10 @@
 
 A text is cut at every space that a character other than white space follows. There the library's own pattern
 always starts a match (a space joins what follows it; white space before it ends its own match), so the ids of a
-text are those of its units, one after another. A line end between two characters other than white space is a match
-of its own, so lines are cut apart too. Units repeat, so each worker keeps what it has encoded, in two generations of
-bounded size: what is used again moves to the younger one, the older is dropped when that is full.
+text are those of its units, one after another. A line end that no white space touches is a match of its own, so a
+unit may start there too. Units repeat, so each worker keeps what it has encoded, in two generations of bounded size:
+what is used again moves to the younger one, the older is dropped when that is full. Many texts at once are split and
+their distinct units found by Arrow, and their ids gathered by numpy; a Python value is made of each distinct unit only.
 
 A unit that is not cached is cut into pre-tokens. Units of plain letters and marks (Latin, whose character classes
 no Unicode version disputes) are cut here and each pre-token goes through the library's BPE model, cached too;
@@ -15,17 +16,24 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: The places where a text is cut: Python's white space holds all that the library's pattern takes as such.
 _CUT = re.compile(r" (?=\S)")
 _PLAIN = re.compile(r"[\n\x20-\x7e¡-ɏ]*")
+#: White space beside a space or line end: such texts are cut at _CUT alone. The second form has all that Python takes as white space, for Arrow.
+_UNSAFE = re.compile(r"[ \n]\s|\s\n")
+_UNSAFE_RE2 = r"[ \n][\s\v\x1c-\x1f\x85\p{Z}]|[\s\v\x1c-\x1f\x85\p{Z}]\n"
 #: Longer units go through the library whole and aren't kept.
 _LONG = 256
-
-
-class _Unsafe(Exception):
-    """A space that white space follows: the quick cut doesn't hold for this text."""
+#: Characters of a piece of a long text, and bytes of texts that are split at once.
+_PIECE, _SPLIT_BYTES = 1_000_000, 8_000_000
+_PIECE_END = re.compile(r"(?<=\S) (?=\S)")
 
 
 @lru_cache(4)
@@ -77,7 +85,9 @@ class _Units(Generations):
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
-            if not self.words_only or len(key) >= _LONG:
+            if len(key) >= _LONG:
+                return self.make(key)
+            if not self.words_only:
                 value = self.make(key)
             elif key.isascii():
                 if key.isalpha():
@@ -105,7 +115,7 @@ class _Units(Generations):
 class UnitEncoder:
     """encode(text): its ids as little-endian unsigned 32-bit integers, as the library gives them without added special tokens."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 300_000):
+    def __init__(self, path: str, pattern: str, limit: int = 400_000):
         import regex
 
         self.library, self.pattern = load_tokenizer(path), regex.compile(pattern)
@@ -113,8 +123,8 @@ class UnitEncoder:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters, self.space = _byte_letters(), _byte_letters()[32]
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
-        #: Special tokens' strings with a line end in them, and the ids of a line end.
-        self.lined, self.line_end = [x for x in self.specials if "\n" in x], self._ids("\n")
+        #: Special tokens' strings with white space in them, and the ids of a line end.
+        self.spaced, self.line_end = [x for x in self.specials if re.search(r"\s", x)], self._ids("\n")
         self.tokens = Generations(self.encode_token, limit // 4)
         self.units = _Units(self, limit)
 
@@ -143,33 +153,81 @@ class UnitEncoder:
         return b"".join(map(self.tokens.__getitem__, self.pattern.findall(unit)))
 
     def encode_key(self, key: str) -> bytes:
-        """The key of a unit is what follows its space. A text's first unit has none, and has a space before its key instead."""
+        """The key of a unit is what follows its space; one that starts a line has the line end in its key. A text's first unit has a space before its key instead."""
         if key[:1] == " ":
             return self.encode_unit(key[1:])
-        if not key or key[0].isspace():
-            raise _Unsafe
+        if key[:1] == "\n":
+            return self.line_end + self.encode_unit(key[1:])
         return self.encode_unit(" " + key)
 
-    def keys_of(self, text: str) -> list[list[str]] | None:
-        """The keys of each line's units; none for a text whose lines white space begins or ends."""
-        lines = text.split("\n")
-        if len(lines) > 1 and not (all(lines[1:-1]) and lines[0] and lines[-1] and all([not x[0].isspace() for x in lines[1:]]) and all([not x[-1].isspace() for x in lines[:-1]])):
-            return None
-        split = [x.split(" ") for x in lines]
-        for keys in split:
-            keys[0] = " " + keys[0]
-        return split
-
     def encode(self, text: str) -> bytes:
-        split = self.keys_of(text) if not any(s in text for s in self.lined) else None
-        try:
-            if split is None:
-                raise _Unsafe
-            get = self.units.__getitem__
-            return self.line_end.join([b"".join(map(get, keys)) for keys in split])
-        except _Unsafe:
+        if any(s in text for s in self.spaced):
+            return self._ids(text)
+        if len(text) > 2 * _PIECE:
+            return b"".join(map(self.encode, _pieces(text)))
+        if _UNSAFE.search(text):
             first, *rest = _CUT.split(text)
-            return b"".join([self.encode_unit(first), *(self.units[k] if len(k) < _LONG else self.encode_unit(" " + k) for k in rest)])
+            return b"".join([self.encode_unit(first), *map(self.units.__getitem__, rest)])
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = " " + keys[0]
+        return b"".join(map(self.units.__getitem__, keys))
+
+    def split(self, texts: pa.Array) -> Iterator[tuple[int, list[str] | None, np.ndarray | None, np.ndarray | None, list[str]]]:
+        """Consecutive texts at a time: (how many, distinct keys, number of each unit's key, where each text's units end, texts to be encoded alone).
+
+        Texts that can't be split here come one at a time, with None for keys.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        alone = pc.match_substring_regex(texts, _UNSAFE_RE2).to_numpy(zero_copy_only=False) | (sizes > _PIECE)
+        for s in self.spaced:
+            alone |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(texts):
+            if alone[at]:
+                yield 1, None, None, None, [texts[at].as_py()]
+                at += 1
+                continue
+            end = at + 1
+            total = int(sizes[at])
+            while end < len(texts) and not alone[end] and total < _SPLIT_BYTES:
+                total += int(sizes[end])
+                end += 1
+            lists = pc.split_pattern(pc.replace_substring(texts.slice(at, end - at), "\n", " \n"), " ")
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            coded = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
+            code, ends = coded.indices.to_numpy().astype(np.int64), ends - ends[0]
+            words = coded.dictionary.to_pylist()
+            code[ends[:-1]] += len(words)
+            met = np.zeros(2 * len(words), bool)
+            met[code] = True
+            distinct = np.flatnonzero(met)
+            place = np.cumsum(met) - 1
+            yield end - at, [words[c] if c < len(words) else " " + words[c - len(words)] for c in distinct.tolist()], place[code], ends[1:], []
+            at = end
+
+    def encode_many(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, as 32-bit integers."""
+        for _, keys, unit, ends, rest in self.split(texts):
+            if keys is None:
+                yield from (np.frombuffer(self.encode(t), "<u4") for t in rest)
+                continue
+            pieces = list(map(self.units.__getitem__, keys))
+            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+            ids, starts = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(sizes) - sizes
+            own = sizes[unit]
+            upto = np.cumsum(own)
+            stream = ids[np.repeat(starts[unit] - upto + own, own) + np.arange(upto[-1])]
+            yield from np.split(stream, upto[ends - 1][:-1])
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """Parts of about _PIECE characters that are cut before spaces that no white space touches."""
+    start = 0
+    while (m := _PIECE_END.search(text, start + _PIECE)) is not None:
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:]
 
 
 @lru_cache(2)
