@@ -134,6 +134,8 @@ def _encoder(tokenizer_file: str, pattern: str, end_id: int, id_type: pa.DataTyp
                 kind, route, ids_of, n_tokens, lists, roots, wides, payloads = ([] for _ in range(8))
                 stream = np.concatenate(parts)
                 hashes, start, blob = rolling_hash(stream), 0, stream.data
+                #: Where all ids at hand fit into 16 bits, they are narrowed at once.
+                narrow = stream.astype("<u2") if stream.max() <= 0xFFFF else None
                 for i, n in enumerate(len(p) + 1 for p in parts[::2]):
                     own = []
                     ids, last = stream[start : start + n], 0
@@ -144,7 +146,7 @@ def _encoder(tokenizer_file: str, pattern: str, end_id: int, id_type: pa.DataTyp
                             if len(seen) >= held:
                                 seen.clear()
                             seen.add(a)
-                            wide, payload = pack(ids[last:e])
+                            wide, payload = pack(ids[last:e]) if narrow is None else (False, narrow[start + last : start + e].tobytes())
                             kind.append("chunk"), route.append(a), ids_of.append(None), n_tokens.append(e - last), lists.append(None), roots.append(None), wides.append(wide), payloads.append(payload)
                         last = e
                     kind.append("recipe"), route.append(b"%d.%d" % (task, row)), ids_of.append(first + i), n_tokens.append(n), lists.append(own), roots.append(merkle_root(own)), wides.append(None), payloads.append(None)
@@ -221,33 +223,36 @@ def _index(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return index.join(F.broadcast(sums), "segment").withColumn("start", F.col("base") + F.col("local_start"))
 
 
-@lru_cache(100_000)
-def _power(bits: int) -> int:
-    """x**bits modulo the CRC-32 polynomial, reflected."""
-    value, square = 0x80000000, 0x40000000
-    while bits:
-        if bits & 1:
-            value = _times(value, square)
-        square, bits = _times(square, square), bits >> 1
-    return value
-
-
-def _times(a: int, b: int) -> int:
-    """The product of two polynomials modulo that of CRC-32, reflected."""
-    product = 0
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The products of polynomials modulo that of CRC-32, reflected, as 64-bit integers."""
+    product = np.zeros(np.broadcast(a, b).shape, np.int64)
     for i in range(31, -1, -1):
-        if a >> i & 1:
-            product ^= b
-        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        product ^= np.where(a >> i & 1, b, 0)
+        b = b >> 1 ^ np.where(b & 1, 0xEDB88320, 0)
     return product
 
 
-def crc32_of_parts(parts: list[tuple[int, int]]) -> int:
-    """The CRC-32 of the concatenation of parts, each given as (CRC-32, number of bytes)."""
-    crc = 0
-    for part, size in parts:
-        crc = (_times(_power(8 * size), crc) if crc else 0) ^ part
-    return crc
+@lru_cache(1)
+def _powers() -> np.ndarray:
+    """x**(32 * n) modulo the CRC-32 polynomial for n ids, 0 to MAX_IDS."""
+    step = np.array(0x00800000)  # x**8, reflected
+    step = _times(step, step)
+    step = _times(step, step)
+    powers = np.full(1, 0x80000000)
+    while len(powers) <= MAX_IDS:
+        powers = np.concatenate([powers, _times(powers, step)])
+        step = _times(step, step)
+    return powers
+
+
+def crc32_of_parts(row: np.ndarray, place: np.ndarray, crc: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the CRC-32 of its parts one after another; a part is given by its row, place (from 0), CRC-32 and number of 32-bit values, MAX_IDS at most. Parts come in order of place."""
+    out = np.zeros(n, np.int64)
+    ends = np.searchsorted(place, np.arange(int(place.max(initial=-1)) + 2))
+    for low, high in zip(ends, ends[1:], strict=False):
+        own = row[low:high]
+        out[own] = _times(_powers()[size[low:high]], out[own]) ^ crc[low:high]
+    return out
 
 
 def _verify_chunks(batches):
@@ -264,19 +269,24 @@ def _verify_chunks(batches):
 
 
 def _verify_documents(batches):
+    """(start, n_tokens, root, parts) to (start, n_tokens, ids_crc32)."""
     for batch in batches:
-        lists = batch.column(3)
-        ends = lists.offsets.to_numpy().tolist()
+        lists, n = batch.column(3), batch.num_rows
         if lists.values.field(1).null_count:
             raise ValueError("a chunk that a recipe names is not in the store")
-        places, sizes, crcs = (lists.values.field(k).to_numpy(zero_copy_only=False).tolist() for k in range(3))
-        addresses, out = lists.values.field(3).to_pylist(), []
-        for row, (n, root) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            order = sorted(range(ends[row], ends[row + 1]), key=places.__getitem__)
-            if [places[x] for x in order] != list(range(len(order))) or sum(sizes[x] for x in order) != n or merkle_root([addresses[x] for x in order]) != root:
-                raise ValueError("a document's chunks do not match its recipe and root")
-            out.append(crc32_of_parts([(crcs[x], 4 * sizes[x]) for x in order]))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.int64())], ["start", "n_tokens", "ids_crc32"])
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0]))
+        row = np.repeat(np.arange(n), np.diff(ends))
+        place, size, crc = (values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+        order = np.lexsort((place, row))
+        first = (ends - ends[0])[:-1]
+        addresses, roots = values.field(3).take(pa.array(order)).to_pylist(), batch.column(2).to_pylist()
+        whole = np.array_equal(place[order], np.arange(len(row)) - first[row]) and np.array_equal(np.bincount(row, size, minlength=n).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False))
+        if not whole or any(merkle_root(addresses[a:b]) != root for a, b, root in zip(first.tolist(), (ends - ends[0])[1:].tolist(), roots, strict=True)):
+            raise ValueError("a document's chunks do not match its recipe and root")
+        by_place = np.argsort(place, kind="stable")
+        crcs = crc32_of_parts(row[by_place], place[by_place], crc[by_place], size[by_place], n)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(crcs, pa.int64())], ["start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(spark: SparkSession, path: str, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:

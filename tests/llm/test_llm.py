@@ -267,9 +267,11 @@ def test_chunks_are_found_again_elsewhere():
 
 def test_checksums_combine():
     rng = random.Random(1)
-    for _ in range(20):
-        parts = [rng.randbytes(rng.randint(0, 50)) for _ in range(rng.randint(0, 5))]
-        assert id_store.crc32_of_parts([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+    rows = [[rng.randbytes(4 * rng.choice([0, 1, 7, id_store.MAX_IDS])) for _ in range(rng.randint(0, 5))] for _ in range(40)]
+    parts = sorted(((k, r, p) for r, own in enumerate(rows) for k, p in enumerate(own)), key=lambda x: x[:2])
+    place, row = (np.array([p[i] for p in parts]) for i in (0, 1))
+    found = id_store.crc32_of_parts(row, place, np.array([zlib.crc32(p) for _, _, p in parts]), np.array([len(p) // 4 for _, _, p in parts]), 40)
+    assert found.tolist() == [zlib.crc32(b"".join(own)) for own in rows]
 
 
 def test_store_round_trip(spark, odd, none, tmp_path):
