@@ -421,9 +421,12 @@ def test_neighbours_find_nine_of_ten(spark):
     x *= rng.uniform(0.5, 2, (1500, 1))
     x[700:760] = x[20]
     rows = [(i, [float(v) for v in x[i]]) for i in range(1500)]
-    bad = [(1600, None), (1620, [0.0] * 16), (1640, [float("nan")] * 16), (1660, [None, *[1.0] * 15]), (1680, [1.0]), (None, [1.0] * 16), (0, [9.0] * 16)]
+    bad = [(1600, None), (1620, [0.0] * 16), (1640, [float("nan")] * 16), (1660, [None, *[1.0] * 15]), (1680, [1.0]), (1700, [2.0]), (1701, [-1.0]), (None, [1.0] * 16), (0, [9.0] * 16)]
     frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
-    got = ann.nearest(frame, F.col("vec_id") % 20 == 0, 20).toPandas()
+    got = ann.nearest(frame.withColumns({"id": F.lit("x"), "v": F.lit(1), "block": F.lit(2)}), F.col("vec_id") % 20 == 0, 20).toPandas()
+    short = got[got["query_id"] >= 1500].sort_values(["query_id", "rank"])
+    assert short.values.tolist() == [[1680, 1, 1700, 2.0], [1680, 2, 1701, -1.0], [1700, 1, 1680, 2.0], [1700, 2, 1701, -2.0]]
+    got = got[got["query_id"] < 1500]
     assert set(got["query_id"]) == set(range(0, 1500, 20))
     hit = 0
     for q, own in got.groupby("query_id"):
@@ -440,6 +443,23 @@ def test_neighbours_find_nine_of_ten(spark):
     assert ann.nearest(frame.filter("vec_id IS NULL"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_random_vectors_at_a_third_of_a_scan(spark):
+    """The driver's table, where nothing is near: recall against brute force, and what share of it is verified."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=float)
+    got = ann.nearest(table, F.col("vec_id") % 20 == 0, 20).toPandas()
+    hit = total = 0
+    block = ann.Block(ids, x, 11)
+    for q, own in got.groupby("query_id"):
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hit, total = hit + len(set(own["vec_id"]) & set(ids[np.argsort(-s)[:20]])), total + 20
+        block.search(q, x[ids == q][0], 20)
+    assert total == 20 * (ids % 20 == 0).sum() and hit / total >= 0.9
+    assert block.verified / len(ids) / (total / 20) < 0.4
+
+
 # 9
 
 
