@@ -94,6 +94,6 @@ ORACLES = {
     "op7_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
-               doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
+               doc_id = max(doc_id) OVER (PARTITION BY norm) AND row_number() OVER (PARTITION BY norm, doc_id) = 1 AS kept, sha256(norm) AS text_sha256
         FROM n""",
 }

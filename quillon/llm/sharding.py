@@ -1,20 +1,22 @@
 """Sharding, native: minimax contiguous partition of ordered atomic groups.
 
-Rows with equal texts share the leading bits of their MD5, so a cell of the hash space (2**CELL_BITS of them,
-however large the table) is an atomic group that no shard boundary cuts, and cells have a natural order. One
-map-side aggregate gives the cell sizes; a binary search over shard capacities, each checked greedily in one
-sweep of the ordered sizes, finds the smallest capacity that n_shards shards can hold; the same sweep at that
-capacity gives the cuts. The sweep runs in SQL higher-order functions over an array of at most 2**CELL_BITS
-longs. The map from cells to shards has at most 2**CELL_BITS rows and is joined by broadcast.
-
-Slots number a shard's rows without gaps. Rows are dealt to SLOT_BUCKETS buckets per shard by a hash of the id,
-which a group of equal texts cannot crowd; bucket counts (n_shards x SLOT_BUCKETS rows) give each bucket its
-first slot, and row_number() numbers the rows inside it.
-
-Defined results: a null text is empty; a row's size is its UTF-8 bytes plus 1. All null and empty texts share a
-shard. Rows that repeat an id get slots of their own, in an order that a tie between equal rows cannot change.
-One group larger than a shard's share makes a shard of its own size; later shards share the rest, and shards
-may stay empty. An empty table gives an empty result. Columns other than the id and the text play no part.
+Rows with equal texts are one atomic group, known by the text's MD5; groups are ordered by it. A map-side aggregate gives
+the group sizes. Running sums over them come in two steps: inside each of 2**CELL_BITS ranges of the hash, which a range
+partition keeps together, and over the ranges' totals. The smallest capacity that n_shards shards can hold is found by
+search: it lies between the larger of the greatest group and an even share, and that share plus the greatest group. Each
+round tries CANDIDATES capacities at once: for all of them the greedy sweep finds its next cut, the last group whose
+running sum stays within capacity of the cut before, in one pass over the stored sums, n_shards passes a round. The
+greedy cuts at the smallest feasible capacity are the shards; they are at most n_shards - 1 hash values, so rows find
+their shard by comparing their own hash and no map is joined.
+
+Slots number a shard's rows without gaps. Rows are dealt to SLOT_BUCKETS buckets per shard by a hash of the id, which a
+group of equal texts cannot crowd; bucket counts (n_shards x SLOT_BUCKETS rows) give each bucket its first slot, and
+row_number() numbers the rows inside it.
+
+Defined results: a null text is empty; a row's size is its UTF-8 bytes plus 1. All null and empty texts share a shard.
+Rows that repeat an id get slots of their own, in an order that a tie between equal rows cannot change. One group larger
+than an even share makes a shard of its own size; shards may stay empty. An empty table gives an empty result. Columns
+other than the id and the text play no part.
 """
 
 from __future__ import annotations
@@ -23,66 +25,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .staging import materialise
+from .staging import materialise, release
 
 CELL_BITS = 14
 SLOT_BUCKETS = 1024
-
-
-def _cell(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long").bitwiseAND(2**CELL_BITS - 1)
-
-
-def minimax_capacity(sizes: Column, n_shards: int) -> Column:
-    """The smallest capacity at which a greedy sweep over the ordered sizes needs at most n_shards shards."""
-
-    def step(state: Column, size: Column, capacity: Column) -> Column:
-        fits = state["fill"] + size <= capacity
-        return F.struct(F.when(fits, state["shards"]).otherwise(state["shards"] + 1).alias("shards"), F.when(fits, state["fill"] + size).otherwise(size).alias("fill"))
-
-    def feasible(capacity: Column) -> Column:
-        return F.aggregate(sizes, F.struct(F.lit(1).alias("shards"), F.lit(0).cast("long").alias("fill")), lambda s, x: step(s, x, capacity))["shards"] <= n_shards
-
-    def halve(span: Column, _: Column) -> Column:
-        middle = F.floor((span["low"] + span["high"]) / 2).cast("long")
-        return F.when(span["low"] >= span["high"], span).otherwise(
-            F.when(feasible(middle), F.struct(span["low"].alias("low"), middle.alias("high"))).otherwise(F.struct((middle + 1).alias("low"), span["high"].alias("high")))
-        )
-
-    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda s, x: s + x)
-    low = F.greatest(F.array_max(sizes), F.ceil(total / n_shards).cast("long"))
-    start = F.struct(low.alias("low"), F.greatest(low, F.ceil(total / n_shards).cast("long") + F.array_max(sizes)).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(62)), start, halve)["high"]
-
-
-def cut_cells(cells: DataFrame, n_shards: int) -> DataFrame:
-    """(cell, size) to (cell, shard). Cells are at most 2**CELL_BITS rows, so one row may hold them all."""
-    ordered = cells.agg(F.array_sort(F.collect_list(F.struct("cell", "size"))).alias("cells")).filter(F.size("cells") > 0)
-    sized = ordered.withColumn("capacity", minimax_capacity(F.col("cells.size"), n_shards))
-    start = F.struct(F.lit(0).cast("long").alias("fill"), F.array().cast("array<long>").alias("cuts"))
-
-    def place(state: Column, cell: Column) -> Column:
-        fits = state["fill"] + cell["size"] <= F.col("capacity")
-        return F.struct(F.when(fits, state["fill"] + cell["size"]).otherwise(cell["size"]).alias("fill"), F.when(fits, state["cuts"]).otherwise(F.array_append(state["cuts"], cell["cell"])).alias("cuts"))
-
-    cut = sized.withColumn("cuts", F.aggregate("cells", start, place)["cuts"])
-    return cut.select("cuts", F.explode("cells.cell").alias("cell")).select("cell", F.size(F.filter("cuts", lambda c: c <= F.col("cell"))).alias("shard"))
+#: Capacities tried in one round.
+CANDIDATES = 24
+
+
+def _cell(h: Column) -> Column:
+    """The leading bits of a hash in hex."""
+    return F.shiftright(F.conv(F.substring(h, 1, 4), 16, 10).cast("int"), 16 - CELL_BITS)
+
+
+def running_sums(groups: DataFrame) -> DataFrame:
+    """groups (h, size) with `upto`, the sum of the sizes of all groups up to this one in the order of h."""
+    celled = groups.withColumn("cell", _cell(F.col("h")))
+    inside = Window.partitionBy("cell").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    #: At most 2**CELL_BITS rows.
+    base = celled.groupBy("cell").agg(F.sum("size").alias("n")).select("cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    summed = celled.repartitionByRange("cell").withColumn("own", F.sum("size").over(inside))
+    return summed.join(F.broadcast(base), "cell").select("h", "size", (F.col("base") + F.col("own")).alias("upto"))
+
+
+def _next_cuts(sums: DataFrame, limits: list[int]) -> list[int]:
+    """For each limit the largest running sum that doesn't pass it; 0 if there is none."""
+    found = sums.filter(F.col("upto") <= max(limits)).agg(*[F.max(F.when(F.col("upto") <= x, F.col("upto"))).alias(f"c{i}") for i, x in enumerate(limits)]).first()
+    return [x or 0 for x in found]
+
+
+def greedy_cuts(sums: DataFrame, capacities: list[int], n_shards: int) -> list[list[int]]:
+    """For each capacity the running sums at which n_shards greedy shards end."""
+    ends: list[list[int]] = [[] for _ in capacities]
+    for _ in range(n_shards):
+        for own, end in zip(ends, _next_cuts(sums, [(e[-1] if e else 0) + c for e, c in zip(ends, capacities, strict=True)]), strict=True):
+            own.append(end)
+    return ends
+
+
+def minimax_cuts(sums: DataFrame, n_shards: int) -> tuple[int, list[int]]:
+    """(the smallest capacity at which n_shards greedy shards hold all groups, the running sums at which they end)."""
+    total, largest = sums.agg(F.max("upto"), F.max("size")).first()
+    if total is None:
+        return 0, []
+    even = -(-total // n_shards)
+    low, high, best = max(even, largest), even + largest, None
+    while best is None or low < high:
+        #: high is feasible: a greedy shard that ends takes more than an even share.
+        tried = sorted({low + (high - low) * k // CANDIDATES for k in range(CANDIDATES + 1)})
+        cuts = greedy_cuts(sums, tried, n_shards)
+        at = next(k for k, ends in enumerate(cuts) if ends[-1] == total)
+        high, best = tried[at], cuts[at]
+        low = tried[at - 1] + 1 if at else high
+    return high, best
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, size, text_crc32, shard (0 to n_shards - 1), slot (gapless from 0 in its shard)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = materialise(
-        docs.select(F.col(id_col).alias("id"), text.alias("t")).select(
-            "id", (F.octet_length("t").cast("long") + 1).alias("size"), F.crc32("t").alias("text_crc32"), _cell(F.col("t")).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(SLOT_BUCKETS)).cast("int").alias("bucket")
-        ),
+        docs.select(F.col(id_col).alias("id"), text.alias("t")).select("id", (F.octet_length("t").cast("long") + 1).alias("size"), F.crc32("t").alias("text_crc32"), F.md5("t").alias("h"), F.pmod(F.xxhash64("id"), F.lit(SLOT_BUCKETS)).cast("int").alias("bucket")),
         "shard-rows",
     )
-    cuts = cut_cells(rows.groupBy("cell").agg(F.sum("size").alias("size")), n_shards)
-    placed = rows.join(F.broadcast(cuts), "cell")
+    sums = materialise(running_sums(rows.groupBy("h").agg(F.sum("size").alias("size"))), "running-sums")
+    _, ends = minimax_cuts(sums, n_shards)
+    inner = sorted(set(ends[:-1]) - set(ends[-1:]))
+    last = [r["h"] for r in sums.filter(F.col("upto").isin(inner)).select("h").collect()] if inner else []  # at most n_shards - 1
+    release(sums)
+    shard = sum([(F.col("h") > h).cast("int") for h in last], F.lit(0))
+    placed = rows.withColumn("shard", shard)
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("id", "cell", "size", "text_crc32")
+    inside = Window.partitionBy("shard", "bucket").orderBy("id", "h")
     numbered = placed.withColumn("at", F.row_number().over(inside))
     return numbered.join(F.broadcast(first), ["shard", "bucket"]).select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("first") + F.col("at") - 1).alias("slot"))

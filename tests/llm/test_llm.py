@@ -372,22 +372,35 @@ def test_sharding(spark, odd, none):
         assert sorted(own["slot"]) == list(range(len(own)))
     again = sharding.shard_by_bytes(docs.repartition(7), 8).toPandas()
     assert dict(zip(got["doc_id"], got["shard"], strict=True)) == dict(zip(again["doc_id"], again["shard"], strict=True))
-    assert sharding.shard_by_bytes(odd).count() == odd.count()
+    found = sharding.shard_by_bytes(odd).collect()
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in found) == sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in local(odd))
+    for shard in range(8):
+        assert sorted(r["slot"] for r in found if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in found)))
     assert sharding.shard_by_bytes(none).count() == 0
 
 
-def test_capacity_is_the_smallest_feasible(spark):
-    def shards(sizes, capacity):
-        n, fill = 1, 0
-        for s in sizes:
-            n, fill = (n, fill + s) if fill + s <= capacity else (n + 1, s)
-        return n
+def greedy_shards(sizes, capacity):
+    """Shard numbers of groups in order."""
+    out, n, fill = [], 0, 0
+    for x in sizes:
+        n, fill = (n, fill + x) if fill + x <= capacity else (n + 1, x)
+        out.append(n)
+    return out
 
+
+def test_shards_are_the_minimax_partition_of_groups(spark):
     rng = random.Random(8)
-    for _ in range(6):
-        sizes, k = [rng.randint(1, 50) for _ in range(rng.randint(1, 30))], rng.randint(1, 9)
-        got = spark.range(1).select(F.array(*[F.lit(s).cast("long") for s in sizes]).alias("s")).select(sharding.minimax_capacity(F.col("s"), k)).first()[0]
-        assert got == next(c for c in range(max(sizes), sum(sizes) + 1) if shards(sizes, c) <= k)
+    for k, longest in ((3, 40), (8, 400), (5, 4), (1, 9), (8, 0)):
+        texts = [rng.choice("abcdef") * rng.randint(0, longest) for _ in range(rng.randint(1, 120))] + ["hot " * 50] * 7
+        sizes = collections.Counter()
+        for t in texts:
+            sizes[hashlib.md5(t.encode()).hexdigest()] += len(t) + 1
+        order = sorted(sizes)
+        own = [sizes[h] for h in order]
+        least = next(c for c in range(max(own), sum(own) + 1) if greedy_shards(own, c)[-1] < k)
+        want = dict(zip(order, greedy_shards(own, least), strict=True))
+        got = sharding.shard_by_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), k)
+        assert {r["doc_id"]: r["shard"] for r in got.collect()} == {i: want[hashlib.md5(t.encode()).hexdigest()] for i, t in enumerate(texts)}
 
 
 # 7
@@ -400,12 +413,14 @@ def test_exact_dedup(spark, odd, none):
     for i, t in docs:
         groups[(t or "").translate(lower)].append(i)
     got = exact_dedup.duplicate_groups(odd, keep="max").collect()
-    want = []
+    want, kept = [], set()
     for i, t in docs:
         norm = (t or "").translate(lower)
         keep = max(x for x in groups[norm] if x is not None)
-        want.append((str(i), keep, len(groups[norm]), i == keep, hashlib.sha256(norm.encode()).hexdigest()))
+        want.append((str(i), keep, len(groups[norm]), (i, norm) not in kept and i == keep, hashlib.sha256(norm.encode()).hexdigest()))
+        kept |= {(i, norm)}
     assert sorted((str(r["doc_id"]), *r[1:]) for r in got) == sorted(want)
+    assert sum(r["kept"] for r in got) == len(groups)
     stay = exact_dedup.drop_copies(odd, keep="max")
     assert stay.columns == odd.columns and sorted(r["doc_id"] for r in stay.collect()) == sorted(max(x for x in g if x is not None) for g in groups.values())
     assert exact_dedup.duplicate_groups(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
