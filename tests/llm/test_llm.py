@@ -329,7 +329,7 @@ def test_license_scan(odd, none, spark):
         assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
         assert (r["first_word"], r["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
         assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) or not places
-        assert 0 <= r["score"] <= 1
+        assert r["score"] == pytest.approx(1 - 0.8 ** len(places)) and r["labels"] == r["base_labels"]
     assert license_scan.scan(none).count() == 0
 
 
@@ -338,21 +338,91 @@ def test_suffix_automaton_gives_matching_statistics():
     for _ in range(200):
         sequences = [[rng.randint(0, 3) for _ in range(rng.randint(1, 12))] for _ in range(3)]
         automaton, query = license_scan.SuffixAutomaton(sequences), [rng.randint(0, 4) for _ in range(20)]
-        runs = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i, len(s) + 1)}
-        longest = [max(n for n in range(k + 1) if tuple(query[k - n : k]) in runs) for k in range(1, 21)]
-        want = [(k, longest[k - 1]) for k in range(1, 21) if longest[k - 1] and (k == 20 or longest[k] != longest[k - 1] + 1)]
-        assert [(at, n) for at, n, _ in automaton.runs(query)] == want
-        for at, n, state in automaton.runs(query):
-            s, end = automaton.ends[state]
-            assert sequences[s][end - n : end] == query[at - n : at]
-
-
-def test_notices_with_changes_are_spans():
-    scanner, words = license_scan.scanner(), license_scan.words_of(license_scan.NOTICES["bsd"])
-    half = len(words) // 2
-    (span,) = scanner.spans(["some", "text", *words[:half], "zzz", "yyy", *words[half:], "end"])
-    assert (span.notice, span.start, span.end) == ("bsd", 2, len(words) + 4) and span.covered == 1
-    assert scanner.spans(words[:20]) == []
+        walked = automaton.walk(query)
+        runs = [{tuple(s[i:j]) for i in range(len(s)) for j in range(i, len(s) + 1)} for s in sequences]
+        longest = [[max(n for n in range(k + 1) if tuple(query[k - n : k]) in own) for k in range(1, 21)] for own in runs]
+        assert [n for _, n in walked] == [max(own[k] for own in longest) for k in range(20)]
+        for s, own in enumerate(longest):
+            want = [(k, own[k - 1]) for k in range(1, 21) if own[k - 1] and (k == 20 or own[k] != own[k - 1] + 1)]
+            assert [(at, n) for at, n, _ in automaton.runs(walked, s)] == want
+            for at, n, places in automaton.runs(walked, s):
+                assert places == {e for e in range(n, len(sequences[s]) + 1) if sequences[s][e - n : e] == query[at - n : at]}
+
+
+def brute_spans(notices, words):
+    """(notice, start, end, covered words) by trying every pair of places, and every chain by recursion."""
+    found = []
+    for name, text in notices.items():
+        own = license_scan.words_of(text)
+        anchors = []
+        for end in range(1, len(words) + 1):
+            reach = {}
+            for e in range(1, len(own) + 1):
+                n = 0
+                while n < min(e, end) and own[e - n - 1] == words[end - n - 1]:
+                    n += 1
+                reach[e] = n
+            longest = max(reach.values())
+            follows = end < len(words) and any(reach[e] == longest and e < len(own) and own[e] == words[end] for e in reach)
+            if longest >= license_scan.MIN_RUN and not follows:
+                anchors += [(end - longest, longest, e - longest) for e in reach if reach[e] == longest]
+        best = {}
+
+        def chain_to(a):
+            if a not in best:
+                best[a] = (a[1], [a])
+                for b in anchors:
+                    cut = max(0, b[0] + b[1] - a[0])
+                    if b[0] < a[0] and cut < a[1] and a[0] - b[0] - b[1] <= license_scan.MAX_GAP and 0 <= a[2] + cut - b[2] - b[1] <= license_scan.MAX_GAP:
+                        words_, chain = chain_to(b)
+                        if words_ + a[1] - cut > best[a][0]:
+                            best[a] = (words_ + a[1] - cut, [*chain, a])
+            return best[a]
+
+        if anchors:
+            covered, chain = max((chain_to(a) for a in anchors), key=lambda x: x[0])
+            if covered >= license_scan.COVERED * len(own):
+                found.append((covered, covered / len(own), name, chain[0][0], chain[-1][0] + chain[-1][1]))
+    return max(found, key=lambda x: x[:2]) if found else None
+
+
+def test_spans_are_those_of_brute_force():
+    """Notices with changed, dropped and added words, in any order of the notices; the best span has most words covered, then the largest share."""
+    rng = random.Random(5)
+    notices = license_scan.NOTICES
+    scanners = [license_scan.Scanner(dict(order), {}) for order in (notices.items(), reversed(notices.items()))]
+    seen = set()
+    for name in [*notices] * 3:
+        words = []
+        for w in license_scan.words_of(notices[name]):
+            roll = rng.random()
+            words += [] if roll < 0.02 else [w, "zzz"] if roll < 0.04 else ["the"] if roll < 0.06 else [w]
+        words = ["some", "text", *words[: rng.choice([len(words), len(words) * 2 // 3])], "end"]
+        want = brute_spans(notices, words)
+        for scanner in scanners:
+            spans = scanner.spans(words)
+            top = max(spans, key=lambda s: (s.covered * len(license_scan.words_of(notices[s.notice])), s.covered), default=None)
+            assert (top is None) == (want is None)
+            if want:
+                assert round(top.covered * len(license_scan.words_of(notices[top.notice]))) == want[0] and top.covered == pytest.approx(want[1])
+                assert (top.notice, top.start, top.end) == want[2:]
+                seen.add(top.notice)
+    assert len(seen) >= 12
+
+
+def test_a_changed_notice_is_known_from_its_like(spark):
+    for name in ("bsd-2", "bsd-3"):
+        words = license_scan.words_of(license_scan.NOTICES[name])
+        words[24::25] = ["other"] * len(words[24::25])
+        docs = spark.createDataFrame([(1, " ".join(words), "x", 1, "y"), (2, None, None, None, None)], "doc_id long, text string, places string, id int, n_words string")
+        for notices in (license_scan.NOTICES, dict(reversed(license_scan.NOTICES.items()))):
+            found = {r["doc_id"]: r for r in license_scan.digest(license_scan.scan(docs, notices=notices)).collect()}
+            assert found[1]["labels"] == name and found[1]["score"] > 0.9
+            assert (found[2]["labels"], found[2]["score"], found[2]["n_words"]) == ("", 0.0, 0)
+    own = license_scan.scan(docs, notices={"own": "one two three four five six seven"}, phrases={"bsd": "b"})
+    assert own.first()["spans"] == []
+    with pytest.raises(ValueError):
+        license_scan.Scanner({"short": "one two"}, {})
 
 
 # 6
