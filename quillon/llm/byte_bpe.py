@@ -2,10 +2,11 @@
 
 Each Python worker loads the ranks once. A text longer than LONG_TEXT characters is cut before encoding where
 the split pattern cuts anyway, so that no call gets more than about LONG_TEXT characters and the ids are those of
-the whole text: between an ASCII letter, digit or punctuation mark and a following space or newline, the pattern
-always ends a match, and what it matches before that place does not depend on what follows. A stretch without
-such a place (say a megabyte of one letter or of spaces) is cut into its matches by the `regex` module and each
-is encoded as one piece. Ids decode to raw bytes, never through str, so no id sequence fails.
+the whole text. Of the pattern FAMILY it is known where that is: between an ASCII letter, digit or punctuation mark and a
+following space or newline it always ends a match, and what it matches before that place does not depend on what
+follows. A stretch without such a place (say a megabyte of one letter or of spaces), and a long text under any other
+pattern, is cut into its matches by the `regex` module and each is encoded as one piece. Ids decode to raw bytes, never
+through str, so no id sequence fails.
 
 Defined results: a null text is empty and has no ids; special strings are ordinary text; equal rows give equal
 results; an empty table gives an empty one; columns other than the id and the text play no part.
@@ -26,11 +27,23 @@ from pyspark.sql import functions as F
 
 LONG_TEXT = 50_000
 #: Rows per Arrow batch handled at once are bounded by the session; ids of one text at a time are held.
+#: Fixed value: the split pattern whose boundaries safe_parts knows.
+FAMILY = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SAFE = re.compile(r"(?<=[!-~])(?=[ \n][!-~])")
 
 
 @lru_cache(4)
 def load_encoding(rank_file: str, pattern: str):
+    return _encoding(rank_file, pattern)
+
+
+@lru_cache(4)
+def _pieces_of(rank_file: str):
+    """Takes what it is given as one piece."""
+    return _encoding(rank_file, r"(?s:.+)")
+
+
+def _encoding(rank_file: str, pattern: str):
     import tiktoken
 
     with open(rank_file, "rb") as f:
@@ -50,25 +63,26 @@ def safe_parts(text: str, limit: int = LONG_TEXT) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_text(enc, text: str, pattern: str, limit: int = LONG_TEXT) -> list[int]:
+def encode_text(rank_file: str, text: str, pattern: str, limit: int = LONG_TEXT) -> list[int]:
+    enc = load_encoding(rank_file, pattern)
     if len(text) <= limit:
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for part in safe_parts(text, limit):
-        if len(part) <= 4 * limit:
+    for part in safe_parts(text, limit) if pattern == FAMILY else [text]:
+        if len(part) <= 4 * limit and pattern == FAMILY:
             ids += enc.encode_ordinary(part)
         else:
-            ids += _encode_pieces(enc, part, pattern)
+            ids += _encode_matches(rank_file, part, pattern)
     return ids
 
 
-def _encode_pieces(enc, text: str, pattern: str) -> list[int]:
-    """A stretch without safe boundaries: each match of the pattern is a piece of its own."""
+def _encode_matches(rank_file: str, text: str, pattern: str) -> list[int]:
+    """Each match of the pattern is a piece of its own."""
     import regex
 
-    ids: list[int] = []
+    whole, ids = _pieces_of(rank_file), []
     for m in regex.compile(pattern).finditer(text):
-        ids += enc._encode_single_piece(m[0].encode("utf-8", "surrogatepass"))
+        ids += whole.encode_ordinary(m[0])
     return ids
 
 
@@ -78,7 +92,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
     def run(batches):
         enc = load_encoding(rank_file, pattern)
         for batch in batches:
-            ids = [encode_text(enc, t or "", pattern) for t in batch.column(1).to_pylist()]
+            ids = [encode_text(rank_file, t or "", pattern) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode_bytes(x) for x in ids], pa.binary())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -93,7 +107,7 @@ def encode_digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str =
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for t in batch.column(1).to_pylist():
-                ids = encode_text(enc, t or "", pattern)
+                ids = encode_text(rank_file, t or "", pattern)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())

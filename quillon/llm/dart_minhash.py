@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import materialise, release
+from .staging import give_back, materialise, release
 from .units import Generations
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -163,7 +163,7 @@ def _sketch(batches):
         at = 0
         while at < len(texts):
             first, sets, total = at, [], 0
-            while at < len(texts) and total < 100_000:
+            while at < len(texts) and total < 50_000:
                 sets.append(shingles_of(texts[at]))
                 total += len(sets[-1])
                 at += 1
@@ -181,6 +181,7 @@ def _sketch(batches):
                     bands[i], marks[i] = hashes[row].astype(np.int64), small[row].tobytes()
             columns = [pa.array([_digest(t) for t in texts[first:at]], pa.binary()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
             yield pa.RecordBatch.from_arrays([ids.slice(first, at - first), *columns], ["id", "digest", "key", "bands", "marks"])
+    give_back()
 
 
 def _shingle_rows(batches):

@@ -51,9 +51,15 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
 
 
 def cycle_weights(sources: DataFrame, weights: list[float]) -> DataFrame:
-    """Weights given in turn to sources in code point order, null last. One row per source is ordered."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int")))
+    """Weights given in turn to sources in code point order, null last. Ranks are counted inside ranges and over the ranges' counts, so sources may be many."""
+    order = F.col("source").asc_nulls_last()
+    dealt = materialise(sources.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "mix-order")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    #: One row per partition.
+    base = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rank = F.col("base") + F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    return dealt.join(base, "range").withColumn("weight", turn).drop("range", "base")
 
 
 def _size_class(size: Column) -> Column:

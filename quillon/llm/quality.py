@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import materialise, release
+from .staging import give_back, materialise, release
 from .units import Generations
 
 LABELLED = 6_000
@@ -130,6 +130,7 @@ def _featurise(batches):
             facts = zip(texts, split, map(len, counts), *(part.column(n + k).to_pylist() for k in (1, 2, 3)), strict=True)
             page = [np.array(page_places(*x), "<u2").tobytes() for x in facts]
             yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(x, pa.binary()) for x in (places, times, page))], [*part.schema.names[:n], "places", "counts", "page"])
+    give_back()
 
 
 class Features:
@@ -280,6 +281,8 @@ def _fit_in_task(rows: DataFrame, before: Model | None) -> Model:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         model = fit_views(table, before) if table is not None else _flat(1.0)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        del table
+        give_back()
 
     found = rows.coalesce(1).mapInArrow(run, "model binary").first()
     return pickle.loads(bytes(found[0])) if found is not None else _flat(1.0)

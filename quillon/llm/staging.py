@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,3 +39,11 @@ def release(*tables: DataFrame) -> None:
         jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(table._staged_at)
         path.getFileSystem(conf).delete(path, True)
+
+
+def give_back() -> None:
+    """Return to the system what this process's allocators hold unused: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)

@@ -222,7 +222,14 @@ def test_mixing(spark, odd, none):
     assert dict(zip(got["doc_id"], got["copies"], strict=True)) == dict(zip(again["doc_id"], again["copies"], strict=True))
     made = collections.Counter(r["doc_id"] for r in mixing.mixed(docs, [1, 2, 3]).collect())
     assert made == collections.Counter({i: n for i, n, z in zip(got["doc_id"], got["copies"], got["size"], strict=True) if n and z})
-    assert mixing.repetitions(odd, [1, 2, 3]).count() == odd.count()
+    found = mixing.repetitions(odd, [1, 2, 3]).collect()
+    words = {(i, len(re.findall(mixing.WORD, t or ""))) for i, t in local(odd)}
+    assert len(found) == odd.count() and {(r["doc_id"], r["size"]) for r in found} == words
+    assert all(r["taken"] == r["copies"] * r["size"] <= 3 * r["size"] and r["target"] <= 3 * r["source_size"] + 1e-6 for r in found)
+    assert {r["source"] for r in found} == {r["source"] for r in odd.collect()}
+    many = spark.createDataFrame([(f"s{i:04d}" if i else None, 5) for i in range(500)], "source string, source_size long").repartition(7)
+    turn = {r["source"]: r["weight"] for r in mixing.cycle_weights(many, [1, 2, 3]).collect()}
+    assert turn == {s: float(k % 3 + 1) for k, s in enumerate([*sorted(s for s in turn if s), None])}
     assert mixing.mixed(odd, [1, 2, 3]).columns == odd.columns
     assert mixing.repetitions(none, [1, 2, 3]).count() == 0
 
@@ -635,13 +642,19 @@ def test_byte_bpe(odd, none, ranked):
 
 
 def test_long_texts_are_cut_where_the_pattern_cuts(ranked):
-    enc = byte_bpe.load_encoding(RANKS, P.PATTERN)
+    import tiktoken
+
+    assert byte_bpe.FAMILY == P.PATTERN
+    other = r"[a-z]+ ?|[^a-z]{1,2}"
+    with open(RANKS, "rb") as f:
+        apart = tiktoken.Encoding("other", pat_str=other, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
     rng = random.Random(3)
     for _ in range(300):
         text = "".join(rng.choice(ALPHABET) for _ in range(60))
-        assert byte_bpe.encode_text(enc, text, P.PATTERN, limit=7) == ranked.encode_ordinary(text)
+        assert byte_bpe.encode_text(RANKS, text, P.PATTERN, limit=7) == ranked.encode_ordinary(text)
+        assert byte_bpe.encode_text(RANKS, text, other, limit=7) == apart.encode_ordinary(text)
     for text in ("a" * 5000, " " * 5000 + "b", "é\n" * 3000, "x1" * 3000):
-        assert byte_bpe.encode_text(enc, text, P.PATTERN, limit=100) == ranked.encode_ordinary(text)
+        assert byte_bpe.encode_text(RANKS, text, P.PATTERN, limit=100) == ranked.encode_ordinary(text)
 
 
 # The pipeline
@@ -677,3 +690,27 @@ def test_pipeline_stages_against_brute_force(spark):
             assert collections.Counter((r["doc_id"], r["decoded_sha256"]) for r in after) == texts
         else:
             assert kept.columns == docs.columns
+
+
+def test_pipeline_over_odd_tables(spark, odd, none, tmp_path):
+    """Nulls, repeated rows and ids, long texts and columns with clashing names; then an empty table."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(0, 1), (2, 1), (3, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    for name, docs in (("odd", odd), ("none", none)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        known = {(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in local(docs)}
+        assert {(r["doc_id"], r["decoded_sha256"]) for r in out.collect()} <= known
+        kept = docs
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            kept = run(spark, kept, f"{tmp_path}/{name}").cache()
+            assert kept.columns == docs.columns
+            rows = [tuple(r) for r in kept.collect()]
+            assert set(rows) <= {tuple(r) for r in docs.collect()}
+            if stage == "exact_dedup":
+                lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+                assert len({(r[1] or "").translate(lower) for r in rows}) == len(rows)
+        assert (out.count() == 0) == (name == "none")
