@@ -7,6 +7,12 @@
 5. byte_bpe      every text is encoded by the local rank file and decoded again
 
 A document that the mix repeats comes out of stage 4, and so of stage 5, as that many equal rows.
+
+Defined results: a null text is empty in every stage. Rows that repeat an id are documents of their own; equal texts
+among them go in stage 2, where a null id stays only if its text has no other. In stage 3 rows with a null id stay.
+A text without words, null or empty, has size 0 and so goes in stage 4; a null source is a source of its own. Columns of
+any other name pass through the first four stages unchanged. Without labels of both kinds stage 1 keeps all. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
