@@ -181,10 +181,11 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, pattern: str, e
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     made = rows.mapInArrow(_encoder(tokenizer_file, pattern, end_id, arrow), _objects_schema(kind))
     mark = F.xxhash64("n_tokens", "wide", "payload")
-    once = made.groupBy("kind", "route").agg(*[F.first(c).alias(c) for c in _NAMES[2:]], F.min(mark).alias("low"), F.max(mark).alias("high"))
+    #: Tasks give a chunk once each, so nothing is combined before the shuffle.
+    once = made.repartition("kind", "route").groupBy("kind", "route").agg(*[F.first(c).alias(c) for c in _NAMES[2:]], F.min(mark).alias("low"), F.max(mark).alias("high"))
     clash = F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two payloads have one address")).cast("long")).otherwise(F.col("n_tokens"))
     once = once.withColumn("n_tokens", clash).drop("low", "high")
-    once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    once.write.partitionBy("kind").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(f"{path}/objects")
     recipes = _objects(spark, path, kind).filter("kind = 'recipe'").select("id", "n_tokens", "addresses", "root", "route")
     ordered = recipes.repartitionByRange("id").sortWithinPartitions("id", "root", "route").drop("route")
     ordered.mapInArrow(_running(arrow), f"id {kind}, segment int, local_start long, n_tokens long, addresses array<binary>, root binary").write.option("compression", "zstd").parquet(f"{path}/index")

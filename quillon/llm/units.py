@@ -33,6 +33,9 @@ _UNSAFE_RE2 = r"[ \n][\s\v\x1c-\x1f\x85\p{Z}]|[\s\v\x1c-\x1f\x85\p{Z}]\n"
 _LONG = 256
 #: Characters of a piece of a long text, and bytes of texts that are split at once.
 _PIECE, _SPLIT_BYTES = 1_000_000, 8_000_000
+#: A word and marks after it, each a match of the library's pattern; no apostrophe, which may start one with letters.
+_MARKED = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+_WORD_LIKE = re.compile(r"[^\W\d_]*([!-&(-/:-@\[-`{-~]*|.)", re.S)
 _PIECE_END = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -79,8 +82,9 @@ class _Units(Generations):
 
     def __init__(self, encoder: UnitEncoder, limit: int):
         super().__init__(encoder.encode_key, limit)
-        self.tokens, self.model, self.space, self.id_bytes = encoder.tokens, encoder.model, encoder.space, encoder.id_bytes
-        self.words_only = not any(s.isalpha() or s[:-1].isalpha() for s in encoder.specials)
+        self.tokens, self.model, self.space, self.id_bytes, self.letters, self.line_end = encoder.tokens, encoder.model, encoder.space, encoder.id_bytes, encoder.letters, encoder.line_end
+        #: Whether no special token's string can be a word, with marks after it or not.
+        self.words_only = not any(_WORD_LIKE.fullmatch(s) for s in encoder.specials)
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
@@ -95,12 +99,17 @@ class _Units(Generations):
                     value = b"".join([id_bytes[t.id] for t in self.model.tokenize(self.space + key)])
                 elif key[:-1].isalpha() and key[-1] != " ":
                     value = self[key[:-1]] + self.tokens[key[-1]]
+                elif (m := _MARKED.fullmatch(key)) is not None:
+                    value = self[m[1]] + self.tokens[m[2]]
+                elif key[:1] == "\n" and key[1:].isalpha():
+                    value = self.line_end + self.tokens[key[1:]]
                 else:
                     value = self.make(key)
             elif not _PLAIN.fullmatch(key):
                 value = self.make(key)
             elif key.isalpha():
-                value = self.tokens.make(" " + key)
+                id_bytes = self.id_bytes
+                value = b"".join([id_bytes[t.id] for t in self.model.tokenize(self.space + key.encode().decode("latin-1").translate(self.letters))])
             elif key[:-1].isalpha() and key[-1] != " ":
                 value = self[key[:-1]] + self.tokens[key[-1]]
             else:
