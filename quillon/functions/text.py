@@ -5,6 +5,8 @@ Fixed values that results depend on stand together at the top, as text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,13 @@ FIELD_NAMES = {
     "creationdate": "/CreationDate", "created": "/CreationDate", "moddate": "/ModDate", "modified": "/ModDate", "trapped": "/Trapped",
 }
 
+# Names of metadata fields as people write them, in two languages, and the field they stand for.
+METADATA_NAMES = {
+    "author": "/Author", "title": "/Title", "subject": "/Subject", "keywords": "/Keywords", "creator": "/Creator", "producer": "/Producer",
+    "created": "/CreationDate", "modified": "/ModDate",
+    "автор": "/Author", "заголовок": "/Title", "тема": "/Subject", "ключевые слова": "/Keywords", "создано": "/CreationDate", "изменено": "/ModDate",
+}
+
 FROM = SPACES + HYPHENS + APOSTROPHES + QUOTES
 TO = " " * len(SPACES) + "-" * len(HYPHENS) + "'" * len(APOSTROPHES) + '"' * len(QUOTES)
 
@@ -97,19 +106,40 @@ def field_key(name: Column, aliases: dict[str, str]) -> Column:
     return F.when(name.startswith("/"), name).otherwise(F.coalesce(F.element_at(table, plain), other))
 
 
+def metadata_key(name: Column) -> Column:
+    """A metadata field by the name people write: METADATA_NAMES whatever the case, names with a slash stay, others get a slash and one capital, the rest small."""
+    table = F.create_map(*[F.lit(x) for kv in METADATA_NAMES.items() for x in kv])
+    plain = F.trim(name)
+    other = F.concat(F.lit("/"), F.upper(F.substring(plain, 1, 1)), F.lower(F.substring(plain, 2, 1 << 20)))
+    return F.coalesce(F.element_at(table, F.lower(plain)), F.when(plain.startswith("/"), plain).otherwise(other))
+
+
 def page_list(spec: Column, n_pages: Column) -> Column:
-    """'1,3-5' to sorted distinct pages from 0. Blank: null (all pages). A page out of range: null in the first place of the array; a reversed range is empty."""
+    """'1,3-5' to struct<pages, error>: sorted distinct pages from 0. Blank: both null, which stands for all pages.
+
+    A reversed range is empty, and so may the list be: that is no pages. What is no number or range, or out of range, is an
+    error, and pages is null then; error never comes with pages, so a bad list can't pass for all pages.
+    """
     parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
+    strange = F.filter(parts, lambda p: ~p.rlike(r"^\d{1,9}(\s*-\s*\d{1,9})?$"))
     low = lambda p: F.trim(F.split_part(p, F.lit("-"), F.lit(1))).try_cast("int")
     high = lambda p: F.trim(F.split_part(p, F.lit("-"), F.when(p.contains("-"), 2).otherwise(1))).try_cast("int")
-    pages = F.flatten(F.transform(parts, lambda p: F.when(low(p) <= high(p), F.sequence(low(p), high(p))).otherwise(F.array().cast("array<int>"))))
-    good = F.forall(pages, lambda x: (x >= 1) & (x <= n_pages))
-    return F.when(F.trim(spec) == "", F.lit(None)).when(good, F.array_sort(F.array_distinct(F.transform(pages, lambda x: x - 1))))
+    ranges = F.filter(parts, lambda p: low(p) <= high(p))
+    outside = F.filter(ranges, lambda p: (low(p) < 1) | (high(p) > n_pages))
+    error = F.when(F.size(strange) > 0, F.concat(F.lit("no page or range: "), F.get(strange, F.lit(0)))).when(F.size(outside) > 0, F.concat(F.lit("out of range: "), F.get(outside, F.lit(0))))
+    pages = F.flatten(F.transform(ranges, lambda p: F.sequence(low(p) - 1, high(p) - 1)))
+    blank = F.coalesce(F.trim(spec) == "", F.lit(True))
+    return F.struct(F.when(~blank & error.isNull(), F.array_sort(F.array_distinct(pages))).alias("pages"), F.when(~blank, error).alias("error"))
 
 
-def assignments(items: Column) -> Column:
-    """['k=v', ...] to a map: split at the first equals sign, the last of equal keys wins."""
-    pairs = F.transform(F.filter(items, lambda x: x.contains("=")), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("k"), F.regexp_replace(x, "(?s)^[^=]*=", "").alias("v")))
+def on_pages(page: Column, pages: Column) -> Column:
+    """Whether a page is asked for: null asks for all, an empty array for none."""
+    return pages.isNull() | F.array_contains(pages, page)
+
+
+def assignments(items: Column, key: Callable[[Column], Column] = lambda k: k) -> Column:
+    """['k=v', ...] to a map: split at the first equals sign, key says what a name stands for, the last of equal keys wins."""
+    pairs = F.transform(F.filter(items, lambda x: x.contains("=")), lambda x: F.struct(key(F.split_part(x, F.lit("="), F.lit(1))).alias("k"), F.regexp_replace(x, "(?s)^[^=]*=", "").alias("v")))
     return F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.map_from_arrays(F.array(p["k"]), F.array(p["v"]))))
 
 
@@ -125,7 +155,18 @@ def minimal_edit(old: Column, new: Column) -> Column:
     """The smallest span to replace: struct<start, end, replacement>, null if equal. A pure insertion takes a neighbour in."""
     n, m = F.length(old), F.length(new)
     least = F.least(n, m)
-    same = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), F.struct(F.lit(0).alias("run"), F.lit(True).alias("on")), lambda s, i: F.struct(F.when(s["on"] & (i <= least) & (F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))), s["run"] + 1).otherwise(s["run"]).alias("run"), (s["on"] & (i <= least) & (F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1)))).alias("on")))["run"]
+
+    def same(a: Column, b: Column) -> Column:
+        """How many first characters agree, by halving: each step compares two prefixes whole."""
+        start = F.struct(F.lit(0).alias("low"), least.alias("high"))
+
+        def halve(span: Column, _: Column) -> Column:
+            middle = F.ceil((span["low"] + span["high"]) / 2).cast("int")
+            agree = F.substr(a, F.lit(1), middle) == F.substr(b, F.lit(1), middle)
+            return F.struct(F.when(agree, middle).otherwise(span["low"]).alias("low"), F.when(agree, span["high"]).otherwise(F.greatest(middle - 1, span["low"])).alias("high"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve)["low"]
+
     head = same(old, new)
     tail = F.least(same(F.reverse(old), F.reverse(new)), least - head)
     insertion = (n - tail == head) & (n > 0)

@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import written
+
 
-def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, depth) for all that roots (node) reach, roots at depth 0; depth is the fewest steps.
 
-    Semi-naive: each round follows edges from the newest nodes only and drops those known, so cycles end. Every round's
-    new nodes are checkpointed where spark.checkpoint.dir is set, else cached, so no lineage grows.
+    Semi-naive: each round follows edges from the newest nodes only and drops those known, so cycles end. Every round's new
+    nodes are written once in the shared folder, what is known is the union of those tables, and rounds go on until one finds
+    nothing.
     """
-    spark = edges.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    cut = (lambda df: df.checkpoint()) if shared else (lambda df: df.persist())
-    links = edges.select(F.col(src).alias("__from"), F.col(dst).alias("node")).distinct()
-    new = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    known = new
-    for depth in range(1, max_rounds + 1):
-        step = new.select(F.col("node").alias("__from")).join(links, "__from").select("node").filter(F.col("node").isNotNull()).distinct()
-        new = cut(step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+    links = written(edges.select(F.col(src).alias("__from"), F.col(dst).alias("node")).filter("node IS NOT NULL").distinct(), "links")
+    rounds = [written(roots.select("node").distinct().withColumn("depth", F.lit(0)), "reached")]
+    while True:
+        step = rounds[-1].select(F.col("node").alias("__from")).join(links, "__from").select("node").distinct()
+        known = reduce(DataFrame.unionByName, rounds)
+        new = written(step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(len(rounds))), "reached")
         if new.isEmpty():
             return known
-        known = cut(known.unionByName(new))
-    raise RuntimeError("more is reachable; raise max_rounds")
+        rounds.append(new)
 
 
 def dangling(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

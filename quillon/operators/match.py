@@ -22,11 +22,66 @@ def ranked_choice(requests: DataFrame, catalogue: DataFrame, request_id: str, on
     return joined.withColumn("__at", F.row_number().over(Window.partitionBy(request_id).orderBy("bucket", *order))).filter(F.col("__at") == 1).drop("__at")
 
 
+def nearest_by_buckets(rows: DataFrame, id_col: str, buckets: list[list[str]], value: str) -> DataFrame:
+    """For each row the other row of its best bucket: id_col, candidate, bucket.
+
+    A bucket is a list of columns that both share; the first that holds another row decides. Inside it the nearest by value
+    is taken, ties by the smaller id. Values of a bucket stand in order, so a row looks at its own and the two next to it, and
+    no pairs are made. Ids are distinct; a null in a bucket's column or the value takes no part.
+    """
+    best = rows.select(F.col(id_col).alias("__id"))
+    offers = []
+    for no, columns in enumerate(buckets):
+        own = rows.select(F.col(id_col).alias("__id"), F.col(value).alias("__v"), *columns).dropna()
+        ranked = own.withColumn("__at", F.row_number().over(Window.partitionBy(*columns, "__v").orderBy("__id"))).filter("__at <= 2")
+        levels = ranked.groupBy(*columns, "__v").agg(F.min("__id").alias("__first"), F.max(F.when(F.col("__at") == 2, F.col("__id"))).alias("__second"))
+        w = Window.partitionBy(*columns).orderBy("__v")
+        near = [F.when(F.lag("__v").over(w).isNotNull(), F.struct((F.col("__v") - F.lag("__v").over(w)).alias("d"), F.lag("__first").over(w).alias("id"))), F.when(F.lead("__v").over(w).isNotNull(), F.struct((F.lead("__v").over(w) - F.col("__v")).alias("d"), F.lead("__first").over(w).alias("id")))]
+        levels = levels.withColumn("__beside", F.array_min(F.array_compact(F.array(*near))))
+        found = own.join(levels, [*columns, "__v"])
+        same = F.when(F.col("__first") != F.col("__id"), F.col("__first")).otherwise(F.col("__second"))
+        offers.append(found.select("__id", F.coalesce(same, F.col("__beside.id")).alias("candidate"), F.lit(no).alias("bucket")).filter("candidate IS NOT NULL"))
+    every = offers[0]
+    for o in offers[1:]:
+        every = every.unionByName(o)
+    first = every.groupBy("__id").agg(F.min(F.struct("bucket", "candidate")).alias("b"))
+    return best.join(first, "__id").select(F.col("__id").alias(id_col), "b.candidate", "b.bucket")
+
+
 def covers(charset: Column, text: Column) -> Column:
     """Whether a character set has all characters of a text."""
     return F.size(F.array_except(F.split(text, ""), F.array_union(charset, F.array(F.lit(""))))) == 0
 
 
+def missing_characters(text: Column, charset: Column) -> Column:
+    """The characters of a text that a set lacks, each once, in the order they first appear."""
+    return F.array_except(F.filter(F.split(text, ""), lambda c: c != ""), charset)
+
+
+def required_characters(texts: DataFrame, per: list[str], text: str) -> DataFrame:
+    """Per group the characters that its texts need, sorted: per, characters. Each task gives a character once."""
+    once = texts.select(*per, F.explode(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))).alias("c")).distinct()
+    return once.groupBy(*per).agg(F.array_sort(F.collect_list("c")).alias("characters"))
+
+
+def with_lookups(codes: DataFrame, steps: list[tuple[DataFrame, str, str]], default: Column, name: str) -> DataFrame:
+    """codes with `name`, the first value found by left lookups in turn: (table, column that both share, value); else default."""
+    out, found = codes, []
+    for i, (table, on, value) in enumerate(steps):
+        out = out.join(table.select(F.col(on).alias(f"__k{i}"), F.col(value).alias(f"__v{i}")), F.col(on) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
+        found.append(F.col(f"__v{i}"))
+    return out.withColumn(name, F.coalesce(*found, default)).drop(*[f"__v{i}" for i in range(len(steps))])
+
+
+def first_role(roles: list[tuple[DataFrame, str]], key: list[str]) -> DataFrame:
+    """One role for each key that any table holds: that of the first table in the list."""
+    out = None
+    for rank, (table, role) in enumerate(roles):
+        one = table.select(*key, F.struct(F.lit(rank).alias("rank"), F.lit(role).alias("role")).alias("r"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(*key).agg(F.min("r").alias("r")).select(*key, "r.role")
+
+
 def band_nearest(points: DataFrame, bands: DataFrame, point_id: str, on: list[str], at: str, low: str, high: str, width: float, distance: Column, tie: Column, extra: Column | None = None) -> DataFrame:
     """For each point the band [low, high] around it that is nearest by distance, ties by tie, of those that `extra` holds for.
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import written
+
 from .search import top_rows
 
 
@@ -39,14 +42,39 @@ def outcome(rules: list[Rule]) -> DataFrame:
     return ran.join(F.broadcast(counts), "key", "left").select("key", "severity", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) == 0).alias("passed"))
 
 
-def guarded(check: Callable[[], DataFrame], key: str, subject: str, schema: str) -> DataFrame:
-    """A check that fails while it is planned becomes a note about itself and does not stop the others."""
+def checked(rules: list[Rule]) -> DataFrame:
+    """findings of rules that may fail: each is run by itself and written, and one that fails, while it is planned or while it
+    runs, becomes a note `check-failed` about itself (its key is the subject) and does not stop the others."""
     from pyspark.sql import SparkSession
 
-    try:
-        return check()
-    except Exception as e:
-        return SparkSession.getActiveSession().createDataFrame([(f"check-failed {key}", "note", None, str(e)[:200])], schema)
+    spark = SparkSession.getActiveSession()
+    found = []
+    for r in rules:
+        try:
+            found.append(written(findings([r]), "findings"))
+        except Exception as e:  # whatever a check raises is its finding
+            said = str(e).splitlines()[0][:200] if str(e) else type(e).__name__
+            found.append(spark.createDataFrame([("check-failed", "note", r.key, said)], "key string, severity string, subject string, text string"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def overall(outcomes: DataFrame) -> DataFrame:
+    """One row of outcome's rows: n_rules, n_findings, `valid` (no divergence) and `clean` (nothing found at all)."""
+    return outcomes.agg(F.count(F.lit(1)).alias("n_rules"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_findings"), (F.count_if(~F.col("passed") & (F.col("severity") == "divergence")) == 0).alias("valid"), (F.count_if(~F.col("passed")) == 0).alias("clean"))
+
+
+# Parts of a parser's note that tell of damage.
+CRITICAL_NOTES = ["parse error", "EOF while reading", "expected endstream", "unable to find", "attempting to reconstruct", "stream data is invalid", "damaged"]
+
+
+def note_severity(text: Column) -> Column:
+    """error for a note that tells of damage, else warning."""
+    return F.when(F.exists(F.array(*[F.lit(x) for x in CRITICAL_NOTES]), lambda x: F.contains(text, x)), "error").otherwise("warning")
+
+
+def distinct_notes(notes: DataFrame, per: list[str], text: str, order: str) -> DataFrame:
+    """Each note of a group once, where it first came."""
+    return notes.groupBy(*per, text).agg(F.min(order).alias(order))
 
 
 def report(found: DataFrame, per_key: int) -> DataFrame:

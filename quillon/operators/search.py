@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,35 +51,118 @@ def matches(text: Column, pattern: Pattern) -> Column:
     return F.filter(F.regexp_extract_all(normalise(text), F.lit(pattern.java()), F.lit(0)), lambda m: m != "")
 
 
-def find_offsets(rows: DataFrame, pattern: Pattern, id_col: str, text_col: str) -> DataFrame:
-    """One row per match: id, match_no (from 0), start, end (in the source text), matched. Offsets go back through the normalisation."""
-    source = pattern.source()
+def _positions(text: str, plain: str) -> list[int] | range:
+    """For each character of the normalised text the place of its source."""
+    return range(len(text)) if len(plain) == len(text) else [k for k, c in enumerate(text) for _ in LIGATURES.get(c, c)]
+
+
+def _hits(compiled: re.Pattern, text: str) -> list[tuple[int, int, re.Match]]:
+    """(start, end) in the source text of each match that has a length."""
+    plain = plain_normalise(text)
+    back = _positions(text, plain)
+    return [(back[m.start()], back[m.end() - 1] + 1, m) for m in compiled.finditer(plain) if m.end() > m.start()]
+
+
+def _expanded(m: re.Match, template: str, regex: bool) -> str:
+    """The template for a match; one that the expression can't fill is taken as it is."""
+    if not regex:
+        return template
+    try:
+        return m.expand(template)
+    except (re.error, IndexError):
+        return template
+
+
+def find_offsets(rows: DataFrame, pattern: Pattern, id_col: str, text_col: str, template: str | None = None) -> DataFrame:
+    """One row per match: id, match_no (from 0), start, end (in the source text), matched; with a template also new_text. Offsets go back through the normalisation."""
+    source, regex = pattern.source(), pattern.regex
+    names = ["id", "match_no", "start", "end", "matched", *(["new_text"] if template is not None else [])]
 
     def run(batches):
-        compiled = re.compile(source)
+        compiled = re.compile(source) if pattern.text else None
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = tuple([] for _ in names)
             for i, text in enumerate(batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                plain = plain_normalise(text)
-                back = list(range(len(text))) if len(plain) == len(text) else [k for k, c in enumerate(text) for _ in LIGATURES.get(c, c)]
-                no = 0
-                for m in compiled.finditer(plain):
-                    if m.end() > m.start():
-                        for column, value in zip(out, (i, no, back[m.start()], back[m.end() - 1] + 1, m[0]), strict=True):
-                            column.append(value)
-                        no += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.string())], ["id", "match_no", "start", "end", "matched"])
+                for no, (start, end, m) in enumerate(_hits(compiled, text) if text and compiled else []):
+                    for column, value in zip(out, (i, no, start, end, m[0], *([_expanded(m, template, regex)] if template is not None else [])), strict=True):
+                        column.append(value)
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, k) for x, k in zip(out[1:], kinds, strict=False))], names)
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, match_no int, start int, end int, matched string").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, match_no int, start int, end int, matched string" + (", new_text string" if template is not None else "")
+    return rows.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def replacement_plan(rows: DataFrame, pattern: Pattern, template: str, id_col: str, text_col: str, count: int = 0) -> DataFrame:
+    """The edits that `replace_first` makes, as find_offsets gives them: a dry run and the real one have the same plan. count > 0 keeps the first of all by (id, match_no)."""
+    return first_n(find_offsets(rows, pattern, id_col, text_col, template), count, [F.col(id_col), F.col("match_no")])
+
+
+def replace_first(rows: DataFrame, pattern: Pattern, template: str, id_col: str, text_col: str, count: int = 0) -> DataFrame:
+    """rows with the first count matches replaced (all if it isn't positive) and `n_replaced`; nothing else of a text changes. Ids are distinct."""
+    edits = replacement_plan(rows, pattern, template, id_col, text_col, count)
+    edit = F.struct("start", "end", F.col("new_text").alias("text"))
+    each = edits.groupBy(F.col(id_col).alias("__id")).agg(F.collect_list(edit).alias("__edits"))
+    found = rows.join(each, rows[id_col] == F.col("__id"), "left")
+    changed = F.when(F.col("__edits").isNotNull(), splice(F.col(text_col), F.col("__edits"))).otherwise(F.col(text_col))
+    return found.withColumns({text_col: changed, "n_replaced": F.coalesce(F.size("__edits"), F.lit(0))}).drop("__id", "__edits")
+
+
+def not_found_hints(rows: DataFrame, pattern: Pattern, id_col: str, text_col: str) -> DataFrame:
+    """Texts (id) without a match that would have one if their line ends were spaces: what is sought stands over two lines."""
+    joined = F.replace(F.col(text_col), F.lit("\n"), F.lit(" "))
+    return rows.filter((match_count(F.col(text_col), pattern) == 0) & (match_count(joined, pattern) > 0)).select(id_col)
+
+
+def find_grouped(lines: DataFrame, per: list[str], pattern: Pattern, space_gap: float) -> DataFrame:
+    """Matches in the text of visual lines, which may stand over several runs, one row per piece.
+
+    lines: `per`, baseline, line_no, x0, run_id, gap and text, as layout.visual_lines gives them; a gap of space_gap or more
+    before a run is a space that no run holds. Rows: per, baseline, line_no, match_no (from 0 in its line), matched, piece_no
+    (from 0 in its match), run_id, start and end (characters of the run). A match of spaces between runs alone has no piece.
+    """
+    source, keys = pattern.source(), [*per, "baseline", "line_no"]
+
+    def run(batches):
+        compiled = re.compile(source)
+        for batch in batches:
+            at, rest = [], [[] for _ in range(6)]
+            for row, runs in enumerate(batch.column(len(keys)).to_pylist()):
+                text, index = "", []
+                for r in runs:
+                    own = r["text"] or ""
+                    if index and r["gap"] is not None and r["gap"] >= space_gap and not text.endswith(" "):
+                        text, index = text + " ", [*index, (None, -1)]
+                    text += own
+                    index.extend((r["run_id"], k) for k in range(len(own)))
+                for no, (start, end, m) in enumerate(_hits(compiled, text) if pattern.text else []):
+                    spans: dict = {}
+                    for run_id, k in index[start:end]:
+                        if k >= 0:
+                            spans[run_id] = (min(k, spans.get(run_id, (k, k))[0]), k + 1)
+                    for piece, (run_id, (low, high)) in enumerate(spans.items()):
+                        at.append(row)
+                        for column, value in zip(rest, (no, m[0], piece, run_id, low, high), strict=True):
+                            column.append(value)
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in batch.columns[: len(keys)]), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], [*keys, "match_no", "matched", "piece_no", "run_id", "start", "end"])
+
+    held = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x0", F.col("run_id").cast("long").alias("run_id"), "gap", "text"))).alias("runs"))
+    kinds = ", ".join(f"`{k}` {held.schema[k].dataType.simpleString()}" for k in keys)
+    return held.mapInArrow(run, f"{kinds}, match_no int, matched string, piece_no int, run_id long, start int, end int")
 
 
 def top_rows(found: DataFrame, per: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each group by order, with `total`, how many there were: a cap never loses the count."""
-    group = Window.partitionBy(*per)
-    return found.withColumn("rank", F.row_number().over(group.orderBy(*order))).withColumn("total", F.count(F.lit(1)).over(group)).filter(F.col("rank") <= k)
+    """The first k rows of each group by order, with `total`, how many there were: a cap never loses the count.
+
+    Ranks are cut in every task before rows meet, totals are counted there, so a group that holds most rows stays small.
+    """
+    first = found.withColumn("rank", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).filter(F.col("rank") <= k)
+    totals = found.groupBy(*[F.col(c).alias(f"__{c}") for c in per]).agg(F.count(F.lit(1)).alias("total"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in per]
+    return first.join(totals, same).drop(*[f"__{c}" for c in per])
 
 
 def first_n(found: DataFrame, n: int, order: list[Column]) -> DataFrame:
@@ -92,7 +176,33 @@ def java_template(template: str) -> str:
 
 
 def replace_matches(text: Column, pattern: Pattern, template: str) -> Column:
-    return F.regexp_replace(normalise(text), pattern.java(), java_template(template) if pattern.regex else re.sub(r"([\\$])", r"\\\1", template))
+    """All matches replaced; what isn't matched stays as it is, also where it is written in characters that the search takes as others.
+
+    Texts that normalisation leaves alone are replaced by the JVM. Only the others, and all under an expression that may
+    match nothing (such matches don't count), go to Python.
+    """
+    source, regex = pattern.source(), pattern.regex
+    if not pattern.text:
+        return text
+
+    @F.pandas_udf("string")
+    def spliced(texts: pd.Series) -> pd.Series:
+        compiled = re.compile(source)
+
+        def one(t):
+            if t is None:
+                return None
+            for start, end, m in reversed(_hits(compiled, t)):
+                t = t[:start] + _expanded(m, template, regex) + t[end:]
+            return t
+
+        return texts.map(one, na_action="ignore")
+
+    if re.compile(source).search(""):
+        return spliced(text)
+    plain = normalise(text) == text
+    replaced = F.regexp_replace(text, pattern.java(), java_template(template) if regex else re.sub(r"([\\$])", r"\\\1", template))
+    return F.when(plain, replaced).otherwise(spliced(F.when(~plain, text)))
 
 
 def glyph_span(char_to_glyph: Column, start: Column, end: Column) -> Column:
@@ -117,10 +227,15 @@ def edits_of(found: DataFrame, match_cols: list[str], new_text: Column, old_text
 
 
 def atomic(edits: DataFrame, refused: Column, group_col: str) -> DataFrame:
-    """Edits with `applied`: one refused member refuses its whole group; group 0 is none, its edits stand alone."""
+    """Edits with `applied`: one refused member refuses its whole group; group 0 (or null) is none, its edits stand alone.
+
+    Only groups with a refused member are joined, and edits without a group take no part in the join.
+    """
     own = F.coalesce(refused, F.lit(False))
-    any_ = F.max(own.cast("int")).over(Window.partitionBy(group_col)) == 1
-    return edits.withColumn("applied", ~F.when(F.col(group_col) == 0, own).otherwise(any_))
+    alone = F.coalesce(F.col(group_col) == 0, F.lit(True))
+    bad = edits.filter(~alone & own).select(F.col(group_col).alias("__bad")).distinct()
+    grouped = edits.filter(~alone).join(bad, F.col(group_col) == F.col("__bad"), "left").withColumn("applied", F.col("__bad").isNull()).drop("__bad")
+    return edits.filter(alone).withColumn("applied", ~own).unionByName(grouped)
 
 
 def refusal(start: Column, end: Column, size: Column, found: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,27 @@ def routed(rows: DataFrame, refusals: list[tuple[Column, str]], route: str = "in
 
 
 def append_revision(path: str, current: DataFrame, changes: DataFrame, keys: list[str], revision: int) -> int:
-    """Append changes as a revision of a Parquet table, then read it back: raises unless all rows arrived. Gives the number of rows."""
+    """Append changes as a revision of a Parquet table, all or nothing. Gives the number of rows.
+
+    The rows are written beside the table and read back there; only if they are those of `changes` do they become the folder
+    `revision=N` of the table, by one rename. A revision that is there already is not written again.
+    """
     spark = changes.sparkSession
-    changes.withColumn("revision", F.lit(revision)).write.mode("append").parquet(path)
-    back = spark.read.parquet(path).filter(F.col("revision") == revision).drop("revision")
-    missing = changes.select(*back.columns).exceptAll(back).count()
-    if missing:
-        raise OSError(f"{missing} rows of revision {revision} did not arrive in {path}")
-    return back.count()
+    target, beside = f"{path.rstrip('/')}/revision={revision}", f"{path.rstrip('/')}/_writing-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = place(path).getFileSystem(conf)
+    if files.exists(place(target)):
+        raise OSError(f"revision {revision} is there already")
+    try:
+        changes.write.parquet(beside)
+        back = spark.read.schema(changes.schema).parquet(beside)
+        wrong = changes.exceptAll(back).count() + back.exceptAll(changes).count()
+        if wrong:
+            raise OSError(f"{wrong} rows of revision {revision} did not arrive")
+        rows = back.count()
+        if not files.rename(place(beside), place(target)):
+            raise OSError(f"revision {revision} could not take its place")
+    finally:
+        files.delete(place(beside), True)
+    return rows

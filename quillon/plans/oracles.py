@@ -27,7 +27,7 @@ _RULES = """
           UNION ALL SELECT 'no-customer', 'divergence', CAST(o_orderkey AS VARCHAR), 'order without a customer' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))"""
 _RUNS = """
     runs AS (SELECT conv_id, turn AS run_id, CAST((turn % 4) * 40 AS DOUBLE) AS x0, CAST((turn % 4) * 40 + length(text) % 41 AS DOUBLE) AS x1,
-                    CAST(turn // 4 * 20 AS DOUBLE) AS y0, CAST(turn // 4 * 20 + 10 AS DOUBLE) AS y1, left(text, 12) AS text FROM conversations)"""
+                    CAST(turn // 4 * 20 AS DOUBLE) AS y0, CAST(turn // 4 * 20 + 10 AS DOUBLE) AS y1, text FROM conversations)"""
 _NAMED = """
     named AS (SELECT p_partkey, p_size, concat(['ABCDEF+Arial-Bold', 'Times SemiBold Italic', 'Light Sans', 'XYZABC+Georgia Black', 'Plain Oblique', 'Some ExtraLight'][p_partkey % 6 + 1], ' ', p_name) AS name FROM part),
     s AS (SELECT *, regexp_replace(name, '^[A-Z]{6}\\+', '') AS stripped, lower(name) AS low FROM named)"""
@@ -37,21 +37,36 @@ ORACLES = {
         CAST(length(replace(text, 'ff', chr(64256))) AS INTEGER) AS n_source FROM documents""",
     "find_count": "SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, 'the')), 0) AS BIGINT) AS n FROM documents",
     "find_ignore_case": "SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '(?i)license')), 0) AS BIGINT) AS n FROM documents",
-    "find_whole_word": "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\bthe\\b')) AS BIGINT) AS n FROM documents WHERE lang = 'en'",
+    "find_whole_word": "SELECT doc_id, CAST(coalesce(len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+'), lambda x: x = 'the')), 0) AS BIGINT) AS n FROM documents",
     "find_page_filter": "SELECT conv_id, turn, CAST(coalesce(len(regexp_extract_all(text, 'th')), 0) AS BIGINT) AS n FROM conversations WHERE turn IN (0, 2)",
     "find_top_docs": """WITH f AS (SELECT lang, doc_id, CAST(len(regexp_extract_all(text, 'e')) AS BIGINT) AS n FROM documents)
         SELECT lang, doc_id, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, doc_id) AS rank, count(*) OVER (PARTITION BY lang) AS total
         FROM f WHERE n > 0 QUALIFY rank <= 10""",
     "replace_swap": "SELECT conv_id, turn, md5(regexp_replace(text, '([a-z]+) ([a-z]+)', '\\2 \\1', 'g')) AS changed FROM conversations",
-    "replace_first_n": "SELECT doc_id, md5(replace(text, 'License', 'Licence')) AS changed FROM documents WHERE contains(text, 'License') ORDER BY doc_id LIMIT 20",
+    "replace_first_n": """WITH n AS (SELECT doc_id, text, coalesce(len(regexp_extract_all(text, 'License')), 0) AS n FROM documents),
+        k AS (SELECT *, CAST(greatest(0, least(n, 20 - coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS k FROM n)
+        SELECT doc_id, md5(concat(array_to_string(string_split(text, 'License')[:k + 1], 'Licence'), CASE WHEN k < n THEN concat('License', array_to_string(string_split(text, 'License')[k + 2:], 'License')) ELSE '' END)) AS changed, k AS n_replaced FROM k""",
+    "replace_marked": """WITH m AS (SELECT doc_id, replace(replace(text, ' ', chr(160)), 'ff', chr(64256)) AS t FROM documents)
+        SELECT doc_id, md5(replace(t, concat('of', chr(160), 'the'), 'OF-THE')) AS changed FROM m""",
+    "find_grouped": f"""WITH {_RUNS},
+        b AS (SELECT *, CAST(round_even(y0 / 2.5, 0) AS BIGINT) AS baseline FROM runs),
+        g AS (SELECT *, (x0 - lag(x1) OVER w) / 10.0 AS gap FROM b WINDOW w AS (PARTITION BY conv_id, baseline ORDER BY x0, run_id)),
+        i AS (SELECT *, CAST(sum(CASE WHEN gap > 2.5 OR gap < -0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, baseline ORDER BY x0, run_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line_no FROM g),
+        p AS (SELECT *, lag(text) OVER w2 AS before FROM i WINDOW w2 AS (PARTITION BY conv_id, baseline, line_no ORDER BY x0, run_id)),
+        t AS (SELECT conv_id, baseline, line_no, string_agg(CASE WHEN before IS NOT NULL AND NOT ends_with(before, ' ') AND gap >= 0.19 THEN ' ' || text ELSE text END, '' ORDER BY x0, run_id) AS text FROM p GROUP BY conv_id, baseline, line_no),
+        f AS (SELECT *, regexp_extract_all(text, '[a-z] ?[A-Z]') AS found FROM t)
+        SELECT conv_id, baseline, line_no, CAST(len(found) AS BIGINT) AS n, md5(array_to_string(list_sort(found), '|')) AS matched FROM f WHERE len(found) > 0""",
     "replace_pairs": "SELECT doc_id, md5(nullif(replace(replace(replace(text, 'License', 'Licence'), 'there', 'HERE'), 'the', 'THE'), text)) AS changed FROM documents",
     "splice_edits": "SELECT item_id, concat('<<', substr(text, 2, 3), substr(text, 6)) AS changed FROM benchmark",
-    "minimal_edit": """SELECT n_nationkey, CASE WHEN length(n_name) > 3 AND substr(n_name, 4, 1) <> 'X' THEN CAST(3 AS BIGINT) WHEN length(n_name) <= 3 THEN length(n_name) - 1 END AS start,
-        CASE WHEN length(n_name) > 3 AND substr(n_name, 4, 1) <> 'X' THEN CAST(4 AS BIGINT) WHEN length(n_name) <= 3 THEN length(n_name) END AS stop,
-        CASE WHEN length(n_name) > 3 AND substr(n_name, 4, 1) <> 'X' THEN 'X' WHEN length(n_name) <= 3 THEN concat(right(n_name, 1), 'X') END AS replacement FROM nation""",
-    "glyph_spans": "SELECT item_id, CAST(1 AS INTEGER) AS first, CAST(4 AS INTEGER) AS after FROM benchmark",
-    "greedy_encode": """WITH m AS (SELECT item_id, unnest(regexp_extract_all(text, '(?s)tion|the|ing|and|th|er|in|.')) AS part FROM benchmark)
-        SELECT item_id, count(*) AS n_parts, count(*) FILTER (WHERE length(part) > 1) AS n_known FROM m GROUP BY item_id""",
+    "minimal_edit": """WITH p AS (SELECT a.conv_id, a.turn, a.text AS o, b.text AS n FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2),
+        h AS (SELECT *, length(o) AS lo, length(n) AS ln, len(list_filter(range(1, least(length(o), length(n)) + 1), lambda i: left(o, i) = left(n, i))) AS head FROM p),
+        t AS (SELECT *, len(list_filter(range(1, least(lo, ln) - head + 1), lambda i: right(o, i) = right(n, i))) AS tail FROM h),
+        e AS (SELECT *, CASE WHEN lo - tail = head AND head > 0 THEN head - 1 ELSE head END AS s, CASE WHEN lo - tail = head AND head = 0 THEN lo - tail + 1 ELSE lo - tail END AS f, CASE WHEN lo - tail = head AND head = 0 THEN tail - 1 ELSE tail END AS k FROM t)
+        SELECT conv_id, turn, CASE WHEN o <> n THEN CAST(s AS BIGINT) END AS start, CASE WHEN o <> n THEN CAST(f AS BIGINT) END AS stop, CASE WHEN o <> n THEN md5(substr(n, s + 1, ln - k - s)) END AS replacement FROM e""",
+    "glyph_spans": """WITH s AS (SELECT conv_id, turn, length(text) % 17 AS a, least(length(text), length(text) % 17 + 4) AS z FROM conversations)
+        SELECT conv_id, turn, CASE WHEN z > a THEN CAST(a // 2 AS BIGINT) END AS first, CASE WHEN z > a THEN CAST((z - 1) // 2 + 1 AS BIGINT) END AS after FROM s""",
+    "greedy_encode": """WITH m AS (SELECT concat(conv_id, ' ', turn) AS "at", unnest(regexp_extract_all(text, '(?s)tion|the|ing|and|th|er|in|.')) AS part FROM conversations)
+        SELECT "at", count(*) AS n_parts, count(*) FILTER (WHERE length(part) > 1) AS n_known FROM m GROUP BY "at" """,
     "name_styles": f"""WITH {_NAMED}
         SELECT p_partkey, stripped, regexp_replace(lower(stripped), '[^a-z0-9]', '', 'g') AS name_key, regexp_matches(name, '^[A-Z]{{6}}\\+.') AS subset,
             CAST(CASE WHEN contains(low, 'semibold') THEN 600 WHEN contains(low, 'extralight') THEN 200 WHEN contains(low, 'black') THEN 900 WHEN contains(low, 'bold') THEN 700
@@ -65,7 +80,7 @@ ORACLES = {
     "page_lists": """WITH p AS (SELECT p_partkey, p_partkey % 7 + 1 AS low, p_partkey % 11 + 1 AS high FROM part),
         x AS (SELECT p_partkey, low - 1 AS page FROM p UNION SELECT p_partkey, unnest(range(high - 1, high + 3)) FROM p UNION SELECT p_partkey, unnest(range(high - 1, low)) FROM p)
         SELECT p_partkey, string_agg(CAST(page AS VARCHAR), ' ' ORDER BY page) AS pages FROM x GROUP BY p_partkey""",
-    "assignment_maps": "SELECT n_nationkey, 'last' AS a, concat(n_regionkey, '=x') AS b, CAST(2 AS BIGINT) AS n FROM nation",
+    "assignment_maps": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN concat('last ', n_name) ELSE n_name END AS title, concat(n_regionkey, '=x') AS changed, CAST(2 AS BIGINT) AS n FROM nation",
     "dates_round_trip": """WITH d AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderdate AS t, date_trunc('day', o_orderdate) AS day FROM orders)
         SELECT o_orderkey, CASE k WHEN 0 THEN strftime(t, 'D:%Y%m%d%H%M%S') || '+03''30''' WHEN 1 THEN strftime(t, 'D:%Y%m%d%H%M%S') WHEN 2 THEN strftime(day, 'D:%Y%m%d%H%M%S') WHEN 3 THEN strftime(t, 'D:%Y%m%d%H%M%S') || '+00''00''' END AS packed,
             CASE k WHEN 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%S+03:30') WHEN 1 THEN strftime(t, '%Y-%m-%dT%H:%M:%S') WHEN 2 THEN strftime(day, '%Y-%m-%dT%H:%M:%S') WHEN 3 THEN strftime(t, '%Y-%m-%dT%H:%M:%S+00:00') END AS iso FROM d""",
@@ -110,7 +125,7 @@ ORACLES = {
         SELECT p_partkey, candidate, CAST(bucket AS BIGINT) AS bucket FROM j WHERE bucket IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY bucket, d, candidate) = 1""",
     "charset_covers": "SELECT n_nationkey, regexp_full_match(n_name, '[A-Z_0-9]*') AS covered FROM nation",
     "nearest_line": """WITH o AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
-        SELECT a.o_orderkey AS point, b.o_orderkey AS band FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.o_orderkey % 2 = 0 AND a.cents BETWEEN b.cents - 2000000 AND b.cents + 2000000
+        SELECT a.o_orderkey AS point, b.o_orderkey AS band FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.o_orderkey <> a.o_orderkey AND a.cents BETWEEN b.cents - 2000000 AND b.cents + 2000000
         QUALIFY row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(a.cents - b.cents), b.o_orderkey) = 1""",
     "majority_style": """WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS votes FROM lineitem GROUP BY ALL)
         SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END, l_returnflag) = 1""",
@@ -138,5 +153,44 @@ ORACLES = {
     "dangling_edges": "SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)",
     "stale_copies": """SELECT doc_id, CAST(e.edit_id AS BIGINT) AS edit_id FROM documents JOIN (VALUES (0, 'License, Version'), (1, 'MIT License'), (2, 'Public License'), (3, 'no such text'), (4, 'the the')) e(edit_id, old) ON contains(text, old)""",
     "hidden_copies": """SELECT a.conv_id, a.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2
-        WHERE length(trim(left(b.text, 2))) > 0 AND NOT contains(a.text, trim(left(b.text, 2)))""",
+        WHERE length(trim(b.text)) > 0 AND NOT contains(a.text, trim(b.text))""",
+    "page_list_errors": """WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, p_size % 5 AS page FROM part)
+        SELECT p_partkey, CASE k WHEN 1 THEN '' WHEN 4 THEN '0 1 2' END AS pages, CASE k WHEN 2 THEN 'no page or range: a' WHEN 3 THEN 'out of range: 99' WHEN 5 THEN 'no page or range: 1-x' END AS error,
+            CASE k WHEN 0 THEN true WHEN 4 THEN page < 3 ELSE false END AS asked_for FROM (SELECT p_partkey, CASE WHEN k = 6 THEN 1 ELSE k END AS k, page FROM p) x""",
+    "metadata_names": "SELECT c_custkey, ['/Title', '/Author', '/CreationDate', '/Custom', '/Market segment', '/Keywords'][c_custkey % 6 + 1] AS field FROM customer",
+    "short_numbers": """WITH t AS (SELECT *, concat(p_name, ' ', p_type, ' ', p_brand) AS s FROM part)
+        SELECT p_partkey, CASE WHEN length(s) > 20 THEN concat(left(s, 17), '...') ELSE s END AS note, round_even(p_retailprice / 8, 3) AS clean, CASE WHEN p_partkey % 3 = 0 THEN 0.0 ELSE round_even(p_size * 1000.0::DOUBLE / ((p_partkey % 3) * 1024.0::DOUBLE), 2) END AS width FROM t""",
+    "required_characters": """WITH c AS (SELECT DISTINCT lang, unnest(string_split(text, '')) AS c FROM documents)
+        SELECT lang, count(*) AS n, count(*) FILTER (WHERE NOT regexp_matches(c, '^[a-zA-Z]$')) AS n_lacking FROM c WHERE c <> '' GROUP BY lang""",
+    "code_widths": """WITH l AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey)
+        SELECT l_suppkey AS s_suppkey, n, coalesce(CASE WHEN s_acctbal > 5000 THEN CAST(floor(s_acctbal) AS BIGINT) END, CASE WHEN n_regionkey < 3 THEN CAST(n_regionkey AS BIGINT) END, 500) AS width FROM l LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey""",
+    "object_roles": """WITH k AS (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders)
+        SELECT k.c_custkey, CASE WHEN c_acctbal < 0 THEN 'debtor' WHEN k.c_custkey IN (SELECT o_custkey FROM orders) THEN 'buyer' ELSE 'customer' END AS role FROM k LEFT JOIN customer USING (c_custkey)""",
+    "container_changes": f"""WITH {_ORDERS},
+        a AS (SELECT o_orderkey, CAST(trunc(o_totalprice * 100) AS BIGINT) AS s, o_orderstatus AS v FROM orders), b AS (SELECT o_orderkey, CAST(trunc(o_totalprice * 100) AS BIGINT) AS s, o_orderstatus AS v FROM later),
+        f AS (SELECT 'file-size' AS key, 'note' AS severity, concat(a.s, ' bytes became ', b.s) AS text FROM a JOIN b USING (o_orderkey) WHERE a.s <> b.s
+              UNION ALL SELECT 'version', 'trace', concat('version ', a.v, ' became ', b.v) FROM a JOIN b USING (o_orderkey) WHERE a.v IS DISTINCT FROM b.v)
+        SELECT key, severity, count(*) AS n, md5(string_agg(text, '|' ORDER BY text)) AS texts FROM f GROUP BY key, severity""",
+    "external_risks": """WITH p AS (SELECT CAST(c_custkey AS VARCHAR) AS path, * FROM customer), o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, * FROM orders),
+        r AS (SELECT 'encrypted' AS key, path, 'encrypted' AS text FROM p WHERE c_custkey % 50 = 0 UNION ALL SELECT 'no-xmp', path, 'no xmp' FROM p WHERE c_custkey % 3 = 0 UNION ALL SELECT 'no-pdfaid', path, 'no pdfaid' FROM p WHERE c_custkey % 5 <> 0
+              UNION ALL SELECT 'no-output-intent', path, 'no output intent' FROM p WHERE c_custkey % 7 <> 0 UNION ALL SELECT 'no-id', path, 'no id' FROM p WHERE NOT c_acctbal > 0 UNION ALL SELECT 'revisions', path, 'revisions' FROM p WHERE c_nationkey % 3 > 1
+              UNION ALL SELECT 'fonts-not-embedded', path, array_to_string(list_sort(list(DISTINCT o_orderpriority))[:5], ', ') FROM o WHERE o_orderstatus = 'P' GROUP BY path
+              UNION ALL SELECT 'fonts-no-tounicode', path, array_to_string(list_sort(list(DISTINCT o_orderpriority))[:5], ', ') FROM o WHERE o_orderkey % 4 = 0 GROUP BY path
+              UNION ALL SELECT DISTINCT 'transparency', path, 'transparency' FROM o WHERE o_orderkey % 9 = 0)
+        SELECT key, 'divergence' AS severity, path AS subject, text FROM r""",
+    "signature_coverage": """SELECT CAST(l_orderkey AS VARCHAR) AS subject, count(*) AS n, min(concat('the signature ', l_linenumber, ' does not cover the whole file')) AS first FROM lineitem WHERE l_partkey + l_suppkey < 1500 OR l_partkey + l_suppkey <= 0 GROUP BY l_orderkey""",
+    "width_mismatches": "SELECT p_brand AS subject, concat('code ', p_partkey, ': stated and own width differ') AS text FROM part WHERE p_partkey % 4 = 3 AND p_size % 10 <> 0",
+    "orphan_glyphs": """WITH r AS (SELECT DISTINCT s_nationkey, s_suppkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 49), x AS (SELECT * FROM r UNION SELECT s_nationkey, s_suppkey + 10 FROM r)
+        SELECT CAST(s_nationkey AS VARCHAR) AS subject, concat('glyph ', s_suppkey, ' is reached by nothing') AS text FROM supplier WHERE s_suppkey <> 0 AND floor(s_acctbal) > 0 AND (s_nationkey, s_suppkey) NOT IN (SELECT s_nationkey, s_suppkey FROM x)""",
+    "dictionary_changes": f"""WITH {_META}, e AS (SELECT c_custkey, replace(replace(replace(key, 'c_name', '/Name'), 'c_nationkey', '/Nation'), 'c_mktsegment', '/Segment') AS entry, before, after FROM d WHERE before IS DISTINCT FROM after)
+        SELECT c_custkey, entry, CASE WHEN after IS NULL THEN 'vanished' WHEN before IS NULL THEN 'added' ELSE 'changed' END AS change, before, after FROM e""",
+    "code_maps": """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_partkey, p_size FROM part)
+        SELECT path, CAST(p_size AS BIGINT) AS code, chr(CAST(p_partkey % 26 + 65 AS INTEGER)) AS text FROM p UNION ALL SELECT path, p_size + 100 + i, chr(CAST(65 + i AS INTEGER)) FROM p, range(3) r(i) UNION ALL SELECT path, p_size + 200 + i, chr(CAST(97 + i AS INTEGER)) FROM p, range(2) r(i)""",
+    "instructions": """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_size, p_brand, length(p_size::VARCHAR) AS w, length(p_brand) AS b FROM part)
+        SELECT path, CAST(0 AS BIGINT) AS op_index, 'BT' AS operator, '[]' AS operands, CAST(2 AS BIGINT) AS stop FROM p UNION ALL SELECT path, 1, 'Tf', concat('["/F1", ', p_size, ']'), 7 + w + 3 FROM p
+        UNION ALL SELECT path, 2, 'Tj', concat('["6129', lower(hex(p_brand)), '"]'), 7 + w + 3 + 8 + 4 + b + 1 + 3 FROM p UNION ALL SELECT path, 3, 'TJ', '[["78", -20, "41"]]', 7 + w + 3 + 8 + 4 + b + 1 + 3 + 18 FROM p UNION ALL SELECT path, 4, 'ET', '[]', 7 + w + 3 + 8 + 4 + b + 1 + 3 + 18 + 3 FROM p""",
+    "raw_streams": """SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(1 AS BIGINT) AS num, CAST(length(p_name) AS BIGINT) AS length, sha256(p_name) AS digest FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 2, length(p_brand), sha256(p_brand) FROM part""",
+    "shown_runs": """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_size AS x, p_brand FROM part)
+        SELECT path, CAST(1 AS BIGINT) AS run_id, p_brand AS text, CAST(x AS BIGINT) AS x0, CAST(x + 5 * length(p_brand) AS BIGINT) AS x1, CAST(700 AS BIGINT) AS y0, CAST(length(p_brand) AS BIGINT) AS n_glyphs FROM p
+        UNION ALL SELECT path, 2, 'a b', x, x + 13, 680, 2 FROM p UNION ALL SELECT path, 3, 'c', x + 43, x + 48, 680, 1 FROM p""",
 }

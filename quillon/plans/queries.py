@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import dates, text
-from quillon.operators import diff, graph, layout, match, rules, search, versions
+from quillon.operators import detect, diff, graph, layout, match, rules, search, versions
 from quillon.session import read_table as table
+from quillon.sources import files, text_state
 
 NBSP, FF = chr(0x00A0), chr(0xFB00)
 
@@ -45,15 +46,7 @@ def find_ignore_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents only, as the SQL has them; find_whole_word_all searches every document."""
-    return _whole_words(table(spark, sf_dir, "documents").filter(F.col("lang") == "en"))
-
-
-def find_whole_word_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole_words(table(spark, sf_dir, "documents"))
-
-
-def _whole_words(docs: DataFrame) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", search.match_count(F.col("text"), search.Pattern("the", whole_word=True)).cast("long").alias("n"))
 
 
@@ -78,10 +71,26 @@ def replace_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replace_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 matches of all, whichever documents they stand in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    changed = search.replace_first(docs, search.Pattern("License"), "Licence", "doc_id", "text", 20)
+    return changed.select("doc_id", F.md5("text").alias("changed"), F.col("n_replaced").cast("long").alias("n_replaced"))
+
+
+def replace_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with hard spaces and ligatures, of which only what is matched may change."""
     docs = table(spark, sf_dir, "documents")
-    hit = docs.filter(search.match_count(F.col("text"), search.Pattern("License")) > 0)
-    first = search.first_n(hit, 20, [F.col("doc_id")])
-    return first.select("doc_id", F.md5(search.replace_matches(F.col("text"), search.Pattern("License"), "Licence")).alias("changed"))
+    marked = F.replace(F.replace(F.col("text"), F.lit(" "), F.lit(NBSP)), F.lit("ff"), F.lit(FF))
+    return docs.select("doc_id", F.md5(search.replace_matches(marked, search.Pattern("of the"), "OF-THE")).alias("changed"))
+
+
+def find_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches in whole lines of several runs, as edits of their runs."""
+    lines = layout.visual_lines(_runs(spark, sf_dir), ["conv_id"])
+    found = search.find_grouped(lines, ["conv_id"], search.Pattern(r"[a-z] ?[A-Z]", regex=True), layout.SPACE_GAP)
+    keys = ["conv_id", "baseline", "line_no", "match_no"]
+    edits = search.edits_of(found, keys, F.lit("x"), F.col("matched"))
+    return edits.groupBy("conv_id", "baseline", F.col("line_no").cast("long").alias("line_no")).agg(F.count_if(~F.col("continuation")).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(F.when(~F.col("continuation"), F.col("old_text")))), "|")).alias("matched"))
 
 
 def replace_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,21 +105,25 @@ def splice_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minimal_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    e = text.minimal_edit(F.col("n_name"), F.concat(F.substring("n_name", 1, 3), F.lit("X"), F.substring(F.col("n_name"), 5, 100)))
-    return nations.select("n_nationkey", e["start"].cast("long").alias("start"), e["end"].cast("long").alias("stop"), e["replacement"].alias("replacement"))
+    """From each turn to the next but one: what has to be replaced."""
+    turns = table(spark, sf_dir, "conversations")
+    pairs = turns.join(turns.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("later")), ["conv_id", "turn"])
+    e = text.minimal_edit(F.col("text"), F.col("later"))
+    return pairs.select("conv_id", "turn", e["start"].cast("long").alias("start"), e["end"].cast("long").alias("stop"), F.md5(e["replacement"]).alias("replacement"))
 
 
 def greedy_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = match.longest_match_parts(table(spark, sf_dir, "benchmark"), "item_id", "text", ["th", "the", "tion", "ing", "and", "er", "in"])
-    return parts.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_parts"), F.count_if("known").alias("n_known"))
+    turns = table(spark, sf_dir, "conversations").withColumn("at", F.concat_ws(" ", "conv_id", "turn"))
+    parts = match.longest_match_parts(turns, "at", "text", ["th", "the", "tion", "ing", "and", "er", "in"])
+    return parts.groupBy("at").agg(F.count(F.lit(1)).alias("n_parts"), F.count_if("known").alias("n_known"))
 
 
 def glyph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of glyphs that hold two characters each, those that characters 3 to 6 stand on."""
+    """Of glyphs that hold two characters each, those that some characters of each text stand on; where they start depends on the text's length."""
     glyphs = F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda i: F.floor(i / 2).cast("int"))
-    span = search.glyph_span(glyphs, F.lit(3), F.lit(7))
-    return table(spark, sf_dir, "benchmark").select("item_id", span["start"].alias("first"), span["end"].alias("after"))
+    start = F.pmod(F.length("text"), F.lit(17))
+    span = search.glyph_span(glyphs, start, start + 4)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", span["start"].cast("long").alias("first"), span["end"].cast("long").alias("after"))
 
 
 # Scalars
@@ -143,13 +156,34 @@ def page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = F.pmod("p_partkey", F.lit(7)) + 1, F.pmod("p_partkey", F.lit(11)) + 1
     spec = F.concat(low.cast("string"), F.lit(", "), high.cast("string"), F.lit("-"), (high + 3).cast("string"), F.lit(",,"), high.cast("string"), F.lit("-"), low.cast("string"))
     pages = text.page_list(spec, F.lit(14))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(pages, lambda x: x.cast("string")), " ").alias("pages"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(pages["pages"], lambda x: x.cast("string")), " ").alias("pages"))
+
+
+def page_list_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that ask for all pages, for none, for some, and such as can't be read; what a page filter makes of each."""
+    spec = F.element_at(F.array(*[F.lit(x) for x in ("", "5-3", "1,a,2", "99", "2, 1-3", "1-x", " , ")]), (F.pmod("p_partkey", F.lit(7)) + 1).cast("int"))
+    listed = table(spark, sf_dir, "part").select("p_partkey", (F.pmod("p_size", F.lit(5))).alias("page"), text.page_list(spec, F.lit(14)).alias("l"))
+    return listed.select("p_partkey", F.array_join(F.transform(F.col("l.pages"), lambda x: x.cast("string")), " ").alias("pages"), F.col("l.error").alias("error"), (F.col("l.error").isNull() & text.on_pages(F.col("page"), F.col("l.pages"))).alias("asked_for"))
+
+
+def metadata_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.array(*[F.lit(x) for x in ("Title", " автор ", "CREATED", "/Custom", "market SEGMENT", "Ключевые слова")]), (F.pmod("c_custkey", F.lit(6)) + 1).cast("int")).alias("name"))
+    return named.select("c_custkey", text.metadata_key(F.col("name")).alias("field"))
+
+
+def short_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortened notes, cleaned numbers and widths of an em's thousandths, over parts."""
+    part = table(spark, sf_dir, "part")
+    return part.select(
+        "p_partkey", text.shortened(F.concat_ws("  ", "p_name", "p_type", "p_brand"), 20).alias("note"), text.clean_number(F.col("p_retailprice") / 8).alias("clean"), text.per_thousand(F.col("p_size").cast("double"), F.pmod("p_partkey", F.lit(3)) * 1024.0).alias("width")
+    )
 
 
 def assignment_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = F.array(F.concat(F.lit("a="), "n_name"), F.concat(F.lit("b="), F.col("n_regionkey").cast("string"), F.lit("=x")), F.lit("a=last"), F.lit("none"))
-    made = text.assignments(items)
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(made, "a").alias("a"), F.element_at(made, "b").alias("b"), F.size(made).cast("long").alias("n"))
+    """Assignments under names that stand for one field; the last wins."""
+    items = F.array(F.concat(F.lit("title="), "n_name"), F.concat(F.lit("mod date="), F.col("n_regionkey").cast("string"), F.lit("=x")), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Title=last "), "n_name")).otherwise(F.lit("none")))
+    made = text.assignments(items, lambda k: text.field_key(k, text.FIELD_NAMES))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(made, "/Title").alias("title"), F.element_at(made, "/ModDate").alias("changed"), F.size(made).cast("long").alias("n"))
 
 
 def dates_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,16 +224,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 12 characters of each turn, as the SQL has them; line_texts_whole joins whole turns."""
-    return _line_texts(_runs(spark, sf_dir).withColumn("text", F.substring("text", 1, 12)))
-
-
-def line_texts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_texts(_runs(spark, sf_dir))
-
-
-def _line_texts(runs: DataFrame) -> DataFrame:
-    lines = layout.line_texts(layout.visual_lines(runs, ["conv_id"]), ["conv_id"])
+    lines = layout.line_texts(layout.visual_lines(_runs(spark, sf_dir), ["conv_id"]), ["conv_id"])
     return lines.select("conv_id", "baseline", F.col("line_no").cast("long").alias("line_no"), "text", F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"), F.col("y0").cast("long").alias("y0"), F.col("y1").cast("long").alias("y1"))
 
 
@@ -299,39 +324,46 @@ def sequence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each part the part of its brand that fits best: same type and size, same type, same size; then the nearest price."""
     part = table(spark, sf_dir, "part").withColumn("cents", F.round(F.col("p_retailprice") * 100).cast("long"))
-    asked = part.select("p_partkey", "p_brand", F.col("p_type").alias("t"), F.col("p_size").alias("s"), F.col("cents").alias("c"))
-    offered = part.select("p_brand", F.col("p_partkey").alias("candidate"), "p_type", "p_size", "cents")
-    same_type, same_size = F.col("p_type") == F.col("t"), F.col("p_size") == F.col("s")
-    best = match.ranked_choice(asked, offered, "p_partkey", ["p_brand"], [same_type & same_size, same_type, same_size], [F.abs(F.col("cents") - F.col("c")), F.col("candidate")], F.col("candidate") != F.col("p_partkey"))
+    best = match.nearest_by_buckets(part, "p_partkey", [["p_brand", "p_type", "p_size"], ["p_brand", "p_type"], ["p_brand", "p_size"]], "cents")
     return best.select("p_partkey", "candidate", F.col("bucket").cast("long").alias("bucket"))
 
 
+def required_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The characters that each language's texts need, and those that plain letters lack."""
+    need = match.required_characters(table(spark, sf_dir, "documents"), ["lang"], "text")
+    letters = F.split(F.lit("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), "")
+    lacks = match.missing_characters(F.array_join("characters", ""), letters)
+    return need.select("lang", F.size("characters").cast("long").alias("n"), F.size(lacks).cast("long").alias("n_lacking"))
+
+
+def code_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths by chained lookups: the supplier's own, else its nation's, else a default."""
+    codes = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    supplier = table(spark, sf_dir, "supplier")
+    own = supplier.filter("s_acctbal > 5000").select("s_suppkey", F.floor("s_acctbal").alias("w"))
+    keyed = codes.join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey", "left")
+    nations = table(spark, sf_dir, "nation").filter("n_regionkey < 3").select("n_nationkey", F.col("n_regionkey").cast("long").alias("w"))
+    made = match.with_lookups(keyed.withColumnsRenamed({"l_suppkey": "s_suppkey"}).withColumn("n_nationkey", F.col("s_nationkey")), [(own, "s_suppkey", "w"), (nations, "n_nationkey", "w")], F.lit(500).cast("long"), "width")
+    return made.select("s_suppkey", "n", "width")
+
+
+def object_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first role of each key: debtor, customer with an order, customer."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    return match.first_role([(customer.filter("c_acctbal < 0"), "debtor"), (orders.select(F.col("o_custkey").alias("c_custkey")), "buyer"), (customer, "customer")], ["c_custkey"])
+
+
 def charset_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     charset = F.split(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ_0123456789"), "")
     return table(spark, sf_dir, "nation").select("n_nationkey", match.covers(charset, F.col("n_name")).alias("covered"))
 
 
 def nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each order the price band around its customer's even-numbered orders that is nearest to it, as the SQL has it."""
-    points, bands = _bands(spark, sf_dir)
-    return _nearest(points, bands.filter(F.col("band") % 2 == 0))
-
-
-def nearest_other_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order the price band around its customer's other orders that is nearest to it."""
-    points, bands = _bands(spark, sf_dir)
-    return _nearest(points, bands, F.col("band") != F.col("point"))
-
-
-def _bands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
     points = orders.select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("point"), F.col("cents").alias("at"))
     bands = orders.select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("band"), (F.col("cents") - 2_000_000).alias("low"), (F.col("cents") + 2_000_000).alias("high"), F.col("cents").alias("middle"))
-    return points, bands
-
-
-def _nearest(points: DataFrame, bands: DataFrame, extra: Column | None = None) -> DataFrame:
-    near = match.band_nearest(points, bands, "point", ["cust"], "at", "low", "high", 4_000_000.0, F.abs(F.col("at") - F.col("middle")), F.col("band"), extra)
+    near = match.band_nearest(points, bands, "point", ["cust"], "at", "low", "high", 4_000_000.0, F.abs(F.col("at") - F.col("middle")), F.col("band"), F.col("band") != F.col("point"))
     return near.select("point", "band")
 
 
@@ -434,25 +466,106 @@ def stale_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hidden_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two characters of the later turn, as the SQL has them; hidden_copies_whole compares whole turns."""
-    return _hidden_copies(spark, sf_dir, F.substring("text", 1, 2))
+    """Turns whose later copy, the next but one turn, is not found in them."""
+    turns = table(spark, sf_dir, "conversations")
+    other = turns.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("copy"))
+    return turns.join(other, ["conv_id", "turn"]).filter(rules.hidden_copy_mismatch(F.col("copy"), F.col("text"))).select("conv_id", "turn")
 
 
-def hidden_copies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hidden_copies(spark, sf_dir, F.col("text"))
+# Detectors
 
 
-def _hidden_copies(spark: SparkSession, sf_dir: str, copy: Column) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    other = turns.select("conv_id", (F.col("turn") - 2).alias("turn"), copy.alias("copy"))
-    return turns.join(other, ["conv_id", "turn"]).filter(rules.hidden_copy_mismatch(F.col("copy"), F.col("text"))).select("conv_id", "turn")
+def _container(orders: DataFrame) -> DataFrame:
+    """Orders as files: their size, version and style."""
+    return orders.select(F.col("o_orderkey").cast("string").alias("path"), (F.col("o_totalprice") * 100).cast("long").alias("size"), F.col("o_orderstatus").alias("version"), (F.col("o_custkey") % 2 == 0).alias("object_streams"))
+
+
+def container_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = table(spark, sf_dir, "orders")
+    found = detect.container_changes(_container(before), _container(_orders_after(before)), ["path"])
+    return found.groupBy("key", "severity").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("text")), "|")).alias("texts"))
+
+
+def external_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files, their orders as fonts and their priorities as graphics states."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    is_ = lambda c, n: F.col(c) % n == 0
+    profiles = customer.select(F.col("c_custkey").cast("string").alias("path"), is_("c_custkey", 50).alias("encrypted"), (~is_("c_custkey", 3)).alias("has_metadata"), is_("c_custkey", 5).alias("has_pdfa_id"), is_("c_custkey", 7).alias("has_output_intent"), (F.col("c_acctbal") > 0).alias("has_id"), F.pmod("c_nationkey", F.lit(3)).alias("n_eof"))
+    fonts = orders.select(F.col("o_custkey").cast("string").alias("path"), F.col("o_orderpriority").alias("font"), (F.col("o_orderstatus") != "P").alias("embedded"), (~is_("o_orderkey", 4)).alias("has_unicode_map"))
+    states = orders.select(F.col("o_custkey").cast("string").alias("path"), F.when(is_("o_orderkey", 9), 0.5).otherwise(1.0).alias("alpha"), F.lit(None).cast("string").alias("soft_mask"), F.lit("None").alias("group"))
+    return detect.external_risks(profiles, fonts, states)
+
+
+def signature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), F.col("l_linenumber").cast("string").alias("field"), F.array(F.lit(0).cast("long"), F.lit(100).cast("long"), F.col("l_partkey"), F.col("l_suppkey")).alias("byte_range"), F.lit(1500).alias("size"))
+    return detect.uncovered_signatures(li).groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("first"))
+
+
+def width_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as codes of their brand's font: the stated width is the program's but for some."""
+    part = table(spark, sf_dir, "part")
+    own = F.pmod("p_size", F.lit(10)) * 50.0
+    glyphs = part.select(F.col("p_brand").alias("font"), F.col("p_partkey").alias("code"), own.alias("program_width"), (own + F.pmod("p_partkey", F.lit(4)) * 0.5).alias("stated_width"))
+    return detect.width_mismatches(glyphs).select("subject", "text")
+
+
+def orphan_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as glyphs of their nation's font: those with lines are reached, and through them the one ten above."""
+    supplier = table(spark, sf_dir, "supplier")
+    font = F.col("s_nationkey").cast("string").alias("font")
+    glyphs = supplier.select(font, F.col("s_suppkey").alias("gid"), F.floor("s_acctbal").alias("n_bytes"))
+    reached = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey")).join(supplier, "s_suppkey").select(font, F.col("s_suppkey").alias("gid"))
+    parts = supplier.select(font, F.col("s_suppkey").alias("gid"), (F.col("s_suppkey") + 10).alias("part"))
+    return detect.orphan_glyphs(glyphs, reached, parts).select("subject", "text")
+
+
+def dictionary_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    entries = lambda x: x.select("c_custkey", F.map_filter(F.create_map(F.lit("/Name"), F.col("c_name"), F.lit("/Nation"), F.col("c_nationkey").cast("string"), F.lit("/Length"), F.col("c_acctbal").cast("string"), F.lit("/Segment"), F.col("c_mktsegment")), lambda _, v: v.isNotNull()).alias("entries"))
+    later = _customer_after(c).withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    return detect.dictionary_changes(entries(c), entries(later), ["c_custkey"], "entries", ("/Length",))
+
+
+# Codecs: bytes made of columns, and what the readers find in them
+
+
+def code_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code map per part: one code, one range and one list."""
+    code = lambda c: F.lpad(F.hex(c), 4, F.lit("0"))
+    said = F.concat(F.lit("1 beginbfchar <"), code(F.col("p_size")), F.lit("> <"), code(F.pmod("p_partkey", F.lit(26)) + 65), F.lit("> endbfchar 2 beginbfrange <"), code(F.col("p_size") + 100), F.lit("> <"), code(F.col("p_size") + 102), F.lit("> <0041> <"), code(F.col("p_size") + 200), F.lit("> <"), code(F.col("p_size") + 201), F.lit("> [<0061> <0062>] endbfrange"))
+    maps = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), said.cast("binary").alias("decoded"))
+    return files.code_map_rows(maps).select("path", "code", "text")
+
+
+def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A content stream per part: operators, where each ends, and their operands."""
+    said = F.concat(F.lit("BT /F1 "), F.col("p_size").cast("string"), F.lit(" Tf % note\n(a\\)"), F.col("p_brand"), F.lit(") Tj [(x) -20 <41>] TJ ET"))
+    streams = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), said.cast("binary").alias("decoded"))
+    return files.instruction_rows(streams).select("path", F.col("op_index").cast("long").alias("op_index"), "operator", "operands", F.col("end").alias("stop"))
+
+
+def raw_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per part: two objects, one with a stream and one that is written twice; the last counts."""
+    said = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Length 9 >> stream\n"), F.col("p_name"), F.lit("\nendstream endobj\n2 0 obj << >> stream\nold\nendstream endobj\n2 0 obj << /Next 1 0 R >> stream\n"), F.col("p_brand"), F.lit("\nendstream endobj\n%%EOF"))
+    made = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), said.cast("binary").alias("content"))
+    return files.stream_rows(made).select("path", "num", "length", "digest")
+
+
+def shown_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A content stream per part: what is shown on two baselines, as runs, by the text state."""
+    font = text_state.Font(1, {c: chr(c) for c in range(32, 127)}, {c: 500.0 for c in range(32, 127)})
+    said = F.concat(F.lit("BT /F1 10 Tf 1 0 0 1 "), F.col("p_size").cast("string"), F.lit(" 700 Tm ("), F.col("p_brand"), F.lit(") Tj 0 -20 Td [(a) -300 (b) -3000 (c)] TJ ET"))
+    streams = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), said.cast("binary").alias("decoded"))
+    runs = files.runs_of_glyphs(files.glyph_rows(streams, {"/F1": font}), ["path"])
+    return runs.select("path", "run_id", "text", F.round("x0").cast("long").alias("x0"), F.round("x1").cast("long").alias("x1"), F.round("y0").cast("long").alias("y0"), "n_glyphs")
 
 
-NAMES = """norm_text norm_positions find_count find_ignore_case find_whole_word find_whole_word_all find_page_filter find_top_docs find_offsets replace_swap
-replace_first_n replace_pairs splice_edits minimal_edit greedy_encode glyph_spans name_styles field_names page_lists assignment_maps
-dates_round_trip number_scalars visual_lines line_texts line_texts_whole consecutive_ranges carry_forward page_text block_alignment line_alignment
+NAMES = """norm_text norm_positions find_count find_ignore_case find_whole_word find_page_filter find_top_docs find_offsets find_grouped replace_swap
+replace_first_n replace_marked replace_pairs splice_edits minimal_edit greedy_encode glyph_spans name_styles field_names metadata_names short_numbers page_lists page_list_errors assignment_maps
+dates_round_trip number_scalars visual_lines line_texts consecutive_ranges carry_forward page_text block_alignment line_alignment
 object_hash_diff changed_objects set_changes meta_diff expected_partition inherited_introduced structure_diff sequence_diff
-ranked_candidates charset_covers nearest_line nearest_other_line majority_style reverse_map free_codes minority_rows top_findings rule_outcomes
+ranked_candidates charset_covers required_characters code_widths object_roles nearest_line majority_style reverse_map free_codes minority_rows top_findings rule_outcomes
 atomic_groups edit_reasons edit_pieces latest_revision merge_metadata in_place_routes reachability dangling_edges stale_copies
-hidden_copies hidden_copies_whole""".split()
+hidden_copies container_changes external_risks signature_coverage width_mismatches orphan_glyphs dictionary_changes
+code_maps instructions raw_streams shown_runs""".split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,16 @@ def workers_find_package(spark: SparkSession) -> None:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     workers_find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet in the folder that spark.checkpoint.dir names and read it back, so that lineage ends here. A local master without one gets a folder of its own."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file:///tmp/checkpoints/{os.getuid()}"
+    path = f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

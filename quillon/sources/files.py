@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 
 from . import syntax, text_state
 
+# In ems, a gap that ends a run, an overlap that does, and a gap that is a space.
+RUN_GAP, RUN_OVERLAP, SPACE_GAP = 2.5, -0.05, 0.19
 EDIT_SCHEMA = "page int, run long, glyph_start int, glyph_end int, new_text string, old_text string, continuation boolean, `group` long"
 _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
 
@@ -48,7 +50,7 @@ def profiles(files: DataFrame) -> DataFrame:
         version = re.match(rb"%PDF-(\d\.\d)", data)
         yield {
             "size": len(data), "version": version[1].decode() if version else None, "n_eof": data.count(b"%%EOF"), "n_startxref": data.count(b"startxref"), "object_streams": b"/ObjStm" in data,
-            "linearised": b"/Linearized" in data[:2048], "encrypted": re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data) is not None, "has_id": re.search(rb"/ID\s*\[", data) is not None, "has_metadata": b"/Metadata" in data,
+            "linearised": re.search(rb"obj\s*<<[^>]*/Linearized", data) is not None, "encrypted": re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data) is not None, "has_id": re.search(rb"/ID\s*\[", data) is not None, "has_metadata": b"/Metadata" in data,
         }
 
     return _table(files, "size long, version string, n_eof long, n_startxref long, object_streams boolean, linearised boolean, encrypted boolean, has_id boolean, has_metadata boolean", one)
@@ -108,9 +110,9 @@ def runs_of_glyphs(glyphs: DataFrame, per: list[str]) -> DataFrame:
     order = ["op_index", "elem_index", "byte_start"]
     w = Window.partitionBy(*per).orderBy(*order)
     gap = (F.col("x0") - F.lag("x1").over(w)) / F.when(F.col("size") == 0, 1.0).otherwise(F.col("size"))
-    starts = F.lag("segment").over(w).isNull() | (F.lag("segment").over(w) != F.col("segment")) | (F.abs(F.lag("y0").over(w) - F.col("y0")) > 0.01) | (F.abs(F.lag("size").over(w) - F.col("size")) > 1e-6) | (gap > 2.5) | (gap < -0.05)
+    starts = F.lag("segment").over(w).isNull() | (F.lag("segment").over(w) != F.col("segment")) | (F.abs(F.lag("y0").over(w) - F.col("y0")) > 0.01) | (F.abs(F.lag("size").over(w) - F.col("size")) > 1e-6) | (gap > RUN_GAP) | (gap < RUN_OVERLAP)
     marked = glyphs.withColumn("gap", gap).withColumn("starts", starts)
-    piece = F.when(~F.col("starts") & (F.col("gap") >= 0.19), F.concat(F.lit(" "), "text")).otherwise(F.col("text"))
+    piece = F.when(~F.col("starts") & (F.col("gap") >= SPACE_GAP), F.concat(F.lit(" "), "text")).otherwise(F.col("text"))
     numbered = marked.withColumn("piece", piece).withColumn("run_id", F.sum(F.col("starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "piece"))), lambda g: g["piece"]), "")
     return numbered.groupBy(*per, "run_id").agg(joined.alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n_glyphs"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
@@ -229,6 +230,10 @@ def glyph_name(char: str) -> str:
     return f"uni{ord(char):04X}" if ord(char) <= 0xFFFF else f"u{ord(char):06X}"
 
 
+#: The code space of all two-byte codes.
+TWO_BYTES = [(b"\0\0", b"\xff\xff")]
+
+
 def cid_map(data: bytes) -> tuple[list[tuple[bytes, bytes]], dict[int, int]]:
     """(code spaces, codes to character ids); two-byte codes if none is given."""
     spaces: list[tuple[bytes, bytes]] = []
@@ -242,16 +247,16 @@ def cid_map(data: bytes) -> tuple[list[tuple[bytes, bytes]], dict[int, int]]:
             for low, high, to in _triples(held):
                 if not isinstance(to, list) and low.kind == high.kind == "hex" and to.kind == "number" and 0 <= _code(high.value) - _code(low.value) <= LONGEST_RANGE:
                     out |= {_code(low.value) + i: int(to.value) + i for i in range(_code(high.value) - _code(low.value) + 1)}
-    return spaces or [(b"\0\0", b"\xff\xff")], out
+    return spaces or TWO_BYTES, out
 
 
 def split_codes(data: bytes, spaces: list[tuple[bytes, bytes]]) -> list[bytes]:
-    """Codes by the shortest space that holds them, byte by byte; else as long as the shortest space. A tail too short for a code falls off."""
+    """Codes by the shortest space that holds them, byte by byte; else as long as the shortest space. A tail too short for a code is the last code, but falls off where the only space is that of all two-byte codes."""
     spaces = sorted(spaces, key=lambda s: len(s[0]))
     out, at = [], 0
     while at < len(data):
         fit = next((len(lo) for lo, hi in spaces if len(data) - at >= len(lo) and all(a <= x <= b for a, x, b in zip(lo, data[at:], hi, strict=False))), len(spaces[0][0]))
-        if at + fit > len(data):
+        if at + fit > len(data) and spaces == TWO_BYTES:
             break
         out.append(data[at : at + fit])
         at += fit
@@ -310,7 +315,30 @@ def differences(items: list) -> dict[int, str]:
     return out
 
 
+# Characters of the standard encoding beyond ASCII, from octal 241 on in order, a space where there is none.
+STANDARD_HIGH = "¡¢£⁄¥ƒ§¤'“«‹›ﬁﬂ –†‡· ¶•‚„”»…‰ ¿ `´ˆ˜¯˘˙¨ ˚¸ ˝˛ˇ—"
+# Its letters, by code.
+STANDARD_LETTERS = {0xE1: "Æ", 0xE3: "ª", 0xE8: "Ł", 0xE9: "Ø", 0xEA: "Œ", 0xEB: "º", 0xF1: "æ", 0xF5: "ı", 0xF8: "ł", 0xF9: "ø", 0xFA: "œ", 0xFB: "ß"}
+# Where the two named encodings differ from the code pages they come from.
+WIN_EXTRA, MAC_EXTRA = {0xA0: " ", 0xAD: "-", 0x7F: "•"}, {0xCA: " "}
+
+
 def base_encoding(name: str) -> dict[int, str]:
-    """Codes 32 to 255 of WinAnsi and MacRoman; any other name gives the ASCII part that all share."""
-    codec, extra = {"WinAnsiEncoding": ("cp1252", {0xA0: " ", 0xAD: "-", 0x7F: chr(0x2022)}), "MacRomanEncoding": ("mac_roman", {0xCA: " "})}.get(name.removeprefix("/"), ("ascii", {}))
-    return {c: t for c in range(32, 256) if (t := bytes([c]).decode(codec, "ignore"))} | extra
+    """Codes 32 to 255 of WinAnsi and MacRoman; any other name gives the standard encoding."""
+    name = name.removeprefix("/")
+    if name in ("WinAnsiEncoding", "MacRomanEncoding"):
+        codec, extra = ("cp1252", WIN_EXTRA) if name.startswith("Win") else ("mac_roman", MAC_EXTRA)
+        return {c: t for c in range(32, 256) if (t := bytes([c]).decode(codec, "ignore"))} | extra
+    ascii_ = {c: chr(c) for c in range(32, 127)} | {0x27: "’", 0x60: "‘"}
+    return ascii_ | {0xA1 + i: t for i, t in enumerate(STANDARD_HIGH) if t != " "} | STANDARD_LETTERS
+
+
+def simple_widths(first: int, values: list, missing: float = 0.0) -> dict[int, float]:
+    """Widths that count on from a first code; a value that is no number is the missing width."""
+    return {first + i: number(w) if isinstance(w, int | float) else missing for i, w in enumerate(values)}
+
+
+def dominant_separator(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What most often stands between instructions, of gaps of four bytes at most; a line feed where nothing does."""
+    gaps = Counter(gap for (_, end), (start, _) in zip(spans, spans[1:], strict=False) if len(gap := data[end:start]) <= 4)
+    return (max(gaps, key=gaps.__getitem__) if gaps else b"") or b"\n"

@@ -2,12 +2,13 @@
 
 import difflib
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import dates, text
-from quillon.operators import diff, graph, layout, match, rules, search, versions
+from quillon.operators import detect, diff, graph, layout, match, rules, search, versions
 
 
 def values(df):
@@ -38,9 +39,15 @@ def test_name_parts(spark):
 
 
 def test_page_lists(spark):
-    for spec, want in (("1,3-5", [0, 2, 3, 4]), ("", None), (" 2 , 2-3,,", [1, 2]), ("5-3", []), ("9", None), ("3-11", None)):
-        got = spark.createDataFrame([(spec,)], "s string").select(text.page_list(F.col("s"), F.lit(8))).first()[0]
-        assert (None if got is None else list(got)) == want
+    cases = [("1,3-5", [0, 2, 3, 4]), ("", None), (None, None), (" 2 , 2-3,,", [1, 2]), ("5-3", []), ("9", "9"), ("3-11", "3-11"), ("abc", "abc"), ("1-x", "1-x"), ("1,a,2", "a"), ("0", "0"), (",", [])]
+    for spec, want in cases:
+        got = spark.createDataFrame([(spec,)], "s string").select(text.page_list(F.col("s"), F.lit(8)).alias("l")).select("l.*").first()
+        if isinstance(want, str):
+            assert got["pages"] is None and got["error"].endswith(f": {want}")
+        else:
+            assert got["error"] is None and got["pages"] == want
+    asked = spark.createDataFrame([(2, None), (2, []), (2, [1, 2])], "p int, l array<int>").select(text.on_pages(F.col("p"), F.col("l"))).collect()
+    assert [r[0] for r in asked] == [True, False, True]
 
 
 def test_assignments(spark):
@@ -97,8 +104,8 @@ def test_offsets_go_back_through_normalisation(spark):
 
 
 def test_edits_are_atomic_and_spliced_from_the_end(spark):
-    edits = spark.createDataFrame([(1, 7, True), (2, 7, False), (3, 0, True), (4, 0, False), (5, 8, None)], "id int, g int, bad boolean")
-    assert sorted(values(search.atomic(edits, F.col("bad"), "g").select("id", "applied"))) == [(1, False), (2, False), (3, False), (4, True), (5, True)]
+    edits = spark.createDataFrame([(1, 7, True), (2, 7, False), (3, 0, True), (4, 0, False), (5, 8, None), (6, None, True)], "id int, g int, bad boolean")
+    assert sorted(values(search.atomic(edits, F.col("bad"), "g").select("id", "applied"))) == [(1, False), (2, False), (3, False), (4, True), (5, True), (6, False)]
     made = spark.range(1).select(search.splice(F.lit("abcdef"), F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit("Z").alias("text")), F.struct(F.lit(4).alias("start"), F.lit(4).alias("end"), F.lit("--").alias("text")))))
     assert made.first()[0] == "Zcd--ef"
 
@@ -200,6 +207,13 @@ def test_versions(spark, tmp_path):
     updates = spark.createDataFrame([(1, None), (3, "n")], "k int, v string")
     assert sorted(values(versions.merge(base, updates, ["k"], "v"))) == [(2, "b"), (3, "n")]
     assert versions.append_revision(str(tmp_path / "t"), base, updates, ["k"], 2) == 2
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect()), key=str) == [(1, None, 2), (3, "n", 2)]
+    with pytest.raises(OSError, match="there already"):
+        versions.append_revision(str(tmp_path / "t"), base, updates, ["k"], 2)
+    uneven = base.withColumn("v", F.udf(lambda: str(uuid.uuid4())).asNondeterministic()())
+    with pytest.raises(OSError, match="did not arrive"):
+        versions.append_revision(str(tmp_path / "t"), base, uneven, ["k"], 3)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
     routed = versions.routed(base, [(F.col("k") == 1, "first"), (F.col("v") == "a", "second")])
     assert sorted(values(routed.select("k", "route", "reason"))) == [(1, "deferred", "first"), (2, "in_place", None)]
 
@@ -209,8 +223,13 @@ def test_rules_tell_passed_from_not_run(spark):
     own = [rules.Rule("negative", "trace", lambda: data.filter("v < 0"), "id", "below zero"), rules.Rule("huge", "note", lambda: data.filter("v > 100"), "id", "too much")]
     assert sorted(values(rules.outcome(own))) == [("huge", "note", 0, True), ("negative", "trace", 2, False)]
     assert values(rules.report(rules.findings(own), 1).select("key", "subject", "total")) == [("negative", "1", 2)]
-    crashed = rules.guarded(lambda: data.filter("no_such_column > 1"), "k", "id", "key string, severity string, subject string, text string")
-    assert crashed.first()["key"] == "check-failed k"
+    fails = F.raise_error(F.lit("broken input")).cast("boolean")
+    broken = [rules.Rule("planned", "trace", lambda: data.filter("no_such_column > 1"), "id", "x"), rules.Rule("running", "trace", lambda: data.filter((F.col("v") > 0) & fails), "id", "x")]
+    found = sorted(values(rules.checked([broken[0], own[0], broken[1]]).select("key", "severity", "subject")))
+    assert found == [("check-failed", "note", "planned"), ("check-failed", "note", "running"), ("negative", "trace", "1"), ("negative", "trace", "3")]
+    assert values(rules.overall(rules.outcome(own))) == [(2, 2, True, False)]
+    notes = spark.createDataFrame([("stream data is invalid", 1), ("loose", 2), ("loose", 3)], "t string, n int")
+    assert sorted(values(rules.distinct_notes(notes.withColumn("s", rules.note_severity(F.col("t"))), ["s"], "t", "n"))) == [("error", "stream data is invalid", 1), ("warning", "loose", 2)]
 
 
 def test_greedy_parts(spark):
@@ -221,3 +240,90 @@ def test_greedy_parts(spark):
 @pytest.mark.parametrize("mode,old,new,want", [("auto", 10.0, 10.5, "squeeze"), ("auto", 10.0, 12.0, "natural"), ("auto", 10.0, 0.0, "natural"), ("squeeze", 1.0, 9.0, "squeeze")])
 def test_fit_modes(spark, mode, old, new, want):
     assert one(spark, text.fit_mode(F.col("m"), F.col("o"), F.col("n")), m=mode, o=old, n=new) == want
+
+
+def test_replacing_changes_what_matched_and_nothing_else(spark):
+    """Hard spaces, dashes, ligatures and quotes around a match stay; only the match goes."""
+    kept = "caf\u00a0– ﬁx MIT “q”"
+    rows = [(1, kept), (2, "oﬃce, oﬃ"), (3, "plain MIT MIT"), (4, None), (5, "a$1\\\\b")]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    swap = lambda p, to: {r[0]: r[1] for r in docs.select("id", search.replace_matches(F.col("t"), p, to)).collect()}
+    assert swap(search.Pattern("MIT"), "X$1") == {1: kept.replace("MIT", "X$1"), 2: rows[1][1], 3: "plain X$1 X$1", 4: None, 5: rows[4][1]}
+    assert swap(search.Pattern("caf - fi"), "Y")[1] == "Yx MIT “q”"
+    assert swap(search.Pattern("f(.)c", regex=True), r"<\1>")[2] == "o<i>e, oﬃ"
+    assert swap(search.Pattern("M*", regex=True), "-")[3] == "plain -IT -IT"
+    assert swap(search.Pattern(""), "-")[3] == "plain MIT MIT"
+
+
+def test_the_first_matches_of_all_are_replaced(spark):
+    docs = spark.createDataFrame([(2, "x x x"), (1, "no “x” x"), (3, "x"), (4, None)], "id long, t string").repartition(3)
+    for count, want in ((4, {1: ("no “y” y", 2), 2: ("y y x", 2), 3: ("x", 0), 4: (None, 0)}), (0, {1: ("no “y” y", 2), 2: ("y y y", 3), 3: ("y", 1), 4: (None, 0)})):
+        got = search.replace_first(docs, search.Pattern("x"), "y", "id", "t", count)
+        assert {r["id"]: (r["t"], r["n_replaced"]) for r in got.collect()} == want
+        plan = search.replacement_plan(docs, search.Pattern("x"), "y", "id", "t", count)
+        assert plan.count() == sum(n for _, n in want.values())
+    pages = spark.createDataFrame([(1, "two\nlines"), (2, "two lines"), (3, "else")], "id long, t string")
+    assert [r["id"] for r in search.not_found_hints(pages, search.Pattern("two lines"), "id", "t").collect()] == [1]
+
+
+def test_a_match_over_several_runs_is_found_and_edited_as_one(spark):
+    """A number of seven runs of one character, a word beside it, and the same number in another stream of the page."""
+    digits = [(1, s, 10 * s + i, 10.0, 5.0 * i, 5.0 * i + 5, 0.0, 10.0, c) for s in (1, 2) for i, c in enumerate("1234567")]
+    rows = [*digits, (1, 1, 50, 10.0, 38.0, 60.0, 0.0, 10.0, "oﬃce")]
+    runs = spark.createDataFrame(rows, "page int, stream int, run_id int, size double, x0 double, x1 double, y0 double, y1 double, text string")
+    lines = layout.visual_lines(runs, ["page", "stream"])
+    find = lambda p: search.find_grouped(lines, ["page", "stream"], p, layout.SPACE_GAP)
+    found = find(search.Pattern("345"))
+    pieces = sorted((r["stream"], r["piece_no"], r["run_id"], r["start"], r["end"]) for r in found.collect())
+    assert pieces == [(s, k, 10 * s + 2 + k, 0, 1) for s in (1, 2) for k in range(3)]
+    edits = search.edits_of(found.filter("stream = 1"), ["page", "stream", "line_no", "match_no"], F.lit("9"), F.col("matched"))
+    assert sorted((r["run_id"], r["new_text"], r["old_text"], r["continuation"]) for r in edits.collect()) == [(12, "9", "345", False), (13, "", "", True), (14, "", "", True)]
+    assert edits.select("group").distinct().count() == 1 and edits.first()["group"] != 0
+    across = sorted((r["matched"], r["run_id"], r["start"], r["end"]) for r in find(search.Pattern("7 offi")).collect())
+    assert across == [("7 offi", 16, 0, 1), ("7 offi", 50, 0, 2)]
+    assert find(search.Pattern("")).count() == 0
+
+
+def test_top_rows_keep_totals(spark):
+    rows = spark.createDataFrame([(None, i) for i in range(7)] + [("a", i) for i in range(3)], "g string, n int")
+    got = sorted(values(search.top_rows(rows, ["g"], [F.desc("n")], 2).select("g", "n", "rank", "total")), key=str)
+    assert got == sorted([(None, 6, 1, 7), (None, 5, 2, 7), ("a", 2, 1, 3), ("a", 1, 2, 3)], key=str)
+
+
+def test_nearest_by_buckets_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab"), rng.choice("xyz"), rng.randint(0, 30)) for i in range(120)] + [(500, "c", "x", 5), (501, None, "x", 5)]
+    buckets = [["g", "h"], ["g"]]
+    got = match.nearest_by_buckets(spark.createDataFrame(rows, "i long, g string, h string, v long").repartition(3), "i", buckets, "v")
+    want = {}
+    for i, g, h, v in rows:
+        if g is not None:
+            for no, same in enumerate((lambda r: (r[1], r[2]) == (g, h), lambda r: r[1] == g)):  # noqa: B023
+                others = [(abs(r[3] - v), r[0]) for r in rows if r[0] != i and same(r)]
+                if others and i not in want:
+                    want[i] = (min(others)[1], no)
+    assert {r["i"]: (r["candidate"], r["bucket"]) for r in got.collect()} == want
+
+
+def test_detectors_find_what_is_planted_and_nothing_else(spark):
+    frame = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    said = lambda df: sorted((r["key"], r["subject"]) for r in df.collect())
+    assert said(detect.stream_tails(frame("path string, num int, gen int, tail int", ("a", 1, 0, 3), ("b", 1, 0, 0)))) == [("stream-tail", "a")]
+    assert said(detect.extra_revisions(frame("path string, n_eof int", ("a", 1), ("b", 3)))) == [("revisions", "b")]
+    widths = frame("font string, code int, program_width double, stated_width double", ("f", 1, 500.0, 501.0), ("g", 2, 500.0, 501.5), ("h", 3, 0.0, 600.0))
+    assert said(detect.width_mismatches(widths)) == [("width-mismatch", "g")]
+    glyphs = frame("font string, gid int, n_bytes int", ("f", 0, 9), ("f", 1, 9), ("f", 2, 9), ("f", 3, 0), ("f", 4, 9))
+    parts = frame("font string, gid int, part int", ("f", 1, 2), ("f", 9, 4))
+    assert [r["text"] for r in detect.orphan_glyphs(glyphs, frame("font string, gid int", ("f", 1)), parts).collect()] == ["glyph 4 is reached by nothing"]
+    fonts = "font string, modified long, tables array<string>, hinted boolean"
+    before = frame(fonts, ("a", 1, ["x", "y", "z"], True), ("b", 1, ["x", "y"], True), ("gone", 1, ["x"], True))
+    after = frame(fonts, ("a", 2, ["z", "x"], False), ("b", 1, ["x", "new", "y"], True))
+    assert said(detect.font_changes(before, after, ["font"])) == [("font-date", "a"), ("hinting", "a"), ("table-order", "a")]
+    levels = "path string, level int"
+    assert said(detect.recompressed(frame(levels, ("a", 1), ("b", 2), ("c", None)), frame(levels, ("a", 2), ("b", 2), ("c", 1)), ["path"])) == [("compression-level", "a")]
+    signed = frame("path string, field string, byte_range array<long>, size long", ("a", "s", [0, 10, 20, 80], 100), ("b", "s", [0, 100, 200, 100], 301), ("c", "s", [], 5), ("d", "s", None, 5))
+    assert said(detect.uncovered_signatures(signed)) == [("signature-coverage", x) for x in "bcd"]
+    changes = frame("doc string, key string, before string, after string", ("a", "/ModDate", "1", "2"), ("a", "/Producer", None, "x"))
+    assert said(detect.identity_changes(changes, "doc", ["/ModDate", "/CreationDate"])) == [("date-changed", "a"), ("metadata-changed", "a")]
+    maps = frame("l map<string,string>, r map<string,string>", ({"/Length": "1", "/A": "x"}, {"/A": "x"}), ({"/A": "x"}, {"/A": "y"}))
+    assert [r[0] for r in maps.select(detect.same_dictionary(F.col("l"), F.col("r"))).collect()] == [True, False]

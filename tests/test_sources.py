@@ -68,12 +68,20 @@ def test_code_maps_round_trip():
     assert syntax.unicode_map(b"1 beginbfrange <01> <03> [<0041> <0042> <0043>] <09> <05> <0041> endbfrange") == {1: "A", 2: "B", 3: "C"}
     assert syntax.cid_map(b"begincodespacerange <00> <7F> <8000> <FFFF> endcodespacerange 1 begincidrange <8000> <8002> 5 endcidrange") == ([(b"\0", b"\x7f"), (b"\x80\0", b"\xff\xff")], {0x8000: 5, 0x8001: 6, 0x8002: 7})
     assert syntax.split_codes(b"A\x80\1B\x81", [(b"\0", b"\x7f"), (b"\x80\0", b"\xff\xff")]) == [b"A", b"\x80\1", b"B", b"\x81"]
+    assert syntax.split_codes(b"\x80\1\x81", [(b"\x80\0", b"\xff\xff")]) == [b"\x80\1", b"\x81"]
+    assert syntax.split_codes(b"\0\1\2", syntax.TWO_BYTES) == [b"\0\1"]
 
 
 def test_widths_and_differences():
     assert syntax.widths([1, [10, 20], 5, 7, 30, "x", 9]) == {1: 10.0, 2: 20.0, 5: 30.0, 6: 30.0, 7: 30.0}
     assert syntax.differences([32, "/space", "/A", 65, "/B"]) == {32: "space", 33: "A", 65: "B"}
     assert syntax.base_encoding("/WinAnsiEncoding")[0x80] == "€" and syntax.base_encoding("Other").get(0x80) is None
+    standard = syntax.base_encoding("/StandardEncoding")
+    assert (standard[0x27], standard[0xA1], standard[0xB7], standard[0xD0], standard[0xFB], standard.get(0xB0)) == ("’", "¡", "•", "—", "ß", None)
+    assert syntax.simple_widths(65, [500, "x", 250.5], 9.0) == {65: 500.0, 66: 9.0, 67: 250.5}
+    data = b"q 1 w\nBT\nET\nQ"
+    spans = [(x.start, x.end) for x in syntax.instructions(data)]
+    assert syntax.dominant_separator(data, spans) == b"\n" and syntax.dominant_separator(b"", []) == b"\n"
 
 
 def test_edit_lists(spark, tmp_path):

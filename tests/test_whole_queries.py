@@ -1,4 +1,4 @@
-"""Queries without SQL over whole texts and all rows, on small tables against what they must hold."""
+"""Queries over whole texts and all rows, on small tables against what they must hold."""
 
 import re
 
@@ -16,7 +16,7 @@ def stored(spark, folder, name, rows, schema):
 def test_line_texts_hold_whole_turns(spark, tmp_path):
     first, second = "a turn of many words " * 30 + "end", "another turn, longer than twelve characters"
     sf = stored(spark, tmp_path, "conversations", [(1, 0, "user", first), (1, 1, "bot", second)], TURNS)
-    rows = queries.line_texts_whole(spark, sf).orderBy("line_no").collect()
+    rows = queries.line_texts(spark, sf).orderBy("line_no").collect()
     assert [t for r in rows for t in re.findall(f"{first}|{second}", r["text"])] == [first, second]
 
 
@@ -26,7 +26,7 @@ def test_whole_words_of_every_document(spark, tmp_path):
     rows = [(i, t, lang) for i, (t, lang) in enumerate(zip(texts, langs))]
     sf = stored(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
     expected = {i: len(re.findall(r"(?<!\w)the(?!\w)", plain_normalise(t or ""))) for i, t, _ in rows}
-    assert dict(queries.find_whole_word_all(spark, sf).collect()) == expected == {0: 1, 1: 1, 2: 1, 3: 2, 4: 0, 5: 1}
+    assert dict(queries.find_whole_word(spark, sf).collect()) == expected == {0: 1, 1: 1, 2: 1, 3: 2, 4: 0, 5: 1}
 
 
 def test_nearest_band_of_any_other_order(spark, tmp_path):
@@ -37,7 +37,7 @@ def test_nearest_band_of_any_other_order(spark, tmp_path):
         near = [(abs(price - p), k) for k, c, p in orders if c == cust and k != key and abs(price - p) <= 20_000]
         if near:
             expected[key] = min(near)[1]
-    assert dict(queries.nearest_other_line(spark, sf).collect()) == expected == {1: 3, 2: 3, 3: 1, 4: 2, 6: 7, 7: 6}
+    assert dict(queries.nearest_line(spark, sf).collect()) == expected == {1: 3, 2: 3, 3: 1, 4: 2, 6: 7, 7: 6}
 
 
 def test_hidden_copies_differ_after_their_first_characters(spark, tmp_path):
@@ -46,4 +46,4 @@ def test_hidden_copies_differ_after_their_first_characters(spark, tmp_path):
     rows = [(i, t, "user", text) for i, c in enumerate(copies) for t, text in ((0, shown), (2, c))]
     sf = stored(spark, tmp_path, "conversations", rows, TURNS)
     expected = {i for i, c in enumerate(copies) if c.strip(" ") and c.strip(" ") not in shown}
-    assert {r["conv_id"] for r in queries.hidden_copies_whole(spark, sf).collect()} == expected == {0, 5}
+    assert {r["conv_id"] for r in queries.hidden_copies(spark, sf).collect()} == expected == {0, 5}
