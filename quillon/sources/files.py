@@ -19,7 +19,7 @@ from . import syntax, text_state
 # In ems, a gap that ends a run, an overlap that does, and a gap that is a space.
 RUN_GAP, RUN_OVERLAP, SPACE_GAP = 2.5, -0.05, 0.19
 EDIT_SCHEMA = "page int, run long, glyph_start int, glyph_end int, new_text string, old_text string, continuation boolean, `group` long"
-_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
@@ -62,7 +62,7 @@ def stream_rows(files: DataFrame) -> DataFrame:
     def every(data: bytes):
         for s in syntax.streams(data):
             payload, chain = data[s.start : s.start + s.length], syntax.filters(s.head)
-            decoded, tail = syntax.inflated(payload) if chain[:1] in (["/FlateDecode"], ["/Fl"]) else (None if chain else payload, 0)
+            decoded, tail = syntax.decoded(payload, chain)
             valid = len(payload) > 1 and payload[0] & 15 == 8 and (payload[0] << 8 | payload[1]) % 31 == 0
             yield {"num": s.num, "gen": s.gen, "start": s.start, "length": s.length, "filters": chain, "level": payload[1] >> 6 if valid else None, "tail": tail if valid else 0, "digest": hashlib.sha256(payload).hexdigest(), "decoded": decoded}
 
@@ -70,21 +70,53 @@ def stream_rows(files: DataFrame) -> DataFrame:
 
 
 def reference_rows(files: DataFrame) -> DataFrame:
-    """Edges between objects: src and dst as 'num gen'."""
-    return _table(files, "src string, dst string", lambda data: ({"src": f"{a} {b}", "dst": f"{c} {d}"} for a, b, c, d in syntax.references(data)))
+    """Edges between objects, those in compressed object streams too: src and dst as 'num gen'."""
+    return _table(files, "src string, dst string", lambda data: ({"src": f"{a} {b}", "dst": f"{c} {d}"} for a, b, c, d in syntax.references(syntax.unpacked(data))))
 
 
 def object_rows(files: DataFrame) -> DataFrame:
-    """One row per object with the digests of its dictionary and its data, for record_diff."""
+    """One row per object, those in compressed object streams too, with the digests of its dictionary and its data, for record_diff."""
 
     def every(data: bytes):
-        for (num, gen), m in syntax.objects(data).items():
+        for (num, gen), m in syntax.objects(syntax.unpacked(data)).items():
             head, _, body = m[3].partition(b"stream")
             yield {"num": num, "gen": gen, "head": hashlib.sha256(head).hexdigest(), "body": hashlib.sha256(body).hexdigest()}
 
     return _table(files, "num long, gen long, head string, body string", every)
 
 
+def metadata_rows(files: DataFrame) -> DataFrame:
+    """(store, key, value) of each file: its information dictionary, its id and its XMP packet."""
+    return _table(files, "store string, name string, value string", lambda data: ({"store": s, "name": k, "value": v} for s, k, v in syntax.metadata(syntax.unpacked(data))))
+
+
+def signature_rows(files: DataFrame) -> DataFrame:
+    """One row per signed field, for detect.signature_coverage."""
+    return _table(files, "field string, sub_filter string, signed_at string, byte_range array<long>, size long", lambda data: ({"field": n, "sub_filter": f, "signed_at": t, "byte_range": r, "size": len(data)} for n, f, t, r in syntax.signatures(syntax.unpacked(data))))
+
+
+def actual_text_rows(streams: DataFrame, key: str = "path", data: str = "decoded") -> DataFrame:
+    """The texts that content streams give to be read out instead of what is shown, for rules.hidden_copy_mismatch."""
+    return _table(streams, "copy string", lambda d: ({"copy": t} for t in syntax.actual_texts(d)), key, data)
+
+
+def writing_rows(streams: DataFrame, key: str = "path", data: str = "decoded") -> DataFrame:
+    """How each content stream writes its strings and numbers."""
+    return _table(streams, "n_hex long, n_literal long, upper boolean, decimals int", lambda d: [syntax.string_votes(d)], key, data)
+
+
+def compare_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Two sets of files, compared by path: (path, part, item, change). Parts: object (dictionary, data or both), metadata and container; equal files give no row."""
+    from quillon.operators import detect, diff
+
+    objects = diff.record_diff(object_rows(before).drop("error"), object_rows(after).drop("error"), ["path", "num", "gen"], {"head": "head", "body": "body"}).filter("status <> 'identical'")
+    changed = objects.select("path", F.lit("object").alias("part"), F.concat_ws(" ", "num", "gen").alias("item"), F.col("status").alias("change"))
+    values = diff.value_diff(metadata_rows(before).drop("error"), metadata_rows(after).drop("error"), ["path", "store", "name"], "value")
+    told = values.select("path", F.lit("metadata").alias("part"), F.concat_ws(" ", "store", "name").alias("item"), F.concat_ws(" -> ", F.coalesce("before", F.lit("nothing")), F.coalesce("after", F.lit("nothing"))).alias("change"))
+    container = detect.container_changes(profiles(before), profiles(after), ["path"])
+    return changed.unionByName(told).unionByName(container.select(F.col("subject").alias("path"), F.lit("container").alias("part"), F.col("key").alias("item"), F.col("text").alias("change")))
+
+
 def instruction_rows(streams: DataFrame, key: str = "path", data: str = "decoded") -> DataFrame:
     """One row per instruction of a content stream: op_index, operator, operands (JSON; strings in hexadecimal), start, end."""
     shown = lambda x: [shown(y) for y in x] if isinstance(x, list) else x.hex() if isinstance(x, bytes) else x

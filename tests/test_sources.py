@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from quillon.operators import graph
+from quillon.operators import detect, graph
 from quillon.sources import files, syntax, text_state
 
 
@@ -91,3 +91,60 @@ def test_edit_lists(spark, tmp_path):
     files.write_edits(read, str(tmp_path / "out"))
     assert files.read_edits(spark, str(tmp_path / "out")).collect() == read.collect()
     assert files.same_bytes(b"abc", b"abcd")["appended"] and files.same_bytes(b"abc", b"abd")["in_place"]
+
+
+def test_objects_in_object_streams_and_chains_of_filters(spark, tmp_path):
+    packed = b"5 0 6 12 << /Kid 6 0 R >> << /Name /Kept >>"
+    first = packed.index(b"<<")
+    packed = b"5 0 6 18 " + packed[first:].replace(b">> <<", b">>  <<")
+    head = packed.index(b"<<")
+    body = zlib.compress(packed)
+    stm = b"<< /Type /ObjStm /N 2 /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (head, len(body), body)
+    twice = zlib.compress(b"twice").hex().encode() + b">"
+    chain = b"<< /Filter [/AHx /Fl] /Length %d >>\nstream\n%s\nendstream" % (len(twice), twice)
+    runs = b"<< /Filter /RunLengthDecode >>\nstream\n\x02abc\xfed\x80\nendstream"
+    strange = b"<< /Filter /DCTDecode >>\nstream\nxyz\nendstream"
+    (tmp_path / "o.pdf").write_bytes(pdf(b"<< /Type /Catalog /Pages 5 0 R >>", stm, chain, runs) + b"9 0 obj\n" + strange + b"\nendobj\n")
+    read = files.read_files(spark, str(tmp_path))
+    reached = graph.reachable(files.reference_rows(read), spark.createDataFrame([("1 0",)], "node string"))
+    assert {r["node"] for r in reached.collect()} == {"1 0", "5 0", "6 0"}
+    found = {r["num"]: r["decoded"] for r in files.stream_rows(read).collect()}
+    assert (bytes(found[3]), bytes(found[4]), found[9]) == (b"twice", b"abcddd", None)
+    assert {r["num"] for r in files.object_rows(read).collect()} == {1, 2, 3, 4, 5, 6, 9}
+
+
+XMP = b"""<?xpacket begin='' id='x'?><x:xmpmeta xmlns:x='adobe:ns:meta/'><rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#'><rdf:Description rdf:about='' xmlns:pdf='http://ns.adobe.com/pdf/1.3/' pdf:Producer='maker' xmlns:dc='http://purl.org/dc/elements/1.1/'><dc:title><rdf:Alt><rdf:li>A title</rdf:li></rdf:Alt></dc:title></rdf:Description></rdf:RDF></x:xmpmeta><?xpacket end='w'?>"""
+
+
+def signed(title: bytes, content: bytes = b"q Q") -> bytes:
+    objs = [
+        b"<< /Type /Catalog /AcroForm << /Fields [4 0 R 6 0 R] >> /Metadata 3 0 R >>",
+        b"<< /Title (" + title + b") /ModDate (D:20210305) >>",
+        b"<< /Type /Metadata /Subtype /XML /Length %d >>\nstream\n%s\nendstream" % (len(XMP), XMP),
+        b"<< /T (form) /Kids [5 0 R 4 0 R] >>",
+        b"<< /T (sig) /FT /Sig /V << /SubFilter /adbe.x /M (D:2021) /ByteRange [0 100 200 100] >> >>",
+        b"<< /T (plain) /FT /Tx /V (x) >>",
+        b"<< /Length %d >>\nstream\n%s\nendstream" % (len(content), content),
+    ]
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objs, 1)) + b"trailer << /Root 1 0 R /Info 2 0 R /ID [<00ff> <01>] >>\nstartxref\n0\n%%EOF\n"
+
+
+def test_metadata_signatures_and_comparison(spark, tmp_path):
+    for side, title, content in (("a", b"Old", b"/Span << /ActualText (shown) >> BDC <aB> Tj (x) Tj 1.5 2.25 3.75 Td EMC"), ("b", b"\xfe\xff\x04\x1d", b"q Q")):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / "f.pdf").write_bytes(signed(title, content))
+    from pyspark.sql import functions as F
+
+    before, after = (files.read_files(spark, str(tmp_path / side)).withColumn("path", F.lit("f")) for side in "ab")
+    found = {(r["store"], r["name"]): r["value"] for r in files.metadata_rows(before).collect()}
+    assert found == {("info", "/Title"): "Old", ("info", "/ModDate"): "D:20210305", ("id", "0"): "00ff", ("id", "1"): "01", ("xmp", "{http://ns.adobe.com/pdf/1.3/}Producer"): "maker", ("xmp", "{http://purl.org/dc/elements/1.1/}title"): "A title"}
+    rows = files.signature_rows(before)
+    assert [(r["field"], r["sub_filter"], r["signed_at"], r["byte_range"]) for r in rows.collect()] == [("form.sig", "/adbe.x", "D:2021", [0, 100, 200, 100])]
+    assert [r["key"] for r in detect.uncovered_signatures(rows).collect()] == ["signature-coverage"]
+    streams = files.stream_rows(before).filter("num = 7")
+    assert [r["copy"] for r in files.actual_text_rows(streams).collect()] == ["shown"]
+    assert [(r["n_hex"], r["n_literal"], r["upper"], r["decimals"]) for r in files.writing_rows(streams).collect()] == [(1, 2, True, 2)]
+    assert files.compare_files(before, before).count() == 0
+    changes = {(r["part"], r["item"]): r["change"] for r in files.compare_files(before, after).collect()}
+    assert changes[("metadata", "info /Title")] == "Old -> Н" and changes[("object", "2 0")] == "changed head" and changes[("object", "7 0")] == "changed both"
+    assert set(changes) == {("metadata", "info /Title"), ("object", "2 0"), ("object", "7 0"), ("container", "file-size")}
