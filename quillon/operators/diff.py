@@ -130,3 +130,16 @@ def sequence_diff(rows: DataFrame, keys: list[str], old: str, new: str, by: str
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     return rows.select(*keys, F.col(old).alias("__old"), F.col(new).alias("__new")).mapInArrow(run, f"{kinds}, op string, old_start int, old_end int, new_start int, new_end int")
+
+
+def undeclared(changes: DataFrame, declared: DataFrame, key: str = "key") -> DataFrame:
+    """Metadata changes whose field nobody declared (declared: field, '/Title'). A namespaced key counts by its last part, whatever the case."""
+    last = F.lower(F.regexp_extract(F.col(key), r"([^/}:#]+)$", 1))
+    named = declared.select(F.lower(F.ltrim(F.col("field"), F.lit("/"))).alias("__field")).distinct()
+    return changes.withColumn("__last", last).join(named, F.col("__last") == F.col("__field"), "left_anti").drop("__last")
+
+
+def summary_digest(rows: DataFrame, per: list[str], parts: list[Column], name: str = "digest") -> DataFrame:
+    """One digest per group over its rows' parts, whatever the order of the rows."""
+    line = F.concat_ws("\u001f", *[F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts])
+    return rows.groupBy(*per).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(line, 256))), ""), 256).alias(name))

@@ -55,6 +55,16 @@ def ordered_text(rows: DataFrame, per: list[str], order: list[Column], text: Col
     return rows.groupBy(*per).agg(F.array_join(F.transform(parts, lambda p: p["text"]), between).alias("text"))
 
 
+def reading_text(runs: DataFrame, per: list[str]) -> DataFrame:
+    """The runs' texts from top to bottom and left to right (y1 and x0 to one place, halves to even; ties by run_id), a line each."""
+    return ordered_text(runs, per, [-F.bround("y1", 1), F.bround("x0", 1), F.col("run_id")], F.col("text"), "\n")
+
+
+def line_shifts(widths: DataFrame, per: list[str], line: str, old: str, new: str) -> DataFrame:
+    """By how much each line grows where its pieces keep their natural widths: per, line, shift."""
+    return widths.groupBy(*per, line).agg(F.sum(F.col(new) - F.col(old)).alias("shift"))
+
+
 def consecutive(rows: DataFrame, per: list[str], key: str) -> DataFrame:
     """Runs of keys that step by one: first, last, n. Repeated keys count once."""
     once = rows.select(*per, key).distinct()

@@ -64,6 +64,25 @@ def required_characters(texts: DataFrame, per: list[str], text: str) -> DataFram
     return once.groupBy(*per).agg(F.array_sort(F.collect_list("c")).alias("characters"))
 
 
+def editable(rows: DataFrame, n_glyphs: str, is_drawn: str) -> DataFrame:
+    """Runs whose text can be edited: they show glyphs, and not of a font whose glyphs are drawings."""
+    return rows.filter((F.col(n_glyphs) > 0) & ~F.col(is_drawn))
+
+
+def codes_in_use(shown: DataFrame, per: list[str], code: str) -> DataFrame:
+    """Per group the codes shown, each once and in order: per, codes."""
+    return shown.select(*per, code).distinct().groupBy(*per).agg(F.array_sort(F.collect_list(code)).alias("codes"))
+
+
+def with_glyphs(codes: DataFrame, glyph_of: DataFrame, usable: DataFrame, on: list[str]) -> DataFrame:
+    """codes (on, code) with has_glyph: whether the glyph that its code stands for (glyph_of: on, code, gid) is among the usable ones (on, gid). What isn't known counts as there: a code without a glyph, a font whose glyphs nobody listed."""
+    listed = usable.select(*on).distinct().withColumn("__listed", F.lit(True))
+    there = usable.select(*on, "gid").distinct().withColumn("__there", F.lit(True))
+    found = codes.join(glyph_of.select(*on, "code", "gid"), [*on, "code"], "left").join(listed, on, "left").join(there, [*on, "gid"], "left")
+    has = F.col("gid").isNull() | F.col("__listed").isNull() | F.col("__there").isNotNull()
+    return found.withColumn("has_glyph", has).drop("gid", "__listed", "__there")
+
+
 def with_lookups(codes: DataFrame, steps: list[tuple[DataFrame, str, str]], default: Column, name: str) -> DataFrame:
     """codes with `name`, the first value found by left lookups in turn: (table, column that both share, value); else default."""
     out, found = codes, []

@@ -327,3 +327,29 @@ def test_detectors_find_what_is_planted_and_nothing_else(spark):
     assert said(detect.identity_changes(changes, "doc", ["/ModDate", "/CreationDate"])) == [("date-changed", "a"), ("metadata-changed", "a")]
     maps = frame("l map<string,string>, r map<string,string>", ({"/Length": "1", "/A": "x"}, {"/A": "x"}), ({"/A": "x"}, {"/A": "y"}))
     assert [r[0] for r in maps.select(detect.same_dictionary(F.col("l"), F.col("r"))).collect()] == [True, False]
+
+
+def test_small_operators_over_runs_and_fonts(spark):
+    frame = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    runs = frame("p int, run_id int, x0 double, y1 double, text string", (1, 1, 50.0, 700.04, "b"), (1, 2, 10.0, 700.0, "a"), (1, 3, 10.0, 650.0, "c"), (2, 4, 0.0, 1.0, "d"))
+    assert dict(values(layout.reading_text(runs, ["p"]))) == {1: "a\nb\nc", 2: "d"}
+    widths = frame("p int, line int, old double, new double", (1, 1, 10.0, 12.0), (1, 1, 5.0, 4.0), (1, 2, 3.0, 3.0))
+    assert sorted(values(layout.line_shifts(widths, ["p"], "line", "old", "new"))) == [(1, 1, 1.0), (1, 2, 0.0)]
+    assert [r["i"] for r in match.editable(frame("i int, n int, d boolean", (1, 2, False), (2, 0, False), (3, 2, True)), "n", "d").collect()] == [1]
+    assert values(match.codes_in_use(frame("f string, code int", ("a", 7), ("a", 3), ("a", 7)), ["f"], "code")) == [("a", [3, 7])]
+    codes = frame("f string, code int", ("a", 1), ("a", 2), ("a", 3), ("b", 1))
+    got = match.with_glyphs(codes, frame("f string, code int, gid int", ("a", 1, 10), ("a", 2, 20), ("b", 1, 5)), frame("f string, gid int", ("a", 10)), ["f"])
+    assert sorted(values(got.select("f", "code", "has_glyph"))) == [("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 1, True)]
+    changes = frame("key string, before string", ("/Title", "x"), ("{http://purl.org/dc/elements/1.1/}title", "x"), ("xmp:ModifyDate", "y"))
+    assert [r["key"] for r in diff.undeclared(changes, frame("field string", ("/Title",))).collect()] == ["xmp:ModifyDate"]
+    parts = frame("g int, a string, b int", (1, "x", 1), (1, "y", None), (2, "y", None), (2, "x", 1), (3, "x", 2))
+    digests = dict(values(diff.summary_digest(parts, ["g"], [F.col("a"), F.col("b")])))
+    assert digests[1] == digests[2] != digests[3]
+    need = match.required_characters(frame("f string, t string", ("a", "ba"), ("a", "cb"), ("b", "")), ["f"], "t")
+    assert values(need) == [("a", ["a", "b", "c"])]
+    assert spark.range(1).select(match.missing_characters(F.lit("xaxyz"), F.array(F.lit("a"), F.lit("z")))).first()[0] == ["x", "y"]
+    e = spark.createDataFrame([("abcdef", "abXdef"), ("same", "same"), ("", "new"), ("aaa", "aa"), ("ab", "axb")], "o string, n string")
+    for o, n, edit in e.select("o", "n", text.minimal_edit(F.col("o"), F.col("n"))).collect():
+        assert (edit is None) == (o == n)
+        if edit:
+            assert o[: edit["start"]] + edit["replacement"] + o[edit["end"] :] == n
