@@ -5,7 +5,7 @@ the group sizes. Running sums over them come in two steps: inside each of 2**CEL
 partition keeps together, and over the ranges' totals. The smallest capacity that n_shards shards can hold is found by
 search: it lies between the larger of the greatest group and an even share, and that share plus the greatest group. Each
 round tries CANDIDATES capacities at once: for all of them the greedy sweep finds its next cut, the last group whose
-running sum stays within capacity of the cut before, in one pass over the stored sums, n_shards passes a round. The
+running sum stays within capacity of the cut before, in one pass over the stored sums, n_shards - 1 passes a round. The
 greedy cuts at the smallest feasible capacity are the shards; they are at most n_shards - 1 hash values, so rows find
 their shard by comparing their own hash and no map is joined.
 
@@ -30,7 +30,7 @@ from .staging import materialise, release
 CELL_BITS = 14
 SLOT_BUCKETS = 1024
 #: Capacities tried in one round.
-CANDIDATES = 24
+CANDIDATES = 64
 
 
 def _cell(h: Column) -> Column:
@@ -55,12 +55,14 @@ def _next_cuts(sums: DataFrame, limits: list[int]) -> list[int]:
     return [x or 0 for x in found]
 
 
-def greedy_cuts(sums: DataFrame, capacities: list[int], n_shards: int) -> list[list[int]]:
-    """For each capacity the running sums at which n_shards greedy shards end."""
+def greedy_cuts(sums: DataFrame, capacities: list[int], n_shards: int, total: int) -> list[list[int]]:
+    """For each capacity the running sums at which n_shards greedy shards end; the last is total, or -1 where the last shard can't hold the rest."""
     ends: list[list[int]] = [[] for _ in capacities]
-    for _ in range(n_shards):
+    for _ in range(n_shards - 1):
         for own, end in zip(ends, _next_cuts(sums, [(e[-1] if e else 0) + c for e, c in zip(ends, capacities, strict=True)]), strict=True):
             own.append(end)
+    for own, capacity in zip(ends, capacities, strict=True):
+        own.append(total if total - (own[-1] if own else 0) <= capacity else -1)
     return ends
 
 
@@ -74,7 +76,7 @@ def minimax_cuts(sums: DataFrame, n_shards: int) -> tuple[int, list[int]]:
     while best is None or low < high:
         #: high is feasible: a greedy shard that ends takes more than an even share.
         tried = sorted({low + (high - low) * k // CANDIDATES for k in range(CANDIDATES + 1)})
-        cuts = greedy_cuts(sums, tried, n_shards)
+        cuts = greedy_cuts(sums, tried, n_shards, total)
         at = next(k for k, ends in enumerate(cuts) if ends[-1] == total)
         high, best = tried[at], cuts[at]
         low = tried[at - 1] + 1 if at else high
