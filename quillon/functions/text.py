@@ -234,6 +234,15 @@ def filter_chain(filters: Column, aliases: dict[str, str]) -> Column:
     return F.transform(filters, lambda f: F.coalesce(F.element_at(table, f), f))
 
 
+# Filters whose data stay as they are, pictures and encrypted data.
+OPAQUE_FILTERS = ["/DCTDecode", "/DCT", "/JPXDecode", "/CCITTFaxDecode", "/CCF", "/JBIG2Decode", "/Crypt"]
+
+
+def is_opaque(filters: Column) -> Column:
+    """Whether a stream's data are read raw."""
+    return F.coalesce(F.arrays_overlap(filters, F.array(*map(F.lit, OPAQUE_FILTERS))), F.lit(False))
+
+
 def zlib_header(data: Column) -> Column:
     """struct<valid, level> of the first two bytes: compression method 8 and a multiple of 31; level is the hint 0 to 3."""
     number = lambda at: F.conv(F.hex(F.substring(data, at, 1)), 16, 10).cast("int")

@@ -31,3 +31,10 @@ def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "
 def dangling(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Edges whose end is no node."""
     return edges.filter(F.col(dst).isNotNull()).join(nodes.select(F.col("node").alias(dst)).distinct(), dst, "left_anti")
+
+
+def reachable_glyphs(glyphs: DataFrame, sources: list[DataFrame], unknown: DataFrame) -> DataFrame:
+    """(font, gid) that any of the sources gives. Of fonts (font) whose code map nobody can read, all their glyphs count."""
+    fonts = unknown.select("font").distinct()
+    given = reduce(DataFrame.unionByName, [s.select("font", "gid") for s in sources]).join(fonts, "font", "left_anti")
+    return given.unionByName(glyphs.select("font", "gid").join(fonts, "font", "left_semi")).distinct()

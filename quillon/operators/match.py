@@ -22,6 +22,21 @@ def ranked_choice(requests: DataFrame, catalogue: DataFrame, request_id: str, on
     return joined.withColumn("__at", F.row_number().over(Window.partitionBy(request_id).orderBy("bucket", *order))).filter(F.col("__at") == 1).drop("__at")
 
 
+def fallback_choice(styles: DataFrame, catalogue: DataFrame, preferred: list[str]) -> DataFrame:
+    """For each style (bold, italic, weight) the font (catalogue: ord, family, bold, italic, weight) to fall back on: of the same style the earliest preferred family, else any family, nearest in weight; else the first of a preferred family, else the first.
+
+    Styles meet the fonts of their own bold and italic only, and each once however many requests share it.
+    """
+    rank = F.array_position(F.array(*map(F.lit, preferred)), F.col("family"))
+    fonts = catalogue.withColumn("rank", F.when(rank > 0, rank).otherwise(len(preferred) + 1))
+    asked = styles.select("bold", "italic", "weight").distinct()
+    same = asked.join(fonts.withColumnRenamed("weight", "of"), ["bold", "italic"])
+    best = same.groupBy("bold", "italic", "weight").agg(F.min(F.struct("rank", F.abs(F.col("of") - F.col("weight")), "ord"))["ord"].alias("best"))
+    first = fonts.agg(F.min(F.struct("rank", "ord"))["ord"].alias("first"))
+    chosen = asked.join(best, ["bold", "italic", "weight"], "left").join(F.broadcast(first), F.lit(True), "left")
+    return styles.join(chosen.select("bold", "italic", "weight", F.coalesce("best", "first").alias("ord")), ["bold", "italic", "weight"])
+
+
 def nearest_by_buckets(rows: DataFrame, id_col: str, buckets: list[list[str]], value: str) -> DataFrame:
     """For each row the other row of its best bucket: id_col, candidate, bucket.
 

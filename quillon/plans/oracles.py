@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .file_oracles import ORACLES as FILE_ORACLES
+
 _ORDERS = """
     bumped AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
                       CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 13 <> 0),
@@ -193,4 +195,35 @@ ORACLES = {
     "shown_runs": """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_size AS x, p_brand FROM part)
         SELECT path, CAST(1 AS BIGINT) AS run_id, p_brand AS text, CAST(x AS BIGINT) AS x0, CAST(x + 5 * length(p_brand) AS BIGINT) AS x1, CAST(700 AS BIGINT) AS y0, CAST(length(p_brand) AS BIGINT) AS n_glyphs FROM p
         UNION ALL SELECT path, 2, 'a b', x, x + 13, 680, 2 FROM p UNION ALL SELECT path, 3, 'c', x + 43, x + 48, 680, 1 FROM p""",
-}
+    "norm_positions": """WITH m AS (SELECT item_id, replace(text, 'ff', chr(64256)) AS m FROM benchmark), s AS (SELECT *, string_split(m, chr(64256)) AS parts FROM m)
+        SELECT item_id, CAST(length(m) + len(parts) - 1 AS INTEGER) AS n, CAST(length(m) - 1 AS INTEGER) AS last, CAST(length(m) * (length(m) - 1) // 2 + coalesce(list_sum(list_transform(range(1, len(parts)), lambda k: length(array_to_string(parts[1:k], '.')))), 0) AS BIGINT) AS total FROM s""",
+    "find_offsets": """WITH s AS (SELECT doc_id, text, string_split(translate(text, 'LICENSE', 'license'), 'license') AS parts FROM documents), k AS (SELECT *, unnest(range(1, len(parts))) AS k FROM s),
+        a AS (SELECT *, length(array_to_string(parts[1:k], 'license')) AS pos FROM k)
+        SELECT doc_id, CAST(k - 1 AS INTEGER) AS match_no, CAST(pos AS INTEGER) AS start, CAST(pos + 7 AS INTEGER) AS "end", substring(text, pos + 1, 7) AS matched FROM a""",
+    "replacement_plan": """WITH s AS (SELECT doc_id, string_split(text, 'License') AS parts FROM documents), k AS (SELECT *, unnest(range(1, len(parts))) AS k FROM s), a AS (SELECT *, length(array_to_string(parts[1:k], 'License')) AS pos FROM k)
+        SELECT doc_id, CAST(k - 1 AS INTEGER) AS match_no, CAST(pos AS INTEGER) AS start, CAST(pos + 7 AS INTEGER) AS "end", 'License' AS matched, 'Licence' AS new_text FROM a ORDER BY doc_id, k LIMIT 50""",
+    "editable_runs": "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber % 3 > 0 AND l_returnflag <> 'R' GROUP BY l_orderkey",
+    "codes_in_use": "SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS codes FROM lineitem GROUP BY l_suppkey",
+    "known_glyphs": """WITH u AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey % 3 = 0 AND p_brand NOT LIKE '%5')
+        SELECT p_brand AS font, p_partkey AS code, p_partkey % 5 = 0 OR p_brand NOT IN (SELECT p_brand FROM u) OR (p_brand, p_size) IN (SELECT p_brand, p_size FROM u) AS has_glyph FROM part""",
+    "missing_characters": """SELECT doc_id, regexp_extract(coalesce(text, ''), '[^a-zA-Z \n]') AS first, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[^a-zA-Z \n]'))), ''), '') AS missing FROM documents""",
+    "note_severities": """WITH n AS (SELECT o_custkey, o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'file is damaged' WHEN 1 THEN concat('expected endstream, ', o_orderpriority) ELSE concat('odd spacing ', o_orderstatus) END AS t FROM orders),
+        s AS (SELECT o_custkey, o_orderkey, CASE WHEN length(t) > 30 THEN concat(left(t, 27), '...') ELSE t END AS note FROM n)
+        SELECT o_custkey, note, min(o_orderkey) AS o_orderkey, CASE WHEN note LIKE 'odd%' THEN 'warning' ELSE 'error' END AS severity FROM s GROUP BY o_custkey, note""",
+    "overall_outcome": f"WITH {_RULES} SELECT CAST(4 AS BIGINT) AS n_rules, count(*) AS n_findings, count(*) FILTER (WHERE key IN ('negative-balance', 'no-customer')) = 0 AS valid, count(*) = 0 AS clean FROM f",
+    "line_shifts": "SELECT l_suppkey, l_linenumber, CAST(sum(l_partkey % 3) AS DOUBLE) AS shift FROM lineitem GROUP BY l_suppkey, l_linenumber",
+    "reading_order": """SELECT l_orderkey, string_agg(l_partkey::VARCHAR, chr(10) ORDER BY -round_even(floor(l_quantity) + l_linenumber * 0.25::DOUBLE, 1), round_even(l_linenumber * 0.25::DOUBLE, 1), l_suppkey, l_partkey::VARCHAR) AS text FROM lineitem GROUP BY l_orderkey""",
+    "line_hints": """WITH t AS (SELECT concat(conv_id, ' ', turn) AS pos, regexp_replace(text, '( [^ ]* [^ ]* [^ ]*) ', '\\1' || chr(10), 'g') AS text FROM conversations), j AS (SELECT pos, text, replace(text, chr(10), ' ') AS joined FROM t),
+        h AS (SELECT pos, s FROM j, (VALUES ('of the'), ('e s')) v(s) WHERE NOT contains(text, s) AND contains(joined, s))
+        SELECT pos AS "at", count(*) AS n FROM h GROUP BY pos""",
+    "summary_digests": """WITH d AS (SELECT o_custkey, sha256(concat(o_orderkey, chr(31), o_orderstatus, chr(31), o_orderpriority)) AS d FROM orders) SELECT o_custkey, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM d GROUP BY o_custkey""",
+    "common_order": """WITH a AS (SELECT o_custkey, o_orderpriority AS p, min(o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) AS x, min(o_orderkey) FILTER (WHERE o_orderkey % 2 = 1) AS y FROM orders GROUP BY ALL),
+        b AS (SELECT o_custkey, count(x) AS nx, count(y) AS ny, coalesce(list(p ORDER BY x) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL), []) = coalesce(list(p ORDER BY y) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL), []) AS same FROM a GROUP BY o_custkey)
+        SELECT o_custkey, same FROM b WHERE nx > 0 AND ny > 0""",
+    "fallback_choice": """WITH f AS (SELECT p_partkey AS ord, CASE p_brand WHEN 'Brand#7' THEN 1 WHEN 'Brand#3' THEN 2 ELSE 3 END AS rank, p_size % 2 = 0 AS bold, p_partkey % 3 = 0 AS italic, (p_size % 9 + 1) * 100 AS weight FROM part),
+        c AS (SELECT * FROM f WHERE NOT (bold AND italic)), s AS (SELECT s_suppkey, s_nationkey % 2 = 0 AS bold, s_suppkey % 3 = 0 AS italic, (s_suppkey % 9 + 1) * 100 AS weight FROM supplier)
+        SELECT s_suppkey, coalesce((SELECT c.ord FROM c WHERE c.bold = s.bold AND c.italic = s.italic ORDER BY c.rank, abs(c.weight - s.weight), c.ord LIMIT 1), (SELECT c.ord FROM c ORDER BY c.rank, c.ord LIMIT 1)) AS ord FROM s""",
+    "reachable_glyphs": "SELECT p_brand AS font, p_partkey AS gid FROM part WHERE p_size < 10 OR p_partkey % 7 = 0 OR p_brand LIKE '%5'",
+    "composite_glyphs": """WITH RECURSIVE r(node, depth) AS (SELECT s_suppkey, CAST(0 AS BIGINT) FROM supplier WHERE s_suppkey IN (1, 7) UNION SELECT s_suppkey, depth + 1 FROM r, (VALUES (2), (3)) v(k), supplier WHERE s_suppkey = node * k)
+        SELECT node, min(depth) AS depth FROM r GROUP BY node""",
+} | FILE_ORACLES

@@ -10,6 +10,8 @@ from quillon.operators import detect, diff, graph, layout, match, rules, search,
 from quillon.session import read_table as table
 from quillon.sources import files, text_state
 
+from . import file_queries
+
 NBSP, FF = chr(0x00A0), chr(0xFB00)
 
 
@@ -472,6 +474,103 @@ def hidden_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(other, ["conv_id", "turn"]).filter(rules.hidden_copy_mismatch(F.col("copy"), F.col("text"))).select("conv_id", "turn")
 
 
+# Operators on runs, codes and notes
+
+
+def editable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as runs: those that show glyphs and whose glyphs aren't drawings, by order."""
+    runs = table(spark, sf_dir, "lineitem").select("l_orderkey", F.pmod("l_linenumber", F.lit(3)).alias("n_glyphs"), (F.col("l_returnflag") == "R").alias("is_drawn"))
+    return match.editable(runs, "n_glyphs", "is_drawn").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+def codes_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.codes_in_use(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_linenumber")
+    return found.select("l_suppkey", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
+
+
+def known_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as codes of their brand's font: some codes have no glyph, some fonts no list of glyphs."""
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("font"), F.col("p_partkey").alias("code"), F.col("p_size").alias("gid"))
+    usable = part.filter((F.col("code") % 3 == 0) & ~F.col("font").endswith("5"))
+    return match.with_glyphs(part.select("font", "code"), part.filter(F.col("code") % 5 != 0), usable, ["font"]).select("font", "code", "has_glyph")
+
+
+def missing_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The characters of each document that plain letters, space and line feed lack: the first met, and all in order of code points."""
+    plain = F.split(F.lit("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ \n"), "")
+    missing = match.missing_characters(F.coalesce("text", F.lit("")), plain)
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.get(missing, F.lit(0)), F.lit("")).alias("first"), F.array_join(F.array_sort(missing), "").alias("missing"))
+
+
+def note_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a parser's notes on their customers: each note once, where it first came, shortened and rated."""
+    key = F.col("o_orderkey") % 4
+    note = F.when(key == 0, F.lit("file is damaged")).when(key == 1, F.concat(F.lit("expected   endstream, "), "o_orderpriority")).otherwise(F.concat(F.lit("odd  spacing "), "o_orderstatus"))
+    notes = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", text.shortened(note, 30).alias("note"))
+    found = rules.distinct_notes(notes, ["o_custkey"], "note", "o_orderkey")
+    return found.select("o_custkey", "note", "o_orderkey", rules.note_severity(F.col("note")).alias("severity"))
+
+
+def overall_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.overall(rules.outcome(_rules(spark, sf_dir)))
+
+
+def line_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").withColumn("wider", F.col("l_quantity") + F.col("l_partkey") % 3)
+    return layout.line_shifts(li, ["l_suppkey"], "l_linenumber", "l_quantity", "wider")
+
+
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as runs of their order's page, with heights that round to even."""
+    li = table(spark, sf_dir, "lineitem")
+    runs = li.select("l_orderkey", (F.floor("l_quantity") + F.col("l_linenumber") * 0.25).alias("y1"), (F.col("l_linenumber") * 0.25).alias("x0"), F.col("l_suppkey").alias("run_id"), F.col("l_partkey").cast("string").alias("text"))
+    return layout.reading_text(runs, ["l_orderkey"])
+
+
+def line_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that have two words only over a line's end: every fourth space of a turn becomes a line feed first."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws(" ", "conv_id", "turn").alias("at"), F.regexp_replace("text", "( [^ ]* [^ ]* [^ ]*) ", "$1\n").alias("text"))
+    return search.not_found_hints(turns, search.Pattern("of the"), "at", "text").unionByName(search.not_found_hints(turns, search.Pattern("e s"), "at", "text")).groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+
+
+def replacement_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 edits that replacing would make, none of them made."""
+    return search.replacement_plan(table(spark, sf_dir, "documents"), search.Pattern("License"), "Licence", "doc_id", "text", 50)
+
+
+def summary_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.summary_digest(table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")])
+
+
+def common_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by whether the priorities that the first and the last year's orders share came in the same order."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey", (F.col("o_orderkey") % 2).alias("half"), "o_orderpriority").agg(F.min("o_orderkey").alias("at"))
+    lists = orders.groupBy("o_custkey", "half").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("names"))
+    left, right = (lists.filter(F.col("half") == h).select("o_custkey", F.col("names").alias(n)) for h, n in ((0, "a"), (1, "b")))
+    return left.join(right, "o_custkey").select("o_custkey", diff.common_order(F.col("a"), F.col("b")).alias("same"))
+
+
+def fallback_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as fonts, none of them both bold and italic, and suppliers' styles."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    fonts = part.select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("family"), (F.col("p_size") % 2 == 0).alias("bold"), (F.col("p_partkey") % 3 == 0).alias("italic"), ((F.col("p_size") % 9 + 1) * 100).alias("weight"))
+    styles = supplier.select("s_suppkey", (F.col("s_nationkey") % 2 == 0).alias("bold"), (F.col("s_suppkey") % 3 == 0).alias("italic"), ((F.col("s_suppkey") % 9 + 1) * 100).alias("weight"))
+    return match.fallback_choice(styles, fonts.filter("NOT (bold AND italic)"), ["Brand#7", "Brand#3"]).select("s_suppkey", "ord")
+
+
+def reachable_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as glyphs of their brand's font: sizes and keys reach some, and of some fonts nobody can read the map."""
+    glyphs = table(spark, sf_dir, "part").select(F.col("p_brand").alias("font"), F.col("p_partkey").alias("gid"), "p_size")
+    return graph.reachable_glyphs(glyphs, [glyphs.filter("p_size < 10"), glyphs.filter("gid % 7 = 0")], glyphs.filter("font LIKE '%5'"))
+
+
+def composite_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as glyphs: each is made of the ones at twice and thrice its number, down to those that have no parts."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
+    parts = s.select(F.col("node").alias("src"), F.explode(F.array(F.col("node") * 2, F.col("node") * 3)).alias("dst")).join(s.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return graph.reachable(parts, s.filter("node IN (1, 7)")).select("node", F.col("depth").cast("long").alias("depth"))
+
+
 # Detectors
 
 
@@ -567,5 +666,7 @@ object_hash_diff changed_objects set_changes meta_diff expected_partition inheri
 ranked_candidates charset_covers required_characters code_widths object_roles nearest_line majority_style reverse_map free_codes minority_rows top_findings rule_outcomes
 atomic_groups edit_reasons edit_pieces latest_revision merge_metadata in_place_routes reachability dangling_edges stale_copies
 hidden_copies container_changes external_risks signature_coverage width_mismatches orphan_glyphs dictionary_changes
-code_maps instructions raw_streams shown_runs""".split()
-QUERIES = {name: globals()[name] for name in NAMES}
+code_maps instructions raw_streams shown_runs
+editable_runs codes_in_use known_glyphs missing_characters note_severities overall_outcome line_shifts reading_order line_hints replacement_plan
+summary_digests common_order fallback_choice reachable_glyphs composite_glyphs""".split()
+QUERIES = {name: globals()[name] for name in NAMES} | file_queries.QUERIES

@@ -5,6 +5,7 @@ Files come as rows (path, content) of spark.read.format("binaryFile"); everythin
 
 from __future__ import annotations
 
+import difflib
 import hashlib
 import json
 import re
@@ -19,7 +20,7 @@ from . import syntax, text_state
 # In ems, a gap that ends a run, an overlap that does, and a gap that is a space.
 RUN_GAP, RUN_OVERLAP, SPACE_GAP = 2.5, -0.05, 0.19
 EDIT_SCHEMA = "page int, run long, glyph_start int, glyph_end int, new_text string, old_text string, continuation boolean, `group` long"
-_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
@@ -134,6 +135,68 @@ def code_map_rows(streams: DataFrame, key: str = "path", data: str = "decoded")
     return _table(streams, "code long, text string", lambda d: ({"code": c, "text": t} for c, t in syntax.unicode_map(d).items()), key, data)
 
 
+def content_rows(files: DataFrame) -> DataFrame:
+    """What pages show, by the page tree: page (from 0), part (page, form or appearance), name, box, matrix, decoded. A page's origin is the lower left corner of its box."""
+    return _table(files, "page int, part string, name string, box array<double>, matrix array<double>, decoded binary", syntax.contents)
+
+
+def structure_error_rows(files: DataFrame) -> DataFrame:
+    """(place, problem): what is wrong with each file's structure, for detect.finding."""
+    return _table(files, "place string, problem string", lambda data: ({"place": p, "problem": t} for p, t in syntax.structure_errors(data)))
+
+
+def width_rows(arrays: DataFrame, key: str = "path", data: str = "decoded") -> DataFrame:
+    """(code, width) of arrays of widths, written as they stand in files: [first [w ...] first last w ...]."""
+    return _table(arrays, "code long, width double", lambda d: ({"code": c, "width": float(w)} for c, w in syntax.widths(syntax.value_of(d) or []).items()), key, data)
+
+
+def encoding_rows(arrays: DataFrame, base: str, key: str = "path", data: str = "decoded") -> DataFrame:
+    """(code, name, text) of a font's encoding: the named base, changed by an array of differences; texts of names that only a list of glyphs knows are empty."""
+
+    def every(d: bytes):
+        own = syntax.differences(syntax.value_of(d) or [])
+        rows = {c: (syntax.glyph_name(t), t) for c, t in syntax.base_encoding(base).items()} | {c: (n, syntax.glyph_text(n)) for c, n in own.items()}
+        return ({"code": c, "name": n, "text": t} for c, (n, t) in rows.items())
+
+    return _table(arrays, "code long, name string, text string", every, key, data)
+
+
+def written_code_maps(codes: DataFrame, key: str = "path", width: int = 2) -> DataFrame:
+    """(key, decoded): one code map, as text, of each key's rows (code, text); it reads back as code_map_rows gives them."""
+    maps = codes.groupBy(F.col(key).cast("string").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("code", "text"))).alias("map"))
+    return _table(maps, "decoded binary", lambda m: [{"decoded": syntax.code_map_text(dict(m), width)}], key, "map").drop("error")
+
+
+def character_id_rows(streams: DataFrame, key: str = "path", data: str = "decoded") -> DataFrame:
+    """(code, cid) of a stream that maps codes to character ids."""
+    return _table(streams, "code long, cid long", lambda d: ({"code": c, "cid": i} for c, i in syntax.cid_map(d)[1].items()), key, data)
+
+
+def code_rows(strings: DataFrame, spaces: list[tuple[bytes, bytes]], key: str = "path", data: str = "decoded") -> DataFrame:
+    """(at, code) of strings cut into codes by their code spaces; code in hexadecimal."""
+    return _table(strings, "at int, code string", lambda d: ({"at": i, "code": c.hex()} for i, c in enumerate(syntax.split_codes(d, spaces))), key, data)
+
+
+def described_changes(pairs: DataFrame, fonts: dict[str, dict[int, str]], key: str = "path", before: str = "before", after: str = "after", width: int = 1) -> DataFrame:
+    """How content streams changed, for people: one row per change, with at (the first instruction, from 0, of the stream before) and text. fonts: code maps by resource name."""
+
+    def every(pair: dict):
+        old, new = (list(syntax.readable(pair[side] or b"", fonts, width)) for side in ("before", "after"))
+        for op, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
+            gone, come = "; ".join(old[a:b]), "; ".join(new[c:d])
+            if op != "equal":
+                yield {"at": a, "text": f"{gone} became {come}" if gone and come else f"{gone} vanished" if gone else f"{come} is new"}
+
+    both = pairs.select(key, F.struct(F.col(before).alias("before"), F.col(after).alias("after")).alias("pair"))
+    return _table(both, "at int, text string", every, key, "pair")
+
+
+def byte_changes(pairs: DataFrame, key: str = "path", before: str = "before", after: str = "after") -> DataFrame:
+    """same_bytes of each pair of files."""
+    both = pairs.select(key, F.struct(F.coalesce(F.col(before), F.lit(b"")).alias("before"), F.coalesce(F.col(after), F.lit(b"")).alias("after")).alias("pair"))
+    return _table(both, "identical boolean, appended boolean, n_changed long, in_place boolean", lambda p: [same_bytes(p["before"], p["after"])], key, "pair")
+
+
 def runs_of_glyphs(glyphs: DataFrame, per: list[str]) -> DataFrame:
     """Glyphs to runs: a new run at another segment, baseline or size, a gap over 2.5 or under -0.05 of the size; a gap of 0.19 is a space.
 

@@ -170,6 +170,10 @@ def filters(head: bytes) -> list[str]:
 FILTER_NAMES = {"/Fl": "/FlateDecode", "/AHx": "/ASCIIHexDecode", "/A85": "/ASCII85Decode", "/RL": "/RunLengthDecode", "/LZW": "/LZWDecode", "/DCT": "/DCTDecode", "/CCF": "/CCITTFaxDecode"}
 
 
+#: Filters that `decoded` takes off.
+DECODABLE = {"/FlateDecode", "/ASCIIHexDecode", "/ASCII85Decode", "/RunLengthDecode"}
+
+
 def decoded(payload: bytes, chain: list[str]) -> tuple[bytes | None, int]:
     """(data after the whole chain of filters, unused bytes after the first compressed data); (None, ...) where a filter is unknown or fails."""
     tail = 0
@@ -503,3 +507,152 @@ def string_votes(data: bytes) -> dict[str, Any]:
     upper, lower = (sum(len(re.findall(kind, x)) for x in hexes) for kind in (rb"[A-F]", rb"[a-f]"))
     decimals = Counter(len(raw.partition(b".")[2]) for t in found if t.kind == "number" and b"." in (raw := data[t.start : t.end]))
     return {"n_hex": len(hexes), "n_literal": sum(t.kind == "string" for t in found), "upper": upper >= lower, "decimals": max(decimals, key=lambda d: (decimals[d], d)) if decimals else None}
+
+
+def value_of(body: bytes) -> Any:
+    """What an object holds, as `dictionary` gives values; data of a stream are left out."""
+    return dictionary(b"<< /V " + body.split(b"stream", 1)[0] + b" >>").get("/V")
+
+
+class Document:
+    """A file's objects, found once, and what references lead to."""
+
+    def __init__(self, data: bytes):
+        self.data = unpacked(data)
+        self.places = objects(self.data)
+        self.bodies = {(s.num, s.gen): s for s in streams(self.data)}
+
+    def key(self, x: Any) -> tuple[int, int] | None:
+        m = re.fullmatch(r"(\d+) (\d+) R", x) if isinstance(x, str) else None
+        return (int(m[1]), int(m[2])) if m else None
+
+    def value(self, x: Any) -> Any:
+        """What x refers to, or x itself; nothing for an object that isn't there."""
+        key = self.key(x)
+        return x if key is None else value_of(self.places[key][3]) if key in self.places else None
+
+    def entries(self, x: Any) -> dict[str, Any]:
+        found = self.value(x)
+        return found if isinstance(found, dict) else {}
+
+    def items(self, x: Any) -> list:
+        found = self.value(x)
+        return found if isinstance(found, list) else []
+
+    def stream(self, x: Any) -> bytes | None:
+        s = self.bodies.get(self.key(x))
+        return decoded(self.data[s.start : s.start + s.length], filters(s.head))[0] if s else None
+
+    def numbers(self, x: Any) -> list[float] | None:
+        found = [self.value(n) for n in self.items(x)]
+        return [number(n) for n in found] if found else None
+
+
+#: What a page takes from the nodes above it.
+_INHERITED = ("/Resources", "/MediaBox", "/CropBox", "/Rotate")
+
+
+def pages(doc: Document) -> Iterator[dict[str, Any]]:
+    """The dictionaries of the pages in order, with what they inherit. A node that lies on its own path is passed over."""
+    stack = [(doc.entries(trailer(doc.data).get("/Root")).get("/Pages"), {}, frozenset())]
+    while stack:
+        at, held, path = stack.pop()
+        if doc.key(at) in path:
+            continue
+        node = doc.entries(at)
+        held = held | {k: node[k] for k in _INHERITED if k in node}
+        if "/Kids" in node:
+            stack += [(kid, held, path | {doc.key(at)}) for kid in reversed(doc.items(node["/Kids"]))]
+        elif node:
+            yield held | node
+
+
+def _forms(doc: Document, data: bytes, resources: dict[str, Any], seen: set) -> Iterator[tuple[str, dict[str, Any], bytes]]:
+    """(name, dictionary, data) of the forms that a content stream shows, in order, and of those that they show; each once."""
+    stack = [(data, resources, "")]
+    while stack:
+        data, resources, prefix = stack.pop()
+        known, deeper = doc.entries(resources.get("/XObject")), []
+        for x in instructions(data):
+            at = known.get(x.operands[0]) if x.operator == "Do" and x.operands and isinstance(x.operands[0], str) else None
+            form = doc.entries(at)
+            if form.get("/Subtype") != "/Form" or doc.key(at) in seen:
+                continue
+            seen.add(doc.key(at))
+            body = doc.stream(at) or b""
+            name = prefix + x.operands[0]
+            yield name, form, body
+            deeper.append((body, doc.entries(form["/Resources"]) if "/Resources" in form else resources, name))
+        stack += reversed(deeper)
+
+
+def contents(data: bytes) -> Iterator[dict[str, Any]]:
+    """What each page shows, part by part: its own content (streams joined by line feeds), the forms it shows, and the appearances of its annotations with theirs."""
+    doc = Document(data)
+    for n, page in enumerate(pages(doc)):
+        box = doc.numbers(page.get("/MediaBox"))
+        given = page.get("/Contents")
+        parts = doc.items(given) if isinstance(doc.value(given), list) else [given]
+        body = b"\n".join(doc.stream(p) or b"" for p in parts)
+        yield {"page": n, "part": "page", "name": "", "box": box, "decoded": body}
+        seen: set = set()
+        for name, form, inner in _forms(doc, body, doc.entries(page.get("/Resources")), seen):
+            yield {"page": n, "part": "form", "name": name, "box": doc.numbers(form.get("/BBox")), "matrix": doc.numbers(form.get("/Matrix")), "decoded": inner}
+        for k, note in enumerate(doc.items(page.get("/Annots"))):
+            normal = doc.entries(doc.entries(note).get("/AP")).get("/N")
+            states = {"": normal} if doc.key(normal) in doc.bodies else doc.entries(normal)
+            for state, at in states.items():
+                if doc.key(at) not in doc.bodies:
+                    continue
+                form, body = doc.entries(at), doc.stream(at) or b""
+                yield {"page": n, "part": "appearance", "name": f"{k}{state}", "box": doc.numbers(form.get("/BBox")), "matrix": doc.numbers(form.get("/Matrix")), "decoded": body}
+                for name, inner_form, inner in _forms(doc, body, doc.entries(form.get("/Resources")), seen):
+                    yield {"page": n, "part": "form", "name": name, "box": doc.numbers(inner_form.get("/BBox")), "matrix": doc.numbers(inner_form.get("/Matrix")), "decoded": inner}
+
+
+def structure_errors(data: bytes) -> Iterator[tuple[str, str]]:
+    """(where, what) is wrong with a file's structure: its header, streams, references, pages, annotations and fonts."""
+    if b"%PDF-" not in data[:1024]:
+        yield "file", "no header"
+    doc = Document(data)
+    for num, gen, to, to_gen in references(doc.data):
+        if (to, to_gen) not in doc.places:
+            yield f"object {num} {gen}", f"refers to object {to} {to_gen}, which isn't there"
+    for (num, gen), s in doc.bodies.items():
+        chain = [FILTER_NAMES.get(x, x) for x in filters(s.head)]
+        if set(chain) <= DECODABLE and doc.stream(f"{num} {gen} R") is None:
+            yield f"object {num} {gen}", "stream can't be decoded"
+    for n, page in enumerate(pages(doc)):
+        if page.get("/Type") != "/Page":
+            yield f"page {n}", "type isn't page"
+        if doc.numbers(page.get("/MediaBox")) is None:
+            yield f"page {n}", "no box"
+        for k, note in enumerate(doc.items(page.get("/Annots"))):
+            found = doc.value(note)
+            if not isinstance(found, dict) or "/Subtype" not in found:
+                yield f"page {n}, annotation {k}", "no dictionary" if not isinstance(found, dict) else "no subtype"
+        for name, font in doc.entries(doc.entries(page.get("/Resources")).get("/Font")).items():
+            entries = doc.entries(font)
+            if "/Subtype" not in entries:
+                yield f"page {n}, font {name}", "no subtype"
+            program = next((v for k, v in doc.entries(entries.get("/FontDescriptor")).items() if k.startswith("/FontFile")), None)
+            if program is not None and not doc.stream(program):
+                yield f"page {n}, font {name}", "program is empty"
+
+
+def readable(data: bytes, fonts: dict[str, dict[int, str]], width: int = 1) -> Iterator[str]:
+    """Instructions as people read them: strings through the code map (codes of `width` bytes) of the font in effect, in hexadecimal where it lacks a code."""
+    known: dict[int, str] = {}
+
+    def shown(x: Any) -> str:
+        if isinstance(x, list):
+            return "[" + " ".join(map(shown, x)) + "]"
+        if not isinstance(x, bytes):
+            return f"{x:g}" if isinstance(x, int | float) else str(x)
+        texts = [known.get(_code(x[i : i + width])) for i in range(0, len(x), width)]
+        return f"<{x.hex()}>" if None in texts else f"({''.join(texts)})"
+
+    for x in instructions(data):
+        if x.operator == "Tf" and x.operands:
+            known = fonts.get(x.operands[0], {})
+        yield " ".join([*map(shown, x.operands), x.operator])

@@ -148,3 +148,46 @@ def test_metadata_signatures_and_comparison(spark, tmp_path):
     changes = {(r["part"], r["item"]): r["change"] for r in files.compare_files(before, after).collect()}
     assert changes[("metadata", "info /Title")] == "Old -> Н" and changes[("object", "2 0")] == "changed head" and changes[("object", "7 0")] == "changed both"
     assert set(changes) == {("metadata", "info /Title"), ("object", "2 0"), ("object", "7 0"), ("container", "file-size")}
+
+
+def _file(*objects: bytes, root: bytes = b"1 0 R") -> bytes:
+    return b"%PDF-1.4\n" + b"\n".join(objects) + b"\ntrailer << /Root " + root + b" >>\n%%EOF"
+
+
+def test_pages_inherit_and_cycles_end():
+    data = _file(
+        b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj",
+        b"2 0 obj << /Kids [3 0 R 2 0 R 9 0 R 4 0 R] /MediaBox [0 0 10 20] >> endobj",
+        b"3 0 obj << /Type /Page /MediaBox 5 0 R /Contents 6 0 R >> endobj",
+        b"4 0 obj << /Type /Page >> endobj",
+        b"5 0 obj [1 2 3 4] endobj",
+        b"6 0 obj << >> stream\nq Q\nendstream endobj",
+    )
+    found = list(syntax.contents(data))
+    assert [(p["page"], p["box"], p["decoded"]) for p in found] == [(0, [1, 2, 3, 4], b"q Q"), (1, [0, 0, 10, 20], b"")]
+    assert list(syntax.contents(b"")) == [] == list(syntax.contents(b"no file"))
+
+
+def test_forms_show_each_other_once():
+    data = _file(
+        b"1 0 obj << /Pages 2 0 R >> endobj",
+        b"2 0 obj << /Kids [3 0 R] >> endobj",
+        b"3 0 obj << /Type /Page /Contents 4 0 R /Resources << /XObject << /A 5 0 R /B 6 0 R >> >> >> endobj",
+        b"4 0 obj << >> stream\n/A Do /B Do /A Do\nendstream endobj",
+        b"5 0 obj << /Subtype /Form >> stream\n/B Do\nendstream endobj",
+        b"6 0 obj << /Subtype /Form /Resources << /XObject << /C 5 0 R >> >> >> stream\n/C Do\nendstream endobj",
+    )
+    assert [p["name"] for p in syntax.contents(data) if p["part"] == "form"] == ["/A", "/B"]
+
+
+def test_structure_errors():
+    data = b"1 0 obj << /Pages 2 0 R /Lost 77 0 R >> endobj 2 0 obj << /Kids [3 0 R] >> endobj 3 0 obj << /Type /Page /Annots [5 0 R] /Resources << /Font << /F 4 0 R >> >> >> endobj 4 0 obj << /FontDescriptor << /FontFile2 6 0 R >> >> endobj 5 0 obj 7 endobj 6 0 obj << /Filter /FlateDecode >> stream\nxx\nendstream endobj trailer << /Root 1 0 R >>"
+    assert set(syntax.structure_errors(data)) == {
+        ("file", "no header"), ("object 1 0", "refers to object 77 0, which isn't there"), ("object 6 0", "stream can't be decoded"), ("page 0", "no box"),
+        ("page 0, annotation 0", "no dictionary"), ("page 0, font /F", "no subtype"), ("page 0, font /F", "program is empty"),
+    }
+
+
+def test_readable_instructions():
+    data = b"/F1 12 Tf (AB) Tj [(A) -20.5 <FF>] TJ /F9 1 Tf (A) Tj"
+    assert list(syntax.readable(data, {"/F1": {65: "x", 66: "y"}})) == ["/F1 12 Tf", "(xy) Tj", "[(x) -20.5 <ff>] TJ", "/F9 1 Tf", "<41> Tj"]
