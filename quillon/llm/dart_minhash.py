@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import give_back, materialise, release
+from .staging import give_back, materialise, release, small_batches
 from .units import Generations
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -350,6 +350,7 @@ def _joined(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: id, digest, class_id, set_id, and stays (the row, or one of those equal to it, is kept of its class)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketched = materialise(rows.mapInArrow(_sketch, "id long, digest binary, key binary, bands array<long>, marks binary"), "sketches")
     sets = materialise(_sets(sketched), "sets")

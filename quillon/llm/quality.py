@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import give_back, materialise, release
+from .staging import give_back, materialise, release, small_batches
 from .units import Generations
 
 LABELLED = 6_000
@@ -137,6 +137,7 @@ class Features:
     """The written features of docs: `table` has id and the features, and the row as c0, c1, ... if it was asked for."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", rows: bool = False):
+        small_batches(docs.sparkSession)
         self.docs, self.id_col, self.rows = docs, id_col, rows
         kept = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)] if rows else []
         own = docs.select(F.col(id_col).alias("id"), *kept, *_inputs(docs))

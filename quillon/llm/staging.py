@@ -41,6 +41,17 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of the batches that go to Python workers, where texts of any length pass through.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows if they are larger: executor and worker each hold whole batches. Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def give_back() -> None:
     """Return to the system what this process's allocators hold unused: Python workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
