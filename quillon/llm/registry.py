@@ -77,6 +77,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import top_documents
+
+    return top_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_records, resolved, write_warc
+
+    read = resolved(read_records(spark, write_warc(_table(spark, sf_dir, "pages"))))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fill_middle import fill_in_middle, restored
 
@@ -95,6 +108,8 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_warc": op12_warc,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -104,6 +119,20 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY norm) AND row_number() OVER (PARTITION BY norm, doc_id) = 1 AS kept, sha256(norm) AS text_sha256
         FROM n""",
+    "op11_lexical_search": r"""
+        WITH t AS (SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        d AS (SELECT * FROM t WHERE len(terms) > 0), s AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        x AS (SELECT row_no, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+        p AS (SELECT row_no, doc_id, n, term, count(*) AS tf FROM x WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+        i AS (SELECT row_no, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)) AS impact FROM p, s),
+        r AS (SELECT item_id, row_no, doc_id, CAST(sum(w * impact) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN i USING (term) GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50""",
+    "op12_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), n AS (SELECT *, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes FROM p),
+        r AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS keep, row_number() OVER (PARTITION BY t ORDER BY page_id DESC) = 1 OR payload_bytes < 1000 AS own FROM n)
+        SELECT page_id, payload_bytes, sha1(t) AS payload_digest, CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT own THEN keep END AS refers_to FROM r""",
     "op13_fill_in_middle": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
         u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS lines, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
