@@ -105,13 +105,16 @@ def _extra(shift: Column) -> Column:
 
 
 def mixed(docs: DataFrame, weights: list[float], max_epochs: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: rows of docs, each as often as it is taken, with the columns of docs."""
+    """The mix itself: rows of docs, each as often as it is taken, with the columns of docs. Rows that share id, source and size share
+    what `repetitions` takes of them all, none more than once more than another; those of the smallest digests are the ones taken more."""
     taken = repetitions(docs, weights, max_epochs, seed, id_col, text_col, source_col)
-    counts = taken.filter("copies > 0 AND size > 0").groupBy(id_col, source_col, "size").agg(F.avg("copies").alias("each"), F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("all"))
+    #: All rows of a key count, those that the sample left out too, since all are found again below.
+    counts = taken.filter("size > 0").groupBy(id_col, source_col, "size").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("all")).filter("all > 0")
     keys = counts.select(F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "size").alias("key"), "rows", "all")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     key = F.struct(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size")).alias("key")
-    found = docs.select(row, key).join(keys, "key")
-    at = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant", "void"))])
+    found = docs.select(row, key, F.md5(F.col(text_col).cast("string")).alias("of_text"), digest.alias("of_row")).join(keys, "key")
+    at = F.row_number().over(Window.partitionBy("key").orderBy("of_text", "of_row"))
     copies = F.floor(F.col("all") / F.col("rows")) + F.when(F.col("at") <= F.col("all") % F.col("rows"), 1).otherwise(0)
     return found.withColumn("at", at).withColumn("copies", copies.cast("int")).filter("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
