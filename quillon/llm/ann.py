@@ -1,15 +1,15 @@
 """Approximate nearest neighbours by largest inner product: collision counting over single-projection sorted arrays.
 
-Vectors of one length are dealt to blocks of about BLOCK_ROWS by a hash of their id, so copies of one vector spread
-out. A block's index is built once: PROJECTIONS random directions, each with the block's projected values in sorted
+Vectors of one length and one range of norms (a factor of two) are dealt to blocks of about BLOCK_ROWS by a hash of their id, so
+copies of one vector spread out and a vector of outstanding norm flattens no block but its own. A block's index is built once: PROJECTIONS random directions, each with the block's projected values in sorted
 order; then all queries stream past it. Inner product becomes Euclidean distance by one more component: with M the
 block's largest norm, x/M gets sqrt(1 - |x/M|^2) and q/|q| gets 0, so the largest product is the nearest point. For a
 query, windows centred on its projections widen level by level (virtual rehashing: level R has the half-width WIDTH * R,
 and only what a window newly takes in is counted; of the first level, which takes most rows, those outside are counted and
 the collisions are the rest). A vector within distance R falls in a window with probability P_NEAR or more; one that has
 collided in at least THRESHOLD windows is verified with the exact product. A query ends in a block when K verified vectors
-lie within R, or all are verified. It starts at START of the radius where the block's queries usually end. No cap stands
-on candidates. The blocks' best K are merged over one window. Every query meets every block (a stated query set against
+lie within R, or all are verified. It starts at START of the mean distance at which PROBES of the block's own vectors
+find their K-th neighbour, which depends on the block alone: no query changes what another one finds. No cap stands on candidates. The blocks' best K are merged over one window. Every query meets every block (a stated query set against
 all rows, in blocks): a data row is sent once, a query once to each block.
 
 On uniformly random unit vectors of 64 components, where nothing is near (the 20th neighbour of 2,000 at 0.84 of the usual
@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from .staging import materialise
 
 BLOCK_ROWS = 8_192
-PROJECTIONS, WIDTH, FIRST, STEP, START = 96, 1.8, 0.5, 1.08, 0.85
+PROJECTIONS, WIDTH, FIRST, STEP, START, PROBES = 96, 1.8, 0.5, 1.06, 0.86, 24
 #: Projections of vectors of norm 1 stay far below half of this (a standard normal for each axis), so all arrays can stand in one, one after another.
 APART = 64.0
 #: P(|N(0, 1)| <= WIDTH): a vector at distance R collides with it in each projection of level R.
@@ -66,7 +66,15 @@ class Block:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        #: Vectors verified so far, over all queries.
+        self.verified = 0
+        #: Where probes end, for each k asked for.
+        self._usual: dict[int, float] = {}
         self.largest = float(np.sqrt((self.vectors**2).sum(axis=1).max()))
+        #: Norms whose squares are no numbers can't be compared by projections: all vectors are verified.
+        self.all = not 1e-150 <= self.largest <= 1e150
+        if self.all:
+            return
         unit = self.vectors / self.largest
         unit = np.hstack([unit, np.sqrt(np.maximum(0.0, 1.0 - (unit**2).sum(axis=1)))[:, None]])
         self.axes = directions(unit.shape[1], seed)
@@ -75,10 +83,13 @@ class Block:
         self.offset = np.arange(PROJECTIONS) * APART
         self.flat = (np.take_along_axis(projected, self.order, axis=1) + self.offset[:, None]).ravel()
         self.order = self.order.ravel()
-        #: Vectors verified so far, over all queries.
-        self.verified = 0
-        #: Where queries end, as a moving mean.
-        self.usual = 0.0
+
+    def usual(self, k: int) -> float:
+        """The mean distance of the k-th neighbour that vectors of the block, evenly spaced by id, find as queries."""
+        if k not in self._usual:
+            probes = sorted({i * len(self.ids) // PROBES for i in range(PROBES)})
+            self._usual[k] = float(np.mean([self._widen(int(self.ids[i]), self.vectors[i], k, FIRST)[2] for i in probes]))
+        return self._usual[k]
 
     def _met(self, starts: list[int], ends: list[int]) -> np.ndarray:
         """How often each row stands in the stretches of the sorted arrays."""
@@ -86,12 +97,27 @@ class Block:
         return np.bincount(np.concatenate(taken), minlength=len(self.ids)) if taken else np.zeros(len(self.ids), np.int64)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        norm = float(np.sqrt(query @ query))
+        if self.all or not 1e-150 <= norm <= 1e150:
+            at = np.flatnonzero(self.ids != query_id)
+            self.verified += len(at)
+        else:
+            at, scores, _ = self._widen(query_id, query, k, max(FIRST, START * self.usual(k)))
+            self.verified += len(at)
+            if len(at) > k:
+                at = at[scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9 * norm * self.largest]
+        scores = exact_scores(self.vectors[at], query)
+        best = np.lexsort((self.ids[at], -scores))[:k]
+        return self.ids[at[best]], scores[best]
+
+    def _widen(self, query_id: int, query: np.ndarray, k: int, radius: float) -> tuple[np.ndarray, np.ndarray, float]:
+        """(verified vectors, their scores, the distance of the k-th or, where there are fewer, the radius at which the search ends)."""
         n, norm = len(self.ids), float(np.sqrt(query @ query))
         centre = self.axes[:, :-1] @ (query / norm)
         own = int(np.searchsorted(self.ids, query_id))
         own = own if own < n and self.ids[own] == query_id else -1
         verified = np.zeros(n, bool)
-        at, scores, radius = np.empty(0, np.int64), np.empty(0), max(FIRST, START * self.usual)
+        at, scores = np.empty(0, np.int64), np.empty(0)
         low = np.searchsorted(self.flat, centre - WIDTH * radius + self.offset)
         high = np.searchsorted(self.flat, centre + WIDTH * radius + self.offset, "right")
         first = np.arange(PROJECTIONS) * n
@@ -104,8 +130,9 @@ class Block:
                 at, scores = np.concatenate([at, fresh]), np.concatenate([scores, self.vectors[fresh] @ query])
             if len(at) >= k:
                 worst = np.partition(scores, len(scores) - k)[len(scores) - k]
-                if math.sqrt(max(0.0, 2 - 2 * worst / (norm * self.largest))) <= radius:
-                    break
+                distance = math.sqrt(max(0.0, 2 - 2 * worst / (norm * self.largest)))
+                if distance <= radius:
+                    return at, scores, distance
             if len(at) >= n - (own >= 0):
                 break
             radius *= STEP
@@ -113,18 +140,11 @@ class Block:
             new_high = np.searchsorted(self.flat, centre + WIDTH * radius + self.offset, "right")
             counts += self._met([*new_low.tolist(), *high.tolist()], [*low.tolist(), *new_high.tolist()])
             low, high = new_low, new_high
-        self.verified += len(at)
-        self.usual += (radius - self.usual) * (1 if not self.usual else 0.1)
-        if len(at) > k:
-            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9 * norm * self.largest
-            at = at[near]
-        scores = exact_scores(self.vectors[at], query)
-        best = np.lexsort((self.ids[at], -scores))[:k]
-        return self.ids[at[best]], scores[best]
+        return at, scores, radius
 
 
 def _search(k: int, seed: int):
-    """Rows (dim, block, asks, id, v), a block's data before its queries, to (query_id, vec_id, score)."""
+    """Rows (dim, block, asks, id, v), a block's data before its queries, to (query_id, vec_id, score). Blocks are numbered over all ranges of norms of a length."""
 
     def run(batches):
         at, block, ids, vectors = None, None, [], []
@@ -156,12 +176,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """For each row that is_query (of the id alone) takes: query_id, rank (from 1), vec_id, score, its k nearest others by inner product."""
     good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("query")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     one = good.groupBy("id").agg(F.min("v").alias("v"), F.max("query").alias("query")).withColumn("dim", F.size("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    #: From 0.71 to 1.41 times a power of two, so vectors of norm 1 share a range; those whose square is no number stand apart.
+    one = one.withColumn("norms", F.when(norm.between(1e-150, 1e150), F.floor(F.log2(norm) + 0.5).cast("int")).otherwise(-9999))
     one = materialise(one, "vectors")
-    #: One row per length that occurs.
-    sizes = one.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = one.join(sizes, "dim")
-    data = placed.select("dim", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "v")
-    queries = placed.filter("query").select("dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "id", "v")
+    #: One row per length and range of norms that occurs.
+    sizes = one.groupBy("dim", "norms").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    before = Window.partitionBy("dim").orderBy("norms").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = materialise(sizes.withColumn("base", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int")), "vector-blocks")
+    data = one.join(sizes, ["dim", "norms"]).select("dim", (F.col("base") + F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks"))).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "v")
+    every = sizes.groupBy("dim").agg(F.sum("blocks").cast("int").alias("blocks"))
+    queries = one.filter("query").join(every, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "id", "v")
     dealt = data.union(queries).repartition("dim", "block").sortWithinPartitions("dim", "block", "asks")
     local = dealt.mapInArrow(_search(k, seed), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
