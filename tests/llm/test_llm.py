@@ -234,6 +234,25 @@ def test_mixing(spark, odd, none):
     assert mixing.repetitions(none, [1, 2, 3]).count() == 0
 
 
+def test_the_mix_takes_repeated_ids_as_often_as_repetitions_say(spark):
+    """Rows that share id, source and size but not their text; some of them the sample leaves out."""
+    rows = [(k % 3 if k < 40 else k, " ".join([f"w{k}", *["x"] * (k % 2)]), "a" if k < 40 else f"s{k % 4}") for k in range(120)] + [(900, "same text", "a")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda i, s, z: (i, s, z)
+    for weights in ([1, 2, 3], [1, 9, 1], [5, 1, 1]):
+        want = collections.Counter()
+        for r in mixing.repetitions(docs, weights).collect():
+            want[key(r["doc_id"], r["source"], r["size"])] += r["copies"]
+        made = [[tuple(r) for r in mixing.mixed(docs.repartition(n), weights).collect()] for n in (1, 5)]
+        assert sorted(made[0]) == sorted(made[1])
+        got = collections.Counter(key(i, s, len(t.split())) for i, t, s in made[0])
+        assert got == +want
+        each = collections.Counter(made[0])
+        for i, s, z in want:
+            own = [each[r] / rows.count(r) for r in set(rows) if (r[0], r[2], len(r[1].split())) == (i, s, z)]
+            assert max(own) - min(own) <= 1
+
+
 # 3 and 4
 
 
@@ -552,6 +571,37 @@ def test_neighbours_of_random_vectors_at_a_third_of_a_scan(spark):
     assert block.verified / len(ids) / (total / 20) < 0.35
 
 
+def test_neighbours_depend_on_no_other_query_and_no_outlier():
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((2000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asked, found = np.arange(0, 2000, 20), []
+    for order in (asked, asked[::-1], rng.permutation(asked)):
+        block = ann.Block(np.arange(2000), x, 11)
+        found.append({int(q): block.search(int(q), x[q], 20) for q in order})
+    for q in asked.tolist():
+        for other in found[1:]:
+            assert (found[0][q][0] == other[q][0]).all() and (found[0][q][1] == other[q][1]).all()
+
+
+def test_norms_of_any_size(spark):
+    """One vector of a large norm costs the others nothing, and norms whose squares are no numbers are searched whole."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((600, 8))
+    x[7] *= 1e6
+    x[13], x[21], x[40] = x[13] * 1e-200, x[21] * 1e200, x[40] * 1e-170
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.nearest(table, F.col("vec_id") % 20 == 0, 5).collect()
+    hit = 0
+    for q in range(0, 600, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        own = sorted((r["rank"], r["vec_id"]) for r in rows if r["query_id"] == q)
+        assert len(own) == 5
+        hit += len({v for _, v in own} & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    assert hit >= 0.9 * 150
+
+
 # 9
 
 
