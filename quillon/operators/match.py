@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.functions.text import name_key, strip_subset_prefix
+from quillon.session import written
+
+from .contain import contained
+
 
 def ranked_choice(requests: DataFrame, catalogue: DataFrame, request_id: str, on: list[str], buckets: list[Column], order: list[Column], extra: Column | None = None) -> DataFrame:
     """For each request the first candidate of its best bucket.
@@ -37,6 +42,61 @@ def fallback_choice(styles: DataFrame, catalogue: DataFrame, preferred: list[str
     return styles.join(chosen.select("bold", "italic", "weight", F.coalesce("best", "first").alias("ord")), ["bold", "italic", "weight"])
 
 
+def bitmap(characters: Column) -> Column:
+    """A set of characters as a map: block of 64 code points to a mask of those in the set."""
+    codes = F.transform(F.filter(characters, lambda c: F.length(c) > 0), lambda c: F.ascii(c))
+    blocks = F.array_distinct(F.transform(codes, lambda x: F.shiftright(x, 6)))
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x % 64)
+    mask = lambda b: F.aggregate(F.filter(codes, lambda x: F.shiftright(x, 6) == b), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(one(x)))
+    return F.map_from_arrays(blocks, F.transform(blocks, mask))
+
+
+def has_all(bits: Column, needed: Column) -> Column:
+    """Whether a bitmap has all characters of another."""
+    return F.forall(F.map_entries(needed), lambda e: F.coalesce(F.element_at(bits, e["key"]), F.lit(0).cast("long")).bitwiseAND(e["value"]) == e["value"])
+
+
+def donor_choice(requests: DataFrame, fonts: DataFrame, only_priority: bool = False) -> DataFrame:
+    """For each request the font that its glyphs are taken from: request_id, ord, bucket; requests that no font fits have no row.
+
+    requests: request_id (distinct), name, bold, italic, weight, characters (array, all of which the font must have); fonts: ord
+    (distinct), ps_name, family, bold, italic, weight, priority, characters. Fonts with priority come before all others, then buckets: the
+    same PostScript name (0), the family in that style (1) or any (2), one name within the other in that style (3) or any (4); then the
+    nearest weight, then ord. Names are compared by text.name_key; an empty one is nobody's.
+
+    A request meets only fonts that share a name with it and have the rarest of its characters: both are join keys, so a family
+    of many fonts is no hot key for requests that few of its fonts can serve. Names within names are found among distinct names.
+    """
+    own = requests.select("request_id", name_key(F.col("name")).alias("target"), name_key(F.element_at(F.split(strip_subset_prefix(F.col("name")), "[-,]"), 1)).alias("stem"), "bold", "italic", "weight", "characters")
+    known = fonts.select("ord", name_key(F.col("ps_name")).alias("ps"), name_key(F.col("family")).alias("fam"), F.col("bold").alias("__bold"), F.col("italic").alias("__italic"), F.col("weight").alias("__weight"), "priority", F.col("characters").alias("__has"))
+    if only_priority:
+        known = known.filter("priority")
+    letters = lambda c: F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.length(x) > 0))
+    needed = own.select("request_id", F.explode(letters(F.col("characters"))).alias("c"))
+    held = written(known.select("ord", F.explode(letters(F.col("__has"))).alias("c")).join(needed.select("c").distinct(), "c", "left_semi"), "held-characters")
+    counts = held.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    rarest = needed.join(counts, "c", "left").groupBy("request_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "c")).alias("r"))
+    asked = written(own.join(rarest, "request_id", "left").filter("r IS NULL OR r.n > 0").withColumn("c", F.coalesce("r.c", F.lit(""))).withColumn("need", bitmap(F.coalesce("characters", F.array().cast("array<string>")))).drop("r", "characters"), "requests")
+    offers = known.withColumn("bits", bitmap(F.coalesce("__has", F.array().cast("array<string>")))).drop("__has")
+    offers = offers.join(held.join(asked.select("c").distinct(), "c", "left_semi"), "ord").unionByName(offers.withColumn("c", F.lit("")))
+    names = lambda df, c: df.select(F.col(c).alias("id"), F.col(c).alias("s")).filter("s <> ''").distinct()
+    in_name = contained(names(known, "ps"), "id", "s", names(asked, "target").withColumnRenamed("id", "of"), "of", "s").select(F.col("of").alias("target"), F.col("id").alias("ps"))
+    in_target = contained(names(asked, "target"), "id", "s", names(known, "fam").withColumnRenamed("id", "of"), "of", "s").select(F.col("id").alias("target"), F.col("of").alias("fam"))
+    named = lambda c: asked.filter(F.col(c) != "")
+    met = [
+        (named("target").withColumn("ps", F.col("target")).join(offers, ["ps", "c"]), 0),
+        (named("stem").withColumn("fam", F.col("stem")).join(offers, ["fam", "c"]), 1),
+        (asked.join(in_name, "target").join(offers, ["ps", "c"]), 3),
+        (asked.join(in_target, "target").join(offers, ["fam", "c"]), 3),
+    ]
+    found = None
+    for pairs, bucket in met:
+        style = (F.col("bold") == F.col("__bold")) & (F.col("italic") == F.col("__italic"))
+        one = pairs.filter(has_all(F.col("bits"), F.col("need"))).select("request_id", F.struct((~F.coalesce("priority", F.lit(False))).alias("later"), (F.lit(bucket) + F.when(F.lit(bucket > 0) & ~F.coalesce(style, F.lit(False)), 1).otherwise(0)).alias("bucket"), F.abs(F.col("__weight") - F.col("weight")).alias("far"), "ord").alias("offer"))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("request_id").agg(F.min("offer").alias("o")).select("request_id", "o.ord", "o.bucket")
+
+
 def nearest_by_buckets(rows: DataFrame, id_col: str, buckets: list[list[str]], value: str) -> DataFrame:
     """For each row the other row of its best bucket: id_col, candidate, bucket.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.session import written
 
+from .contain import contained
 from .search import top_rows
 
 
@@ -88,6 +89,11 @@ def stale_copies(copies: DataFrame, copy_id: str, copy_text: str, edits: list[tu
     return copies.select(copy_id, F.explode(F.filter(olds, lambda e: F.contains(F.col(copy_text), e["text"]))).alias("e")).select(copy_id, F.col("e.id").alias(edit_id))
 
 
+def stale_copies_of(copies: DataFrame, copy_id: str, copy_text: str, edits: DataFrame, edit_id: str, old_text: str) -> DataFrame:
+    """stale_copies where the edits are a table too, of any size: copies that still hold an edit's old text, as (copy_id, edit_id)."""
+    return contained(copies, copy_id, copy_text, edits, edit_id, old_text)
+
+
 def hidden_copy_mismatch(copy: Column, shown: Column) -> Column:
     """A hidden copy whose trimmed text the shown text does not hold."""
     return (F.length(F.trim(copy)) > 0) & ~F.coalesce(F.contains(shown, F.trim(copy)), F.lit(False))

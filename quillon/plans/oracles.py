@@ -33,6 +33,13 @@ _RUNS = """
 _NAMED = """
     named AS (SELECT p_partkey, p_size, concat(['ABCDEF+Arial-Bold', 'Times SemiBold Italic', 'Light Sans', 'XYZABC+Georgia Black', 'Plain Oblique', 'Some ExtraLight'][p_partkey % 6 + 1], ' ', p_name) AS name FROM part),
     s AS (SELECT *, regexp_replace(name, '^[A-Z]{6}\\+', '') AS stripped, lower(name) AS low FROM named)"""
+_REVISIONS = """
+    l AS (SELECT event_id, event_type, lag(event_id) OVER w AS one, lag(event_id, 2) OVER w AS two FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    e AS (SELECT event_id, event_type, CASE WHEN event_id % 997 = 7 THEN -event_id WHEN event_id % 10 = 3 THEN coalesce(two, one) ELSE one END AS prev FROM l)"""
+_CIRCULAR = """
+    a AS (SELECT o_orderkey AS src, o_orderkey // 10 * 10 + o_custkey % 10 AS dst FROM orders UNION SELECT o_orderkey, o_orderkey // 10 * 10 + CAST(floor(o_totalprice) AS BIGINT) % 10 FROM orders WHERE o_orderkey % 4 = 0),
+    r(src, dst) AS (SELECT src, dst FROM a UNION SELECT r.src, a.dst FROM r JOIN a ON a.src = r.dst),
+    m AS (SELECT x.src AS node, min(x.dst) AS cycle FROM r x JOIN r y ON y.src = x.dst AND y.dst = x.src GROUP BY x.src)"""
 
 ORACLES = {
     "norm_text": """SELECT doc_id, replace(replace(replace(replace(text, ' ', chr(160)), 'ff', chr(64256)), chr(160), ' '), chr(64256), 'ff') AS plain,
@@ -226,4 +233,41 @@ ORACLES = {
     "reachable_glyphs": "SELECT p_brand AS font, p_partkey AS gid FROM part WHERE p_size < 10 OR p_partkey % 7 = 0 OR p_brand LIKE '%5'",
     "composite_glyphs": """WITH RECURSIVE r(node, depth) AS (SELECT s_suppkey, CAST(0 AS BIGINT) FROM supplier WHERE s_suppkey IN (1, 7) UNION SELECT s_suppkey, depth + 1 FROM r, (VALUES (2), (3)) v(k), supplier WHERE s_suppkey = node * k)
         SELECT node, min(depth) AS depth FROM r GROUP BY node""",
+    "apply_edits": """WITH RECURSIVE runs AS (SELECT o_orderkey AS run_id, concat_ws(' ', o_orderpriority, o_custkey, strftime(o_orderdate, '%Y-%m-%d'), o_orderstatus) AS text, o_orderstatus <> 'P' AS editable, o_orderkey % 6 = 0 AS whole, o_orderkey % 3 = 0 AS poor FROM orders),
+        li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_quantity) AS q FROM lineitem GROUP BY ALL),
+        e AS (SELECT l_orderkey * 10 + l_linenumber AS edit_id, CASE WHEN l_orderkey % 97 = 0 THEN -l_orderkey - 1 ELSE l_orderkey END AS run_id, l_linenumber * 3 + p % 3 - 1 AS a, l_linenumber * 3 + p % 3 + s % 3 AS z,
+                     CASE WHEN q > 48 THEN 'Zürich' ELSE concat('n', p % 100) END AS new_text, CASE WHEN p % 4 = 0 THEN p * 10 + l_linenumber ELSE 0 END AS grp FROM li),
+        v AS (SELECT e.*, coalesce(whole, false) AS whole, CASE WHEN r.run_id IS NULL THEN 'no such run' WHEN NOT editable THEN 'the run can''t be edited' WHEN a < 0 OR a >= z OR z > length(text) THEN 'range outside the run'
+                     WHEN poor AND new_text = 'Zürich' THEN 'no glyphs for: Zü' END AS own FROM e LEFT JOIN runs r ON r.run_id = e.run_id),
+        o AS (SELECT *, CASE WHEN own IS NULL AND max(CASE WHEN own IS NULL THEN z END) OVER (PARTITION BY run_id ORDER BY a, edit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > a THEN 'overlaps an earlier edit' ELSE own END AS reason FROM v),
+        n AS (SELECT *, CASE WHEN whole THEN 'r' || run_id END AS rn, CASE WHEN grp <> 0 THEN 'g' || grp END AS gn FROM o),
+        links AS (SELECT rn AS x, gn AS y FROM n WHERE rn IS NOT NULL AND gn IS NOT NULL UNION SELECT gn, rn FROM n WHERE rn IS NOT NULL AND gn IS NOT NULL),
+        bad(edit_id, node) AS (SELECT edit_id, coalesce(rn, gn) FROM n WHERE reason IS NOT NULL AND coalesce(rn, gn) IS NOT NULL UNION SELECT bad.edit_id, y FROM bad JOIN links ON x = bad.node),
+        c AS (SELECT node, min(edit_id) AS cause FROM bad GROUP BY node),
+        t AS (SELECT n.*, coalesce(c.cause, CASE WHEN reason IS NOT NULL THEN n.edit_id END) AS cause FROM n LEFT JOIN c ON c.node = coalesce(rn, gn)),
+        g AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY run_id ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY run_id ORDER BY a) AS later FROM t WHERE cause IS NULL),
+        f AS (SELECT g.run_id, string_agg(concat(substr(text, CAST(before + 1 AS BIGINT), CAST(a - before AS BIGINT)), new_text, CASE WHEN later IS NULL THEN substr(text, CAST(z + 1 AS BIGINT)) ELSE '' END), '' ORDER BY a) AS text, count(*) AS n_applied FROM g JOIN runs ON runs.run_id = g.run_id GROUP BY g.run_id)
+        SELECT t.run_id, edit_id, cause IS NULL AS applied, reason, cause, f.text, n_applied FROM t LEFT JOIN f ON f.run_id = t.run_id""",
+    "stale_passages": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 0",
+    "donor_choice": """WITH f AS (SELECT p_partkey AS ord, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS ps, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS fam, p_size % 2 = 0 AS bold, p_partkey % 3 = 0 AS italic, (p_size % 9 + 1) * 100 AS weight,
+                     CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1 END AS later, lower(concat(p_name, p_type)) AS has FROM part),
+        q AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'smallring' WHEN 1 THEN concat('brand', c_custkey % 25, 'bold') WHEN 2 THEN ['ring', 'widget', 'red', 'zzz', ''][c_custkey % 5 + 1] ELSE concat('thebrand', c_custkey % 30, 'extra') END AS target,
+                     CASE c_custkey % 4 WHEN 0 THEN 'small' WHEN 1 THEN concat('brand', c_custkey % 25) WHEN 2 THEN ['ring', 'widget', 'red', 'zzz', ''][c_custkey % 5 + 1] ELSE concat('thebrand', c_custkey % 30, 'extra') END AS stem,
+                     c_nationkey % 2 = 0 AS bold, c_custkey % 3 = 0 AS italic, (c_custkey % 9 + 1) * 100 AS weight, lower(left(c_mktsegment, 3)) AS need FROM customer),
+        j AS (SELECT c_custkey, ord, later, abs(f.weight - q.weight) AS far, q.bold = f.bold AND q.italic = f.italic AS style, ps = target AS same, fam = stem AS family, contains(ps, target) OR contains(target, fam) AS fuzzy
+              FROM q JOIN f ON (ps = target OR fam = stem OR contains(ps, target) OR contains(target, fam)) AND target <> '' AND contains(has, need[1]) AND contains(has, need[2]) AND contains(has, need[3])),
+        b AS (SELECT *, CASE WHEN same THEN 0 WHEN family AND style THEN 1 WHEN family THEN 2 WHEN fuzzy AND style THEN 3 ELSE 4 END AS bucket FROM j)
+        SELECT c_custkey AS request_id, ord, CAST(bucket AS BIGINT) AS bucket FROM b QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY later, bucket, far, ord) = 1""",
+    "revision_chains": f"""WITH RECURSIVE {_REVISIONS},
+        r(event_id, root, depth, missing) AS (SELECT event_id, CASE WHEN prev IS NULL THEN event_id END, CASE WHEN prev IS NULL THEN 0 END, CASE WHEN prev < 0 THEN prev END FROM e WHERE prev IS NULL OR prev < 0
+            UNION ALL SELECT e.event_id, r.root, r.depth + 1, r.missing FROM e JOIN r ON e.prev = r.event_id)
+        SELECT event_id, root, CAST(depth AS BIGINT) AS depth, missing FROM r""",
+    "as_of_revision": f"""WITH RECURSIVE {_REVISIONS},
+        h(tip, event_id, steps) AS (SELECT event_id, event_id, 0 FROM e WHERE event_id % 100 = 99 UNION ALL SELECT h.tip, e.prev, h.steps + 1 FROM h JOIN e ON e.event_id = h.event_id WHERE e.prev >= 0),
+        s AS (SELECT tip, event_type, event_id FROM h JOIN e USING (event_id) QUALIFY row_number() OVER (PARTITION BY tip, event_type ORDER BY steps) = 1)
+        SELECT * FROM s WHERE event_id % 9 <> 0""",
+    "cycle_members": f"WITH RECURSIVE {_CIRCULAR} SELECT node, cycle, concat(count(*) OVER (PARTITION BY cycle), ' nodes lead back to themselves') AS text FROM m",
+    "deep_reachability": """WITH RECURSIVE k AS (SELECT o_orderkey AS src, o_orderkey + 1 AS dst FROM orders WHERE o_orderkey % 1000 <> 999 UNION ALL SELECT o_orderkey, -o_orderkey - 1 FROM orders WHERE o_orderkey % 7 = 0),
+        r(node, depth) AS (SELECT o_orderkey, CAST(0 AS BIGINT) FROM orders WHERE o_orderkey % 1000 = 0 UNION SELECT k.dst, depth + 1 FROM r JOIN k ON k.src = r.node)
+        SELECT node, min(depth) AS depth FROM r GROUP BY node""",
 } | FILE_ORACLES

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.functions import dates, text
-from quillon.operators import detect, diff, graph, layout, match, rules, search, versions
+from quillon.operators import detect, diff, edits, graph, layout, match, rules, search, versions
 from quillon.session import read_table as table
 from quillon.sources import files, text_state
 
@@ -659,6 +660,84 @@ def shown_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("path", "run_id", "text", F.round("x0").cast("long").alias("x0"), F.round("x1").cast("long").alias("x1"), F.round("y0").cast("long").alias("y0"), "n_glyphs")
 
 
+# Edits over several runs, copies of passages, donors, chains and circles
+
+
+def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as edits of their order's text: some have no run, some runs can't be edited or lack letters, ranges leave the text or overlap; every fourth part's lines are groups over orders, every sixth order stands or falls as a whole."""
+    orders = table(spark, sf_dir, "orders")
+    said = F.concat_ws(" ", "o_orderpriority", F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderstatus")
+    letters = F.split(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXY abcdefghijklmnopqrstuvwxyz0123456789-"), "")
+    runs = orders.select(F.col("o_orderkey").alias("run_id"), said.alias("text"), (F.col("o_orderstatus") != "P").alias("editable"), (F.col("o_orderkey") % 6 == 0).alias("whole"), F.when(F.col("o_orderkey") % 3 == 0, letters).alias("characters"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"))
+    start = F.col("l_linenumber") * 3 + F.col("p") % 3 - 1
+    asked = lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edit_id"), F.when(F.col("l_orderkey") % 97 == 0, -F.col("l_orderkey") - 1).otherwise(F.col("l_orderkey")).alias("run_id"),
+        start.cast("int").alias("start"), (start + 1 + F.col("s") % 3).cast("int").alias("end"), F.when(F.col("q") > 48, F.lit("Zürich")).otherwise(F.concat(F.lit("n"), (F.col("p") % 100).cast("string"))).alias("new_text"),
+        F.when(F.col("p") % 4 == 0, F.col("p") * 10 + F.col("l_linenumber")).otherwise(0).alias("group"),
+    )
+    changed, report = edits.apply_edits(asked, runs)
+    return report.join(changed, "run_id", "left")
+
+
+def stale_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that still hold a passage of the benchmark, as a table of old texts."""
+    return rules.stale_copies_of(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def donor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as fonts whose letters are those of their name and type, customers as requests that need the letters of their segment."""
+    part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    letters = lambda c: F.array_distinct(F.split(F.lower(c), ""))
+    fonts = part.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("ps_name"), F.col("p_brand").alias("family"), (F.col("p_size") % 2 == 0).alias("bold"), (F.col("p_partkey") % 3 == 0).alias("italic"), ((F.col("p_size") % 9 + 1) * 100).alias("weight"), (F.col("p_partkey") % 7 == 0).alias("priority"), letters(F.concat("p_name", "p_type")).alias("characters"))
+    key = F.col("c_custkey")
+    named = F.when(key % 4 == 0, "Small-Ring").when(key % 4 == 1, F.concat(F.lit("ABCDEF+Brand#"), (key % 25).cast("string"), F.lit("-Bold"))).when(key % 4 == 2, F.element_at(F.array(*[F.lit(x) for x in ("ring", "WIDGET", "red", "zzz", "")]), (F.pmod(key, F.lit(5)) + 1).cast("int"))).otherwise(F.concat(F.lit("The Brand#"), (key % 30).cast("string"), F.lit(" Extra")))
+    asked = customer.select(key.alias("request_id"), named.alias("name"), (F.col("c_nationkey") % 2 == 0).alias("bold"), (key % 3 == 0).alias("italic"), ((key % 9 + 1) * 100).alias("weight"), letters(F.substring("c_mktsegment", 1, 3)).alias("characters"))
+    return match.donor_choice(asked, fonts).select("request_id", "ord", F.col("bucket").cast("long").alias("bucket"))
+
+
+def _revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as revisions: each follows its user's event before, some the one before that; some name one that is not there."""
+    events = table(spark, sf_dir, "events")
+    at = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before = F.when(F.col("event_id") % 10 == 3, F.coalesce(F.lag("event_id", 2).over(at), F.lag("event_id").over(at))).otherwise(F.lag("event_id").over(at))
+    return events.select("event_id", "event_type", F.when(F.col("event_id") % 997 == 7, -F.col("event_id")).otherwise(before).alias("prev"))
+
+
+def revision_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.chains(_revisions(spark, sf_dir), "event_id")
+
+
+def as_of_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every hundredth event sees of its chain: of each type the newest event, unless that one deletes the type."""
+    revisions = _revisions(spark, sf_dir)
+    tips = revisions.filter(F.col("event_id") % 100 == 99).select(F.col("event_id").alias("tip"))
+    return versions.as_of(revisions.select("event_id", "event_type"), revisions, tips, ["event_type"], "event_id", deleted=F.col("event_id") % 9 == 0).select("tip", "event_type", "event_id")
+
+
+def _circular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that lead to others of their ten by their customer, some also by their price."""
+    orders, ten = table(spark, sf_dir, "orders"), F.floor(F.col("o_orderkey") / 10) * 10
+    one = orders.select(F.col("o_orderkey").alias("src"), (ten + F.col("o_custkey") % 10).alias("dst"))
+    return one.unionByName(orders.filter(F.col("o_orderkey") % 4 == 0).select(F.col("o_orderkey").alias("src"), (ten + F.floor("o_totalprice") % 10).alias("dst")))
+
+
+def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order on a circle, and the finding about that circle."""
+    members = graph.cycles(_circular(spark, sf_dir))
+    found = graph.cycle_findings(members).select(F.col("subject").cast("long").alias("cycle"), "text")
+    return members.join(found, "cycle").select("node", "cycle", "text")
+
+
+def deep_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of up to 999 orders with branches that lead nowhere."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"))
+    on = orders.filter(F.col("src") % 1000 != 999).withColumn("dst", F.col("src") + 1)
+    off = orders.filter(F.col("src") % 7 == 0).withColumn("dst", -F.col("src") - 1)
+    roots = orders.filter(F.col("src") % 1000 == 0).select(F.col("src").alias("node"))
+    return graph.reachable(on.unionByName(off), roots).select("node", F.col("depth").cast("long").alias("depth"))
+
+
 NAMES = """norm_text norm_positions find_count find_ignore_case find_whole_word find_page_filter find_top_docs find_offsets find_grouped replace_swap
 replace_first_n replace_marked replace_pairs splice_edits minimal_edit greedy_encode glyph_spans name_styles field_names metadata_names short_numbers page_lists page_list_errors assignment_maps
 dates_round_trip number_scalars visual_lines line_texts consecutive_ranges carry_forward page_text block_alignment line_alignment
@@ -668,5 +747,6 @@ atomic_groups edit_reasons edit_pieces latest_revision merge_metadata in_place_r
 hidden_copies container_changes external_risks signature_coverage width_mismatches orphan_glyphs dictionary_changes
 code_maps instructions raw_streams shown_runs
 editable_runs codes_in_use known_glyphs missing_characters note_severities overall_outcome line_shifts reading_order line_hints replacement_plan
-summary_digests common_order fallback_choice reachable_glyphs composite_glyphs""".split()
+summary_digests common_order fallback_choice reachable_glyphs composite_glyphs
+apply_edits stale_passages donor_choice revision_chains as_of_revision cycle_members deep_reachability""".split()
 QUERIES = {name: globals()[name] for name in NAMES} | file_queries.QUERIES

@@ -33,4 +33,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         shared = f"file:///tmp/checkpoints/{os.getuid()}"
     path = f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `written` wrote. Only for those that nothing still to be computed reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._staged_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
