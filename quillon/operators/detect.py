@@ -83,7 +83,7 @@ def identity_changes(changes: DataFrame, subject: str, dates: list[str]) -> Data
 
 
 def external_risks(profiles: DataFrame, fonts: DataFrame, states: DataFrame) -> DataFrame:
-    """What keeps a file from looking alike elsewhere, one row per file and risk; lists of names have the first five in order.
+    """What keeps a file from looking alike elsewhere, one row per file and risk; lists of names have the first five in order and how many more there are.
 
     profiles: path, encrypted, has_metadata, has_pdfa_id, has_output_intent, has_id, n_eof; fonts: path, font, embedded,
     has_unicode_map; states: path, alpha, soft_mask (of graphics states), group (of pages).
@@ -95,7 +95,8 @@ def external_risks(profiles: DataFrame, fonts: DataFrame, states: DataFrame) ->
         out = one if out is None else out.unionByName(one)
     for key, condition in (("fonts-not-embedded", "NOT embedded"), ("fonts-no-tounicode", "NOT has_unicode_map")):
         names = fonts.filter(condition).select("path", "font").distinct().groupBy("path").agg(F.array_sort(F.collect_list("font")).alias("names"))
-        out = out.unionByName(finding(names, key, "divergence", "path", F.array_join(F.slice("names", 1, 5), ", ")))
+        said = F.concat(F.array_join(F.slice("names", 1, 5), ", "), F.when(F.size("names") > 5, F.format_string(" and %s more", F.size("names") - 5)).otherwise(""))
+        out = out.unionByName(finding(names, key, "divergence", "path", said))
     seen = states.filter("alpha < 1 OR coalesce(soft_mask, 'None') <> 'None' OR group = 'Transparency'").select("path").distinct()
     return out.unionByName(finding(seen, "transparency", "divergence", "path", "transparency"))
 

@@ -77,6 +77,28 @@ def carried(value: Column, per: list[str], order: list[str]) -> Column:
     return F.last(value, ignorenulls=True).over(ordered(per, order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def running(rows: DataFrame, per: list[str], at: str, of, value: str, name: str, cell: int = 65_536) -> DataFrame:
+    """rows with `name`: `of` (F.max, F.min) over `value` of the group's rows before each, by `at` (a number; equal ones don't see each other).
+
+    Inside cells of `at` row by row, and over the cells' own values before them, so that one group of any length is the work of
+    many tasks. Where the places are numbered from 0 and value grows with them, F.max carries the last value that isn't null.
+    """
+    celled = rows.withColumn("__cell", F.floor(F.col(at) / cell))
+    totals = celled.groupBy(*per, "__cell").agg(of(value).alias("__own"))
+    before = Window.partitionBy(*per).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*per, "__cell", of("__own").over(before).alias("__base"))
+    inside = Window.partitionBy(*per, "__cell").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    joined = celled.withColumn("__in", of(value).over(inside)).join(base, [*per, "__cell"])
+    either = F.greatest("__in", "__base") if of is F.max else F.least("__in", "__base")
+    return joined.withColumn(name, either).drop("__cell", "__in", "__base")
+
+
+def in_effect(rows: DataFrame, per: list[str], at: str, value: str, name: str, cell: int = 65_536) -> DataFrame:
+    """rows with `name`: the value of the last row, this one or before, that has one; `carried` for groups too long for one task."""
+    said = rows.withColumn("__said", F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("at"), F.col(value).alias("value"))))
+    return running(said, per, at, F.max, "__said", "__last", cell).withColumn(name, F.coalesce(F.col(value), F.col("__last.value"))).drop("__said", "__last")
+
+
 def spread(column: Column) -> Column:
     return F.max(column) - F.min(column)
 
@@ -95,9 +117,10 @@ def line_alignment(lines: DataFrame, page: list[str], block: str, line: str, pag
 
     The others' edges come from the two smallest and two largest values of the page, so no line meets every other.
     """
-    low = lambda c, n: F.element_at(F.array_sort(c), n)
-    ends = lines.groupBy(*page).agg(F.collect_list("x0").alias("lefts"), F.collect_list("x1").alias("rights"))
-    ends = ends.select(*page, low(F.col("lefts"), 1).alias("l1"), F.try_element_at(F.array_sort("lefts"), F.lit(2)).alias("l2"), F.element_at(F.array_sort("rights"), -1).alias("r1"), F.try_element_at(F.array_sort("rights"), F.lit(-2)).alias("r2"))
+    first = lines.groupBy(*page).agg(F.min("x0").alias("l1"), F.max("x1").alias("r1"))
+    #: The second value is the first again where two lines have it.
+    next_ = lines.join(first, page).groupBy(*page, "l1", "r1").agg(F.count_if(F.col("x0") == F.col("l1")).alias("n_l"), F.min(F.when(F.col("x0") > F.col("l1"), F.col("x0"))).alias("l"), F.count_if(F.col("x1") == F.col("r1")).alias("n_r"), F.max(F.when(F.col("x1") < F.col("r1"), F.col("x1"))).alias("r"))
+    ends = next_.select(*page, "l1", F.when(F.col("n_l") > 1, F.col("l1")).otherwise(F.col("l")).alias("l2"), "r1", F.when(F.col("n_r") > 1, F.col("r1")).otherwise(F.col("r")).alias("r2"))
     of_block = block_alignment(lines, [*page, block], "x0", "x1").select(*page, block, F.col("alignment").alias("of_block"))
     both = lines.join(of_block, [*page, block]).join(ends, page)
     left = F.when(F.col("x0") == F.col("l1"), F.col("l2")).otherwise(F.col("l1"))

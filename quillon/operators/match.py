@@ -35,6 +35,8 @@ def fallback_choice(styles: DataFrame, catalogue: DataFrame, preferred: list[str
     rank = F.array_position(F.array(*map(F.lit, preferred)), F.col("family"))
     fonts = catalogue.withColumn("rank", F.when(rank > 0, rank).otherwise(len(preferred) + 1))
     asked = styles.select("bold", "italic", "weight").distinct()
+    #: Of fonts alike in all that counts the first will do: what is joined are styles, ranks and weights, however many fonts there are.
+    fonts = fonts.groupBy("bold", "italic", "rank", "weight").agg(F.min("ord").alias("ord"))
     same = asked.join(fonts.withColumnRenamed("weight", "of"), ["bold", "italic"])
     best = same.groupBy("bold", "italic", "weight").agg(F.min(F.struct("rank", F.abs(F.col("of") - F.col("weight")), "ord"))["ord"].alias("best"))
     first = fonts.agg(F.min(F.struct("rank", "ord"))["ord"].alias("first"))
@@ -238,3 +240,78 @@ def longest_match_parts(rows: DataFrame, id_col: str, text_col: str, keys: list[
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, part_no int, part string, known boolean").withColumnRenamed("id", id_col)
+
+
+class _Codes:
+    """A table of keys: part(text, i) is the longest key that stands at i, or nothing. Lengths are tried from the longest down, only those that a key of this first character has."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = set(keys)
+        lengths: dict[str, set[int]] = {}
+        for k in self.keys:
+            lengths.setdefault(k[0], set()).add(len(k))
+        self.lengths = {c: sorted(x, reverse=True) for c, x in lengths.items()}
+
+    def length(self, text: str, i: int) -> int:
+        return next((n for n in self.lengths.get(text[i], ()) if text[i : i + n] in self.keys), 0)
+
+
+def longest_match_table(rows: DataFrame, id_col: str, text_col: str, table: DataFrame, key_col: str, limit_bytes: int = 64 << 20) -> DataFrame:
+    """longest_match_parts by a table of keys of any size. Ids are distinct.
+
+    A table of up to limit_bytes is sent to the workers, which take the longest key at each place in turn. A larger one is dealt to
+    groups of about that size: each group gives the longest of its keys at every place where one stands, those are put together by text,
+    and a last pass takes them in turn; texts are read once a group, and no more than a group is ever sent.
+    """
+    import pyarrow as pa
+
+    spark = rows.sparkSession
+    keys = table.select(F.col(key_col).cast("string").alias("k")).filter("length(k) > 0").distinct()
+    n_bytes = keys.agg(F.coalesce(F.sum(F.octet_length("k")), F.lit(0))).first()[0]
+    n_groups = max(1, -(-n_bytes // limit_bytes))
+    kind = rows.schema[id_col].dataType.simpleString()
+    texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def parted(batches, at):
+        """(id, text, places) by what at(row's text, its places) gives: (start, end, known)."""
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            places = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            for i, (text, own) in enumerate(zip(batch.column(1).to_pylist(), places, strict=True)):
+                length, start, no = at(text, own), 0, 0
+                while start < len(text or ""):
+                    n = length(start)
+                    for column, value in zip(out, (i, no, text[start : start + max(n, 1)], n > 0), strict=True):
+                        column.append(value)
+                    start, no = start + max(n, 1), no + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())], ["id", "part_no", "part", "known"])
+
+    schema = f"id {kind}, part_no int, part string, known boolean"
+    group = lambda g: [r["k"] for r in keys.filter(F.pmod(F.xxhash64("k"), F.lit(n_groups)) == g).collect()]  # noqa: E731  about limit_bytes
+    if n_groups == 1:
+        codes = spark.sparkContext.broadcast(_Codes(group(0)))
+        whole = lambda batches: parted(batches, lambda text, _: lambda i: codes.value.length(text, i))
+        return texts.mapInArrow(whole, schema).withColumnRenamed("id", id_col)
+
+    def found_by(codes):
+        def run(batches):
+            for batch in batches:
+                hits = [[{"at": i, "n": n} for i in range(len(t or "")) if (n := codes.value.length(t, i))] for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))], ["id", "places"])
+
+        return run
+
+    hits = None
+    for g in range(n_groups):
+        own = written(texts.mapInArrow(found_by(spark.sparkContext.broadcast(_Codes(group(g)))), f"id {kind}, places array<struct<at: int, n: int>>"), "code-places")
+        hits = own if hits is None else hits.unionByName(own)
+    #: As many arrays a text as there are groups, each with no more places than the text has.
+    places = hits.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"))
+
+    def longest(_, own):
+        most: dict[int, int] = {}
+        for x in own or ():
+            most[x["at"]] = max(x["n"], most.get(x["at"], 0))
+        return lambda i: most.get(i, 0)
+
+    return texts.join(places, "id", "left").select("id", "text", "places").mapInArrow(lambda batches: parted(batches, longest), schema).withColumnRenamed("id", id_col)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.session import written
@@ -46,17 +46,74 @@ def outcome(rules: list[Rule]) -> DataFrame:
 def checked(rules: list[Rule]) -> DataFrame:
     """findings of rules that may fail: each is run by itself and written, and one that fails, while it is planned or while it
     runs, becomes a note `check-failed` about itself (its key is the subject) and does not stop the others."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    found = []
+    spark, found = None, []
     for r in rules:
         try:
             found.append(written(findings([r]), "findings"))
+            spark = found[-1].sparkSession
         except Exception as e:  # whatever a check raises is its finding
-            said = str(e).splitlines()[0][:200] if str(e) else type(e).__name__
-            found.append(spark.createDataFrame([("check-failed", "note", r.key, said)], "key string, severity string, subject string, text string"))
-    return reduce(DataFrame.unionByName, found)
+            found.append((r.key, _said(e)))
+    failed = [x for x in found if isinstance(x, tuple)]
+    tables = [x for x in found if not isinstance(x, tuple)]
+    if failed:
+        spark = spark or SparkSession.builder.getOrCreate()
+        tables.append(spark.createDataFrame([("check-failed", "note", *x) for x in failed], "key string, severity string, subject string, text string"))
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _said(e: Exception) -> str:
+    return str(e).splitlines()[0][:200] if str(e) else type(e).__name__
+
+
+@dataclass(frozen=True)
+class Check:
+    """key, severity, the condition that a broken row meets (null where it can't be told), and what to say."""
+
+    key: str
+    severity: str
+    broken: Column
+    text: str
+
+
+def guarded(rows: DataFrame, subject: str, checks: list[Check]) -> DataFrame:
+    """Findings (key, severity, subject, text) of many checks in one pass over rows, none of which stops the others.
+
+    A check whose condition can't be planned, and one that can't be told for some rows (its condition, made of try_ functions, is null
+    there), becomes a note `check-failed` about itself, with how many rows that were. A condition that fails while it runs would
+    stop the pass; then each check is run by itself, and those that fail become notes too.
+    """
+    planned, failed = [], []
+    for c in checks:
+        try:
+            rows.select(c.broken.cast("boolean")).schema  # noqa: B018  analysed here, not run
+            planned.append(c)
+        except Exception as e:
+            failed.append((c.key, _said(e)))
+    own = []
+    try:
+        if planned:
+            own.append(written(_one_pass(rows, subject, planned), "findings"))
+    except Exception:
+        for c in planned:
+            try:
+                own.append(written(_one_pass(rows, subject, [c]), "findings"))
+            except Exception as e:
+                failed.append((c.key, _said(e)))
+    if failed or not own:
+        own.append(rows.sparkSession.createDataFrame([("check-failed", "note", *x) for x in failed], "key string, severity string, subject string, text string"))
+    return reduce(DataFrame.unionByName, own)
+
+
+def _one_pass(rows: DataFrame, subject: str, checks: list[Check]) -> DataFrame:
+    """Every row gives its findings, and a mark for each check that can't be told of it; marks are counted map-side."""
+    said = [F.when(F.coalesce(c.broken.cast("boolean"), F.lit(True)), F.struct(c.broken.isNull().alias("lost"), F.lit(c.key).alias("key"), F.lit(c.severity).alias("severity"), F.lit(c.text).alias("text"))) for c in checks]
+    each = rows.select(F.col(subject).cast("string").alias("subject"), F.explode(F.array_compact(F.array(*said))).alias("f")).select("subject", "f.*")
+    each = each.withColumn("n", F.lit(1).cast("long"))
+    #: What can't be told has one subject a check, so a check that fails on every row leaves one row a task.
+    of = F.when(F.col("lost"), F.col("key")).otherwise(F.col("subject"))
+    found = each.select(F.when(F.col("lost"), "check-failed").otherwise(F.col("key")).alias("key"), F.when(F.col("lost"), "note").otherwise(F.col("severity")).alias("severity"), of.alias("subject"), F.when(~F.col("lost"), F.col("text")).alias("text"), "lost", "n")
+    lost = found.filter("lost").groupBy("key", "severity", "subject").agg(F.sum("n").alias("n")).select("key", "severity", "subject", F.format_string("can't be told of %s rows", "n").alias("text"))
+    return found.filter("NOT lost").select("key", "severity", "subject", "text").unionByName(lost)
 
 
 def overall(outcomes: DataFrame) -> DataFrame:

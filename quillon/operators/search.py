@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions.text import FROM, LIGATURES, TO, normalise
+from quillon.session import written
 
 
 @dataclass(frozen=True)
@@ -157,8 +158,10 @@ def find_grouped(lines: DataFrame, per: list[str], pattern: Pattern, space_gap:
 def top_rows(found: DataFrame, per: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group by order, with `total`, how many there were: a cap never loses the count.
 
-    Ranks are cut in every task before rows meet, totals are counted there, so a group that holds most rows stays small.
+    Ranks are cut in every task before rows meet, totals are counted there, so a group that holds most rows stays small. What was
+    found is written first, so that it is searched for once, however much that costs, and read twice.
     """
+    found = written(found, "found")
     first = found.withColumn("rank", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).filter(F.col("rank") <= k)
     totals = found.groupBy(*[F.col(c).alias(f"__{c}") for c in per]).agg(F.count(F.lit(1)).alias("total"))
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in per]
@@ -175,6 +178,38 @@ def java_template(template: str) -> str:
     return re.sub(r"\\g<(\w+)>", r"${\1}", re.sub(r"\\(\d)", r"$\1", template.replace("$", r"\$")))
 
 
+def _widened(literal: str) -> str:
+    """A normalised literal as an expression over texts that are not: each character stands for all that normalise to it."""
+    same = {to: "".join(f for f, t in zip(FROM, TO, strict=True) if t == to) for to in set(TO)}
+    own = lambda c: "\\" + c if not (c.isalnum() or c.isspace() or c == "_") else c
+    return "".join(f"[{own(c)}{same[c]}]" if c in same else own(c) for c in literal)
+
+
+def replace_all(rows: DataFrame, text_col: str, pattern: Pattern, template: str) -> DataFrame:
+    """rows with all matches in text_col replaced, as replace_matches does it, but only rows that need Python see a worker.
+
+    The JVM takes texts of a literal that hold no ligature (the literal's characters stand there for all that normalise to
+    them) and texts of an expression that normalisation leaves alone; the others are replaced apart and put beside them.
+    An expression that may match nothing goes to Python whole, since such matches don't count.
+    """
+    if not pattern.text:
+        return rows
+    text, columns = F.col(text_col), rows.columns
+    in_python = lambda df: df.withColumn(text_col, replace_matches(text, pattern, template)).select(*columns)
+    if re.compile(pattern.source()).search(""):
+        return in_python(rows)
+    if pattern.regex:
+        plain, source, new = normalise(text) == text, pattern.java(), java_template(template)
+    else:
+        literal = plain_normalise(pattern.text)
+        body = _widened(literal)
+        source = "(?U)" + ("(?iu)" if pattern.ignore_case else "") + (rf"(?<!\w)(?:{body})(?!\w)" if pattern.whole_word else body)
+        plain, new = ~text.rlike("[" + "".join(LIGATURES) + "]"), re.sub(r"([\\$])", r"\\\1", template)
+    plain = F.coalesce(plain, F.lit(True))
+    done = rows.filter(plain).withColumn(text_col, F.regexp_replace(text, source, new)).select(*columns)
+    return done.unionByName(in_python(rows.filter(~plain)))
+
+
 def replace_matches(text: Column, pattern: Pattern, template: str) -> Column:
     """All matches replaced; what isn't matched stays as it is, also where it is written in characters that the search takes as others.
 
@@ -206,9 +241,16 @@ def replace_matches(text: Column, pattern: Pattern, template: str) -> Column:
 
 
 def glyph_span(char_to_glyph: Column, start: Column, end: Column) -> Column:
-    """struct<start, end> of the glyphs that characters [start, end) stand on; characters without a glyph are below 0. Null if none has one."""
+    """struct<start, end, expanded> of the glyphs that characters [start, end) stand on; characters without a glyph are below 0. Null if none has one.
+
+    expanded: those glyphs hold other characters, too (a ligature that is cut), so an edit of them changes more than was asked for.
+    """
     on = F.filter(F.slice(char_to_glyph, start + 1, F.greatest(end - start, F.lit(0))), lambda g: g >= 0)
-    return F.when(F.size(on) > 0, F.struct(F.array_min(on).alias("start"), (F.array_max(on) + 1).alias("end")))
+    #: As the one element of an array, so that ends and number are told once and not for every glyph.
+    ends = F.array(F.struct(F.array_min(on).alias("low"), F.array_max(on).alias("high"), F.size(on).alias("n")))
+    held = lambda s: F.size(F.filter(char_to_glyph, lambda g: (g >= s["low"]) & (g <= s["high"])))
+    spans = F.transform(ends, lambda s: F.when(s["n"] > 0, F.struct(s["low"].alias("start"), (s["high"] + 1).alias("end"), (held(s) > s["n"]).alias("expanded"))))
+    return F.get(spans, F.lit(0))
 
 
 def pieces(chars: DataFrame, match_cols: list[str], run_col: str, char_col: str, order_col: str) -> DataFrame:

@@ -204,6 +204,7 @@ def set_metadata(info: DataFrame, changes: DataFrame, subject: list[str], now: C
     is_date = F.col("field").isin(*DATE_FIELDS)
     read = last.withColumn("__d", F.when(is_date, moment))
     packed = F.coalesce(dates.packed_date(F.col("__d.moment"), F.col("__d.offset_min")), F.col("value"))
+    read = written(read, "metadata-changes")
     made = read.withColumn("packed", packed).withColumn("iso", F.coalesce(dates.iso_date(F.col("__d.moment"), F.col("__d.offset_min")), F.col("value")))
     new = merge(info, made.select(*subject, "field", F.col("packed").alias("value")), [*subject, "field"], "value")
     if mirror is None or mode == "never":

@@ -18,7 +18,9 @@ ORACLES = {
     "file_signatures": f"""SELECT {_KEY}, 'mark' AS field, '/adbe' AS sub_filter, 'D:2021' AS signed_at, concat('0 10 20 ', p_partkey) AS byte_range,
             20 + p_partkey >= 975 + 2 * length(p_size::VARCHAR) + length(p_type) + length(p_brand) + length(p_partkey::VARCHAR) + CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END AS covers FROM part""",
     "file_comparison": f"""SELECT {_KEY}, 'metadata' AS part, 'info /Title' AS item, concat(p_brand, ' -> none') AS change FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT {_KEY}, 'object', '11 0', 'changed head' FROM part WHERE p_partkey % 3 = 0
-        UNION ALL SELECT {_KEY}, 'object', '6 0', 'changed body' FROM part WHERE p_partkey % 4 = 0""",
+        UNION ALL SELECT {_KEY}, 'object', '6 0', 'changed body' FROM part WHERE p_partkey % 4 = 0
+        UNION ALL SELECT path, 'container', 'file-size', concat(a, ' bytes became ', b) FROM (SELECT {_KEY}, 975 + 2 * length(p_size::VARCHAR) + length(p_type) + length(p_brand) + length(p_partkey::VARCHAR) + CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END AS a,
+            975 + 2 * length(p_size::VARCHAR) + CASE WHEN p_partkey % 4 = 0 THEN 4 ELSE length(p_type) END + CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE length(p_brand) END + length(p_partkey::VARCHAR) + CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END AS b FROM part) WHERE a <> b""",
     "file_references": f"""SELECT {_KEY}, src, dst FROM part, (VALUES ('1 0', '2 0'), ('1 0', '12 0'), ('2 0', '3 0'), ('2 0', '4 0'), ('2 0', '2 0'), ('3 0', '5 0'), ('3 0', '6 0'), ('3 0', '7 0'), ('3 0', '8 0'), ('4 0', '6 0'), ('8 0', '9 0'), ('8 0', '10 0')) v(src, dst)""",
     "byte_changes": f"SELECT {_KEY}, p_partkey % 4 = 0 AS identical, p_partkey % 4 = 1 AS appended, p_partkey % 4 = 2 AS in_place FROM part WHERE p_partkey % 4 < 3",
     "described_changes": f"""SELECT {_KEY}, CAST(CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 3 END AS BIGINT) AS at,

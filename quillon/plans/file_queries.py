@@ -67,7 +67,7 @@ def file_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and contents of some files change: objects, metadata and sizes that differ."""
-    return files.compare_files(*_later_files(spark, sf_dir)).filter("part <> 'container'").select("path", "part", "item", "change")
+    return files.compare_files(*_later_files(spark, sf_dir)).select("path", "part", "item", "change")
 
 
 def file_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +186,9 @@ def utf16_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.encode(F.col("text"), "UTF-16BE")
     cut = F.when(F.col("turn") == 0, F.expr("substring(encode(text, 'UTF-16BE'), 1, 2 * length(text) - 1)")).otherwise(data)
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"), text.utf16be_text(cut).alias("back"), "text")
-    return turns.select("conv_id", "turn", F.length("back").alias("n"), (F.expr("substring(back, 1, n - 1)") == F.expr("substring(text, 1, n - 1)")).alias("same"))
+    last = F.ascii(F.expr("substring(text, n)"))
+    whole = F.ascii(F.expr("substring(back, n)")) == F.when(F.col("turn") == 0, last.bitwiseAND(0xFF00)).otherwise(last)
+    return turns.select("conv_id", "turn", F.length("back").alias("n"), ((F.expr("substring(back, 1, n - 1)") == F.expr("substring(text, 1, n - 1)")) & whole).alias("same"))
 
 
 NAMES = """page_contents structure_errors file_metadata file_profiles file_signatures file_comparison file_references byte_changes described_changes

@@ -63,7 +63,7 @@ ORACLES = {
         i AS (SELECT *, CAST(sum(CASE WHEN gap > 2.5 OR gap < -0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, baseline ORDER BY x0, run_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line_no FROM g),
         p AS (SELECT *, lag(text) OVER w2 AS before FROM i WINDOW w2 AS (PARTITION BY conv_id, baseline, line_no ORDER BY x0, run_id)),
         t AS (SELECT conv_id, baseline, line_no, string_agg(CASE WHEN before IS NOT NULL AND NOT ends_with(before, ' ') AND gap >= 0.19 THEN ' ' || text ELSE text END, '' ORDER BY x0, run_id) AS text FROM p GROUP BY conv_id, baseline, line_no),
-        f AS (SELECT *, regexp_extract_all(text, '[a-z] ?[A-Z]') AS found FROM t)
+        f AS (SELECT *, regexp_extract_all(text, '\\. ?[A-Z]') AS found FROM t)
         SELECT conv_id, baseline, line_no, CAST(len(found) AS BIGINT) AS n, md5(array_to_string(list_sort(found), '|')) AS matched FROM f WHERE len(found) > 0""",
     "replace_pairs": "SELECT doc_id, md5(nullif(replace(replace(replace(text, 'License', 'Licence'), 'there', 'HERE'), 'the', 'THE'), text)) AS changed FROM documents",
     "splice_edits": "SELECT item_id, concat('<<', substr(text, 2, 3), substr(text, 6)) AS changed FROM benchmark",
@@ -72,8 +72,8 @@ ORACLES = {
         t AS (SELECT *, len(list_filter(range(1, least(lo, ln) - head + 1), lambda i: right(o, i) = right(n, i))) AS tail FROM h),
         e AS (SELECT *, CASE WHEN lo - tail = head AND head > 0 THEN head - 1 ELSE head END AS s, CASE WHEN lo - tail = head AND head = 0 THEN lo - tail + 1 ELSE lo - tail END AS f, CASE WHEN lo - tail = head AND head = 0 THEN tail - 1 ELSE tail END AS k FROM t)
         SELECT conv_id, turn, CASE WHEN o <> n THEN CAST(s AS BIGINT) END AS start, CASE WHEN o <> n THEN CAST(f AS BIGINT) END AS stop, CASE WHEN o <> n THEN md5(substr(n, s + 1, ln - k - s)) END AS replacement FROM e""",
-    "glyph_spans": """WITH s AS (SELECT conv_id, turn, length(text) % 17 AS a, least(length(text), length(text) % 17 + 4) AS z FROM conversations)
-        SELECT conv_id, turn, CASE WHEN z > a THEN CAST(a // 2 AS BIGINT) END AS first, CASE WHEN z > a THEN CAST((z - 1) // 2 + 1 AS BIGINT) END AS after FROM s""",
+    "glyph_spans": """WITH s AS (SELECT conv_id, turn, length(text) AS n, length(text) % 17 AS a, least(length(text), length(text) % 17 + 4) AS z FROM conversations)
+        SELECT conv_id, turn, CASE WHEN z > a THEN CAST(a // 2 AS BIGINT) END AS first, CASE WHEN z > a THEN CAST((z - 1) // 2 + 1 AS BIGINT) END AS after, CASE WHEN z > a THEN a % 2 = 1 OR (z % 2 = 1 AND z < n) END AS expanded FROM s""",
     "greedy_encode": """WITH m AS (SELECT concat(conv_id, ' ', turn) AS "at", unnest(regexp_extract_all(text, '(?s)tion|the|ing|and|th|er|in|.')) AS part FROM conversations)
         SELECT "at", count(*) AS n_parts, count(*) FILTER (WHERE length(part) > 1) AS n_known FROM m GROUP BY "at" """,
     "name_styles": f"""WITH {_NAMED}
@@ -161,8 +161,8 @@ ORACLES = {
         UNION ALL SELECT concat('s', s_suppkey), 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1""",
     "dangling_edges": "SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)",
     "stale_copies": """SELECT doc_id, CAST(e.edit_id AS BIGINT) AS edit_id FROM documents JOIN (VALUES (0, 'License, Version'), (1, 'MIT License'), (2, 'Public License'), (3, 'no such text'), (4, 'the the')) e(edit_id, old) ON contains(text, old)""",
-    "hidden_copies": """SELECT a.conv_id, a.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2
-        WHERE length(trim(b.text)) > 0 AND NOT contains(a.text, trim(b.text))""",
+    "hidden_copies": """WITH p AS (SELECT a.conv_id, a.turn, a.text AS shown, CASE WHEN a.conv_id % 3 = 0 THEN concat('  ', substr(a.text, 5, 40), ' ') ELSE b.text END AS copy FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2)
+        SELECT conv_id, turn FROM p WHERE length(trim(copy, ' ')) > 0 AND NOT contains(shown, trim(copy, ' '))""",
     "page_list_errors": """WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, p_size % 5 AS page FROM part)
         SELECT p_partkey, CASE k WHEN 1 THEN '' WHEN 4 THEN '0 1 2' END AS pages, CASE k WHEN 2 THEN 'no page or range: a' WHEN 3 THEN 'out of range: 99' WHEN 5 THEN 'no page or range: 1-x' END AS error,
             CASE k WHEN 0 THEN true WHEN 4 THEN page < 3 ELSE false END AS asked_for FROM (SELECT p_partkey, CASE WHEN k = 6 THEN 1 ELSE k END AS k, page FROM p) x""",
@@ -178,19 +178,20 @@ ORACLES = {
     "container_changes": f"""WITH {_ORDERS},
         a AS (SELECT o_orderkey, CAST(trunc(o_totalprice * 100) AS BIGINT) AS s, o_orderstatus AS v FROM orders), b AS (SELECT o_orderkey, CAST(trunc(o_totalprice * 100) AS BIGINT) AS s, o_orderstatus AS v FROM later),
         f AS (SELECT 'file-size' AS key, 'note' AS severity, concat(a.s, ' bytes became ', b.s) AS text FROM a JOIN b USING (o_orderkey) WHERE a.s <> b.s
+              UNION ALL SELECT 'xref-style', 'trace', 'the style of the cross-reference table changed' FROM a JOIN b USING (o_orderkey) WHERE (a.v = 'F') <> (b.v = 'F')
               UNION ALL SELECT 'version', 'trace', concat('version ', a.v, ' became ', b.v) FROM a JOIN b USING (o_orderkey) WHERE a.v IS DISTINCT FROM b.v)
         SELECT key, severity, count(*) AS n, md5(string_agg(text, '|' ORDER BY text)) AS texts FROM f GROUP BY key, severity""",
     "external_risks": """WITH p AS (SELECT CAST(c_custkey AS VARCHAR) AS path, * FROM customer), o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, * FROM orders),
         r AS (SELECT 'encrypted' AS key, path, 'encrypted' AS text FROM p WHERE c_custkey % 50 = 0 UNION ALL SELECT 'no-xmp', path, 'no xmp' FROM p WHERE c_custkey % 3 = 0 UNION ALL SELECT 'no-pdfaid', path, 'no pdfaid' FROM p WHERE c_custkey % 5 <> 0
               UNION ALL SELECT 'no-output-intent', path, 'no output intent' FROM p WHERE c_custkey % 7 <> 0 UNION ALL SELECT 'no-id', path, 'no id' FROM p WHERE NOT c_acctbal > 0 UNION ALL SELECT 'revisions', path, 'revisions' FROM p WHERE c_nationkey % 3 > 1
-              UNION ALL SELECT 'fonts-not-embedded', path, array_to_string(list_sort(list(DISTINCT o_orderpriority))[:5], ', ') FROM o WHERE o_orderstatus = 'P' GROUP BY path
+              UNION ALL SELECT 'fonts-not-embedded', path, concat(array_to_string(list_sort(list(DISTINCT o_orderpriority))[:5], ', '), CASE WHEN count(DISTINCT o_orderpriority) > 5 THEN concat(' and ', count(DISTINCT o_orderpriority) - 5, ' more') ELSE '' END) FROM o WHERE o_orderstatus = 'P' GROUP BY path
               UNION ALL SELECT 'fonts-no-tounicode', path, array_to_string(list_sort(list(DISTINCT o_orderpriority))[:5], ', ') FROM o WHERE o_orderkey % 4 = 0 GROUP BY path
               UNION ALL SELECT DISTINCT 'transparency', path, 'transparency' FROM o WHERE o_orderkey % 9 = 0)
         SELECT key, 'divergence' AS severity, path AS subject, text FROM r""",
     "signature_coverage": """SELECT CAST(l_orderkey AS VARCHAR) AS subject, count(*) AS n, min(concat('the signature ', l_linenumber, ' does not cover the whole file')) AS first FROM lineitem WHERE l_partkey + l_suppkey < 1500 OR l_partkey + l_suppkey <= 0 GROUP BY l_orderkey""",
     "width_mismatches": "SELECT p_brand AS subject, concat('code ', p_partkey, ': stated and own width differ') AS text FROM part WHERE p_partkey % 4 = 3 AND p_size % 10 <> 0",
-    "orphan_glyphs": """WITH r AS (SELECT DISTINCT s_nationkey, s_suppkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 49), x AS (SELECT * FROM r UNION SELECT s_nationkey, s_suppkey + 10 FROM r)
-        SELECT CAST(s_nationkey AS VARCHAR) AS subject, concat('glyph ', s_suppkey, ' is reached by nothing') AS text FROM supplier WHERE s_suppkey <> 0 AND floor(s_acctbal) > 0 AND (s_nationkey, s_suppkey) NOT IN (SELECT s_nationkey, s_suppkey FROM x)""",
+    "orphan_glyphs": """WITH r AS (SELECT DISTINCT p_brand, p_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 50 AND l_linenumber < 4), x AS (SELECT * FROM r UNION SELECT p_brand, p_partkey + 10 FROM r)
+        SELECT p_brand AS subject, concat('glyph ', p_partkey, ' is reached by nothing') AS text FROM part WHERE p_partkey <> 0 AND p_size % 5 > 0 AND (p_brand, p_partkey) NOT IN (SELECT p_brand, p_partkey FROM x)""",
     "dictionary_changes": f"""WITH {_META}, e AS (SELECT c_custkey, replace(replace(replace(key, 'c_name', '/Name'), 'c_nationkey', '/Nation'), 'c_mktsegment', '/Segment') AS entry, before, after FROM d WHERE before IS DISTINCT FROM after)
         SELECT c_custkey, entry, CASE WHEN after IS NULL THEN 'vanished' WHEN before IS NULL THEN 'added' ELSE 'changed' END AS change, before, after FROM e""",
     "code_maps": """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_partkey, p_size FROM part)
@@ -267,6 +268,49 @@ ORACLES = {
         s AS (SELECT tip, event_type, event_id FROM h JOIN e USING (event_id) QUALIFY row_number() OVER (PARTITION BY tip, event_type ORDER BY steps) = 1)
         SELECT * FROM s WHERE event_id % 9 <> 0""",
     "cycle_members": f"WITH RECURSIVE {_CIRCULAR} SELECT node, cycle, concat(count(*) OVER (PARTITION BY cycle), ' nodes lead back to themselves') AS text FROM m",
+    "same_dictionaries": f"WITH {_META} SELECT c.c_custkey, c2.c_custkey IS NOT NULL AND c.c_mktsegment IS NOT DISTINCT FROM c2.c_mktsegment AND c.c_name = c2.c_name AS same FROM customer c LEFT JOIN c2 ON c2.c_custkey = c.c_custkey",
+    "expected_additions": f"""WITH {_META}, p AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '/Resources/Font/' ELSE '/Resources/XObject/' END || CASE key WHEN 'c_mktsegment' THEN 'F1' ELSE 'W[0]' END AS path, before AS now, after AS old FROM d WHERE key <> 'c_name')
+        SELECT c_custkey, path, CASE WHEN old IS NULL THEN 'added' ELSE 'changed' END AS change, path LIKE '%W[0]' OR (old IS NULL AND path LIKE '%/Font/%') AS expected FROM p WHERE now IS DISTINCT FROM old""",
+    "nested_diff": """WITH d AS (SELECT event_id, concat('{"k":', json_extract_string(props, '$.k'), ',"who":{"user":', user_id, ',"type":"') AS head, event_type, '","odd name":[]},"tags":[' AS mid, event_id % 4 AS v FROM events),
+        b AS (SELECT *, concat(head, event_type, mid, '"a","b",{"v":', v, '}],"none":null}') AS before FROM d),
+        p AS (SELECT *, CASE WHEN event_id % 3 > 0 THEN before ELSE concat(head, CASE WHEN event_id % 2 = 0 THEN 'other' ELSE event_type END, mid, CASE event_id % 7 WHEN 0 THEN '"new","a","b",{"v":"' WHEN 1 THEN '"a","b",{"v":"' ELSE '"a","b",{"w":"' END, v, CASE WHEN event_id % 5 = 0 THEN '"}]}' ELSE '"}],"none":[null]}' END) END AS after FROM b),
+        n AS (SELECT event_id, 1 AS side, t.fullkey AS path, t.type AS kind, t.value AS value FROM p, json_tree(p.before) t UNION ALL SELECT event_id, 2, t.fullkey, t.type, t.value FROM p, json_tree(p.after) t),
+        f AS (SELECT event_id, side, replace(path, '."odd name"', '["odd name"]') AS path, CASE kind WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'bigint' WHEN 'NULL' THEN 'void' ELSE lower(kind) END AS kind,
+                     CASE kind WHEN 'OBJECT' THEN CAST(len(json_keys(value)) AS VARCHAR) WHEN 'ARRAY' THEN CAST(json_array_length(value) AS VARCHAR) WHEN 'NULL' THEN NULL ELSE CAST(value AS VARCHAR) END AS value FROM n),
+        j AS (SELECT coalesce(l.event_id, r.event_id) AS event_id, coalesce(l.path, r.path) AS path, CASE WHEN r.path IS NULL THEN 'vanished' WHEN l.path IS NULL THEN 'added' WHEN l.kind <> r.kind THEN 'type' WHEN l.value IS DISTINCT FROM r.value THEN 'value' END AS status, l.value AS before, r.value AS after
+              FROM (SELECT * FROM f WHERE side = 1) l FULL JOIN (SELECT * FROM f WHERE side = 2) r ON l.event_id = r.event_id AND l.path = r.path)
+        SELECT * FROM j WHERE status IS NOT NULL""",
+    "sequence_alignment": """WITH l AS (SELECT o_orderkey // 1000 AS run, concat_ws(' ', o_orderkey, o_custkey) AS item, row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) - 1 AS pos FROM orders),
+        s AS (SELECT o_orderkey // 1000 AS run, o_orderkey AS k, 0 AS sub, concat(CASE WHEN o_orderkey % 29 = 0 THEN 'new ' ELSE '' END, concat_ws(' ', o_orderkey, o_custkey)) AS item FROM orders WHERE o_orderkey % 13 > 0
+              UNION ALL SELECT o_orderkey // 1000, o_orderkey, 1, concat('put in ', concat_ws(' ', o_orderkey, o_custkey)) FROM orders WHERE o_orderkey % 17 = 0),
+        r AS (SELECT run, item, row_number() OVER (PARTITION BY run ORDER BY k, sub) - 1 AS pos FROM s),
+        runs AS (SELECT run FROM l UNION SELECT run FROM r),
+        m AS (SELECT l.run, l.pos AS a, r.pos AS b FROM l JOIN r ON l.run = r.run AND l.item = r.item UNION ALL SELECT run, -1, -1 FROM runs),
+        nl AS (SELECT run, count(*) AS na FROM l GROUP BY run), nr AS (SELECT run, count(*) AS nb FROM r GROUP BY run),
+        g AS (SELECT m.run, a + 1 AS os, coalesce(lead(a) OVER w, na, 0) AS oe, b + 1 AS ns, coalesce(lead(b) OVER w, nb, 0) AS ne FROM m LEFT JOIN nl ON nl.run = m.run LEFT JOIN nr ON nr.run = m.run WINDOW w AS (PARTITION BY m.run ORDER BY a))
+        SELECT run, CASE WHEN oe > os AND ne > ns THEN 'replace' WHEN oe > os THEN 'delete' ELSE 'insert' END AS op, os AS old_start, oe AS old_end, ns AS new_start, ne AS new_end FROM g WHERE oe > os OR ne > ns""",
+    "line_alignment": f"""WITH {_RUNS},
+        s AS (SELECT conv_id, run_id // 2 AS block, count(*) AS n, max(x0) - min(x0) AS sl, max(x1) - min(x1) AS sr, max((x0 + x1) / 2) - min((x0 + x1) / 2) AS sc FROM runs GROUP BY ALL),
+        o AS (SELECT conv_id, block, CASE WHEN n < 2 THEN NULL WHEN sl <= 0.6 AND sl <= sr AND sl <= sc AND least(sr, sc) - sl >= 0.5 THEN 'left' WHEN sr <= 0.6 AND sr < sl AND sr <= sc AND least(sl, sc) - sr >= 0.5 THEN 'right'
+                     WHEN sc <= 0.6 AND sc < sl AND sc < sr AND least(sl, sr) - sc >= 0.5 THEN 'center' END AS own FROM s),
+        e AS (SELECT a.conv_id, a.run_id, a.x0, a.x1, min(b.x0) AS l, max(b.x1) AS r FROM runs a LEFT JOIN runs b ON b.conv_id = a.conv_id AND b.run_id <> a.run_id GROUP BY ALL),
+        k AS (SELECT *, abs(x0 - l) <= 0.6 AS at_l, abs(x1 - r) <= 0.6 AS at_r, abs((x0 + x1) / 2 - (l + r) / 2) <= 0.6 AS mid FROM e)
+        SELECT k.conv_id, run_id // 2 AS block, run_id, coalesce(own, CASE WHEN l IS NULL OR r - l <= 0 THEN 'left' WHEN at_r AND NOT at_l THEN 'right' WHEN at_l AND NOT at_r THEN 'left' WHEN mid AND NOT (at_l AND at_r) THEN 'center' ELSE 'left' END) AS alignment
+        FROM k JOIN o ON o.conv_id = k.conv_id AND o.block = run_id // 2""",
+    "guarded_rules": """WITH k AS (SELECT 'dear' AS key, 'divergence' AS severity, CAST(o_orderkey AS VARCHAR) AS subject, 'dearer than any' AS text FROM orders WHERE o_totalprice > 490000
+        UNION ALL SELECT 'open', 'trace', CAST(o_orderkey AS VARCHAR), 'urgent and not done' FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'
+        UNION ALL SELECT 'share', 'note', CAST(o_orderkey AS VARCHAR), 'a share that is too large' FROM orders WHERE o_custkey % 50 > 0 AND o_orderkey > 10000 * (o_custkey % 50)
+        UNION ALL SELECT 'check-failed', 'note', 'share', concat('can''t be told of ', count(*), ' rows') FROM orders WHERE o_custkey % 50 = 0 HAVING count(*) > 0
+        UNION ALL SELECT 'priority', 'note', CAST(o_orderkey AS VARCHAR), 'low' FROM orders WHERE left(o_orderpriority, 1) = '5'
+        UNION ALL SELECT 'check-failed', 'note', 'absent', NULL) SELECT * FROM k""",
+    "metadata_update": """WITH c AS (SELECT c_custkey, c_custkey AS k, c_name, c_mktsegment, c_nationkey FROM customer),
+        d AS (SELECT *, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 3 = 0 THEN 'D:20210506000000' WHEN k % 3 = 1 THEN 'D:20240203040506+01''00' || chr(39) ELSE 'some day' END AS packed, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 3 = 0 THEN '2021-05-06T00:00:00' WHEN k % 3 = 1 THEN '2024-02-03T04:05:06+01:00' ELSE 'some day' END AS iso FROM c)
+        SELECT c_custkey, '/Title' AS name, c_name AS value FROM d UNION ALL SELECT c_custkey, '/Author', CASE WHEN k % 5 = 0 THEN c_mktsegment ELSE 'by ' || c_mktsegment END FROM d WHERE k % 5 = 0 OR k % 4 > 0
+        UNION ALL SELECT c_custkey, '/ModDate', coalesce(packed, 'D:20200102030405Z') FROM d UNION ALL SELECT c_custkey, '/Own name', CAST(c_nationkey AS VARCHAR) FROM d WHERE k % 5 > 0
+        UNION ALL SELECT c_custkey, 'dc:title', c_name FROM d WHERE k % 2 = 0 UNION ALL SELECT c_custkey, 'xmp:ModifyDate', coalesce(iso, '2020-01-02T03:04:05+00:00') FROM d WHERE k % 2 = 0
+        UNION ALL SELECT c_custkey, 'own:key', 'stays' FROM d WHERE k % 2 = 0 UNION ALL SELECT c_custkey, 'dc:creator', 'by ' || c_mktsegment FROM d WHERE k % 2 = 0 AND k % 5 > 0 AND k % 4 > 0""",
+    "date_findings": """SELECT 'date-changed' AS key, CAST(c_custkey AS VARCHAR) AS subject, '/ModDate: D:2020 became D:2021' AS text FROM customer WHERE c_custkey % 3 = 0
+        UNION ALL SELECT 'metadata-changed', CAST(c_custkey AS VARCHAR), concat('/Title: ', c_name, ' became new') FROM customer WHERE c_custkey % 7 = 0""",
     "deep_reachability": """WITH RECURSIVE k AS (SELECT o_orderkey AS src, o_orderkey + 1 AS dst FROM orders WHERE o_orderkey % 1000 <> 999 UNION ALL SELECT o_orderkey, -o_orderkey - 1 FROM orders WHERE o_orderkey % 7 = 0),
         r(node, depth) AS (SELECT o_orderkey, CAST(0 AS BIGINT) FROM orders WHERE o_orderkey % 1000 = 0 UNION SELECT k.dst, depth + 1 FROM r JOIN k ON k.src = r.node)
         SELECT node, min(depth) AS depth FROM r GROUP BY node""",

@@ -69,8 +69,8 @@ def find_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replace_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", F.md5(search.replace_matches(F.col("text"), search.Pattern("([a-z]+) ([a-z]+)", regex=True), r"\2 \1")).alias("changed"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return search.replace_all(turns, "text", search.Pattern("([a-z]+) ([a-z]+)", regex=True), r"\2 \1").select("conv_id", "turn", F.md5("text").alias("changed"))
 
 
 def replace_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +84,13 @@ def replace_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with hard spaces and ligatures, of which only what is matched may change."""
     docs = table(spark, sf_dir, "documents")
     marked = F.replace(F.replace(F.col("text"), F.lit(" "), F.lit(NBSP)), F.lit("ff"), F.lit(FF))
-    return docs.select("doc_id", F.md5(search.replace_matches(marked, search.Pattern("of the"), "OF-THE")).alias("changed"))
+    return search.replace_all(docs.select("doc_id", marked.alias("text")), "text", search.Pattern("of the"), "OF-THE").select("doc_id", F.md5("text").alias("changed"))
 
 
 def find_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches in whole lines of several runs, as edits of their runs."""
     lines = layout.visual_lines(_runs(spark, sf_dir), ["conv_id"])
-    found = search.find_grouped(lines, ["conv_id"], search.Pattern(r"[a-z] ?[A-Z]", regex=True), layout.SPACE_GAP)
+    found = search.find_grouped(lines, ["conv_id"], search.Pattern(r"\. ?[A-Z]", regex=True), layout.SPACE_GAP)
     keys = ["conv_id", "baseline", "line_no", "match_no"]
     edits = search.edits_of(found, keys, F.lit("x"), F.col("matched"))
     return edits.groupBy("conv_id", "baseline", F.col("line_no").cast("long").alias("line_no")).agg(F.count_if(~F.col("continuation")).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(F.when(~F.col("continuation"), F.col("old_text")))), "|")).alias("matched"))
@@ -126,7 +126,7 @@ def glyph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     glyphs = F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda i: F.floor(i / 2).cast("int"))
     start = F.pmod(F.length("text"), F.lit(17))
     span = search.glyph_span(glyphs, start, start + 4)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", span["start"].cast("long").alias("first"), span["end"].cast("long").alias("after"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", span["start"].cast("long").alias("first"), span["end"].cast("long").alias("after"), span["expanded"].alias("expanded"))
 
 
 # Scalars
@@ -469,10 +469,11 @@ def stale_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hidden_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns whose later copy, the next but one turn, is not found in them."""
+    """Turns whose later copy is not found in them: the next but one turn, in every third conversation a stretch of the turn itself between spaces."""
     turns = table(spark, sf_dir, "conversations")
-    other = turns.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("copy"))
-    return turns.join(other, ["conv_id", "turn"]).filter(rules.hidden_copy_mismatch(F.col("copy"), F.col("text"))).select("conv_id", "turn")
+    other = turns.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("later"))
+    copy = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("  "), F.substring("text", 5, 40), F.lit(" "))).otherwise(F.col("later"))
+    return turns.join(other, ["conv_id", "turn"]).filter(rules.hidden_copy_mismatch(copy, F.col("text"))).select("conv_id", "turn")
 
 
 # Operators on runs, codes and notes
@@ -577,7 +578,7 @@ def composite_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _container(orders: DataFrame) -> DataFrame:
     """Orders as files: their size, version and style."""
-    return orders.select(F.col("o_orderkey").cast("string").alias("path"), (F.col("o_totalprice") * 100).cast("long").alias("size"), F.col("o_orderstatus").alias("version"), (F.col("o_custkey") % 2 == 0).alias("object_streams"))
+    return orders.select(F.col("o_orderkey").cast("string").alias("path"), (F.col("o_totalprice") * 100).cast("long").alias("size"), F.col("o_orderstatus").alias("version"), (F.col("o_orderstatus") == "F").alias("object_streams"))
 
 
 def container_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -610,12 +611,13 @@ def width_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as glyphs of their nation's font: those with lines are reached, and through them the one ten above."""
-    supplier = table(spark, sf_dir, "supplier")
-    font = F.col("s_nationkey").cast("string").alias("font")
-    glyphs = supplier.select(font, F.col("s_suppkey").alias("gid"), F.floor("s_acctbal").alias("n_bytes"))
-    reached = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey")).join(supplier, "s_suppkey").select(font, F.col("s_suppkey").alias("gid"))
-    parts = supplier.select(font, F.col("s_suppkey").alias("gid"), (F.col("s_suppkey") + 10).alias("part"))
+    """Parts as glyphs of their brand's font, some without outline: those that sold fifty in a line are reached, and through them the one ten above."""
+    part = table(spark, sf_dir, "part")
+    font = F.col("p_brand").alias("font")
+    glyphs = part.select(font, F.col("p_partkey").alias("gid"), F.when(F.col("p_size") % 5 > 0, F.col("p_size")).otherwise(0).alias("n_bytes"))
+    sold = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 AND l_linenumber < 4").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    reached = sold.join(part, "p_partkey").select(font, F.col("p_partkey").alias("gid"))
+    parts = part.select(font, F.col("p_partkey").alias("gid"), (F.col("p_partkey") + 10).alias("part"))
     return detect.orphan_glyphs(glyphs, reached, parts).select("subject", "text")
 
 
@@ -729,6 +731,88 @@ def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(found, "cycle").select("node", "cycle", "text")
 
 
+def guarded_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five checks of orders in one pass; one can't be told of some orders, one names a column that isn't there."""
+    orders = table(spark, sf_dir, "orders")
+    checks = [
+        rules.Check("dear", "divergence", F.col("o_totalprice") > 490_000, "dearer than any"),
+        rules.Check("open", "trace", (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"), "urgent and not done"),
+        rules.Check("share", "note", F.try_divide(F.col("o_orderkey"), F.col("o_custkey") % 50) > 10_000, "a share that is too large"),
+        rules.Check("priority", "note", F.try_element_at(F.split("o_orderpriority", "-"), F.lit(1)).try_cast("int") > 4, "low"),
+        rules.Check("absent", "note", F.col("no_such_column") > 1, "never said"),
+    ]
+    found = rules.guarded(orders, "o_orderkey", checks)
+    return found.select("key", "severity", "subject", F.when(F.col("subject") != "absent", F.col("text")).alias("text"))
+
+
+def metadata_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' metadata with changes in people's spelling, dates among them, and the mirrors of those that have one."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    rows = lambda *pairs: c.select(key, F.explode(F.create_map(*[x for f, v in pairs for x in (F.lit(f), v)])).alias("field", "value"))
+    info = rows(("/Title", F.col("c_name")), ("/Author", F.col("c_mktsegment")), ("/ModDate", F.lit("D:20200102030405Z")))
+    mirror = rows(("dc:title", F.col("c_name")), ("xmp:ModifyDate", F.lit("2020-01-02T03:04:05+00:00")), ("own:key", F.lit("stays"))).withColumnRenamed("field", "key").filter(key % 2 == 0)
+    said = rows(("author", F.when(key % 4 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("by "), "c_mktsegment"))), ("Modified", F.when(key % 3 == 0, F.lit("2021/05/06")).when(key % 3 == 1, F.lit("now")).otherwise(F.lit("some day"))), ("own name", F.col("c_nationkey").cast("string"))).filter(key % 5 > 0)
+    new, mirrored = versions.set_metadata(info, said, ["c_custkey"], F.lit("2024-02-03T04:05:06+01:00"), mirror)
+    return new.select("c_custkey", F.col("field").alias("name"), "value").unionByName(mirrored.select("c_custkey", F.col("key").alias("name"), "value"))
+
+
+def date_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a comparison says of customers' metadata before and after an update: dates apart from the rest, declared fields left out."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    rows = lambda date, title, author: c.select(key, F.explode(F.create_map(F.lit("/ModDate"), date, F.lit("/Title"), title, F.lit("/Author"), author)).alias("key", "value"))
+    before = rows(F.lit("D:2020"), F.col("c_name"), F.lit("nobody"))
+    after = rows(F.when(key % 3 == 0, F.lit("D:2021")).otherwise(F.lit("D:2020")), F.when(key % 7 == 0, F.lit("new")).otherwise(F.col("c_name")), F.col("c_mktsegment"))
+    changes = diff.undeclared(diff.value_diff(before, after, ["c_custkey", "key"], "value"), spark.range(1).select(F.lit("/author").alias("field")))
+    return detect.identity_changes(changes, "c_custkey", versions.DATE_FIELDS).select("key", "subject", "text")
+
+
+def nested_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as nested documents, before and after some names, values, types and lists of theirs change."""
+    events, key = table(spark, sf_dir, "events"), F.col("event_id")
+    who = lambda kind: F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"who":{"user":'), F.col("user_id").cast("string"), F.lit(',"type":"'), kind, F.lit('","odd name":[]},"tags":['))
+    before = F.concat(who(F.col("event_type")), F.lit('"a","b",{"v":'), (key % 4).cast("string"), F.lit('}],"none":null}'))
+    tags = F.when(key % 7 == 0, F.lit('"new","a","b",{"v":"')).when(key % 7 == 1, F.lit('"a","b",{"v":"')).otherwise(F.lit('"a","b",{"w":"'))
+    after = F.when(key % 3 > 0, before).otherwise(F.concat(who(F.when(key % 2 == 0, F.lit("other")).otherwise(F.col("event_type"))), tags, (key % 4).cast("string"), F.when(key % 5 == 0, F.lit('"}]}')).otherwise(F.lit('"}],"none":[null]}'))))
+    left, right = (diff.variant_nodes(events.select(key, said.alias("doc")), ["event_id"], "doc") for said in (before, after))
+    return diff.structure_diff(left, right, ["event_id"])
+
+
+def sequence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in runs of a thousand as sequences, against the same with some left out, some changed and some put in."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    said = F.concat_ws(" ", key.cast("string"), F.col("o_custkey").cast("string"))
+    left = orders.select(F.floor(key / 1000).alias("run"), F.lit(0).alias("sub"), key.alias("k"), said.alias("item"))
+    changed = orders.filter(key % 13 > 0).select(F.floor(key / 1000).alias("run"), F.lit(0).alias("sub"), key.alias("k"), F.when(key % 29 == 0, F.concat(F.lit("new "), said)).otherwise(said).alias("item"))
+    added = orders.filter(key % 17 == 0).select(F.floor(key / 1000).alias("run"), F.lit(1).alias("sub"), key.alias("k"), F.concat(F.lit("put in "), said).alias("item"))
+    placed = lambda df: df.withColumn("at", F.row_number().over(Window.partitionBy("run").orderBy("k", "sub")) - 1)
+    return diff.alignment(placed(left), placed(changed.unionByName(added)), ["run"], "at", "item")
+
+
+def same_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether customers' entries stay the same but for those that say how data are stored."""
+    c = table(spark, sf_dir, "customer")
+    entries = lambda x, length: x.select("c_custkey", F.map_filter(F.create_map(F.lit("/Name"), F.col("c_name"), F.lit("/Segment"), F.col("c_mktsegment"), F.lit("/Length"), length, F.lit("/Filter"), F.lit("/Flate")), lambda _, v: v.isNotNull()).alias("m"))
+    both = entries(c, F.col("c_acctbal").cast("string")).join(entries(_customer_after(c), F.lit("1")).withColumnRenamed("m", "later"), "c_custkey", "left")
+    return both.select("c_custkey", detect.same_dictionary(F.col("m"), F.col("later")).alias("same"))
+
+
+def expected_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of customers' entries under resources: known keys and new fonts are what an edit brings with it."""
+    c = table(spark, sf_dir, "customer")
+    place = F.when(F.col("c_custkey") % 2 == 0, F.lit("/Resources/Font/")).otherwise(F.lit("/Resources/XObject/"))
+    rows = lambda x: x.select("c_custkey", F.map_filter(F.create_map(F.concat(place, F.lit("F1")), F.col("c_mktsegment"), F.concat(place, F.lit("W[0]")), F.col("c_nationkey").cast("string")), lambda _, v: v.isNotNull()).alias("entries"))
+    changes = detect.dictionary_changes(rows(_customer_after(c)), rows(c), ["c_custkey"], "entries")
+    return changes.select("c_custkey", F.col("entry").alias("path"), "change", diff.expected_path(F.col("entry"), ["W", "Widths"], F.col("change") == "added").alias("expected"))
+
+
+def greedy_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns cut into the words of the benchmark, the longest first, and single characters."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]{2,12}"), F.lit(0))).alias("word"))
+    turns = table(spark, sf_dir, "conversations").withColumn("at", F.concat_ws(" ", "conv_id", "turn"))
+    parts = match.longest_match_table(turns, "at", "text", words, "word")
+    return parts.groupBy("at").agg(F.count(F.lit(1)).alias("n_parts"), F.count_if("known").alias("n_known"))
+
+
 def deep_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of up to 999 orders with branches that lead nowhere."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"))
@@ -748,5 +832,5 @@ hidden_copies container_changes external_risks signature_coverage width_mismatch
 code_maps instructions raw_streams shown_runs
 editable_runs codes_in_use known_glyphs missing_characters note_severities overall_outcome line_shifts reading_order line_hints replacement_plan
 summary_digests common_order fallback_choice reachable_glyphs composite_glyphs
-apply_edits stale_passages donor_choice revision_chains as_of_revision cycle_members deep_reachability""".split()
+apply_edits stale_passages donor_choice revision_chains as_of_revision cycle_members deep_reachability same_dictionaries expected_additions nested_diff sequence_alignment greedy_codes guarded_rules metadata_update date_findings""".split()
 QUERIES = {name: globals()[name] for name in NAMES} | file_queries.QUERIES
