@@ -161,8 +161,10 @@ ORACLES = {
         UNION ALL SELECT concat('s', s_suppkey), 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1""",
     "dangling_edges": "SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)",
     "stale_copies": """SELECT doc_id, CAST(e.edit_id AS BIGINT) AS edit_id FROM documents JOIN (VALUES (0, 'License, Version'), (1, 'MIT License'), (2, 'Public License'), (3, 'no such text'), (4, 'the the')) e(edit_id, old) ON contains(text, old)""",
-    "hidden_copies": """WITH p AS (SELECT a.conv_id, a.turn, a.text AS shown, CASE WHEN a.conv_id % 3 = 0 THEN concat('  ', substr(a.text, 5, 40), ' ') ELSE b.text END AS copy FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2)
-        SELECT conv_id, turn FROM p WHERE length(trim(copy, ' ')) > 0 AND NOT contains(shown, trim(copy, ' '))""",
+    "hidden_copies": """SELECT a.conv_id, a.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2
+        WHERE length(trim(b.text)) > 0 AND NOT contains(a.text, trim(b.text))""",
+    "planted_copies": """WITH p AS (SELECT conv_id, turn, text, CASE WHEN conv_id % 3 = 0 THEN concat('  ', substr(text, 5, 40), ' ') WHEN conv_id % 5 = 0 THEN upper(substr(text, 5, 40)) ELSE lag(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS copy FROM conversations)
+        SELECT conv_id, turn FROM p WHERE length(trim(copy, ' ')) > 0 AND NOT contains(text, trim(copy, ' '))""",
     "page_list_errors": """WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, p_size % 5 AS page FROM part)
         SELECT p_partkey, CASE k WHEN 1 THEN '' WHEN 4 THEN '0 1 2' END AS pages, CASE k WHEN 2 THEN 'no page or range: a' WHEN 3 THEN 'out of range: 99' WHEN 5 THEN 'no page or range: 1-x' END AS error,
             CASE k WHEN 0 THEN true WHEN 4 THEN page < 3 ELSE false END AS asked_for FROM (SELECT p_partkey, CASE WHEN k = 6 THEN 1 ELSE k END AS k, page FROM p) x""",

@@ -469,11 +469,19 @@ def stale_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hidden_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns whose later copy is not found in them: the next but one turn, in every third conversation a stretch of the turn itself between spaces."""
+    """Turns whose later copy, the next but one turn, is not found in them."""
     turns = table(spark, sf_dir, "conversations")
-    other = turns.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("later"))
-    copy = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("  "), F.substring("text", 5, 40), F.lit(" "))).otherwise(F.col("later"))
-    return turns.join(other, ["conv_id", "turn"]).filter(rules.hidden_copy_mismatch(copy, F.col("text"))).select("conv_id", "turn")
+    other = turns.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("copy"))
+    return turns.join(other, ["conv_id", "turn"]).filter(rules.hidden_copy_mismatch(F.col("copy"), F.col("text"))).select("conv_id", "turn")
+
+
+def planted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose copy is not found in them: of every third conversation that is a stretch of the turn itself between spaces, of every fifth one with its case changed, else the turn before."""
+    turns = table(spark, sf_dir, "conversations")
+    own = F.substring("text", 5, 40)
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    copy = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("  "), own, F.lit(" "))).when(F.col("conv_id") % 5 == 0, F.upper(own)).otherwise(before)
+    return turns.withColumn("copy", copy).filter(F.coalesce(rules.hidden_copy_mismatch(F.col("copy"), F.col("text")), F.lit(False))).select("conv_id", "turn")
 
 
 # Operators on runs, codes and notes
@@ -832,5 +840,5 @@ hidden_copies container_changes external_risks signature_coverage width_mismatch
 code_maps instructions raw_streams shown_runs
 editable_runs codes_in_use known_glyphs missing_characters note_severities overall_outcome line_shifts reading_order line_hints replacement_plan
 summary_digests common_order fallback_choice reachable_glyphs composite_glyphs
-apply_edits stale_passages donor_choice revision_chains as_of_revision cycle_members deep_reachability same_dictionaries expected_additions nested_diff sequence_alignment greedy_codes guarded_rules metadata_update date_findings""".split()
+apply_edits stale_passages donor_choice revision_chains as_of_revision cycle_members deep_reachability planted_copies same_dictionaries expected_additions nested_diff sequence_alignment greedy_codes guarded_rules metadata_update date_findings""".split()
 QUERIES = {name: globals()[name] for name in NAMES} | file_queries.QUERIES

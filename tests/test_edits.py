@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 from quillon.operators import contain, edits, match, rules
 
 
@@ -55,10 +53,9 @@ def brute_apply(asked, runs):
     return texts, {e: (told.get(e), cause.get(e)) for e, *_ in asked}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_apply_edits(spark, seed, monkeypatch):
+def test_apply_edits(spark, monkeypatch):
     monkeypatch.setattr(edits, "CELL", 4)
-    rng = random.Random(seed)
+    rng = random.Random(1)
     runs = [(i, "".join(rng.choice("abÉ文 ") for _ in range(rng.randint(15, 60))), rng.random() > 0.05, rng.random() < 0.2, list("abcxyz") if rng.random() < 0.2 else None) for i in range(80)]
     asked = []
     for e in range(220):
