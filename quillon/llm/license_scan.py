@@ -255,6 +255,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+#: Bytes of whole notices that a table may hold: the automaton of that many stands in every worker.
+NOTICE_BYTES = 4 << 20
+
+
+def notices_of(table: DataFrame, label_col: str, text_col: str, most_bytes: int = NOTICE_BYTES) -> dict[str, str]:
+    """Notices for `scan` from a table of whole licence texts, one row per label. A table beyond most_bytes fails, and so does a label with two texts; null labels and texts of fewer than MIN_RUN words stay out."""
+    own = table.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).dropna()
+    n_bytes = own.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("label")), F.lit(0))).first()[0]
+    if n_bytes > most_bytes:
+        raise ValueError(f"{n_bytes} bytes of notices; at most {most_bytes}")
+    rows = sorted((r["label"], r["text"]) for r in own.collect())
+    if len({label for label, _ in rows}) < len(rows):
+        raise ValueError("a label has several texts")
+    return {label: text for label, text in rows if len(words_of(text)) >= MIN_RUN}
+
+
 def digest(found: DataFrame) -> DataFrame:
     """scan's rows as counts, places and labels."""
     starts, spans = F.col("places.start"), F.col("spans")

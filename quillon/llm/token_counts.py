@@ -1,8 +1,9 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier one is a compact table from frequent pre-token units (see units.py) to their number of ids. Which HOT units it holds
-comes from a sample of about SAMPLE rows (a documented bound), taken by a hash of the id and counted in one task: no
-pre-token of the table is shuffled. The table is bounded (HOT units of at most HOT_CHARS characters, so under 6 MB) and
+comes from a sample of about SAMPLE rows, taken by a hash of id and text and counted in one task: no
+pre-token of the table is shuffled. The sample has a bound whatever the table holds: rows of more than SAMPLE_BYTES stay out of it, and
+of rows that are equal, so that the hash takes all or none, no more than twice SAMPLE are taken. The table is bounded (HOT units of at most HOT_CHARS characters, so under 6 MB) and
 broadcast.
 Tier two encodes misses with the library and keeps them in a bounded cache of the worker. Counts never depend on
 what either tier holds, so they are those of the library for every whole text.
@@ -30,6 +31,8 @@ from .units import _LONG, Generations, UnitEncoder, unit_encoder
 HOT, HOT_CHARS = 65_536, 48
 #: Rows that the hot units are counted in, and distinct units that are held at most meanwhile.
 SAMPLE, SAMPLE_HELD = 20_000, 400_000
+#: The longest text of the sample: with 2 * SAMPLE rows, 2.6 GB at most stream through that task.
+SAMPLE_BYTES = 65_536
 
 
 def _most_frequent(hot: int):
@@ -49,8 +52,9 @@ def _most_frequent(hot: int):
 def hot_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, sample: int = SAMPLE) -> list[str]:
     """Frequent units, at most hot of them, by a sample of about `sample` rows."""
     share = min(1.0, sample / max(1, docs.count()))
-    some = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
-    top = some.select(F.col(text_col).cast("string").alias("text")).repartition(1).mapInArrow(_most_frequent(hot), "unit string")
+    text = F.col(text_col).cast("string")
+    some = docs.filter((F.octet_length(text) <= SAMPLE_BYTES) & (F.pmod(F.xxhash64(F.col(id_col), text, F.lit(3)), F.lit(1 << 30)) < math.ceil(share * (1 << 30))))
+    top = some.select(text.alias("text")).limit(2 * sample).repartition(1).mapInArrow(_most_frequent(hot), "unit string")
     return [r["unit"] for r in top.collect()]
 
 

@@ -339,6 +339,17 @@ def test_what_is_gone_from_a_store_is_noticed(spark, tmp_path):
                 read(spark, path).collect()
 
 
+def test_hot_units_of_rows_that_share_an_id(spark):
+    """The sample goes by id and text, so one id is no all or nothing; equal rows and long ones have a bound."""
+    rows = [(7, f"same id word{i % 5} and again word{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    units = token_counts.hot_units(docs, sample=100)
+    assert {"id", "and", "again"} <= set(units) and 20 < sum(u.startswith("word") for u in units) < 300
+    assert token_counts.hot_units(spark.createDataFrame([(1, "long " * 20_000)] * 3, "doc_id long, text string")) == []
+    same = spark.createDataFrame([(None, "equal rows here")] * 500, "doc_id long, text string")
+    assert set(token_counts.hot_units(same, sample=500)) == {"rows", "here"}
+
+
 # 5
 
 
@@ -451,6 +462,39 @@ def test_a_changed_notice_is_known_from_its_like(spark):
         license_scan.Scanner({"short": "one two"}, {})
 
 
+def test_hundreds_of_changed_copies_of_whole_licences(spark):
+    """Whole licence texts as a table; copies with words dropped, changed and put in, of whole texts and of most of one, among texts of the same words in another order."""
+    rng = random.Random(11)
+    common = ["the", "of", "software", "license", "copyright", "without", "warranty", "use", "copies", "notice"]
+    vocabulary = common + ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 9))) for _ in range(400)]
+    texts = {f"licence-{k}": " ".join(rng.choices(vocabulary, [12] * 10 + [1] * 400, k=rng.randint(120, 900))) for k in range(12)}
+    texts["licence-12"] = texts["licence-3"].replace("the", "any") + " with more words of its own at the end " * 8
+    table = spark.createDataFrame([*texts.items(), (None, "no label " * 20), ("short", "few words")], "label string, text string")
+    notices = license_scan.notices_of(table, "label", "text")
+    assert notices == texts
+    rows, want = [], {}
+    for i in range(400):
+        label, words = rng.choice(list(texts)), []
+        own = texts[label].split()
+        for w in own[: None if i % 3 else len(own) * 8 // 10]:
+            roll = rng.random()
+            words += [] if roll < 0.01 else [w, "zzz"] if roll < 0.02 else [w.upper()] if roll < 0.2 else [w]
+        if i % 4 == 3:
+            rng.shuffle(words)
+            label = ""
+        around = " ".join(rng.choices(vocabulary, k=rng.randint(0, 50)))
+        rows.append((i, f"{around}\n{'; '.join(words)}\n{around}"))
+        want[i] = label
+    found = license_scan.digest(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), notices=notices, phrases={}))
+    got = {r["doc_id"]: r["labels"] for r in found.select("doc_id", "labels").collect()}
+    alike = {"licence-3", "licence-12"}
+    assert all(want[i] == got[i] or want[i] in alike and {*got[i].split(",")} <= alike for i in want)
+    with pytest.raises(ValueError, match="at most"):
+        license_scan.notices_of(table, "label", "text", 100)
+    with pytest.raises(ValueError, match="several"):
+        license_scan.notices_of(table.union(table), "label", "text")
+
+
 # 6
 
 
