@@ -83,5 +83,5 @@ def apply_edits(edits: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame
     report = told.select("edit_id", "run_id", F.col("cause").isNull().alias("applied"), "reason", "cause")
     good = told.filter("cause IS NULL")
     each = good.groupBy(F.col("run_id").alias("__run")).agg(F.collect_list(F.struct("start", "end", F.col("new_text").alias("text"))).alias("__edits"))
-    changed = runs.join(each, F.col("run_id") == F.col("__run")).select("run_id", spliced(F.col("text"), F.col("__edits")).alias("text"), F.size("__edits").cast("long").alias("n_applied"))
+    changed = runs.join(each.hint("merge"), F.col("run_id") == F.col("__run")).select("run_id", spliced(F.col("text"), F.col("__edits")).alias("text"), F.size("__edits").cast("long").alias("n_applied"))
     return changed, report

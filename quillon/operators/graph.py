@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import release, written
+from quillon.session import release, small_broadcasts, written
 
 #: Hops that are followed one by one before a graph is folded, and rounds after which tables are put together.
 HOPS, TOGETHER = 8, 8
@@ -144,7 +144,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "node")
         hung = small.select("node", F.col("m").alias("to")).unionByName(small.filter("to <> m").select(F.col("to").alias("node"), F.col("m").alias("to"))).distinct()
         new = written(hung, "hooks")
-        same = new.join(now, ["node", "to"], "left_anti").isEmpty() and now.join(new, ["node", "to"], "left_anti").isEmpty()
+        with small_broadcasts(links.sparkSession):
+            same = new.join(now, ["node", "to"], "left_anti").isEmpty() and now.join(new, ["node", "to"], "left_anti").isEmpty()
         release(now)
         now = new
         if same:

@@ -687,7 +687,7 @@ def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p") % 4 == 0, F.col("p") * 10 + F.col("l_linenumber")).otherwise(0).alias("group"),
     )
     changed, report = edits.apply_edits(asked, runs)
-    return report.join(changed, "run_id", "left")
+    return report.join(changed.hint("merge"), "run_id", "left")
 
 
 def stale_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

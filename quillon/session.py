@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes, as Spark reckons them, that a join of an intermediate step may send whole to the driver and all executors.
+SENT = 256 << 10
+
+
+@contextmanager
+def small_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Inside, joins send at most SENT bytes whole, or less if the session says so; then the session's own limit holds again.
+
+    Spark reckons a table by its files, which columns and repeated values fill many times over in memory, and an exploded array by
+    its one entry; the driver holds what is sent of each step until it collects its garbage.
+    """
+    key, now = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() <= SENT:
+        yield
+        return
+    spark.conf.set(key, str(SENT))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, now)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the folder that spark.checkpoint.dir names and read it back, so that lineage ends here. A local master without one gets a folder of its own."""
     spark = df.sparkSession
@@ -32,7 +56,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = f"file:///tmp/checkpoints/{os.getuid()}"
     path = f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_broadcasts(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._staged_at = path
     return table
