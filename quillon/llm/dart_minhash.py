@@ -357,13 +357,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     labelled = sets.select("sid", "key", "own_id", "first").join(_joined(rows, sets).withColumnRenamed("node", "sid"), "sid")
     labelled = materialise(labelled, "labelled")
     heads = materialise(labelled.groupBy("label").agg(F.min("own_id").alias("own_id"), F.min("key").alias("least"), F.min("first").alias("stays")), "heads")
-    of_many = labelled.select("sid", "label").join(heads, "label").select("sid", F.col("own_id").alias("class_own"), "least", "stays")
-    of_sets = sets.select("sid", "key", "own_id", "first").join(of_many, "sid", "left")
+    #: The result is planned later, under the session's own limit; nothing here is small enough to be sent whole.
+    of_many = labelled.select("sid", "label").join(heads.hint("merge"), "label").select("sid", F.col("own_id").alias("class_own"), "least", "stays")
+    of_sets = sets.select("sid", "key", "own_id", "first").join(of_many.hint("merge"), "sid", "left")
     unowned = F.xxhash64(F.coalesce("least", "key")).bitwiseOR(F.lit(-(2**63)).cast("long"))
     #: least is null for a set that is its class alone.
     class_id = F.coalesce(F.when(F.col("least").isNotNull(), F.col("class_own")).otherwise(F.col("own_id")), unowned)
     named = of_sets.select("key", class_id.alias("class_id"), F.col("first.id").alias("set_id"), F.coalesce("stays", "first").alias("stays"))
-    found = sketched.select("id", "digest", "key").join(named, "key")
+    found = sketched.select("id", "digest", "key").join(named.hint("merge"), "key")
     return found.select("id", "digest", "class_id", "set_id", F.struct("id", "digest").eqNullSafe(F.col("stays")).alias("stays"))
 
 
@@ -379,4 +380,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     digest = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     rows = named.select(row, F.struct(F.col(id_col).cast("long").alias("id"), digest.alias("digest")).alias("k"))
-    return rows.join(stays, "k", "left_semi").dropDuplicates(["k"]).select("row.*").union(docs.filter(F.col(id_col).isNull()))
+    return rows.join(stays.hint("merge"), "k", "left_semi").dropDuplicates(["k"]).select("row.*").union(docs.filter(F.col(id_col).isNull()))

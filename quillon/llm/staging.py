@@ -9,6 +9,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.session import small_broadcasts
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own; a cluster is told to set it."""
@@ -27,7 +29,8 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with small_broadcasts(df.sparkSession):
+        df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._staged_at = path
     return table
