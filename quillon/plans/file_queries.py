@@ -16,7 +16,9 @@ def _said(*parts: str | Column) -> Column:
 
 
 def _parts(spark: SparkSession, sf_dir: str, said: Column, name: str = "decoded") -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), said.cast("binary").alias(name))
+    #: Files take long for their rows' size: they are dealt to all cores, however few splits the table has.
+    dealt = table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return dealt.select(F.col("p_partkey").cast("string").alias("path"), said.cast("binary").alias(name))
 
 
 def _page_files(spark: SparkSession, sf_dir: str, title: Column, body: Column) -> DataFrame:

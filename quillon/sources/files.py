@@ -20,6 +20,8 @@ from . import syntax, text_state
 # In ems, a gap that ends a run, an overlap that does, and a gap that is a space.
 RUN_GAP, RUN_OVERLAP, SPACE_GAP = 2.5, -0.05, 0.19
 EDIT_SCHEMA = "page int, run long, glyph_start int, glyph_end int, new_text string, old_text string, continuation boolean, `group` long"
+#: Bytes of rows that go on in one batch; what a row counts for besides its texts.
+TOGETHER, ROW_BYTES = 1 << 20, 500
 _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
 
@@ -31,15 +33,30 @@ def _table(files: DataFrame, schema: str, rows_of, key: str = "path", data: str
     """rows_of(bytes) gives dicts; the result has the key and schema's columns. A file that can't be read gives one row with `error`."""
     fields = [tuple(x.split(" ")) for x in schema.split(", ")]
 
+    def of(content):
+        try:
+            return list(rows_of(content or b""))
+        except Exception as e:  # one damaged file doesn't stop the others
+            return [{"error": f"{type(e).__name__}: {e}"}]
+
+    def table(held):
+        rows = [r for _, found in held for r in found]
+        paths = pa.array([path for path, found in held for _ in found], pa.string())
+        return pa.RecordBatch.from_arrays([paths, *(pa.array([r.get(n) for r in rows], _KINDS[k]) for n, k in fields), pa.array([r.get("error") for r in rows], pa.string())], [key, *(n for n, _ in fields), "error"])
+
     def run(batches):
+        #: Rows of up to TOGETHER bytes, and the last file's, give one batch: of small files a batch each costs as much as reading them.
         for batch in batches:
+            held, size = [], 0
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    found = list(rows_of(content or b""))
-                except Exception as e:  # one damaged file doesn't stop the others
-                    found = [{"error": f"{type(e).__name__}: {e}"}]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), *(pa.array([r.get(n) for r in found], _KINDS[k]) for n, k in fields), pa.array([r.get("error") for r in found], pa.string())], [key, *(n for n, _ in fields), "error"])
+                if found := of(content):
+                    held.append((path, found))
+                    size += sum(ROW_BYTES + sum(len(v) for v in r.values() if isinstance(v, bytes | str)) for r in found)
+                    if size >= TOGETHER:
+                        yield table(held)
+                        held, size = [], 0
+            if held:
+                yield table(held)
 
     return files.select(F.col(key).cast("string").alias(key), data).mapInArrow(run, f"{key} string, {schema}, error string")
 
